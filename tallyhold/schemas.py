@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
+          "date": T.DateType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _schema(columns: str) -> StructType:
+    """``"name type, name type"`` without needing a running session."""
+    pairs = [column.strip().rsplit(" ", 1) for column in columns.split(",")]
+    return StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 # Raw text inputs, one per member of a filing archive.

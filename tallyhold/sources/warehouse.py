@@ -101,7 +101,8 @@ class Warehouse:
             "archive", key.alias("row_no"), F.col("accession").alias("accession_number"),
             F.when(key % 41 == 0, "Y").otherwise("N").alias("isconfidentialomitted"),
             F.when(key % 31 == 0, F.lit(None)).otherwise(_text(entries)).alias("tableentrytotal"),
-            _text(F.coalesce("total", F.lit(0))).alias("tablevaluetotal"))
+            F.when(key % 53 == 1, "").otherwise(
+                _text(F.coalesce("total", F.lit(0)) + F.when(key % 47 == 0, 1).otherwise(0))).alias("tablevaluetotal"))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -178,5 +179,6 @@ class Warehouse:
         sums = (self.table("lineitem").filter(number % 11 != 0)
                 .groupBy(number.alias("n"), week.alias("price_date"))
                 .agg(F.sum(cents).alias("cents"), F.sum(units).alias("units")))
-        close = F.col("cents").cast("double") / (F.col("units").cast("double") * 100.0)
-        return sums.select(ticker_of(F.col("n")).alias("symbol"), "price_date", F.round(close, 4).alias("close"))
+        # Whole ten-thousandths, halves up, in exact integers: no engine-dependent rounding of ties.
+        ticks = F.expr("(cents * 200 + units) div (units * 2)")
+        return sums.select(ticker_of(F.col("n")).alias("symbol"), "price_date", (ticks / 10000.0).alias("close"))
