@@ -349,7 +349,7 @@ def scope_values(spark, folder):
 
 @query
 def fund_scores(spark, folder):
-    return plain(signal_tables(spark, folder)["fund_scores"], digits=3)
+    return plain(signal_tables(spark, folder)["fund_scores"])
 
 
 @query

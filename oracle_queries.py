@@ -301,11 +301,11 @@ SELECT cik, CAST(period AS VARCHAR) AS period, total_value AS raw_reported_value
 SQL["fund_scores"] = book_sql(SIGNALS + """
 SELECT cik, CAST(period AS VARCHAR) AS period, CAST(previous_period AS VARCHAR) AS previous_period,
   CAST(filed AS VARCHAR) AS filing_date, CAST(reference_date AS VARCHAR) AS reference_date, '2001-09-03' AS mark_date,
-  round(CASE WHEN reason = '' AND gross > 0 THEN 100.0 * pnl / gross END, 3) AS signal_return,
-  round(CASE WHEN gross > 0 THEN 100.0 * pnl / gross END, 3) AS raw_signal_return,
-  round(CASE WHEN reason = '' THEN pnl END, 3) AS signal_pnl, round(CASE WHEN gross > 0 THEN pnl END, 3) AS raw_signal_pnl,
-  round(CASE WHEN gross > 0 THEN gross END, 3) AS gross_notional, candidate_events, eligible_events, priced_events, buy_events,
-  sell_events, hit_events, round(coverage, 3) AS signal_coverage, round(bets, 3) AS effective_bets, reason = '' AS rankable, reason
+  round(CASE WHEN reason = '' AND gross > 0 THEN 100.0 * pnl / gross END, 6) AS signal_return,
+  round(CASE WHEN gross > 0 THEN 100.0 * pnl / gross END, 6) AS raw_signal_return,
+  round(CASE WHEN reason = '' THEN pnl END, 6) AS signal_pnl, round(CASE WHEN gross > 0 THEN pnl END, 6) AS raw_signal_pnl,
+  round(CASE WHEN gross > 0 THEN gross END, 6) AS gross_notional, candidate_events, eligible_events, priced_events, buy_events,
+  sell_events, hit_events, round(coverage, 6) AS signal_coverage, round(bets, 6) AS effective_bets, reason = '' AS rankable, reason
 FROM score_reasons""")
 SQL["event_counts_by_security"] = book_sql(SIGNALS + """
 SELECT cusip, count(*) AS candidates, count(*) FILTER (WHERE eligible) AS eligible, count(gross) AS priced,

@@ -128,7 +128,7 @@ def security_key(c: Column) -> Column:
 
 
 def is_valid_security_key(c: Column) -> Column:
-    return c.rlike(fv.CUSIP_PATTERN)
+    return c.rlike(fv.CUSIP_PATTERN) & (F.length(c) == 9)  # "$" alone would accept a trailing newline
 
 
 def _unicode_form(form: str):
