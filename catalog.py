@@ -282,7 +282,7 @@ def exact_close(spark, folder):
 def _order_lookups(spark, folder) -> DataFrame:
     t = Warehouse(spark, folder)
     return t.table("orders").select(
-        F.concat(F.lit("T"), (F.col("o_orderkey") % 60).cast("string")).alias("symbol"),
+        F.concat(F.lit("T"), F.floor(F.col("o_custkey") / 25).cast("string")).alias("symbol"),
         F.to_date("o_orderdate").alias("date")).distinct()
 
 
@@ -349,7 +349,7 @@ def scope_values(spark, folder):
 
 @query
 def fund_scores(spark, folder):
-    return plain(signal_tables(spark, folder)["fund_scores"])
+    return plain(signal_tables(spark, folder)["fund_scores"], digits=8)
 
 
 @query
@@ -556,7 +556,14 @@ def listed_securities(spark, folder) -> DataFrame:
 
 
 def _records(spark, folder) -> DataFrame:
+    configure(spark)
+    return _cached_records(spark.sparkContext.applicationId, folder)
+
+
+@lru_cache(maxsize=4)
+def _cached_records(application: str, folder: str) -> DataFrame:
     """Cached records for half of the securities, in every status."""
+    spark = SparkSession.getActiveSession()
     key = F.col("key")
     statuses = ["unqueried", "resolved", "not_found", "ambiguous", "error"]
     status = F.element_at(F.array(*[F.lit(s) for s in statuses]), (key % 5 + 1).cast("int"))
@@ -572,13 +579,14 @@ def _records(spark, folder) -> DataFrame:
             ("considered_count", "bigint"), ("candidate_tickers", "array<string>"), ("returned_figis", "array<string>"),
             ("matched_figis", "array<string>"), ("sec_cik", "string"), ("sec_name", "string"),
             ("sec_matched_at", "string"), ("last_error", "string"), ("last_attempt_at", "string"))])
-    return rows
+    return stage(resolve.canonical_records(rows), "records")
 
 
 def _overrides(spark, folder) -> DataFrame:
     key = F.col("key")
-    return listed_securities(spark, folder).filter(key % 50 == 7).select(
-        "cusip", F.concat(F.lit("M"), key.cast("string")).alias("ticker"), F.lit(None).cast("string").alias("source"))
+    rows = listed_securities(spark, folder).filter((key % 50 == 7) & (key % 23 != 0)).select(
+        "cusip", F.concat(F.lit("m"), key.cast("string")).alias("ticker"), F.lit(None).cast("string").alias("source"))
+    return resolve.canonical_overrides(rows)
 
 
 def _results(spark, folder) -> DataFrame:
@@ -625,12 +633,20 @@ def seed_actions(spark, folder):
 
 
 def _merged_records(spark, folder) -> DataFrame:
+    configure(spark)
+    return _enriched(spark.sparkContext.applicationId, folder)
+
+
+@lru_cache(maxsize=4)
+def _enriched(application: str, folder: str) -> DataFrame:
+    """One enrichment round: seeds, lookup answers, and name matches."""
+    spark = SparkSession.getActiveSession()
     listed, records, overrides = (listed_securities(spark, folder), _records(spark, folder), _overrides(spark, folder))
     seeded = resolve.apply_seeds(records, resolve.seed_actions(listed, records, overrides))
     fresh = resolve.resolve_results(listed, _results(spark, folder), exchange="US", checked_at="2025-06-30")
     merged = resolve.merge_records(seeded, fresh)
     matches = resolve.name_matches(listed, resolve.safe_name_index(_identities(spark, folder)))
-    return resolve.supplement_by_name(merged, matches, matched_at="2025-06-30")
+    return stage(resolve.supplement_by_name(merged, matches, matched_at="2025-06-30"), "enriched")
 
 
 @query

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 BOOK = """
 WITH filings AS (
-  SELECT o_orderkey AS k, o_custkey % 100 AS m, CAST(o_orderdate AS DATE) + 92 AS filed,
+  SELECT o_orderkey AS k, o_custkey // 15 AS m, CAST(o_orderdate AS DATE) + 92 AS filed,
     CASE WHEN o_orderkey % 17 = 3 THEN '13F-NT' WHEN month(o_orderdate) % 3 = 1 THEN '13F-HR' ELSE '13F-HR/A' END AS kind,
     CAST(last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS DATE) AS period
   FROM orders),
@@ -33,7 +33,7 @@ covered AS (
     CASE WHEN NOT has_cover THEN '' WHEN k % 10 = 0 THEN 'RESTATEMENT' WHEN k % 50 = 7 THEN '' ELSE 'NEW HOLDINGS' END AS amendment,
     CASE WHEN has_cover THEN k % 5 ELSE 0 END AS amendment_no,
     CASE WHEN NOT has_cover THEN '' WHEN k % 29 = 0 THEN '13F COMBINATION REPORT' ELSE '13F HOLDINGS REPORT' END AS report_type,
-    CASE WHEN NOT has_cover OR m = 9 THEN '' ELSE 'Manager ' || m END AS manager_name,
+    CASE WHEN NOT has_cover OR m % 100 = 9 THEN '' ELSE 'Manager ' || m END AS manager_name,
     CASE WHEN NOT has_cover THEN '' WHEN m % 2 = 0 THEN 'NY' ELSE 'CA' END AS state_country,
     k % 41 = 0 AS confidential
   FROM keyed f JOIN periods USING (period)),
@@ -54,12 +54,12 @@ chain AS (
 parts AS (SELECT * FROM chain WHERE rn >= last_reset),
 lines AS (
   SELECT l_orderkey * 8 + l_linenumber AS row_no, lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS accession,
-    lpad(CAST(l_partkey % 60 AS VARCHAR), 9, '0') AS cusip,
+    lpad(CAST(l_partkey // 33 AS VARCHAR), 9, '0') AS cusip,
     CASE WHEN l_returnflag <> 'R' THEN 0 WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS position_type,
     CASE WHEN l_linenumber % 7 = 0 THEN 1 ELSE 0 END AS shares_type,
     CAST(floor(l_extendedprice) AS BIGINT) AS value,
     CASE WHEN l_orderkey % 37 <> 0 THEN l_quantity END AS shares,
-    'HOLDING CO ' || (l_partkey % 60) || ' & SONS ' || (l_suppkey % 7) AS issuer,
+    'HOLDING CO ' || (l_partkey // 33) || ' & SONS ' || (l_suppkey % 7) AS issuer,
     CASE WHEN l_linestatus = 'F' THEN 'COM' ELSE 'CL A' END AS class
   FROM lineitem),
 observed AS (SELECT accession, count(*) AS n, CAST(sum(value) AS BIGINT) AS v FROM lines GROUP BY accession),
@@ -96,8 +96,8 @@ positions AS (
   FROM held_lines GROUP BY ALL),
 first_filed AS (SELECT archive, min(filed) AS first_filed FROM keyed GROUP BY archive),
 tickers AS (
-  SELECT DISTINCT p_partkey % 60 AS n, lpad(CAST(p_partkey % 60 AS VARCHAR), 9, '0') AS cusip,
-    CASE WHEN p_partkey % 60 % 11 = 0 THEN '' ELSE 'T' || (p_partkey % 60) END AS ticker FROM part),
+  SELECT DISTINCT p_partkey // 33 AS n, lpad(CAST(p_partkey // 33 AS VARCHAR), 9, '0') AS cusip,
+    CASE WHEN p_partkey // 33 % 11 = 0 THEN '' ELSE 'T' || (p_partkey // 33) END AS ticker FROM part),
 securities AS (
   SELECT cusip, issuer, class, '' AS figi, coalesce(ticker, '') AS ticker FROM (
     SELECT * FROM held_lines JOIN first_filed USING (archive)
@@ -135,10 +135,10 @@ weights AS (
   FROM manager_weights w JOIN dashboard d ON d.period = w.period
   LEFT JOIN new_holders n ON n.period = w.period AND n.cusip = w.cusip GROUP BY w.period, w.cusip),
 bars AS (
-  SELECT 'T' || (l_partkey % 60) AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS price_date,
+  SELECT 'T' || (l_partkey // 33) AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS price_date,
     CAST((sum(CAST(round(l_extendedprice * 100) AS HUGEINT)) * 200 + sum(CAST(l_quantity AS HUGEINT)))
       // (sum(CAST(l_quantity AS HUGEINT)) * 2) AS DOUBLE) / 10000.0 AS close
-  FROM lineitem WHERE l_partkey % 60 % 11 <> 0 GROUP BY ALL),
+  FROM lineitem WHERE l_partkey // 33 % 11 <> 0 GROUP BY ALL),
 trusted AS (SELECT cusip, ticker FROM tickers WHERE ticker <> '' AND n % 7 <> 0)
 """
 

@@ -35,7 +35,7 @@ SQL["comparable_managers"] = book_sql("""
 SELECT cik, CAST(period AS VARCHAR) AS period, CAST(previous_period AS VARCHAR) AS previous_period FROM comparable""")
 SQL["manager_dimension"] = book_sql("""
 SELECT cik, coalesce(nullif(manager_name, ''), 'CIK ' || cik) AS name, state_country,
-  CAST(cik AS BIGINT) % 5 = 0 AS starred
+  CAST(cik AS BIGINT) % 5 = 0 AND CAST(cik AS BIGINT) < 100 AS starred
 FROM quarters QUALIFY row_number() OVER (PARTITION BY cik ORDER BY period DESC) = 1""")
 SQL["security_dimension"] = book_sql("SELECT cusip, issuer, class, figi, ticker FROM securities")
 
@@ -43,7 +43,7 @@ SQL["security_dimension"] = book_sql("SELECT cusip, issuer, class, figi, ticker
 
 SQL["typed_holdings_rows"] = """
 SELECT l_orderkey * 8 + l_linenumber AS row_no, lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS accession,
-  'X' || lpad(CAST(l_partkey % 60 AS VARCHAR), 8, '0') AS cusip,
+  'X' || lpad(CAST(l_partkey // 33 AS VARCHAR), 8, '0') AS cusip,
   CASE WHEN l_returnflag <> 'R' THEN 0 WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS position_type,
   CASE WHEN l_linenumber = 7 THEN 2 WHEN l_linenumber = 6 THEN 1 ELSE 0 END AS shares_type,
   CASE WHEN l_orderkey % 5 > 1 AND l_orderkey % 43 = 2 THEN 0 ELSE CAST(floor(l_extendedprice) AS BIGINT) END AS value,
@@ -187,7 +187,7 @@ SELECT cusip, ticker, mark_close AS price, CASE WHEN mark_close IS NOT NULL THEN
 FROM tickers LEFT JOIN points ON ticker <> '' AND symbol = ticker"""
 SQL["exact_close"] = book_sql("SELECT symbol, close AS mark_close FROM bars WHERE price_date = DATE '2001-09-03'")
 _ASKED = """, asked AS (
-  SELECT DISTINCT 'T' || (o_orderkey % 60) AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders)"""
+  SELECT DISTINCT 'T' || (o_custkey // 25) AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders)"""
 SQL["asof_on_or_before"] = book_sql(f"""{_ASKED}
 SELECT a.symbol, CAST(a.date AS VARCHAR) AS date, CAST(max(price_date) AS VARCHAR) AS before_date,
   arg_max(close, price_date) AS before_close
@@ -258,7 +258,8 @@ priced AS (
 sums AS (
   SELECT cik, period, count(*) AS candidate_events, count(*) FILTER (WHERE eligible) AS eligible_events, count(gross) AS priced_events,
     count(*) FILTER (WHERE gross IS NOT NULL AND delta > 0) AS buy_events, count(*) FILTER (WHERE gross IS NOT NULL AND delta < 0) AS sell_events,
-    count(*) FILTER (WHERE pnl > 0) AS hit_events, coalesce(sum(pnl), 0) AS pnl, coalesce(sum(gross), 0) AS gross,
+    count(*) FILTER (WHERE pnl > 0) AS hit_events, coalesce(CAST(sum(CAST(pnl AS DECIMAL(38, 9))) AS DOUBLE), 0) AS pnl,
+    coalesce(CAST(sum(CAST(gross AS DECIMAL(38, 9))) AS DOUBLE), 0) AS gross,
     coalesce(sum(gross * gross), 0) AS squares, min(reference_date) AS reference_date
   FROM priced GROUP BY cik, period),
 score_base AS (
@@ -301,11 +302,11 @@ SELECT cik, CAST(period AS VARCHAR) AS period, total_value AS raw_reported_value
 SQL["fund_scores"] = book_sql(SIGNALS + """
 SELECT cik, CAST(period AS VARCHAR) AS period, CAST(previous_period AS VARCHAR) AS previous_period,
   CAST(filed AS VARCHAR) AS filing_date, CAST(reference_date AS VARCHAR) AS reference_date, '2001-09-03' AS mark_date,
-  round(CASE WHEN reason = '' AND gross > 0 THEN 100.0 * pnl / gross END, 6) AS signal_return,
-  round(CASE WHEN gross > 0 THEN 100.0 * pnl / gross END, 6) AS raw_signal_return,
-  round(CASE WHEN reason = '' THEN pnl END, 6) AS signal_pnl, round(CASE WHEN gross > 0 THEN pnl END, 6) AS raw_signal_pnl,
-  round(CASE WHEN gross > 0 THEN gross END, 6) AS gross_notional, candidate_events, eligible_events, priced_events, buy_events,
-  sell_events, hit_events, round(coverage, 6) AS signal_coverage, round(bets, 6) AS effective_bets, reason = '' AS rankable, reason
+  round(CASE WHEN reason = '' AND gross > 0 THEN 100.0 * pnl / gross END, 8) AS signal_return,
+  round(CASE WHEN gross > 0 THEN 100.0 * pnl / gross END, 8) AS raw_signal_return,
+  round(CASE WHEN reason = '' THEN pnl END, 8) AS signal_pnl, round(CASE WHEN gross > 0 THEN pnl END, 8) AS raw_signal_pnl,
+  round(CASE WHEN gross > 0 THEN gross END, 8) AS gross_notional, candidate_events, eligible_events, priced_events, buy_events,
+  sell_events, hit_events, round(coverage, 8) AS signal_coverage, round(bets, 8) AS effective_bets, reason = '' AS rankable, reason
 FROM score_reasons""")
 SQL["event_counts_by_security"] = book_sql(SIGNALS + """
 SELECT cusip, count(*) AS candidates, count(*) FILTER (WHERE eligible) AS eligible, count(gross) AS priced,
@@ -315,8 +316,8 @@ WITH r AS (SELECT l_extendedprice / l_quantity / p_retailprice AS ratio FROM lin
 f AS (SELECT round({_factor("ratio")}, 6) AS factor FROM r)
 SELECT factor, count(*) AS lines FROM f GROUP BY factor"""
 SQL["unit_price_medians"] = """
-SELECT l_partkey % 60 AS n, count(*) AS rows, round(median(l_extendedprice / l_quantity), 6) AS median_price
-FROM lineitem GROUP BY l_partkey % 60"""
+SELECT l_partkey // 33 AS n, count(*) AS rows, round(median(l_extendedprice / l_quantity), 6) AS median_price
+FROM lineitem GROUP BY l_partkey // 33"""
 
 # ---- text and reference data ------------------------------------------------------------------
 
@@ -408,12 +409,12 @@ matches AS (
   SELECT l.cusip, l.name_key, s.ticker AS name_ticker, s.cik AS name_cik, s.name FROM keyed_list l JOIN safe s USING (name_key)
   WHERE l.name_key IN (SELECT name_key FROM keyed_list GROUP BY name_key HAVING count(DISTINCT cusip) = 1)),
 records AS (
-  SELECT cusip, k, CASE WHEN k % 5 = 1 OR k % 8 IN (0, 2) THEN 'c' || k END AS ticker,
+  SELECT cusip, k, CASE WHEN k % 5 = 1 OR k % 8 IN (0, 2) THEN 'C' || k END AS ticker,
     CASE WHEN k % 5 = 1 THEN 'openfigi' WHEN k % 8 = 0 THEN 'sec_name' WHEN k % 8 = 2 THEN 'legacy_cache' END AS source,
     CASE k % 5 WHEN 0 THEN 'unqueried' WHEN 1 THEN 'resolved' WHEN 2 THEN 'not_found' WHEN 3 THEN 'ambiguous' ELSE 'error' END AS status,
     CASE WHEN k % 5 > 0 THEN CASE WHEN k % 7 = 0 THEN 'UN' ELSE 'US' END ELSE '' END AS exchange, k % 5 > 0 AS checked
   FROM listed WHERE k % 2 = 0),
-overrides AS (SELECT cusip, 'M' || k AS ticker FROM listed WHERE k % 50 = 7),
+overrides AS (SELECT cusip, 'M' || k AS ticker FROM listed WHERE k % 50 = 7 AND k % 23 <> 0),
 answers AS (
   SELECT *, CASE WHEN k % 23 = 0 THEN 'invalid_cusip' WHEN k % 8 = 5 THEN 'not_found' WHEN k % 8 = 6 THEN 'rejected'
       WHEN k % 8 IN (4, 7) THEN 'not_found'
@@ -423,8 +424,8 @@ answers AS (
 resolved AS (
   SELECT cusip, k, figi, status, CASE WHEN status = 'resolved' THEN CASE WHEN k % 8 = 2 THEN 'Z' ELSE 'C' END || k END AS ticker FROM answers),
 seeds AS (
-  SELECT l.cusip, l.ticker, l.issuer, coalesce(upper(r.ticker), '') AS cached,
-    CASE WHEN r.ticker IS NULL THEN 'seed' WHEN upper(r.ticker) <> l.ticker THEN 'conflict' ELSE 'keep' END AS action
+  SELECT l.cusip, l.ticker, l.issuer, coalesce(r.ticker, '') AS cached,
+    CASE WHEN r.ticker IS NULL THEN 'seed' WHEN r.ticker <> l.ticker THEN 'conflict' ELSE 'keep' END AS action
   FROM listed l LEFT JOIN records r USING (cusip) WHERE l.ticker <> '' AND l.cusip NOT IN (SELECT cusip FROM overrides)),
 seeded AS (
   SELECT cusip, CASE WHEN s.action = 'seed' THEN s.ticker ELSE r.ticker END AS ticker,
@@ -448,7 +449,7 @@ final_records AS (
   SELECT cusip, CASE WHEN take THEN name_ticker ELSE ticker END AS ticker, CASE WHEN take THEN 'sec_name' ELSE source END AS source,
     status, CASE WHEN take THEN name_cik END AS sec_cik FROM offered),
 mapping AS (
-  SELECT cusip, upper(ticker) AS ticker, coalesce(source, 'unknown') AS source FROM final_records
+  SELECT cusip, ticker, coalesce(source, 'unknown') AS source FROM final_records
   WHERE ticker IS NOT NULL AND cusip NOT IN (SELECT cusip FROM overrides)
   UNION ALL SELECT cusip, ticker, 'manual_verified' FROM overrides)
 """

@@ -1,7 +1,9 @@
 """Identifier-to-ticker resolution with provenance.
 
 The cache of records is a table with one row per security; every step is a join plus column rules, and
-diagnostics say how each ticker was found or why it was not.
+diagnostics say how each ticker was found or why it was not.  Tickers are made canonical once, when a table
+enters (``normalised_securities``, ``canonical_records``, ``canonical_overrides``); later steps compare them
+as they are.
 """
 
 from __future__ import annotations
@@ -23,10 +25,27 @@ def normalised_securities(securities: DataFrame) -> DataFrame:
             .withColumn("ticker", C.ticker_key(F.col("ticker"))))
 
 
+def canonical_records(records: DataFrame) -> DataFrame:
+    """Records with canonical key and ticker; a record without a ticker has no source either."""
+    typed = records.withColumn("cusip", C.security_key(F.col("cusip"))).withColumn(
+        "ticker", F.nullif(C.ticker_key(F.col("ticker")), F.lit("")))
+    return conform(typed.withColumn("source", F.when(F.col("ticker").isNotNull(), F.col("source"))), RECORDS)
+
+
+def canonical_overrides(overrides: DataFrame) -> DataFrame:
+    """Manual overrides with canonical key and ticker; one without a usable ticker is an error."""
+    key, ticker = C.security_key(F.col("cusip")), C.ticker_key(F.col("ticker"))
+    usable = C.is_valid_security_key(key) & (ticker != "")
+    return overrides.select(
+        key.alias("cusip"),
+        F.when(usable, ticker).otherwise(F.raise_error(F.lit("Invalid manual ticker override"))).alias("ticker"),
+        F.coalesce(F.nullif("source", F.lit("")), F.lit(fv.MANUAL_SOURCE)).alias("source"))
+
+
 def seed_actions(securities: DataFrame, records: DataFrame, overrides: DataFrame) -> DataFrame:
     """What each already tickered security does to the cache: ``seed``, ``conflict``, or ``keep``."""
     held = securities.filter("ticker != ''").select("cusip", "ticker", "issuer").join(overrides, "cusip", "left_anti")
-    cached = records.select("cusip", C.ticker_key(F.col("ticker")).alias("cached"))
+    cached = records.select("cusip", F.col("ticker").alias("cached"))
     joined = held.join(cached, "cusip", "left").withColumn("cached", F.coalesce("cached", F.lit("")))
     action = F.when(F.col("cached") == "", "seed").when(F.col("cached") != F.col("ticker"), "conflict").otherwise("keep")
     return joined.withColumn("action", action)
@@ -207,7 +226,7 @@ def supplement_by_name(records: DataFrame, matches: DataFrame, *, matched_at: st
     known = cleared.withColumn("recorded", F.lit(True))
     joined = known.join(offers, "cusip", "full_outer")
     status = F.coalesce("openfigi_status", F.lit(fv.UNQUERIED))
-    blocked = status.isin("resolved", *fv.HARD_AMBIGUITY_STATUSES) | (C.ticker_key(F.col("ticker")) != "")
+    blocked = status.isin("resolved", *fv.HARD_AMBIGUITY_STATUSES) | F.col("ticker").isNotNull()
     joined = joined.withColumn("take", F.coalesce("offered", F.lit(False)) & ~blocked)
     joined = joined.withColumn("openfigi_status", F.when(F.col("recorded").isNull(), fv.UNQUERIED)
                                .otherwise(F.col("openfigi_status")))
@@ -233,31 +252,30 @@ def identity_rule(identities: DataFrame) -> DataFrame:
 
 # ---- final mapping ----------------------------------------------------------------------------
 
+def _sourced(records: DataFrame) -> DataFrame:
+    return records.filter("ticker is not null").select(
+        "cusip", "ticker", F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")).alias("source"))
+
+
 def final_mapping(records: DataFrame, overrides: DataFrame) -> DataFrame:
     """``cusip, ticker, source``: record tickers, replaced by manual overrides."""
-    recorded = records.select(
-        "cusip", C.ticker_key(F.col("ticker")).alias("ticker"),
-        F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")).alias("source")).filter("ticker != ''")
-    manual = overrides.select(
-        "cusip", C.ticker_key(F.col("ticker")).alias("ticker"),
-        F.coalesce(F.nullif("source", F.lit("")), F.lit(fv.MANUAL_SOURCE)).alias("source"))
-    return recorded.join(manual, "cusip", "left_anti").unionByName(manual)
+    manual = overrides.select("cusip", "ticker", "source")
+    return _sourced(records).join(manual, "cusip", "left_anti").unionByName(manual)
 
 
 def cache_statistics(records: DataFrame, overrides: DataFrame) -> DataFrame:
     """``kind, label, securities``: tickers by source (records and overrides) and records by status."""
-    sources = records.filter(C.ticker_key(F.col("ticker")) != "").select(
-        F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")).alias("label")).unionByName(
-        overrides.select(F.coalesce(F.nullif("source", F.lit("")), F.lit(fv.MANUAL_SOURCE)).alias("label")))
-    statuses = records.select(F.coalesce(F.nullif("openfigi_status", F.lit("")), F.lit(fv.UNQUERIED)).alias("label"))
-    tagged = sources.withColumn("kind", F.lit("source")).unionByName(statuses.withColumn("kind", F.lit("status")))
-    return tagged.groupBy("kind", "label").agg(F.count("*").alias("securities"))
+    sources = _sourced(records).unionByName(overrides.select("cusip", "ticker", "source")).select(
+        F.lit("source").alias("kind"), F.col("source").alias("label"))
+    statuses = records.select(F.lit("status").alias("kind"), F.coalesce(
+        F.nullif("openfigi_status", F.lit("")), F.lit(fv.UNQUERIED)).alias("label"))
+    return sources.unionByName(statuses).groupBy("kind", "label").agg(F.count("*").alias("securities"))
 
 
 def fill_actions(securities: DataFrame, mapping: DataFrame) -> DataFrame:
-    """What the mapping does to each security: ``fill`` a blank, ``same``, or ``conflict`` (left alone)."""
+    """What the mapping does to each (normalised) security: ``fill``, ``same``, or ``conflict`` (left alone)."""
     wanted = mapping.select("cusip", F.col("ticker").alias("mapped")).filter("mapped != ''")
-    joined = securities.withColumn("current", C.ticker_key(F.col("ticker"))).join(wanted, "cusip")
+    joined = securities.withColumn("current", F.coalesce("ticker", F.lit(""))).join(wanted, "cusip")
     action = F.when(F.col("current") == "", "fill").when(F.col("current") == F.col("mapped"), "same").otherwise("conflict")
     return joined.select("cusip", "current", "mapped", action.alias("action"))
 

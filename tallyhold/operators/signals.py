@@ -164,7 +164,9 @@ def manager_scores(context: DataFrame, events: DataFrame, mark: dt.date) -> Data
         F.count_if(is_priced).alias("priced_events"), F.count_if(is_priced & (F.col("delta") > 0)).alias("buy_events"),
         F.count_if(is_priced & (F.col("delta") < 0)).alias("sell_events"),
         F.count_if(F.col("pnl") > 0).alias("hit_events"),
-        F.sum("pnl").alias("pnl"), F.sum("gross").alias("gross"),
+        # Exact decimals: the same sum whatever order the tasks finish in.
+        F.sum(F.col("pnl").cast("decimal(38,9)")).cast("double").alias("pnl"),
+        F.sum(F.col("gross").cast("decimal(38,9)")).cast("double").alias("gross"),
         F.sum(F.col("gross") * F.col("gross")).alias("squares"), F.min("reference_date").alias("reference_date"))
     counts = ["candidate_events", "eligible_events", "priced_events", "buy_events", "sell_events", "hit_events"]
     rows = context.join(sums, ["cik", "period"], "left").na.fill(0, [*counts, "pnl", "gross", "squares"])

@@ -32,6 +32,8 @@ def enrich(tables: dict[str, DataFrame], records: DataFrame, overrides: DataFram
     latest = tables["periods"].agg(F.max("period")).first()[0]
     securities = stage(resolve.normalised_securities(rollups.security_relevance(
         tables["securities"], tables["security_period_stats"], latest)), "relevant_securities")
+    records = stage(resolve.canonical_records(records), "records")
+    overrides = stage(resolve.canonical_overrides(overrides), "overrides")
     seeded = stage(resolve.apply_seeds(records, resolve.seed_actions(securities, records, overrides)), "records")
     candidates = resolve.lookup_candidates(securities, seeded, limit=limit, exchange=exchange, refresh=refresh)
     current = seeded
@@ -46,4 +48,4 @@ def enrich(tables: dict[str, DataFrame], records: DataFrame, overrides: DataFram
     mapping = stage(resolve.final_mapping(current, overrides), "mapping")
     return Enrichment(
         candidates, current, mapping, resolve.cache_statistics(current, overrides),
-        resolve.fill_actions(tables["securities"], mapping), resolve.fill_tickers(tables["securities"], mapping))
+        resolve.fill_actions(securities, mapping), resolve.fill_tickers(tables["securities"], mapping))

@@ -1,7 +1,8 @@
 """Adapter: reads an orders/lineitem warehouse as if it were a set of holdings filings.
 
-Every order is one filing, every line one holdings row, every customer bucket a manager, and every part
-bucket a security.  Filing-level members keep the raw text form of an archive, so the same parsers run.
+Every order is one filing, every line one holdings row, fifteen neighbouring customers a manager, and
+thirty-three neighbouring parts a security, so managers and securities grow with the tables.  Filing-level
+members keep the raw text form of an archive, so the same parsers run.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyhold.functions import columns as C
 
-MANAGERS = 100
-SECURITIES = 60
+CUSTOMERS_PER_MANAGER = 15
+PARTS_PER_SECURITY = 33
 MARK_DATE = "2001-09-03"
 
 
@@ -27,8 +28,12 @@ def _accession(c: Column) -> Column:
     return F.lpad(_text(c), 10, "0")
 
 
+def manager_number(customer_key: Column) -> Column:
+    return F.floor(customer_key / CUSTOMERS_PER_MANAGER)
+
+
 def security_number(part_key: Column) -> Column:
-    return part_key % SECURITIES
+    return F.floor(part_key / PARTS_PER_SECURITY)
 
 
 def cusip_of(number: Column) -> Column:
@@ -56,7 +61,7 @@ class Warehouse:
         filed = F.date_add(day, 92)
         kind = (F.when(key % 17 == 3, "13F-NT").when(F.month(day) % 3 == 1, "13F-HR").otherwise("13F-HR/A"))
         return self.table("orders").select(
-            key, "o_custkey", filed.alias("filed"), kind.alias("kind"),
+            key, manager_number(F.col("o_custkey")).alias("manager"), filed.alias("filed"), kind.alias("kind"),
             F.last_day(F.add_months(F.trunc(day, "quarter"), 2)).alias("period"),
             F.concat(_text(F.year(filed)), F.lit("q"), _text(F.quarter(filed)), F.lit("_form13f.zip"))
             .alias("archive"))
@@ -66,7 +71,7 @@ class Warehouse:
         return self._filings.select(
             "archive", F.col("o_orderkey").alias("row_no"),
             _accession(F.col("o_orderkey")).alias("accession_number"),
-            _text(F.col("o_custkey") % MANAGERS).alias("cik"), F.col("kind").alias("submissiontype"),
+            _text(F.col("manager")).alias("cik"), F.col("kind").alias("submissiontype"),
             C.date_label(F.col("period")).alias("periodofreport"), C.date_label(F.col("filed")).alias("filing_date"))
 
     @property
@@ -83,9 +88,9 @@ class Warehouse:
             F.when(F.col("copy") == 0, "STALE").otherwise(amendment).alias("amendmenttype"),
             F.when(key % 5 == 0, "").otherwise(_text(key % 5)).alias("amendmentno"),
             F.when(key % 29 == 0, "13F COMBINATION REPORT").otherwise("13F HOLDINGS REPORT").alias("reporttype"),
-            F.when(F.col("o_custkey") % MANAGERS == 9, "")
-            .otherwise(F.concat(F.lit("Manager "), _text(F.col("o_custkey") % MANAGERS))).alias("filingmanager_name"),
-            F.when(F.col("o_custkey") % 2 == 0, "NY").otherwise("CA").alias("filingmanager_stateorcountry"))
+            F.when(F.col("manager") % 100 == 9, "")
+            .otherwise(F.concat(F.lit("Manager "), _text(F.col("manager")))).alias("filingmanager_name"),
+            F.when(F.col("manager") % 2 == 0, "NY").otherwise("CA").alias("filingmanager_stateorcountry"))
 
     @property
     def observed(self) -> DataFrame:
@@ -131,7 +136,7 @@ class Warehouse:
         return self.table("lineitem").select(
             F.lit("").alias("archive"), (key * 8 + F.col("l_linenumber")).alias("row_no"),
             F.concat(F.lit(" "), _accession(key), F.lit(" ")).alias("accession_number"),
-            F.concat(F.lit("x"), F.lpad(_text(F.col("l_partkey") % SECURITIES), 8, "0"), F.lit(" ")).alias("cusip"),
+            F.concat(F.lit("x"), F.lpad(_text(security_number(F.col("l_partkey"))), 8, "0"), F.lit(" ")).alias("cusip"),
             F.lit("ISSUER").alias("nameofissuer"), F.lit("COM").alias("titleofclass"), F.lit("").alias("figi"),
             value.alias("value"),
             F.when(key % 37 == 0, " ").otherwise(_text(F.col("l_quantity").cast("long"))).alias("sshprnamt"),
@@ -146,8 +151,8 @@ class Warehouse:
 
     @property
     def watchlist(self) -> DataFrame:
-        """Every fifth manager bucket: twenty of them."""
-        return self.spark.range(0, MANAGERS, 5).select(F.lpad(_text(F.col("id")), 10, "0").alias("cik"))
+        """Twenty managers: every fifth of the first hundred."""
+        return self.spark.range(0, 100, 5).select(F.lpad(_text(F.col("id")), 10, "0").alias("cik"))
 
     @property
     def tickers(self) -> DataFrame:
