@@ -16,16 +16,18 @@ from pyspark.sql import types as T
 from tallyhold import fixed_values as fv
 
 # Unicode white space plus the four ASCII separators that Python also strips.
-_SPACE = r"(?U)[\s\x1c-\x1f]"
+_SPACE_CHARACTERS = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+                     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_SPACE = "[" + _SPACE_CHARACTERS + "]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def strip(c: Column) -> Column:
+def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, rf"{_SPACE}+$|^{_SPACE}+", "")
+    return F.btrim(c, F.lit(_SPACE_CHARACTERS))
 
 
-def collapse_spaces(c: Column) -> Column:
+def collapse_spaces(c: Column | str) -> Column:
     return strip(F.regexp_replace(c, f"{_SPACE}+", " "))
 
 
@@ -53,15 +55,16 @@ def date_label(c: Column) -> Column:
     return F.upper(F.date_format(c, "dd-MMM-yyyy"))
 
 
-def _exact(c: Column) -> Column:
-    return strip(c).try_cast(T.DecimalType(38, 18))
-
-
 def whole_number(c: Column) -> Column:
-    """Non-negative integer written any decimal way (``10``, ``10.0``, ``1e3``); NULL when blank or invalid."""
-    value = _exact(c)
-    valid = (value == F.floor(value)) & (value >= 0) & (value <= F.lit(fv.MAX_WHOLE_NUMBER))
-    return F.when(valid, value.cast("long"))
+    """Non-negative integer written any decimal way (``10``, ``10.0``, ``1e3``); NULL when blank or invalid.
+
+    Plain digits take the cheap cast; only other spellings are parsed as decimals (a failed cast is slow).
+    """
+    text = strip(c)
+    exact = text.try_cast(T.DecimalType(38, 18))
+    whole = (exact == F.floor(exact)) & (exact >= 0) & (exact <= F.lit(fv.MAX_WHOLE_NUMBER))
+    return (F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("bigint"))
+            .when(text == "", None).otherwise(F.when(whole, exact.cast("long"))))
 
 
 def bad_whole_number(c: Column) -> Column:
