@@ -198,16 +198,19 @@ def link_periods(periods: DataFrame) -> DataFrame:
         F.lead("period").over(order).alias("next_period"))
 
 
-def manager_context(quarters: DataFrame, periods: DataFrame) -> DataFrame:
-    """Every manager-quarter with its neighbours and whether it is comparable with them.
+def manager_context(quarters: DataFrame, periods: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every manager-quarter with its total, its neighbours, and whether it is comparable with them.
 
-    Columns: ``from_previous`` / ``to_next`` (complete on both sides), ``next_filing_date``.  The window
-    runs over one manager's quarters, which the calendar bounds.
+    ``totals`` is ``cik, period, total_value``.  Added columns: ``from_previous`` / ``to_next`` (complete on
+    both sides), ``next_filing_date``.  The window runs over one manager's quarters, which the calendar
+    bounds.  Stage the result before joining it to facts: adaptive execution splits a hot key only when
+    both sides of the join are read or shuffled directly.
     """
     links = F.broadcast(link_periods(periods))
     timeline = Window.partitionBy("cik").orderBy("period")
     state = F.struct("period", "coverage_status", "filing_date")
     seen = (quarters.select("cik", "period", "coverage_status", "filing_date").join(links, "period")
+            .join(totals.select("cik", "period", "total_value"), ["cik", "period"])
             .withColumn("before", F.lag(state).over(timeline))
             .withColumn("after", F.lead(state).over(timeline)))
 
@@ -217,7 +220,7 @@ def manager_context(quarters: DataFrame, periods: DataFrame) -> DataFrame:
             & (F.col(f"{side}.period") == F.col(neighbour)), F.lit(False))
 
     return seen.select(
-        "cik", "period", "coverage_status", "filing_date", "previous_period", "next_period",
+        "cik", "period", "coverage_status", "total_value", "filing_date", "previous_period", "next_period",
         comparable("before", "previous_period").alias("from_previous"),
         comparable("after", "next_period").alias("to_next"),
         F.when(F.col("after.period") == F.col("next_period"), F.col("after.filing_date")).alias("next_filing_date"))

@@ -32,9 +32,10 @@ def _narrow(counted: DataFrame, keys: list[str]) -> DataFrame:
 
     ``counted`` has one row per distinct candidate: keys, ``x``, ``n`` (copies), and the group's ``rows``
     and ``skipped`` (elements already known to be smaller).  The grid is logarithmic when all candidates
-    are positive and span more than a factor of two, else linear; any increasing map is exact.
+    are positive and span more than a factor of two, else linear; any increasing map is exact.  The two
+    per-group tables are staged so that a hot group can be split in the joins with its candidates.
     """
-    span = counted.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    span = stage(counted.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1")), "median-span")
     logs = (F.col("x0") > 0) & (F.col("x1") > 2 * F.col("x0"))
     position = F.when(F.col("x0") == F.col("x1"), 0.0).when(
         logs, (F.log("x") - F.log("x0")) / (F.log("x1") - F.log("x0"))
@@ -47,8 +48,8 @@ def _narrow(counted: DataFrame, keys: list[str]) -> DataFrame:
         "under", F.col("upto") - F.col("n"))
     first, last = F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
     middle = (F.col("under") <= last) & (F.col("upto") > first)
-    chosen = ranked.filter(middle).groupBy(*keys).agg(
-        F.min("cell").alias("cell0"), F.max("cell").alias("cell1"), F.min("under").alias("now_skipped"))
+    chosen = stage(ranked.filter(middle).groupBy(*keys).agg(
+        F.min("cell").alias("cell0"), F.max("cell").alias("cell1"), F.min("under").alias("now_skipped")), "median-cells")
     kept = gridded.join(chosen, keys).filter(F.col("cell").between(F.col("cell0"), F.col("cell1")))
     return kept.select(*keys, "x", "n", "rows", F.col("now_skipped").alias("skipped"))
 

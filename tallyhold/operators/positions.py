@@ -58,10 +58,9 @@ def merge_positions(lines: DataFrame, carried: list[str] | None = None) -> DataF
     return merged.select(*POSITION_KEY, *(carried or []), "value", shares.alias("shares"))
 
 
-def with_context(positions: DataFrame, context: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach manager-quarter context to plain positions (for tables that were not built with it)."""
-    side = context.join(stats.select("cik", "period", "total_value"), ["cik", "period"])
-    return positions.join(side, ["cik", "period"])
+def with_context(positions: DataFrame, context: DataFrame) -> DataFrame:
+    """Attach (staged) manager-quarter context to plain positions, for tables not built with it."""
+    return positions.join(context, ["cik", "period"])
 
 
 def security_dimension(lines: DataFrame, archives: DataFrame, tickers: DataFrame | None = None) -> DataFrame:

@@ -97,25 +97,23 @@ def stock_changes(positions: DataFrame) -> DataFrame:
         F.sum("value").alias("current_value"), (F.sum("value") - F.sum("old_value")).alias("value_change"))
 
 
-def period_change_totals(periods: DataFrame, context: DataFrame, manager_stats: DataFrame) -> DataFrame:
+def period_change_totals(periods: DataFrame, context: DataFrame) -> DataFrame:
     """Portfolio value of comparable managers on both sides of each pair; all units, options included.
 
     A manager's total already is the sum of its positions, so the facts are not read at all.
     """
-    rows = context.join(manager_stats.select("cik", "period", "total_value"), ["cik", "period"])
-    now = rows.filter("from_previous").groupBy(F.col("period").alias("current_period")).agg(
+    now = context.filter("from_previous").groupBy(F.col("period").alias("current_period")).agg(
         F.sum("total_value").alias("current_value"))
-    then = rows.filter("to_next").groupBy(F.col("next_period").alias("current_period")).agg(
+    then = context.filter("to_next").groupBy(F.col("next_period").alias("current_period")).agg(
         F.sum("total_value").alias("previous_value"))
     pairs = link_periods(periods).filter("previous_period is not null").select(
         F.col("period").alias("current_period"), "previous_period")
     return pairs.join(now, "current_period", "left").join(then, "current_period", "left").na.fill(0)
 
 
-def dashboard_period_stats(periods: DataFrame, context: DataFrame, manager_stats: DataFrame) -> DataFrame:
+def dashboard_period_stats(periods: DataFrame, context: DataFrame) -> DataFrame:
     """Weight-universe size and comparable managers per period."""
-    rows = context.join(manager_stats.select("cik", "period", "total_value"), ["cik", "period"])
-    counts = rows.groupBy("period").agg(
+    counts = context.groupBy("period").agg(
         F.count_if((F.col("coverage_status") == "COMPLETE") & (F.col("total_value") > 0))
         .alias("weight_manager_count"),
         F.count_if("from_previous").alias("comparable_manager_count"))

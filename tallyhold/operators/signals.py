@@ -64,13 +64,13 @@ def split_factors(positions: DataFrame, closes: DataFrame) -> DataFrame:
 def priced_positions(positions: DataFrame, factors: DataFrame, trusted: DataFrame) -> DataFrame:
     """Plain share positions with trusted ticker, close, and factor where known.
 
-    The attributes depend on period and security only; a popular security is the splittable side of the
-    join.  This is the one fact-scale join of the job.
+    The attributes depend on period and security only.  They are staged, so that both sides of this one
+    fact-scale join are shuffled directly and adaptive execution can split a popular security.
     """
     known = factors.select("period", "cusip", "close", "factor")
     attributes = (share_positions(positions).select("period", "cusip").distinct()
                   .join(trusted, "cusip", "left").join(known, ["period", "cusip"], "left"))
-    return share_positions(positions).join(attributes, ["period", "cusip"])
+    return share_positions(positions).join(stage(attributes, "price_attributes"), ["period", "cusip"])
 
 
 def scope_values(manager_stats: DataFrame, priced: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ class Book:
 
     @cached_property
     def context(self) -> DataFrame:
-        return self._shared(filings.manager_context(self.quarters, self.periods), "context")
+        totals = self.quarters.select("cik", "period", F.col("reconciled_value").alias("total_value"))
+        return self._shared(filings.manager_context(self.quarters, self.periods, totals), "context")
 
     @property
     def managers(self) -> DataFrame:
@@ -74,9 +75,7 @@ class Book:
     @property
     def tagged_lines(self) -> DataFrame:
         """Holdings rows in force, with manager, period, and manager-quarter context."""
-        totals = self.quarters.select("cik", "period", self.quarters.reconciled_value.alias("total_value"))
-        context = self.context.join(totals, ["cik", "period"])
-        parts = self.part_stats.select("accession", "cik", "period").join(context, ["cik", "period"])
+        parts = self.part_stats.select("accession", "cik", "period").join(self.context, ["cik", "period"])
         return positions.effective_lines(self.lines, parts)
 
     @cached_property
@@ -118,12 +117,11 @@ class Book:
 
     @property
     def period_change_totals(self) -> DataFrame:
-        return rollups.period_change_totals(self.periods, self.context, self.manager_period_stats)
+        return rollups.period_change_totals(self.periods, self.context)
 
     @cached_property
     def dashboard_period_stats(self) -> DataFrame:
-        return self._shared(
-            rollups.dashboard_period_stats(self.periods, self.context, self.manager_period_stats), "dashboard")
+        return self._shared(rollups.dashboard_period_stats(self.periods, self.context), "dashboard")
 
     @cached_property
     def weights(self) -> DataFrame:

@@ -38,8 +38,9 @@ def build_signals(spark: SparkSession, tables: dict[str, DataFrame], trusted: Da
                   mark: dt.date, output: str) -> dict[str, DataFrame]:
     """Write fund scores and scope values with their policy metadata; returns readers of what was written."""
     configure(spark)
-    context = stage(filings.manager_context(tables["manager_periods"], tables["periods"]), "context")
-    wide = positions.with_context(tables["positions"], context, tables["manager_period_stats"])
+    context = stage(filings.manager_context(
+        tables["manager_periods"], tables["periods"], tables["manager_period_stats"]), "context")
+    wide = positions.with_context(tables["positions"], context)
     made = signals.signal_tables(wide, context, tables["manager_period_stats"], trusted, bars, mark)
     for name in ("fund_scores", "scope_values"):
         conform(made[name], TABLES[name]).write.parquet(f"{output.rstrip('/')}/{name}")

@@ -52,15 +52,15 @@ def tables(spark, *, extra_quarters=(), extra_positions=(), keep_periods=(1, 2,
 
 
 def with_rollups(t: dict) -> dict:
-    t["context"] = filings.manager_context(t["manager_periods"], t["periods"])
     t["manager_period_stats"] = rollups.manager_period_stats(t["manager_periods"], t["positions"])
-    t["wide"] = positions.with_context(t["positions"], t["context"], t["manager_period_stats"])
+    t["context"] = filings.manager_context(t["manager_periods"], t["periods"], t["manager_period_stats"])
+    t["wide"] = positions.with_context(t["positions"], t["context"])
     t["security_period_stats"] = rollups.security_period_stats(t["positions"])
     t["period_stats"] = rollups.period_stats(
         t["periods"], t["manager_periods"], t["manager_period_stats"], t["security_period_stats"])
     t["stock_changes"] = rollups.stock_changes(t["wide"])
-    t["period_change_totals"] = rollups.period_change_totals(t["periods"], t["context"], t["manager_period_stats"])
-    t["dashboard_period_stats"] = rollups.dashboard_period_stats(t["periods"], t["context"], t["manager_period_stats"])
+    t["period_change_totals"] = rollups.period_change_totals(t["periods"], t["context"])
+    t["dashboard_period_stats"] = rollups.dashboard_period_stats(t["periods"], t["context"])
     t["security_weight_stats"] = rollups.security_weight_stats(t["wide"], t["dashboard_period_stats"])
     stats = t["manager_period_stats"].join(t["manager_periods"].select("cik", "period", "accession"), ["cik", "period"])
     t["filing_part_stats"] = stats.selectExpr(
