@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import lru_cache
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from tallyhold.functions import report
 from tallyhold.operators import (asof, filings, median, positions, prices, quality, reference, resolve, rollups,
                                  signals, views)
 from tallyhold.plans.book import Book, warehouse_book
+from tallyhold.plans.snapshot import book_tables as tables_of_book
 from tallyhold.session import configure, stage
 from tallyhold.sources import landed
 from tallyhold.sources.warehouse import MARK_DATE, Warehouse, security_number
@@ -25,40 +26,37 @@ MARK = dt.date.fromisoformat(MARK_DATE)
 QUERIES: dict[str, Query] = {}
 
 
-@lru_cache(maxsize=4)
-def _book(application: str, folder: str) -> Book:
-    return warehouse_book(Warehouse(SparkSession.getActiveSession(), folder))
+def shared(make):
+    """Build once per session and folder, so queries share staged tables; a new session builds its own."""
+    made: dict[tuple[str, str], object] = {}
 
-
-def book(spark: SparkSession, folder: str) -> Book:
-    """One book per session and folder, so queries share its staged tables."""
-    configure(spark)
-    return _book(spark.sparkContext.applicationId, folder)
+    @wraps(make)
+    def once(spark: SparkSession, folder: str):
+        configure(spark)
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in made:
+            made[key] = make(spark, folder)
+        return made[key]
+    return once
 
 
-@lru_cache(maxsize=4)
-def _bars(application: str, folder: str) -> DataFrame:
-    return stage(Warehouse(SparkSession.getActiveSession(), folder).bars, "bars")
+@shared
+def book(spark: SparkSession, folder: str) -> Book:
+    return warehouse_book(Warehouse(spark, folder))
 
 
+@shared
 def bars(spark: SparkSession, folder: str) -> DataFrame:
-    configure(spark)
-    return _bars(spark.sparkContext.applicationId, folder)
+    return stage(Warehouse(spark, folder).bars, "bars")
 
 
-@lru_cache(maxsize=4)
-def _signals(application: str, folder: str) -> dict[str, DataFrame]:
-    spark = SparkSession.getActiveSession()
+@shared
+def signal_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     b = book(spark, folder)
     return signals.signal_tables(b.wide_positions, b.context, b.manager_period_stats,
                                  Warehouse(spark, folder).trusted, bars(spark, folder), MARK)
 
 
-def signal_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    configure(spark)
-    return _signals(spark.sparkContext.applicationId, folder)
-
-
 def plain(df: DataFrame, *, digits: int = 6) -> DataFrame:
     """Dates as ISO text and doubles rounded, so that two engines compare equal."""
     def shown(field: T.StructField):
@@ -530,10 +528,9 @@ def _identities(spark, folder) -> DataFrame:
     return shared.unionByName(own).unionByName(again)
 
 
-@lru_cache(maxsize=4)
-def _listed(application: str, folder: str) -> DataFrame:
+@shared
+def listed_securities(spark, folder) -> DataFrame:
     """Securities to resolve: one per order customer, named like a customer."""
-    spark = SparkSession.getActiveSession()
     w = Warehouse(spark, folder)
     held = w.table("orders").groupBy("o_custkey").agg(
         F.sum(F.floor("o_totalprice").cast("long")).alias("latest_value"), F.count("*").alias("latest_funds"))
@@ -550,20 +547,9 @@ def _listed(application: str, folder: str) -> DataFrame:
     return stage(resolve.normalised_securities(listed), "listed")
 
 
-def listed_securities(spark, folder) -> DataFrame:
-    configure(spark)
-    return _listed(spark.sparkContext.applicationId, folder)
-
-
+@shared
 def _records(spark, folder) -> DataFrame:
-    configure(spark)
-    return _cached_records(spark.sparkContext.applicationId, folder)
-
-
-@lru_cache(maxsize=4)
-def _cached_records(application: str, folder: str) -> DataFrame:
     """Cached records for half of the securities, in every status."""
-    spark = SparkSession.getActiveSession()
     key = F.col("key")
     statuses = ["unqueried", "resolved", "not_found", "ambiguous", "error"]
     status = F.element_at(F.array(*[F.lit(s) for s in statuses]), (key % 5 + 1).cast("int"))
@@ -632,15 +618,9 @@ def seed_actions(spark, folder):
     return resolve.seed_actions(listed_securities(spark, folder), _records(spark, folder), _overrides(spark, folder))
 
 
+@shared
 def _merged_records(spark, folder) -> DataFrame:
-    configure(spark)
-    return _enriched(spark.sparkContext.applicationId, folder)
-
-
-@lru_cache(maxsize=4)
-def _enriched(application: str, folder: str) -> DataFrame:
     """One enrichment round: seeds, lookup answers, and name matches."""
-    spark = SparkSession.getActiveSession()
     listed, records, overrides = (listed_securities(spark, folder), _records(spark, folder), _overrides(spark, folder))
     seeded = resolve.apply_seeds(records, resolve.seed_actions(listed, records, overrides))
     fresh = resolve.resolve_results(listed, _results(spark, folder), exchange="US", checked_at="2025-06-30")
@@ -700,12 +680,15 @@ def identity_rule(spark, folder):
 
 # ---- quality ----------------------------------------------------------------------------------
 
+@shared
 def book_tables(spark, folder) -> dict[str, DataFrame]:
-    """Snapshot tables of the warehouse book."""
-    from tallyhold.plans.snapshot import book_tables as tables_of
-    w = Warehouse(spark, folder)
+    """Written snapshot tables of the warehouse book."""
     caps = reference.market_caps(_stock_rows(spark, folder))
-    return tables_of(book(spark, folder), caps, w.sectors)
+    made = tables_of_book(book(spark, folder), caps, Warehouse(spark, folder).sectors)
+    # The book stages what it shares; the rest is written here, as the snapshot job writes it.
+    for name in ("managers", "market_caps", "sectors", "period_stats", "stock_changes", "period_change_totals"):
+        made[name] = stage(made[name], name)
+    return made
 
 
 @query
@@ -719,6 +702,30 @@ def quality_rules(spark, folder):
     return quality.snapshot_rules(book_tables(spark, folder))
 
 
+@query
+def quality_rules_tampered(spark, folder):
+    """Rules that fire after known faults are planted in the tables, with their violation counts."""
+    t = dict(book_tables(spark, folder))
+    last = F.col("cusip").cast("int") % 10
+
+    def change(table: str, column: str, where, value) -> None:
+        t[table] = t[table].withColumn(column, F.when(where, value).otherwise(F.col(column)))
+
+    change("manager_period_stats", "position_count", F.col("cik").endswith("3"), F.col("position_count") + 1)
+    t["securities"] = t["securities"].filter(last != 4)
+    change("security_weight_stats", "new_holder_count", last == 7, F.col("new_holder_count") + 1)
+    change("security_weight_stats", "avg_weight", last == 8, F.col("avg_weight") + 0.001)
+    change("positions", "shares_type", (last == 6) & (F.col("shares_type") == 1), F.lit(9))
+    change("sectors", "ticker", F.col("sector") == "Finance", F.lit(""))
+    change("manager_periods", "coverage_status", F.col("coverage_status") == "NOTICE", F.lit("ODD"))
+    change("filing_part_stats", "has_discrepancy", F.col("cik").endswith("2"), ~F.col("has_discrepancy"))
+    year = F.year("period")
+    change("dashboard_period_stats", "weight_manager_count", year == 1997, F.col("weight_manager_count") + 1)
+    change("dashboard_period_stats", "comparable_manager_count", year == 1998, F.col("comparable_manager_count") + 1)
+    t["period_change_totals"] = t["period_change_totals"].filter(F.year("current_period") != 1996)
+    return quality.failures(quality.snapshot_rules(t))
+
+
 @query
 def score_rule(spark, folder):
     return quality.score_rules(signal_tables(spark, folder)["fund_scores"])

@@ -513,6 +513,35 @@ SQL["quality_kpis"] = book_sql("\nUNION ALL ".join([
     _kpi("zero_value_position", "count(*) FILTER (WHERE value = 0)", "positions"),
     *[_kpi(f"{status.lower()}_manager_period", f"count(*) FILTER (WHERE coverage_status = '{status}')", "quarters")
       for status in ("COMPLETE", "PARTIAL", "INFERRED", "NOTICE")]]))
+SQL["quality_rules_tampered"] = book_sql(f""", stats AS ({_PERIOD_STATS}),
+sec_stats AS (SELECT DISTINCT period, cusip FROM positions),
+shares_held AS (
+  SELECT DISTINCT p.cusip FROM comparable c JOIN positions p ON p.cik = c.cik AND p.period IN (c.period, c.previous_period)
+  WHERE shares_type = 0),
+statuses AS (SELECT cik, period, coverage_status FROM quarters),
+fired AS (
+  SELECT 'manager stats position total' AS rule, count(*) AS violations FROM manager_stats WHERE cik LIKE '%3'
+  UNION ALL SELECT 'manager-period stats mismatches', 2 * count(*) FROM manager_stats WHERE cik LIKE '%3'
+  UNION ALL SELECT 'orphan positions', count(DISTINCT cusip) FROM positions WHERE CAST(cusip AS INTEGER) % 10 = 4
+  UNION ALL SELECT 'orphan security-period stats', count(*) FROM sec_stats WHERE CAST(cusip AS INTEGER) % 10 = 4
+  UNION ALL SELECT 'orphan security weight stats', count(*) FROM weights WHERE CAST(cusip AS INTEGER) % 10 = 4
+  UNION ALL SELECT 'orphan changes', count(*) FROM shares_held WHERE CAST(cusip AS INTEGER) % 10 = 4
+  UNION ALL SELECT 'latest-period new-holder mismatches', count(*) FROM weights
+    WHERE CAST(cusip AS INTEGER) % 10 = 7 AND period = (SELECT max(period) FROM periods)
+  UNION ALL SELECT 'latest-period security weight mismatches', count(*) FROM weights
+    WHERE CAST(cusip AS INTEGER) % 10 = 8 AND period = (SELECT max(period) FROM periods)
+  UNION ALL SELECT 'invalid positions', count(*) FROM positions WHERE CAST(cusip AS INTEGER) % 10 = 6 AND shares_type = 1
+  UNION ALL SELECT 'empty sector tickers', count(*) FROM sectors WHERE sector = 'Finance'
+  UNION ALL SELECT 'invalid coverage statuses', count(*) FROM statuses WHERE coverage_status = 'NOTICE'
+  UNION ALL SELECT 'period stats mismatches', 2 * count(*) FROM stats WHERE notice_manager_count > 0
+  UNION ALL SELECT 'invalid summary reconciliation flags', count(*) FROM part_stats WHERE cik LIKE '%2'
+  UNION ALL SELECT 'summary discrepancies marked complete', count(*) FROM part_stats JOIN statuses USING (cik, period)
+    WHERE coverage_status = 'COMPLETE' AND (CASE WHEN cik LIKE '%2' THEN NOT has_discrepancy ELSE has_discrepancy END)
+  UNION ALL SELECT 'dashboard weight-universe counts', count(*) FROM periods WHERE year(period) = 1997
+  UNION ALL SELECT 'dashboard comparable-manager counts', count(*) FROM periods WHERE year(period) = 1998
+  UNION ALL SELECT 'period-change total row count', count(*) FROM links WHERE previous_period IS NOT NULL AND year(period) = 1996
+  UNION ALL SELECT 'period-change portfolio totals mismatches', count(*) FROM links WHERE previous_period IS NOT NULL AND year(period) = 1996)
+SELECT rule, CAST(violations AS BIGINT) AS violations FROM fired WHERE violations > 0""")
 SQL["score_rule"] = book_sql(SIGNALS + """
 SELECT 'duplicate manager-period scores' AS rule, count(*) AS violations FROM (
   SELECT cik, period FROM score_reasons GROUP BY cik, period HAVING count(*) > 1)""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,29 @@ def load_bars(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     return spark.createDataFrame([], BARS), False
 
 
+@dataclass(frozen=True)
+class PriceCache:
+    """Bars with the mark date and source their metadata states; without usable bars nothing is priced."""
+
+    bars: DataFrame
+    usable: bool
+    stated_mark: str = ""
+    source: str = ""
+
+
+def load_price_cache(spark: SparkSession, path: str) -> PriceCache:
+    """Bars and metadata written by the price refresh (the metadata is a dozen rows)."""
+    bars, usable = load_bars(spark, f"{path.rstrip('/')}/bars")
+    if usable:
+        try:
+            stated = {row.key: row.value for row in spark.read.parquet(f"{path.rstrip('/')}/metadata").filter(
+                F.col("key").isin("mark_date", "source")).collect()}
+            return PriceCache(bars, True, stated.get("mark_date", ""), stated.get("source", ""))
+        except Exception:  # bars without metadata are not a finished price table
+            pass
+    return PriceCache(spark.createDataFrame([], BARS), False)
+
+
 def mark_date(bars: DataFrame, stated: str = "") -> dt.date | None:
     """The stated mark date when it is an ISO date, else the latest bar date.  Runs one small aggregate."""
     if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", stated or ""):

@@ -1,11 +1,13 @@
 """Data-quality rules and indicators.
 
-Every rule is a tiny DataFrame with one row ``(rule, violations)``.  Rules over the same table share one
-aggregate, so validating a snapshot reads each table about once; ``failures`` keeps the rules that fired.
+Every rule is a row ``(rule, violations)``; ``failures`` keeps the rules that fired.  ``recompute`` reads the
+positions once and stages what the rules need; from there on every rule works on tables the size of the
+statistics, and the rules of one table share one aggregate.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,10 +17,42 @@ from tallyhold import fixed_values as fv
 from tallyhold.functions import columns as C
 from tallyhold.operators import rollups
 from tallyhold.operators.filings import link_periods
+from tallyhold.session import stage
 
 Tables = dict[str, DataFrame]
 
 
+@dataclass(frozen=True)
+class Recomputed:
+    """Staged recomputation of the statistics from the positions themselves."""
+
+    holdings: DataFrame  # one row per manager, period, and security
+    managers: DataFrame  # per manager and period
+    securities: DataFrame  # per period and security
+    universe: DataFrame  # complete managers with a positive total
+    weights: DataFrame  # per period and security, over the universe
+
+
+def recompute(t: Tables) -> Recomputed:
+    value, plain = F.col("value"), F.col("position_type") == 0
+    invalid = ((value < 0) | F.coalesce(F.col("shares") < 0, F.lit(False))
+               | ~F.col("position_type").isin(0, 1, 2) | ~F.col("shares_type").isin(0, 1, 2))
+    holdings = stage(t["positions"].groupBy("cik", "period", "cusip").agg(
+        F.count("*").alias("position_count"), F.sum(value).alias("total_value"),
+        F.count_if(plain).alias("plain_count"), F.sum(F.when(plain, value)).alias("plain_value"),
+        F.count_if(value < 0).alias("negative"), F.count_if(invalid).alias("invalid")), "quality-holdings")
+    counts = [F.sum(name).alias(name) for name in ("position_count", "total_value", "negative", "invalid")]
+    managers = stage(holdings.groupBy("cik", "period").agg(F.count("*").alias("security_count"), *counts), "quality-managers")
+    securities = stage(holdings.groupBy("period", "cusip").agg(F.count("*").alias("manager_count"), *counts), "quality-securities")
+    universe = stage(t["manager_periods"].filter("coverage_status = 'COMPLETE'").select("cik", "period").join(
+        t["manager_period_stats"].filter("total_value > 0").select("cik", "period", F.col("total_value").alias("total")),
+        ["cik", "period"]), "quality-universe")
+    weights = stage(holdings.filter("plain_count > 0").join(universe, ["cik", "period"]).groupBy("period", "cusip").agg(
+        F.count("*").alias("holders"),
+        F.sum(F.col("plain_value").cast("double") / F.col("total")).alias("weight")), "quality-weights")
+    return Recomputed(holdings, managers, securities, universe, weights)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -34,62 +68,81 @@ def _rows(rule: str, bad_rows: DataFrame) -> DataFrame:
     return bad_rows.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
 
 
-def _one_row(df: DataFrame, *measures: Column) -> DataFrame:
-    return df.agg(*measures).withColumn("at", F.lit(0))
+def _balances(measures: dict[str, tuple[DataFrame, dict[str, Column]]], rules: dict[str, Column]) -> DataFrame:
+    """Rules that compare whole-table totals; a violation is the absolute difference.
 
-
-def _totals(rules: dict[str, tuple[DataFrame, Column, DataFrame, Column]]) -> DataFrame:
-    """Rules that compare one total of two tables; a violation is the absolute difference."""
-    return _union([
-        _one_row(left, a.alias("a")).join(_one_row(right, b.alias("b")), "at").select(
-            F.lit(rule).alias("rule"),
-            F.abs(F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))).cast("long").alias("violations"))
-        for rule, (left, a, right, b) in rules.items()])
+    ``measures`` gives each table's totals, all taken in one pass over it; ``rules`` are expressions over
+    their names that must come out zero.
+    """
+    rows = _union([df.agg(*[m.alias(name) for name, m in totals.items()]).select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.coalesce(F.col(name), F.lit(0)).cast("long").alias("value"))
+        for name in totals]))) for df, totals in measures.values()])
+    names = [name for _, totals in measures.values() for name in totals]
+    wide = rows.agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in names])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.abs(balance).alias("violations")) for rule, balance in rules.items()])))
 
 
 def _orphans(rule: str, child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     return _rows(rule, child.join(parent.select(*keys).distinct(), keys, "left_anti"))
 
 
-def row_count_rules(t: Tables) -> DataFrame:
-    n = F.count("*")
-    held = t["positions"].select("period", "cusip").distinct()
-    return _totals({
-        "manager-period stats row count": (t["manager_period_stats"], n, t["manager_periods"], n),
-        "security-period stats row count": (t["security_period_stats"], n, held, n),
-        "period stats row count": (t["period_stats"], n, t["periods"], n),
-        "period-change total row count": (
-            t["period_change_totals"], n, t["periods"], F.greatest(n - 1, F.lit(0))),
-        "filing-part stats row count": (t["filing_part_stats"], n, t["effective_filing_parts"], n),
-        "dashboard period stats row count": (t["dashboard_period_stats"], n, t["periods"], n),
-        "security weight stats row count": (t["security_weight_stats"], n, _weighted_pairs(t), n),
+def total_rules(t: Tables, actual: Recomputed) -> DataFrame:
+    """Row counts agree between tables, and counts and values are conserved from positions to statistics."""
+    def rows(name: str) -> dict[str, Column]:
+        return {name: F.count("*")}
+
+    stats = ("position_count", "total_value")
+    measures = {
+        "periods": (t["periods"], rows("periods")),
+        "manager_periods": (t["manager_periods"], rows("quarters")),
+        "manager_period_stats": (t["manager_period_stats"], {
+            **rows("manager_stats"), **{f"manager_{name}": F.sum(name) for name in stats}}),
+        "security_period_stats": (t["security_period_stats"], {
+            **rows("security_stats"), **{f"security_{name}": F.sum(name) for name in stats}}),
+        "period_stats": (t["period_stats"], rows("period_stats")),
+        "period_change_totals": (t["period_change_totals"], rows("change_totals")),
+        "filing_part_stats": (t["filing_part_stats"], rows("part_stats")),
+        "effective_filing_parts": (t["effective_filing_parts"], rows("parts")),
+        "dashboard_period_stats": (t["dashboard_period_stats"], rows("dashboard")),
+        "security_weight_stats": (t["security_weight_stats"], rows("stored_weights")),
+        "actual_weights": (actual.weights, rows("actual_weights")),
+        "actual_securities": (actual.securities, {
+            **rows("held"), "positions": F.sum("position_count"), "value": F.sum("total_value"),
+            "negative": F.sum("negative"), "invalid": F.sum("invalid")}),
+    }
+    c = F.col
+    return _balances(measures, {
+        "manager-period stats row count": c("manager_stats") - c("quarters"),
+        "security-period stats row count": c("security_stats") - c("held"),
+        "period stats row count": c("period_stats") - c("periods"),
+        "period-change total row count": c("change_totals") - F.greatest(c("periods") - 1, F.lit(0)),
+        "filing-part stats row count": c("part_stats") - c("parts"),
+        "dashboard period stats row count": c("dashboard") - c("periods"),
+        "security weight stats row count": c("stored_weights") - c("actual_weights"),
+        "manager stats position total": c("manager_position_count") - c("positions"),
+        "manager stats value total": c("manager_total_value") - c("value"),
+        "security stats position total": c("security_position_count") - c("positions"),
+        "security stats value total": c("security_total_value") - c("value"),
+        "negative position values": c("negative"),
+        "invalid positions": c("invalid"),
     })
 
 
-def _universe(t: Tables) -> DataFrame:
-    return (t["manager_periods"].filter("coverage_status = 'COMPLETE'").select("cik", "period")
-            .join(t["manager_period_stats"].filter("total_value > 0").select("cik", "period", "total_value"),
-                  ["cik", "period"]))
-
-
-def _weighted_pairs(t: Tables) -> DataFrame:
-    plain = t["positions"].filter("position_type = 0")
-    return plain.join(_universe(t), ["cik", "period"], "left_semi").select("period", "cusip").distinct()
-
-
 def period_count_rule(t: Tables, expected: int) -> DataFrame:
     return t["periods"].agg(F.abs(F.count("*") - expected).alias("violations")).select(
         F.lit("period count").alias("rule"), "violations")
 
 
-def orphan_rules(t: Tables) -> DataFrame:
+def orphan_rules(t: Tables, actual: Recomputed) -> DataFrame:
     periods, quarters, securities = t["periods"], t["manager_periods"], t["securities"]
     quarter = ["cik", "period"]
-    # Distinct keys first: a popular security or a large manager is one row on the left side of each check.
-    positions = [("cik", t["managers"]), ("period", periods), ("cusip", securities)]
-    checks = [_orphans("orphan positions", t["positions"].select(key).distinct(), parent, [key])
-              for key, parent in positions]
-    checks.append(_orphans("orphan positions", t["positions"].select(*quarter).distinct(), quarters, quarter))
+    # Distinct keys only: a popular security or a large manager is one row on the left side of each check.
+    checks = [
+        _orphans("orphan positions", actual.managers.select("cik").distinct(), t["managers"], ["cik"]),
+        _orphans("orphan positions", actual.managers.select(*quarter), quarters, quarter),
+        _orphans("orphan positions", actual.securities.select("period").distinct(), periods, ["period"]),
+        _orphans("orphan positions", actual.securities.select("cusip").distinct(), securities, ["cusip"])]
     together = _union(checks).groupBy("rule").agg(F.sum("violations").alias("violations"))
     parts, stats = t["effective_filing_parts"], t["filing_part_stats"]
     weights, dashboard = t["security_weight_stats"], t["dashboard_period_stats"]
@@ -114,7 +167,7 @@ def orphan_rules(t: Tables) -> DataFrame:
     return _union(pairs).groupBy("rule").agg(F.sum("violations").alias("violations"))
 
 
-def domain_rules(t: Tables) -> DataFrame:
+def domain_rules(t: Tables, actual: Recomputed) -> DataFrame:
     def negative(*names: str) -> Column:
         return reduce(lambda a, b: a | b, [F.col(name) < 0 for name in names])
 
@@ -124,10 +177,6 @@ def domain_rules(t: Tables) -> DataFrame:
             "invalid effective filing part types": ~F.col("part_type").isin(*fv.PART_TYPES)}),
         _counts(t["manager_periods"], {
             "invalid coverage statuses": ~F.col("coverage_status").isin(*fv.COVERAGE_STATUSES)}),
-        _counts(t["positions"], {
-            "negative position values": F.col("value") < 0,
-            "invalid positions": (F.col("value") < 0) | (F.col("shares") < 0)
-            | ~F.col("position_type").isin(0, 1, 2) | ~F.col("shares_type").isin(0, 1, 2)}),
         _counts(t["manager_period_stats"], {
             "negative materialized statistics": negative("position_count", "security_count", "total_value")}),
         _counts(t["security_period_stats"], {
@@ -150,18 +199,6 @@ def domain_rules(t: Tables) -> DataFrame:
     return _union(per_table).groupBy("rule").agg(F.sum("violations").alias("violations"))
 
 
-def conservation_rules(t: Tables) -> DataFrame:
-    n, value, count = F.count("*"), F.sum("value"), F.sum("position_count")
-    total = F.sum("total_value")
-    facts = t["positions"]
-    return _totals({
-        "manager stats position total": (t["manager_period_stats"], count, facts, n),
-        "manager stats value total": (t["manager_period_stats"], total, facts, value),
-        "security stats position total": (t["security_period_stats"], count, facts, n),
-        "security stats value total": (t["security_period_stats"], total, facts, value),
-    })
-
-
 def _comparable_quarters(t: Tables) -> DataFrame:
     complete = t["manager_periods"].filter("coverage_status = 'COMPLETE'").select("cik", "period")
     links = F.broadcast(link_periods(t["periods"]).select("period", "previous_period"))
@@ -169,12 +206,12 @@ def _comparable_quarters(t: Tables) -> DataFrame:
     return complete.join(links, "period").join(earlier, ["cik", "previous_period"])
 
 
-def logic_rules(t: Tables) -> DataFrame:
+def logic_rules(t: Tables, actual: Recomputed) -> DataFrame:
     complete = t["manager_periods"].filter("coverage_status = 'COMPLETE'").select("cik", "period")
     links = link_periods(t["periods"]).select("period", F.col("previous_period").alias("expected"))
     dashboard = t["dashboard_period_stats"]
     linked = links.join(dashboard.withColumn("stored", F.lit(True)), "period", "left")
-    universe = _universe(t).groupBy("period").agg(F.count("*").alias("expected"))
+    universe = actual.universe.groupBy("period").agg(F.count("*").alias("expected"))
     comparable = _comparable_quarters(t).groupBy("period").agg(F.count("*").alias("expected"))
     return _union([
         _rows("summary discrepancies marked complete",
@@ -193,10 +230,11 @@ def _differences(rule: str, stored: DataFrame, actual: DataFrame) -> DataFrame:
     return _rows(rule, stored.exceptAll(actual).unionByName(actual.exceptAll(stored)))
 
 
-def recompute_rules(t: Tables) -> DataFrame:
-    """Recompute the statistics from the positions and compare whole tables, both ways."""
-    manager = rollups.manager_period_stats(t["manager_periods"], t["positions"])
-    security = rollups.security_period_stats(t["positions"])
+def recompute_rules(t: Tables, actual: Recomputed) -> DataFrame:
+    """Recomputed statistics equal the stored ones, compared as whole tables, both ways."""
+    manager = t["manager_periods"].select("cik", "period").join(
+        actual.managers.drop("negative", "invalid"), ["cik", "period"], "left").na.fill(0)
+    security = actual.securities.drop("negative", "invalid")
     period = rollups.period_stats(t["periods"], t["manager_periods"], manager, security)
     sums = manager.select("cik", "period", "total_value")
     pairs = _comparable_quarters(t).select("cik", "period", "previous_period")
@@ -213,27 +251,19 @@ def recompute_rules(t: Tables) -> DataFrame:
     ])
 
 
-def latest_period_rules(t: Tables) -> DataFrame:
-    """Recompute the latest period's weights (within 1e-9) and first-time holders (exactly).
-
-    Filtering on the latest date by a one-row broadcast lets partition pruning skip older positions.
-    """
-    latest = F.broadcast(t["periods"].agg(F.max("period").alias("period")))
+def latest_period_rules(t: Tables, actual: Recomputed) -> DataFrame:
+    """The latest period's weights (within 1e-9) and first-time holders (exactly) match the positions."""
+    latest = F.broadcast(t["periods"].agg(F.max("period").alias("period")))  # one row
     stored = t["security_weight_stats"].join(latest, "period")
-    plain = t["positions"].filter("position_type = 0").join(latest, "period")
-    weights = (plain.groupBy("period", "cusip", "cik").agg(F.sum("value").alias("value"))
-               .join(_universe(t), ["cik", "period"])
-               .groupBy("cusip").agg(F.count("*").alias("holders"),
-                                     F.sum(F.col("value").cast("double") / F.col("total_value")).alias("weight")))
-    size = F.broadcast(_universe(t).join(latest, "period").agg(F.count("*").alias("n")).withColumn("at", F.lit(0)))
-    compared = stored.join(weights, "cusip", "left").withColumn("at", F.lit(0)).join(size, "at")
+    size = F.broadcast(actual.universe.join(latest, "period").groupBy("period").agg(F.count("*").alias("n")))  # one row
+    compared = stored.join(actual.weights, ["period", "cusip"], "left").join(size, "period", "left")
     wrong = (F.col("holders").isNull() | (F.col("holders") != F.col("holder_count"))
              | (F.abs(F.col("weight") - F.col("weight_sum")) >= 1e-9)
-             | (F.abs(100.0 * F.col("weight") / F.greatest("n", F.lit(1)) - F.col("avg_weight")) >= 1e-9))
+             | (F.abs(100.0 * F.col("weight") / F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) - F.col("avg_weight")) >= 1e-9))
     pairs = _comparable_quarters(t).join(latest, "period")
-    now = plain.select("cik", "period", "cusip").distinct().join(pairs, ["cik", "period"])
-    before = t["positions"].filter("position_type = 0").select(
-        "cik", F.col("period").alias("previous_period"), "cusip").distinct()
+    plain = actual.holdings.filter("plain_count > 0").select("cik", "period", "cusip")
+    now = plain.join(pairs, ["cik", "period"])
+    before = plain.withColumnRenamed("period", "previous_period")
     fresh = now.join(before, ["cik", "previous_period", "cusip"], "left_anti").groupBy("cusip").agg(
         F.count("*").alias("fresh"))
     drift = stored.join(fresh, "cusip", "left").filter(
@@ -242,7 +272,7 @@ def latest_period_rules(t: Tables) -> DataFrame:
                    _rows("latest-period new-holder mismatches", drift)])
 
 
-def change_rules(t: Tables) -> DataFrame:
+def change_rules(t: Tables, actual: Recomputed) -> DataFrame:
     ordered = F.col("current_period") <= F.col("previous_period")
     periods = t["periods"].select("period")
 
@@ -276,9 +306,10 @@ def metadata_rules(t: Tables) -> DataFrame:
 
 
 def snapshot_rules(t: Tables, expected_periods: int | None = None) -> DataFrame:
-    """Every rule over a snapshot's tables as ``rule, violations``."""
-    groups = [row_count_rules(t), orphan_rules(t), domain_rules(t), conservation_rules(t), logic_rules(t),
-              recompute_rules(t), latest_period_rules(t), change_rules(t)]
+    """Every rule over a snapshot's tables as ``rule, violations`` (stages one recomputation)."""
+    actual = recompute(t)
+    groups = [rule(t, actual) for rule in (total_rules, orphan_rules, domain_rules, logic_rules, recompute_rules,
+                                           latest_period_rules, change_rules)]
     if expected_periods is not None:
         groups.append(period_count_rule(t, expected_periods))
     if "metadata" in t:

@@ -227,3 +227,11 @@ def snapshot_summary(period_stats: DataFrame) -> DataFrame:
         F.max_by("total_value", "period").alias("total_value"),
         F.max_by("position_manager_count", "period").alias("distinct_managers"),
         F.max_by("security_count", "period").alias("distinct_issuers"))
+
+
+def snapshot_facts(metadata: DataFrame, period_stats: DataFrame) -> DataFrame:
+    """Metadata rows plus the summary as ``key, value`` text; the summary wins where both name a key."""
+    summary = snapshot_summary(period_stats)
+    wide = summary.select([F.col(name).cast("string").alias(name) for name in summary.columns])
+    rows = wide.unpivot([], wide.columns, "key", "value")
+    return metadata.join(rows, "key", "left_anti").unionByName(rows)

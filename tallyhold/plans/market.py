@@ -14,24 +14,37 @@ from tallyhold.session import configure, stage
 
 
 def refresh_bars(spark: SparkSession, tables: dict[str, DataFrame], trusted: DataFrame, payloads: DataFrame,
-                 old_path: str | None, new_path: str, mark: dt.date) -> DataFrame:
-    """Write a new version of the bars: old bars with the landed quotes of wanted symbols laid over them.
+                 old_path: str | None, new_path: str, mark: dt.date, *, source: str = "") -> prices.PriceCache:
+    """Write a new version of the price table: old bars with the landed quotes of wanted symbols over them.
 
-    ``payloads``: ``symbol, asset_class, payload``.  Fails when too few symbols close on the mark date.
+    ``payloads``: ``symbol, asset_class, payload``.  The metadata is written last, and only when enough
+    symbols close on the mark date, so an unfinished version is never used.
     """
     configure(spark)
     targets = stage(signals.price_targets(tables["positions"], tables["securities"], trusted), "price_targets")
     first_day = tables["periods"].agg(F.min("period")).first()[0]
     wanted = payloads.join(targets, "symbol", "left_semi")
-    fresh = prices.parse_history(wanted, first_day.isoformat(), mark.isoformat())
-    current = prices.load_bars(spark, old_path)[0] if old_path else spark.createDataFrame([], BARS)
+    fresh = stage(prices.parse_history(wanted, first_day.isoformat(), mark.isoformat()), "fresh_bars")
+    current = prices.load_price_cache(spark, old_path).bars if old_path else spark.createDataFrame([], BARS)
+    root = new_path.rstrip("/")
     prices.merge_bars(current, fresh).repartition("symbol").sortWithinPartitions(
-        "symbol", "price_date").write.parquet(new_path)
-    bars = spark.read.schema(BARS).parquet(new_path)
-    found = prices.check_mark_coverage(bars, mark, targets.count()).select(
+        "symbol", "price_date").write.parquet(f"{root}/bars")
+    bars = spark.read.schema(BARS).parquet(f"{root}/bars")
+    requested = targets.count()
+    found = prices.check_mark_coverage(bars, mark, requested).select(
         F.lit("symbols with the common close").alias("rule"), F.col("mark_symbols").alias("found"), "required")
     quality.require(quality.threshold_rules(found), "Price refresh")
-    return bars
+    displayed = tables["securities"].filter("trim(ticker) != ''").agg(
+        F.count_distinct(F.upper(F.trim("ticker"))).cast("string").alias("value")).select(
+        F.lit("display_symbol_count").alias("key"), "value")
+    marked = found.select(F.lit("mark_symbol_count").alias("key"), F.col("found").cast("string").alias("value"))
+    failed = targets.join(fresh, "symbol", "left_anti").agg(F.count("*").cast("string").alias("value")).select(
+        F.lit("failed_symbol_count").alias("key"), "value")
+    stated = spark.createDataFrame(
+        [("schema_version", "1"), ("source", source), ("from_date", first_day.isoformat()), ("mark_date", mark.isoformat()),
+         ("requested_symbol_count", str(requested)), ("price_adjustment", fv.PRICE_ADJUSTMENT)], TABLES["metadata"])
+    stated.unionByName(displayed).unionByName(marked).unionByName(failed).write.parquet(f"{root}/metadata")
+    return prices.load_price_cache(spark, root)
 
 
 def build_signals(spark: SparkSession, tables: dict[str, DataFrame], trusted: DataFrame, bars: DataFrame,

@@ -4,9 +4,10 @@ import zipfile
 
 import pytest
 
-from tallyhold.operators import resolve
+from tallyhold.operators import prices, views
 from tallyhold.plans import enrichment, market, snapshot
 from tallyhold.schemas import OVERRIDES, RECORDS
+from tallyhold.sources import exports
 from tallyhold.sources.archives import list_archives, read_member
 
 QUARTERS = [("2025q3_form13f.zip", "30-JUN-2025", "14-AUG-2025"), ("2025q4_form13f.zip", "30-SEP-2025", "14-NOV-2025")]
@@ -28,7 +29,7 @@ def write_archive(path, period, filed, number, *, info=None, submissions=(), bom
         for s in sub if s[2].startswith("13F-HR") for cusip in (("037833100", "594918104") if "-A" not in s[0] else ("67066G104",))]
     counts = {}
     for row in rows:
-        counts.setdefault(row[0], []).append(int(float(row[5] or 0)))
+        counts.setdefault(row[0], []).append(int(float(row[5])) if row[5] != "bad" else 0)
     summary = [(s[0], "N", len(counts.get(s[0], [])) + (1 if s[1] == 5 else 0), sum(counts.get(s[0], []))) for s in sub]
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         archive.writestr("nested/submission.tsv", ("﻿" if bom else "") + tsv(
@@ -118,20 +119,20 @@ def test_freshness(spark, inputs, published, tmp_path):
     assert not snapshot.snapshot_is_current(spark, str(tmp_path), archives, trust=True)
 
 
-@pytest.mark.parametrize("problem,rule", [
-    (dict(info=[("0001-1", "", "N", "C", "", "1", "1", "SH", "")]), "effective holdings without a security"),
-    (dict(info=[("0001-1", "x", "N", "C", "", "1.5", "1", "SH", "")]), "invalid holdings values"),
-    (dict(info=[("0001-1", "x", "N", "C", "", "1", "-4", "SH", "")]), "invalid holdings amounts"),
-    (dict(info=[(" ", "x", "N", "C", "", "1", "4", "SH", "")]), "holdings rows without an accession"),
-    (dict(submissions=[("dup", "abc", "13F-HR", "30-JUN-2025", "14-AUG-2025")]), "invalid manager numbers"),
-    (dict(submissions=[("dup", "77", "13F-HR", "30-JUN-2025", "someday")]), "invalid filing dates"),
-])
-def test_bad_sources_are_rejected_before_publication(spark, tmp_path, problem, rule):
+def test_bad_sources_are_rejected_together_before_publication(spark, tmp_path):
     root, output = tmp_path / "in", tmp_path / "out"
     root.mkdir()
-    write_archive(root / QUARTERS[0][0], *QUARTERS[0][1:], 1, **problem)
-    with pytest.raises(ValueError, match=rule):
+    write_archive(root / QUARTERS[0][0], *QUARTERS[0][1:], 1, info=[
+        ("0001-1", "", "N", "C", "", "1", "1", "SH", ""), ("0001-1", "x", "N", "C", "", "1.5", "1", "SH", ""),
+        ("0001-1", "x", "N", "C", "", "1", "-4", "SH", ""), (" ", "x", "N", "C", "", "1", "4", "SH", ""),
+        ("elsewhere", "", "N", "C", "", "bad", "bad", "SH", "")],
+        submissions=[("bad-1", "abc", "13F-HR", "30-JUN-2025", "14-AUG-2025"), ("bad-2", "77", "13F-HR", "30-JUN-2025", "someday"),
+                     ("0002-1", "2", "13F-HR/A", "30-JUN-2025", "15-AUG-2025")])
+    with pytest.raises(ValueError) as failure:
         snapshot.build_snapshot(spark, str(root), str(output))
+    for rule in ("effective holdings without a security: 1", "invalid holdings values: 1", "invalid holdings amounts: 1",
+                 "holdings rows without an accession: 1", "invalid manager numbers: 1", "invalid filing dates: 1"):
+        assert rule in str(failure.value)
     assert not (output / "manifest").exists()
 
 
@@ -153,9 +154,12 @@ def test_market_and_enrichment_jobs(spark, published, tmp_path):
     quotes = [(s, "stocks", payload(("06/30/2025", p), ("09/30/2025", p), ("11/17/2025", p), ("01/15/2026", "$12.00")))
               for s, p in (("AAPL", "$10.00"), ("MSFT", "$10.00"), ("UNWANTED", "$1.00"))]
     mark = dt.date(2026, 1, 15)
-    bars = market.refresh_bars(spark, t, trusted, spark.createDataFrame(quotes, "symbol string, asset_class string, payload string"),
-                               None, str(tmp_path / "bars"), mark)
-    assert bars.count() == 8
+    cache = market.refresh_bars(spark, t, trusted, spark.createDataFrame(quotes, "symbol string, asset_class string, payload string"),
+                                None, str(tmp_path / "bars"), mark, source="quotes")
+    bars = cache.bars
+    assert (bars.count(), cache.usable, cache.stated_mark, cache.source) == (8, True, "2026-01-15", "quotes")
+    counts = {r.key: r.value for r in spark.read.parquet(str(tmp_path / "bars" / "metadata")).collect()}
+    assert (counts["requested_symbol_count"], counts["mark_symbol_count"], counts["failed_symbol_count"]) == ("2", "2", "0")
     made = market.build_signals(spark, t, trusted, bars, mark, str(tmp_path / "signals"))
     assert made["fund_scores"].count() == made["scope_values"].count() == 42
     meta = {r.key: r.value for r in made["signal_metadata"].collect()}
@@ -165,6 +169,12 @@ def test_market_and_enrichment_jobs(spark, published, tmp_path):
         market.refresh_bars(spark, t, trusted, spark.createDataFrame(
             [(s, a, payload(("06/30/2025", "$1"))) for s, a, _ in empty], "symbol string, asset_class string, payload string"),
             str(tmp_path / "gone"), str(tmp_path / "bars2"), mark)
+    assert not prices.load_price_cache(spark, str(tmp_path / "bars2")).usable
+    facts = {r.key: r.value for r in views.snapshot_facts(t["metadata"], t["period_stats"]).collect()}
+    assert (facts["holding_count"], facts["distinct_managers"], facts["schema_version"]) == ("43", "21", "9")
+    view = views.top_holdings(t["periods"], t["security_weight_stats"], t["securities"], t["sectors"], bars,
+                              stated_mark=cache.stated_mark, price_source=cache.source)
+    assert [(r.ticker, r.price, r["name"]) for r in view.rows.collect()] == [("AAPL", 12.0, "Apple Inc."), ("MSFT", 12.0, 'QUOTED "NAME"')]
     results = spark.createDataFrame([("67066G104", None, [("nvda", "F")])],
                                     "cusip string, error string, data array<struct<ticker:string,figi:string>>")
     done = enrichment.enrich(t, spark.createDataFrame([], RECORDS), spark.createDataFrame([], OVERRIDES),
@@ -173,3 +183,11 @@ def test_market_and_enrichment_jobs(spark, published, tmp_path):
     assert {r.cusip: r.ticker for r in done.securities.collect()} == {
         "037833100": "AAPL", "594918104": "MSFT", "67066G104": "NVDA"}
     assert {(r.kind, r.label): r.securities for r in done.statistics.collect()}[("source", "existing_db")] == 2
+
+
+def test_sorted_json_export(spark, tmp_path):
+    rows = spark.createDataFrame([(f"K{i:03d}", i) for i in reversed(range(50))], "ticker string, market_cap bigint")
+    exports.write_sorted_json(rows, str(tmp_path / "caps"), "ticker")
+    parts = sorted((tmp_path / "caps").glob("part-*.json"))
+    lines = [json.loads(line)["ticker"] for part in parts for line in part.read_text().splitlines()]
+    assert lines == [f"K{i:03d}" for i in range(50)]
