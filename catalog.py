@@ -19,6 +19,7 @@ from tallyhold.plans.book import Book, warehouse_book
 from tallyhold.plans.snapshot import book_tables as tables_of_book
 from tallyhold.session import configure, stage
 from tallyhold.sources import landed
+from tallyhold.sources.archives import stored_bytes
 from tallyhold.sources.warehouse import MARK_DATE, Warehouse, security_number
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,7 @@ def shared(make):
 
 @shared
 def book(spark: SparkSession, folder: str) -> Book:
+    configure(spark, stored_bytes(f"{folder}/lineitem.parquet", f"{folder}/orders.parquet"))
     return warehouse_book(Warehouse(spark, folder))
 
 

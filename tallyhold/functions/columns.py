@@ -176,13 +176,10 @@ def quote_symbol(c: Column) -> Column:
     return F.replace(c, F.lit("/"), F.lit("."))
 
 
-_RATIO_NOTE = r"(?i)\s*\((?:each|representing)\b(?:[^()]++|\([^()]*\))*+\)\s*$"
-_CLASS_SUFFIX = r"(?i)\s+(?:Class\s+[A-Z]\s+)?(?:" + "|".join(fv.SHARE_CLASS_SUFFIXES) + r")\s*$"
-
-
 def display_name(c: Column) -> Column:
     """Company name without one trailing ratio note and one trailing share-class suffix."""
     original = F.coalesce(c, F.lit(""))
     kept = F.coalesce(F.nullif(collapse_spaces(original), F.lit("")), original)
-    cleaned = collapse_spaces(F.regexp_replace(F.regexp_replace(original, _RATIO_NOTE, ""), _CLASS_SUFFIX, ""))
+    suffix = fv.SHARE_CLASS_PATTERN.format(suffixes="|".join(fv.SHARE_CLASS_SUFFIXES))
+    cleaned = collapse_spaces(F.regexp_replace(F.regexp_replace(original, fv.RATIO_NOTE_PATTERN, ""), suffix, ""))
     return F.when(F.contains(F.lower(original), F.lit("preferred")) | (cleaned == ""), kept).otherwise(cleaned)

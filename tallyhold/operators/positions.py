@@ -66,12 +66,14 @@ def with_context(positions: DataFrame, context: DataFrame) -> DataFrame:
 def security_dimension(lines: DataFrame, archives: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
     """Issuer, class, and FIGI from the first effective row of the last archive that holds the security.
 
-    Archives number one per reporting quarter, which bounds the broadcast.  One mergeable maximum per
-    security replaces a sort of its rows.
+    Rows are first reduced to distinct spellings with a hash aggregate, so the structs that decide between
+    them stay few however popular a security is.  Archives number one per reporting quarter, which bounds
+    the broadcast.
     """
-    ordered = lines.join(F.broadcast(archives), "archive")
+    spelling = ["cusip", "archive", "issuer", "class", "figi"]
+    spellings = lines.groupBy(*spelling).agg(F.min("row_no").alias("row_no")).join(F.broadcast(archives), "archive")
     rank = F.struct("first_filed", "archive", (-F.col("row_no")).alias("earliest"), "issuer", "class", "figi")
-    best = ordered.groupBy("cusip").agg(F.max(rank).alias("best"))
+    best = spellings.groupBy("cusip").agg(F.max(rank).alias("best"))
     named = best.select("cusip", "best.issuer", "best.class", "best.figi")
     if tickers is None:
         return named.withColumn("ticker", F.lit(""))

@@ -41,12 +41,14 @@ def parse_history(payloads: DataFrame, first_day: str, last_day: str) -> DataFra
 def merge_bars(current: DataFrame, fresh: DataFrame) -> DataFrame:
     """Replace bars on (symbol ignoring ASCII case, date) and keep every other bar.
 
-    The stored spelling of a symbol is that of the row that stays.
+    Stored bars are unique, so only the fresh batch is grouped; the (much larger) stored side passes one
+    anti-join.  The spelling of a symbol is that of the row that stays.
     """
-    both = current.withColumn("batch", F.lit(0)).unionByName(fresh.withColumn("batch", F.lit(1)))
-    newest = both.groupBy(C.fold_ascii(F.col("symbol")).alias("fold"), "price_date").agg(
-        F.max(F.struct("batch", "symbol", "close")).alias("bar"))
-    return newest.select("bar.symbol", "price_date", "bar.close")
+    fold = C.fold_ascii(F.col("symbol")).alias("fold")
+    newest = fresh.groupBy(fold, "price_date").agg(F.max(F.struct("symbol", "close")).alias("bar"))
+    kept = current.select("symbol", "price_date", "close", fold).join(newest, ["fold", "price_date"], "left_anti")
+    return kept.select("symbol", "price_date", "close").unionByName(
+        newest.select("bar.symbol", "price_date", "bar.close"))
 
 
 def load_bars(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:

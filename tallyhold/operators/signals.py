@@ -135,7 +135,7 @@ def position_events(priced: DataFrame) -> DataFrame:
 def priced_events(events: DataFrame, bars: DataFrame, mark: dt.date) -> DataFrame:
     """Events with profit since the first close after filing; unpriced events keep NULL profit.
 
-    A few (ticker, filing date) pairs are shared by most managers, so lookups run on distinct pairs and the
+    ``events`` should be a written table: it is read for its lookups and again to be priced.  A few (ticker, filing date) pairs are shared by most managers, so lookups run on distinct pairs and the
     event side of the join back is the splittable one.
     """
     day = F.lit(mark).cast("date")
@@ -194,11 +194,11 @@ def manager_scores(context: DataFrame, events: DataFrame, mark: dt.date) -> Data
 
 def signal_tables(positions: DataFrame, context: DataFrame, manager_stats: DataFrame, trusted: DataFrame,
                   bars: DataFrame, mark: dt.date) -> dict[str, DataFrame]:
-    """Split factors, scope values, and scores; the shared priced positions are staged once."""
+    """Split factors, scope values, and scores; priced positions and events are staged once."""
     closes = quarter_end_closes(positions, trusted, bars)
     factors = stage(split_factors(positions, closes), "split_factors")
     priced = stage(priced_positions(positions, factors, trusted), "priced_positions")
-    events = priced_events(position_events(priced), bars, mark)
+    events = priced_events(stage(position_events(priced), "position_events"), bars, mark)
     return {
         "split_factors": factors,
         "scope_values": scope_values(manager_stats, priced),

@@ -18,7 +18,7 @@ from tallyhold.plans.book import Book
 from tallyhold.schemas import TABLES, conform
 from tallyhold.session import configure, stage
 from tallyhold.sources import landed
-from tallyhold.sources.archives import read_archives
+from tallyhold.sources.archives import read_archives, stored_bytes
 from tallyhold.sources.fingerprints import changed_inputs, fingerprints
 
 _DOCUMENTS = ("ticker_map", "market_caps", "sectors", "watchlist")
@@ -94,7 +94,7 @@ def _metadata(tables: dict[str, DataFrame], book: Book, manifest: DataFrame, doc
 def build_snapshot(spark: SparkSession, archives: str, output: str, *, ticker_map: str | None = None,
                    market_caps: str | None = None, sectors: str | None = None, watchlist: str | None = None) -> str:
     """Build, validate, and publish a snapshot; returns its id.  Nothing is published when a rule fires."""
-    configure(spark)
+    configure(spark, stored_bytes(archives))
     paths = dict(zip(_DOCUMENTS, (ticker_map, market_caps, sectors, watchlist)))
     documents = {name: landed.read_documents(spark, path) if path else None for name, path in paths.items()}
     manifest = stage(fingerprints(spark, archives, paths), "inputs")

@@ -25,7 +25,7 @@ _ROWS_PER_BATCH = 20_000
 
 def list_archives(location: str) -> list[str]:
     """Paths of one archive, or of every archive in a folder, sorted by path."""
-    system, path = pafs.FileSystem.from_uri(location) if "://" in location else (pafs.LocalFileSystem(), location)
+    system, path = _located(location)
     info = system.get_file_info(path)
     if info.type == pafs.FileType.File:
         return [location]
@@ -35,11 +35,29 @@ def list_archives(location: str) -> list[str]:
     return [scheme + name for name in sorted(names)]
 
 
+def _located(path: str):
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def _open(path: str):
-    system, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    system, inner = _located(path)
     return system.open_input_file(inner)
 
 
+def stored_bytes(*paths: str) -> int:
+    """Size of files or folders as stored; missing paths count as nothing."""
+    total = 0
+    for path in paths:
+        system, inner = _located(path)
+        info = system.get_file_info(inner)
+        if info.type == pafs.FileType.File:
+            total += info.size
+        elif info.type == pafs.FileType.Directory:
+            found = system.get_file_info(pafs.FileSelector(inner, recursive=True))
+            total += sum(item.size for item in found if item.type == pafs.FileType.File)
+    return total
+
+
 class MemberSlice(InputPartition):
     def __init__(self, path: str, member: str):
         super().__init__((path, member))

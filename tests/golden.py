@@ -5,6 +5,7 @@ import datetime as dt
 from tallyhold.operators import filings, positions, rollups
 from tallyhold.schemas import TABLES
 
+# The fixture and what it must give.
 D = [dt.date(2025, 6, 30), dt.date(2025, 9, 30), dt.date(2025, 12, 31)]
 LABELS = ["30-JUN-2025", "30-SEP-2025", "31-DEC-2025"]
 FILED = [dt.date(2025, 8, 14), dt.date(2025, 11, 14), dt.date(2026, 2, 14)]

@@ -81,6 +81,7 @@ def test_percent_change(spark):
     assert got == [10.0, 1.9231, None, None, None, None]
 
 
+# Names and what is left of them.
 NAMES = {
     "Apple Inc. Common Stock": "Apple Inc.",
     "Alphabet Inc. Class A Common Stock": "Alphabet Inc.",

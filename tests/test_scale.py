@@ -43,6 +43,17 @@ def test_settings_are_applied(spark):
     assert staging_root(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_shuffles_grow_with_the_input(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    configure(spark, 10_000)
+    assert spark.conf.get(key, None) is None
+    configure(spark, 100 * 10**12)
+    assert int(spark.conf.get(key)) == 186_265
+    configure(spark, 10_000)
+    assert int(spark.conf.get(key)) == 186_265
+    spark.conf.unset(key)
+
+
 def hot_lines(spark, n=60_000):
     """Two thirds of all rows spread over many filings, one third in a single filing."""
     key = F.col("id")
