@@ -72,8 +72,13 @@ def plain(df: DataFrame, *, digits: int = 6) -> DataFrame:
 
 
 def query(make: Callable[[SparkSession, str], DataFrame]) -> Query:
-    QUERIES[make.__name__] = make
-    return make
+    """Register a query; it runs with the library's session settings."""
+    @wraps(make)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return make(configure(spark), folder)
+
+    QUERIES[make.__name__] = run
+    return run
 
 
 # ---- filings ----------------------------------------------------------------------------------
@@ -386,13 +391,13 @@ def unit_price_medians(spark, folder):
 def issuer_keys(spark, folder):
     """Name keys of whole document texts: accents dropped, ampersands spelled out, punctuation to blanks."""
     text = Warehouse(spark, folder).table("documents").select("doc_id", C.issuer_key(F.col("text")).alias("name_key"))
-    return text.select("doc_id", F.md5("name_key").alias("key_hash"), F.length("name_key").alias("key_length"))
+    return text.select("doc_id", F.md5("name_key").alias("key_hash"), F.length("name_key").cast("long").alias("key_length"))
 
 
 @query
 def collapsed_texts(spark, folder):
     text = Warehouse(spark, folder).table("documents").select("doc_id", C.collapse_spaces(F.col("text")).alias("t"))
-    return text.select("doc_id", F.md5("t").alias("text_hash"), F.length("t").alias("text_length"))
+    return text.select("doc_id", F.md5("t").alias("text_hash"), F.length("t").cast("long").alias("text_length"))
 
 
 @query

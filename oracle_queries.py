@@ -296,7 +296,7 @@ scopes AS (
 scaled AS (
   SELECT *, coalesce(evidence_count >= 3 AND median_value_ratio BETWEEN 0.0005 AND 0.002, false) AS scale_inferred FROM scopes)
 SELECT cik, CAST(period AS VARCHAR) AS period, total_value AS raw_reported_value,
-  CASE WHEN scale_inferred THEN 1000 ELSE 1 END AS value_scale,
+  CAST(CASE WHEN scale_inferred THEN 1000 ELSE 1 END AS BIGINT) AS value_scale,
   CAST(least(CAST(total_value AS HUGEINT) * CASE WHEN scale_inferred THEN 1000 ELSE 1 END, 9000000000000000000) AS BIGINT) AS scope_value,
   evidence_count, round(median_value_ratio, 6) AS median_value_ratio, scale_inferred FROM scaled""")
 SQL["fund_scores"] = book_sql(SIGNALS + """
@@ -458,8 +458,8 @@ SQL["name_matches"] = _RESOLVE + "SELECT cusip, name_key, name_ticker, name_cik,
 SQL["exact_resolution"] = _RESOLVE + """
 SELECT cusip, ticker, CASE WHEN status = 'resolved' THEN 'openfigi' END AS source, status AS openfigi_status,
   CASE WHEN k % 23 <> 0 AND k % 8 = 5 THEN 'No identifier found.' WHEN k % 23 <> 0 AND k % 8 = 6 THEN 'Bad request' END AS openfigi_message,
-  CASE WHEN status IN ('resolved', 'ambiguous', 'no_ticker', 'figi_mismatch') THEN CASE WHEN k % 8 < 2 THEN 2 ELSE 1 END ELSE -1 END AS result_count,
-  CASE WHEN status IN ('resolved', 'ambiguous', 'no_ticker') THEN CASE WHEN k % 8 = 0 OR (k % 8 = 1 AND figi = '') THEN 2 ELSE 1 END ELSE -1 END AS considered_count,
+  CAST(CASE WHEN status IN ('resolved', 'ambiguous', 'no_ticker', 'figi_mismatch') THEN CASE WHEN k % 8 < 2 THEN 2 ELSE 1 END ELSE -1 END AS BIGINT) AS result_count,
+  CAST(CASE WHEN status IN ('resolved', 'ambiguous', 'no_ticker') THEN CASE WHEN k % 8 = 0 OR (k % 8 = 1 AND figi = '') THEN 2 ELSE 1 END ELSE -1 END AS BIGINT) AS considered_count,
   CASE WHEN status = 'ambiguous' THEN 'C' || k || ',Z' || k END AS candidate_tickers,
   CASE WHEN status = 'figi_mismatch' THEN 'FIGI-OTHER' END AS returned_figis,
   CASE WHEN status = 'resolved' THEN CASE WHEN k % 8 = 2 THEN 'FIGI-OTHER' ELSE 'FIGI' || k END END AS matched_figis

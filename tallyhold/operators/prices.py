@@ -96,7 +96,7 @@ def check_mark_coverage(bars: DataFrame, mark, requested: int) -> DataFrame:
     """One row: symbols with a close on the mark date and how many are required."""
     needed = min(fv.MIN_MARK_SYMBOLS, max(1, requested // 2))
     return bars.filter(F.col("price_date") == F.lit(mark).cast("date")).agg(
-        F.count_distinct("symbol").alias("mark_symbols")).withColumn("required", F.lit(needed))
+        F.count_distinct("symbol").alias("mark_symbols")).withColumn("required", F.lit(needed).cast("long"))
 
 
 def price_points(bars: DataFrame, mark: dt.date) -> DataFrame:
