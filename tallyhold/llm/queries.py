@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tallyhold.llm import byte_bpe, token_files
+from tallyhold.llm import byte_bpe, mixing, secrets, token_files
 
 QUERIES = {f.__name__: f for f in (
+    secrets.op1_secrets,
     byte_bpe.op4_byte_bpe,
     token_files.op6_token_files,
+    mixing.op8_mixing,
 )}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_mixing": mixing.SQL,
+}
