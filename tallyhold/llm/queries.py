@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyhold.llm import byte_bpe, mixing, secrets, token_files
+from tallyhold.llm import byte_bpe, mixing, secrets, token_files, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secrets,
     byte_bpe.op4_byte_bpe,
+    toxicity.op5_toxicity,
     token_files.op6_token_files,
     mixing.op8_mixing,
 )}
