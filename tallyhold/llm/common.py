@@ -171,3 +171,32 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if labels.filter("was <> component").isEmpty():
             return labels.select("id", "component")
         labels = labels.drop("was")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches in which they follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        turn = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            turn |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(turn) + 1).tolist(), batch.num_rows]
+        if held and any(held[0].column(k)[0].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def stacked(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
+    """A matrix from a binary column whose values have one length."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=dtype).reshape(len(values), -1)
