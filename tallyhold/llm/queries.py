@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyhold.llm import byte_bpe, mixing, near_text, secrets, token_files, toxicity
+from tallyhold.llm import byte_bpe, mixing, near_text, near_vectors, secrets, token_files, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {f.__name__: f for f in (
     toxicity.op5_toxicity,
     token_files.op6_token_files,
     mixing.op8_mixing,
+    near_vectors.op9_near_vectors,
     near_text.op10_near_text,
 )}
 
