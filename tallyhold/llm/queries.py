@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyhold.llm import byte_bpe, mixing, near_text, near_vectors, secrets, substrings, token_files, toxicity
+from tallyhold.llm import byte_bpe, imatch, mixing, near_text, near_vectors, secrets, substrings, token_files, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secrets,
     substrings.op2_substrings,
+    imatch.op3_imatch,
     byte_bpe.op4_byte_bpe,
     toxicity.op5_toxicity,
     token_files.op6_token_files,
