@@ -59,12 +59,27 @@ def word_ids(words: list[bytes], path: str) -> list[bytes]:
     return [cache[w] for w in words]
 
 
+def cut_endings(words: common.Words) -> None:
+    """Make the punctuation at the end of a word a word of its own."""
+    if not len(words):
+        return
+    data = words.data
+    plain = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+    mark = (data > 32) & (data < 127) & ~plain & ~((data >= 65) & (data <= 90))
+    last = np.maximum.reduceat(np.where(mark, -1, np.arange(len(data))), words.offsets[:-1])
+    cuts = last[(last >= 0) & (last + 1 < words.offsets[1:]) & plain[last]] + 1
+    words.rows = words.rows + np.searchsorted(cuts, words.offsets[words.rows])
+    words.offsets = np.sort(np.concatenate((words.offsets, cuts)))
+
+
 def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by END_ID, and the offsets of the rows.
 
-    The tokenizer drops white space and never merges across it, so each distinct word is encoded once.
+    The tokenizer drops white space and never merges across it, so each distinct word is encoded once.  It also
+    ignores case, and a run of ASCII punctuation that ends a word after an ASCII letter or digit is a piece of its own.
     """
-    words = common.words_of(column)
+    words = common.words_of(column, lower=True)
+    cut_endings(words)
     coded = words.arrow().dictionary_encode()
     of_word = word_ids(coded.dictionary.to_pylist(), path)
     lengths = np.array([len(b) // 4 for b in of_word], dtype=np.int64)
