@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyhold.llm import byte_bpe, imatch, mixing, near_text, near_vectors, secrets, substrings, token_files, toxicity
+from tallyhold.llm import byte_bpe, imatch, mixing, near_text, near_vectors, personal, secrets, substrings, token_files, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secrets,
@@ -11,6 +11,7 @@ QUERIES = {f.__name__: f for f in (
     byte_bpe.op4_byte_bpe,
     toxicity.op5_toxicity,
     token_files.op6_token_files,
+    personal.op7_personal,
     mixing.op8_mixing,
     near_vectors.op9_near_vectors,
     near_text.op10_near_text,
