@@ -288,11 +288,15 @@ def with_text(coded: DataFrame, path: str, ids: str = "ids", data: str = "decode
     return coded.select(*[f"`{f.name}`" for f in rest], f"`{ids}`").mapInArrow(run, schema)
 
 
-def round_trip(texts: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Per row: number of tokens, digest of the decimal ids, and digest of the bytes decoded from the ids."""
-    rest = [f for f in texts.schema if f.name != text]
-    schema = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-                           T.StructField("decoded_sha256", T.StringType())])
+def round_trip(texts: DataFrame, path: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Per row: number of tokens, digest of the decimal ids, and digest of the bytes decoded from the ids; the ids too, if wanted.
+
+    These columns replace any of the same names.
+    """
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    added += [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * keep_ids
+    rest = [f for f in texts.schema if f.name != text and f.name not in {a.name for a in added}]
+    schema = T.StructType([*rest, *added])
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(path)
@@ -303,6 +307,8 @@ def round_trip(texts: DataFrame, path: str, text: str = "text") -> DataFrame:
         made = [pa.array(np.diff(rows), pa.int64()),
                 pa.array([hashlib.sha256(shown[digits[a]:max(digits[a], digits[b] - 1)]).hexdigest() for a, b in spans], pa.string()),
                 pa.array([hashlib.sha256(back[at[a]:at[b]]).hexdigest() for a, b in spans], pa.string())]
+        if keep_ids:
+            made.append(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids, pa.int32())))
         return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *made], schema.names)
 
     return texts.select(*[f"`{f.name}`" for f in rest], f"`{text}`").mapInArrow(common.in_slices(make, text), schema)

@@ -69,9 +69,9 @@ def running_total(rows: DataFrame, value: str, groups: list[str], bucket: str, o
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """Per row of ``documents`` (doc_id, source, text): size, source_size, target, and the words taken."""
+    """Per row of ``documents`` (doc_id, source, text): row_key, size, source_size, target, and the words taken."""
     sized = common.written(
-        documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+        documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("row_key"))
         .withColumn("uid", F.monotonically_increasing_id())
         .withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
     n = sized.count()
@@ -83,7 +83,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     line = running_total(sized.withColumn("start_of_place", F.substring("place", 1, digits)), "size", ["source"], "start_of_place",
                          ["place", "doc_id", "size", "uid"])
     line = line.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    line = common.written(line.select("uid", "doc_id", "size", "place", "rank", "source_size", "target", "running"), "mix-line")
+    line = common.written(line.select("uid", "row_key", "doc_id", "size", "place", "rank", "source_size", "target", "running"), "mix-line")
     copies = (line.filter("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
               .withColumn("end", F.col("epoch") * F.col("source_size") + F.col("running"))
               .filter(F.col("end") - F.col("size") < F.col("target"))
@@ -95,12 +95,23 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     taken = (ordered.crossJoin(F.broadcast(budget)).filter("running <= budget")  # one row
              .groupBy("uid").agg(F.sum("size").alias("taken")))
     return (line.join(taken, "uid", "left")
-            .select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+            .select("doc_id", "row_key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+
+
+def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """``documents`` with each row as often as the mix takes it."""
+    times = mix(documents.select("doc_id", "source", "text"), weights, epochs).filter("taken > 0").groupBy("row_key").agg(
+        (F.sum("taken") / F.min("size")).cast("int").alias("times"))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    keyed = documents.select(F.struct(*columns).alias("row"), F.xxhash64("doc_id", "source", "text").alias("row_key"))
+    # Equal rows share a key and what the mix takes of them.
+    once = keyed.join(common.written(times, "mix-times"), "row_key").dropDuplicates(["row_key"])
+    return once.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     common.ready(spark)
-    return mix(common.table(spark, folder, "documents").select("doc_id", "source", "text")).drop("uid")
+    return mix(common.table(spark, folder, "documents").select("doc_id", "source", "text")).drop("row_key")
 
 
 SQL = r"""

@@ -186,7 +186,7 @@ def _kept_pairs(decide):
 
 
 def link(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``documents``: id, n_shingles, component_id, kept."""
+    """Per row of ``documents``: id, row_key, n_shingles, group (null without words), component_id, kept."""
     rows = common.written(signed(documents, key, text), "near-rows")
     filled = rows.filter("n_shingles > 0")
     classes = common.written(filled.groupBy("c1", "c2").agg(F.min("row_key").alias("class"), F.min("id").alias("least")), "near-classes")
@@ -220,10 +220,25 @@ def link(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text
 
     named = common.written(classes.join(final, "class", "left").select("c1", "c2", "least", F.coalesce("label", "class").alias("label")), "near-named")
     smallest = common.written(named.groupBy("label").agg(F.min("least").alias("component_id")), "near-smallest")
-    of_class = common.written(named.join(smallest, "label").select("c1", "c2", "component_id", F.lit(1).alias("n_there")), "near-components")
+    of_class = common.written(named.join(smallest, "label").select("c1", "c2", "component_id", F.col("label").alias("group")), "near-components")
     single = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return (rows.select("id", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"], "left")
-            .select("id", "n_shingles", single.alias("component_id")).withColumn("kept", F.col("id") == F.col("component_id")))
+    return (rows.select("id", "row_key", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"], "left")
+            .select("id", "row_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("group")).alias("group"), single.alias("component_id"))
+            .withColumn("kept", F.col("id") == F.col("component_id")))
+
+
+def without_near_copies(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` with one row of each group: that of the smallest id, a null id last.  Rows without words all stay."""
+    rows = common.written(link(documents, percent, key, text).select("id", "row_key", "group"), "near-linked")
+    first = (rows.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_key")).alias("first"))
+             .select(F.col("first.row_key").alias("row_key"), F.lit(True).alias("grouped")))
+    alone = rows.filter("group is null").select("row_key", F.lit(False).alias("grouped")).distinct()
+    chosen = common.written(first.union(alone), "near-chosen")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    found = (documents.select(F.struct(*columns).alias("row"), F.xxhash64(key, text).alias("row_key")).join(chosen, "row_key"))
+    # Equal rows share a key; one of them stays if they have words.
+    once = found.filter("grouped").dropDuplicates(["row_key"]).select("row.*")
+    return once.union(found.filter("not grouped").select("row.*"))
 
 
 def unsettled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -292,4 +307,4 @@ def unsettled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets
 def op10_near_text(spark: SparkSession, folder: str) -> DataFrame:
     common.ready(spark)
     documents = common.table(spark, folder, "documents").select("doc_id", "text")
-    return link(documents).withColumnRenamed("id", "doc_id")
+    return link(documents).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")

@@ -186,14 +186,18 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                        F.sha2(shown(F.col("spans")).cast("binary"), 256).alias("base_sha256"), shown(F.concat("spans", "extra")).alias("spans"))
 
 
-def without_forms(text: Column) -> Column:
-    """The text with each valid match replaced by its kind, one kind after another."""
+def without_forms(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with each valid match in a text replaced by its kind, one kind after another."""
     for kind in FORMS:
-        found, gaps = pieces(text, FORMS[kind])
-        kept = F.transform(found, lambda m, kind=kind: F.when(valid(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m))
+        found, gaps = pieces(F.col(text), FORMS[kind])
+        kept = F.transform(found, _generalised(kind))
         joined = F.array_join(F.zip_with(gaps, kept, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-        text = F.when(text.rlike(NEEDED[kind]), joined).otherwise(text)
-    return text
+        rows = rows.withColumn(text, F.when(F.col(text).rlike(NEEDED[kind]), joined).otherwise(F.col(text)))
+    return rows
+
+
+def _generalised(kind: str):
+    return lambda m: F.when(valid(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m)
 
 
 def sanitised(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,7 +208,7 @@ def sanitised(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     columns = [F.col(f"`{c}`") for c in documents.columns]
     marked = with_hits(documents.select(F.struct(*columns).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
                        .withColumn("uid", F.monotonically_increasing_id()), terms)
-    marked = marked.withColumn("clean", without_forms(F.col("text")))
+    marked = without_forms(marked.withColumnRenamed("text", "clean"), "clean")
     plain = marked.filter(F.size("hits") == 0).select("row", "clean")
     # Which of the hits are terms indeed is settled by a join of the few texts that have some.
     some = common.written(marked.filter(F.size("hits") > 0), "private-some")

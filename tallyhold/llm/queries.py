@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tallyhold.llm import byte_bpe, imatch, mixing, near_text, near_vectors, personal, secrets, substrings, token_files, toxicity
 
 QUERIES = {f.__name__: f for f in (
@@ -15,7 +16,7 @@ QUERIES = {f.__name__: f for f in (
     mixing.op8_mixing,
     near_vectors.op9_near_vectors,
     near_text.op10_near_text,
-)}
+)} | {"pipeline": corpus_pipeline.run}
 
 SQL: dict[str, str] = {
     "op8_mixing": mixing.SQL,
