@@ -13,6 +13,7 @@ once per row (null keys first).  An empty table gives no block and no row.  Furt
 from __future__ import annotations
 
 import heapq
+import itertools
 from functools import lru_cache
 
 import numpy as np
@@ -31,32 +32,70 @@ MAX_BITS = 16
 BLOCK_IDS = 1 << 16
 LANE = 64
 #: Words whose ids a Python worker remembers; it forgets all of them when there are more.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 2_000_000
+ENCODE_BYTES = 2_000_000
 ROWS_PER_PART = 20_000
 
 
 # ---- ids of texts -------------------------------------------------------------------------------
 
+class KnownWords:
+    """Ids of words by two hashes of each word (128 bits), in sorted arrays: a tenth of the memory of a dictionary."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def look_up(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word and whether it is known."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return at, (self.keys[at] == keys) & (self.checks[at] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+
+    def learn(self, words: pa.Array, keys: np.ndarray, checks: np.ndarray) -> None:
+        if len(self.keys) + len(keys) > CACHE_WORDS:
+            self.forget()
+        sizes, ids = [], []
+        for at in range(0, len(words), 5_000):
+            made = self.tokenizer.encode_batch_fast([w.decode() for w in words[at:at + 5_000].to_pylist()], add_special_tokens=False)
+            part = [e.ids for e in made]
+            sizes += map(len, part)
+            ids.append(np.fromiter(itertools.chain.from_iterable(part), np.uint32))
+        sizes = np.array(sizes, np.int32)
+        order = np.argsort(keys, kind="stable")
+        into = np.searchsorted(self.keys, keys[order])
+        starts = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
+        self.keys = np.insert(self.keys, into, keys[order])
+        self.checks = np.insert(self.checks, into, checks[order])
+        self.starts = np.insert(self.starts, into, starts[order])
+        self.sizes = np.insert(self.sizes, into, sizes[order])
+        self.ids = np.concatenate((self.ids, *ids))
+
+    def ids_of(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and the place of the first and the number of ids of each word."""
+        keys, checks = (common.binary_hashes(words, seed) for seed in (0, 1))
+        for again in (False, True):
+            at, known = self.look_up(keys, checks)
+            new = np.flatnonzero(~known)
+            if not len(new):
+                return self.ids, self.starts[at].astype(np.int64), self.sizes[at].astype(np.int64)
+            if again or len(self.keys) + len(new) > CACHE_WORDS:
+                self.forget()
+                new = np.arange(len(words))
+            self.learn(words.take(pa.array(new)), keys[new], checks[new])
+        at, _ = self.look_up(keys, checks)
+        return self.ids, self.starts[at].astype(np.int64), self.sizes[at].astype(np.int64)
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made, {}
-
-
-def word_ids(words: list[bytes], path: str) -> list[bytes]:
-    """Ids of each word as little-endian 32-bit integers, from the tokenizers library."""
-    tokenizer, cache = _tokenizer(path)
-    new = [w for w in words if w not in cache]
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = words
-    for at in range(0, len(new), 20_000):
-        part = new[at:at + 20_000]
-        made = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-        cache.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in made)))
-    return [cache[w] for w in words]
+def known_words(path: str) -> KnownWords:
+    return KnownWords(path)
 
 
 def cut_endings(words: common.Words) -> None:
@@ -81,15 +120,12 @@ def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     words = common.words_of(column, lower=True)
     cut_endings(words)
     coded = words.arrow().dictionary_encode()
-    of_word = word_ids(coded.dictionary.to_pylist(), path)
-    lengths = np.array([len(b) // 4 for b in of_word], dtype=np.int64)
-    ids = np.frombuffer(b"".join(of_word), dtype="<u4")
+    ids, starts, lengths = known_words(path).ids_of(pa.concat_arrays([coded.dictionary]))
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     # The end id is one more "word" at the end of each row.
-    end = len(of_word)
-    ids, lengths = np.append(ids, np.uint32(END_ID)), np.append(lengths, 1)
+    end, ids = len(starts), np.append(ids, np.uint32(END_ID))
+    starts, lengths = np.append(starts, len(ids) - 1), np.append(lengths, 1)
     order = np.insert(which, words.rows[1:], end)
-    starts = np.cumsum(lengths) - lengths
     found, at = common.gathered(ids, starts[order], lengths[order])
     rows = words.rows + np.arange(len(words.rows))
     return found, at[rows]
@@ -186,7 +222,7 @@ def write(texts: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def tokens(batches):
         for batch in batches:
-            for part in common.sliced(batch):
+            for part in common.sliced(batch, limit=ENCODE_BYTES):
                 ids, rows = encode(part.column("text"), path)
                 data = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), part.num_rows, [None, pa.py_buffer(rows * 2), pa.py_buffer(_narrow(ids))]).cast(pa.binary())
