@@ -26,10 +26,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ready(spark: SparkSession) -> SparkSession:
+def ready(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> SparkSession:
     """Session settings of the library, and Arrow batches small enough for very long texts."""
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return spark
 
 
@@ -51,11 +51,11 @@ def in_slices(make: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.Reco
     return run
 
 
-def sliced(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     if batch.num_rows == 0:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(lengths.astype(np.int64)) // SLICE_BYTES
+    group = np.cumsum(lengths.astype(np.int64)) // limit
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]))
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(int(a), int(b - a))
@@ -108,15 +108,7 @@ class Words:
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word: a polynomial of random byte values, then a finishing mix."""
-        if not len(self):
-            return np.zeros(0, np.uint64)
-        lengths = np.diff(self.offsets)
-        at = np.arange(len(self.data), dtype=np.int64) - np.repeat(self.offsets[:-1], lengths)
-        values, power = _byte_values(seed)
-        powers = np.ones(int(lengths.max()), np.uint64)
-        powers[1:] = power
-        powers = np.cumprod(powers, dtype=np.uint64)
-        return mixed(np.add.reduceat(values[self.data] * powers[at], self.offsets[:-1]))
+        return _hashes(self.data, self.offsets, seed)
 
 
 def words_of(column: pa.Array, lower: bool = False) -> Words:
@@ -126,6 +118,25 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, offsets, is_space(data))
 
 
+def _hashes(data: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
+    if len(offsets) < 2:
+        return np.zeros(0, np.uint64)
+    lengths = np.diff(offsets)
+    at = np.arange(len(data), dtype=np.int64) - np.repeat(offsets[:-1], lengths)
+    values, power = _byte_values(seed)
+    powers = np.full(int(lengths.max()), power, np.uint64)
+    powers[:1] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    return mixed(np.add.reduceat(values[data] * powers[at], offsets[:-1]))
+
+
+def binary_hashes(words: pa.LargeBinaryArray, seed: int = 0) -> np.ndarray:
+    """The same hashes for an array of words, none of them empty and without an offset of its own."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[:len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    return _hashes(data[:int(offsets[-1])] if len(words) else data[:0], offsets, seed)
+
+
 def _byte_values(seed: int) -> tuple[np.ndarray, np.uint64]:
     drawn = np.random.Generator(np.random.PCG64(20_240 + seed)).integers(1, 2**63, 257, dtype=np.uint64)
     return drawn[:256] * np.uint64(2) + np.uint64(1), drawn[256] * np.uint64(2) + np.uint64(1)
@@ -147,6 +158,25 @@ def gathered(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tup
     return source[index], out
 
 
+def bit_sketch(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit array of 2 ** bits places with the leading bits of each key set; its size doesn't grow with the keys.
+
+    It lets work be skipped for keys that surely aren't there; what it lets pass must still be joined exactly.
+    """
+    place = F.shiftrightunsigned(column, 64 - bits)
+    words = keys.select(place.alias("place")).selectExpr("cast(shiftright(place, 5) AS int) AS word", "shiftleft(1L, cast(place & 31 AS int)) AS bits")
+    found = words.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def in_sketch(sketch: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys may be in the sketch."""
+    place = (keys.view(np.uint64) >> np.uint64(64 - (len(sketch).bit_length() + 4))).astype(np.int64)
+    return ((sketch[place >> 5] >> (place & 31).astype(np.uint32)) & 1).astype(bool)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Smallest id reachable: (id, component) for every id of the edges (a, b), by min-label hooking and jumping.
 

@@ -116,12 +116,7 @@ def sketch(documents: DataFrame) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n, pa.int64())], ["anchor", "n"])
 
     counts = documents.select("text").mapInArrow(common.in_slices(count), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    bit = F.shiftrightunsigned("anchor", 64 - SKETCH_BITS)
-    words = counts.filter("n > 1").withColumn("bit", bit).selectExpr("shiftright(bit, 5) AS word", "shiftleft(1L, cast(bit & 31 AS int)) AS bits")
-    found = words.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    out = np.zeros(1 << (SKETCH_BITS - 5), np.uint32)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return out
+    return common.bit_sketch(counts.filter("n > 1"), "anchor", SKETCH_BITS)
 
 
 def recurring_spans(documents: DataFrame) -> DataFrame:
@@ -130,8 +125,7 @@ def recurring_spans(documents: DataFrame) -> DataFrame:
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         spans = Spans(part.column("text"))
-        bit = (spans.anchor >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-        there = np.flatnonzero((shared.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1)
+        there = np.flatnonzero(common.in_sketch(shared.value, spans.anchor))
         digest = spans.hash()
         order = there[np.lexsort((spans.start[there], digest[there], spans.anchor[there], spans.row[there]))]
         row, anchor, span = spans.row[order], spans.anchor[order], digest[order]

@@ -53,22 +53,20 @@ class Vocabulary:
         coded = words.arrow().dictionary_encode()
         self.rows = words.rows
         self.index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = common.Words.__new__(common.Words)
         plain = pa.concat_arrays([coded.dictionary])
-        distinct.offsets = np.frombuffer(plain.buffers()[1], dtype=np.int64)[:len(plain) + 1]
-        distinct.data = np.frombuffer(plain.buffers()[2] or b"", dtype=np.uint8)[:int(distinct.offsets[-1]) if len(plain) else 0]
+        offsets = np.frombuffer(plain.buffers()[1], dtype=np.int64)[:len(plain) + 1] if len(plain) else np.zeros(1, np.int64)
         self.size = len(plain)
-        self.hashes = distinct.hashes()
+        self.hashes = common.binary_hashes(plain)
         # Trigrams over <word>: every byte with its neighbours, a mark at both ends.
-        data = distinct.data.astype(np.uint64)
+        data = np.frombuffer(plain.buffers()[2] or b"", dtype=np.uint8)[:int(offsets[-1])].astype(np.uint64)
         first = np.zeros(len(data), bool)
-        first[distinct.offsets[:-1]] = True
+        first[offsets[:-1]] = True
         edge = np.zeros(min(1, len(data)), np.uint64)
         before = np.where(first, np.uint64(1), np.concatenate((edge, data[:-1])))
         after = np.where(np.append(first[1:], True)[:len(data)], np.uint64(2), np.concatenate((data[1:], edge)))
         self.trigrams = (common.mixed((before << np.uint64(16)) | (data << np.uint64(8)) | after) >> np.uint64(64 - TRIGRAM_BITS)).astype(np.int64)
-        self.starts = distinct.offsets[:-1].copy()
-        self.lengths = np.diff(distinct.offsets)
+        self.starts = offsets[:-1].copy()
+        self.lengths = np.diff(offsets)
 
     def known(self, keys: np.ndarray) -> np.ndarray:
         """1 + the place of each distinct word among the sorted hashes ``keys``, 0 if it isn't there."""
