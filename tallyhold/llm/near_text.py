@@ -12,7 +12,7 @@ whose ends are not yet linked is compared, and the output grows with the members
 
 Null texts count as empty; a document without words has an empty set and links with nothing.  With fewer than SHINGLE
 words the whole sequence is the one shingle.  Repeated rows and equal texts are one class.  A component's id is its
-smallest id that isn't null.  An empty table gives an empty result; other columns are passed by.
+smallest id that isn't null; rows with a null id are not ``kept``.  An empty table gives an empty result; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ HASHES = BANDS * ROWS
 #: Signature values compared at a time, and the probability with which a pair at the limit may be lost by that.
 STEP, MISS = 24, 1e-4
 CHUNK = 200
+#: Rows of an Arrow batch: the sets of two very long texts may stand in one row.
+BATCH_ROWS = 100
+#: Bits of the sketch of the classes in shared buckets; others' sets and signatures are not looked at again.
+SKETCH_BITS = 25
 
 
 # ---- sets and signatures ------------------------------------------------------------------------
@@ -158,12 +162,12 @@ def signed(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(common.in_slices(make), f"id {kind}, row_key long, n_shingles long, c1 long, c2 long, signature binary")
 
 
-def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(class, values) of the classes in ``wanted``, from the texts of the rows that stand for them."""
-    rows = (documents.select(F.col(text).alias("text"), F.xxhash64(key, text).alias("class"))
-            .join(wanted, "class", "left_semi"))
+def full_sets(documents: DataFrame, sketch, key: str, text: str) -> DataFrame:
+    """(class, values) of the rows that may stand for a class in the sketch."""
+    rows = documents.select(F.xxhash64(key, text).alias("class"), F.col(text).alias("text"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(common.in_sketch(sketch.value, batch.column("class").to_numpy())))
         values, at = shingles(batch.column("text"))
         return pa.RecordBatch.from_arrays(
             [batch.column("class"), pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["class", "values"])
@@ -171,6 +175,14 @@ def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> D
     return rows.mapInArrow(common.in_slices(make), "class long, values binary")
 
 
+def in_buckets(signed_classes: DataFrame, sketch) -> DataFrame:
+    """The rows of (class, signature) that may be in the sketch."""
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(common.in_sketch(sketch.value, batch.column("class").to_numpy())))
+    return signed_classes.mapInArrow(keep, signed_classes.schema)
+
+
 def with_both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
     one = pairs.join(of.withColumnsRenamed({"class": "a", value: "of_a"}), "a")
     return one.join(of.withColumnsRenamed({"class": "b", value: "of_b"}), "b").select("a", "b", "of_a", "of_b")
@@ -179,14 +191,13 @@ def with_both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
 def _kept_pairs(decide):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):  # sets of very long texts
-                part = batch.slice(at, 200)
-                yield part.take(pa.array(decide(part), pa.int64())).select(["a", "b"])
+            yield batch.take(pa.array(decide(batch), pa.int64())).select(["a", "b"])
     return run
 
 
 def link(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``documents``: id, row_key, n_shingles, group (null without words), component_id, kept."""
+    common.ready(documents.sparkSession, BATCH_ROWS)
     rows = common.written(signed(documents, key, text), "near-rows")
     filled = rows.filter("n_shingles > 0")
     classes = common.written(filled.groupBy("c1", "c2").agg(F.min("row_key").alias("class"), F.min("id").alias("least")), "near-classes")
@@ -202,12 +213,15 @@ def link(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text
     buckets = common.written(bands.groupBy("bucket").agg(F.count("*").alias("m"), F.min("class").alias("pivot")).filter("m > 1"), "near-buckets")
     members = common.written(bands.join(buckets, "bucket"), "near-members")
 
+    shared = documents.sparkSession.sparkContext.broadcast(common.bit_sketch(members.select("class"), "class", SKETCH_BITS))
+    reps = in_buckets(reps, shared)
     star = members.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     hopeful = common.written(
         with_both(common.written(star, "near-star"), reps, "signature")
         .mapInArrow(_kept_pairs(lambda p: passing(common.stacked(p.column("of_a"), np.uint32), common.stacked(p.column("of_b"), np.uint32), percent)
                                 if p.num_rows else []), "a long, b long"), "near-hopeful")
-    sets = common.written(full_sets(documents, members.select("class").distinct(), key, text).dropDuplicates(["class"]), "near-sets")
+    sets = common.written(full_sets(documents, shared, key, text)
+                          .join(members.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "near-sets")
 
     def exact(part):
         return [i for i, (x, y) in enumerate(zip(part.column("of_a"), part.column("of_b")))
@@ -224,7 +238,7 @@ def link(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text
     single = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return (rows.select("id", "row_key", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"], "left")
             .select("id", "row_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("group")).alias("group"), single.alias("component_id"))
-            .withColumn("kept", F.col("id") == F.col("component_id")))
+            .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))))
 
 
 def without_near_copies(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,6 +319,5 @@ def unsettled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets
 
 
 def op10_near_text(spark: SparkSession, folder: str) -> DataFrame:
-    common.ready(spark)
     documents = common.table(spark, folder, "documents").select("doc_id", "text")
     return link(documents).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
