@@ -11,7 +11,7 @@ counts and a spanning forest, never all pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing.  Vectors of different lengths
 are compared as if zeros followed the shorter.  Repeated rows are one class and link with each other.  A component's id
-is its smallest id that isn't null.  An empty table gives an empty result; other columns are passed by.
+is its smallest id that isn't null; rows with a null id are not kept.  An empty table gives an empty result; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ def link(vectors: DataFrame, limit: float = LIMIT, key: str = "vec_id", vector:
     alone = (rows.filter(~F.col("usable")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return (good.select("id", "c1", "c2").join(of_class, ["c1", "c2"])
             .select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
-            .union(alone).withColumn("kept", F.col("id") == F.col("component_id")))
+            .union(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))))
 
 
 def compared(reps: DataFrame, index: Index, limit: float) -> tuple[DataFrame, DataFrame]:

@@ -39,7 +39,7 @@ def compare(spark, rows, schema="vec_id long, embedding array<float>"):
     got = near_vectors.link(df).collect()
     key = lambda x: (str(x[0]), x[1], str(x[2]))
     assert sorted(((r.id, r.n_links, r.component_id) for r in got), key=key) == sorted(brute(rows), key=key)
-    assert all(r.kept == (r.id == r.component_id) for r in got)
+    assert all(r.kept == (r.id is not None and r.id == r.component_id) for r in got)
 
 
 @pytest.mark.parametrize("chunk", [1024, 16])
