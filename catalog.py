@@ -317,10 +317,9 @@ def bars_upsert(spark, folder):
 
 @query
 def price_history_rows(spark, folder):
-    """Quarterly quote payloads written as JSON from the bars and parsed back, with dirty rows added."""
+    """Quarterly quote payloads of all bars, several per symbol, written as JSON and parsed back, with dirty rows added."""
     old = bars(spark, folder)
-    payload = old.groupBy(F.concat("symbol", F.lit("-"), F.year("price_date"), F.lit("q"), F.quarter("price_date"))
-                          .alias("symbol")).agg(F.collect_list(F.struct(
+    payload = old.groupBy("symbol", F.year("price_date"), F.quarter("price_date")).agg(F.collect_list(F.struct(
                               F.date_format("price_date", "MM/dd/yyyy").alias("date"),
                               F.concat(F.lit("$"), F.format_number("close", 2)).alias("close"))).alias("rows"))
     dirty = F.array(F.struct(F.lit("bad").alias("date"), F.lit("$1.00").alias("close")),
@@ -331,7 +330,7 @@ def price_history_rows(spark, folder):
     good = rows.select("symbol", F.lit("etf").alias("asset_class"), F.to_json("doc").alias("payload"))
     failed = rows.select("symbol", F.lit("stocks").alias("asset_class"),
                          F.lit('{"status":{"rCode":400},"data":null}').alias("payload"))
-    return plain(prices.parse_history(failed.unionByName(good), "1996-01-01", "2000-12-31"), digits=2)
+    return plain(prices.parse_history(failed.unionByName(good), "1990-01-01", "2010-12-31"), digits=2)
 
 
 # ---- signals ----------------------------------------------------------------------------------

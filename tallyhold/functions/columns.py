@@ -58,13 +58,21 @@ def date_label(c: Column) -> Column:
 def whole_number(c: Column) -> Column:
     """Non-negative integer written any decimal way (``10``, ``10.0``, ``1e3``); NULL when blank or invalid.
 
-    Plain digits take the cheap cast; only other spellings are parsed as decimals (a failed cast is slow).
+    Plain digits take the cheap cast.  Of other spellings the significant digits and their power of ten are taken
+    apart, so a fraction counts however far behind the point it stands.
     """
     text = strip(c)
-    exact = text.try_cast(T.DecimalType(38, 18))
-    whole = (exact == F.floor(exact)) & (exact >= 0) & (exact <= F.lit(fv.MAX_WHOLE_NUMBER))
+    form = r"^([+-]?)(?=\.?[0-9])([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,9}))?$"
+    sign, whole, part, power = (F.regexp_extract(text, form, k) for k in range(1, 5))
+    digits = F.ltrim(F.concat(whole, part), F.lit("0"))
+    kept = F.rtrim(digits, F.lit("0"))
+    exponent = F.coalesce(power.try_cast("bigint"), F.lit(0)) - F.length(part) + F.length(digits) - F.length(kept)
+    size = F.length(kept) + exponent
+    value = F.rpad(kept, F.least(size, F.lit(20)).cast("int"), F.lit("0")).try_cast(T.DecimalType(20, 0))
+    written = (F.when(~text.rlike(form), None).when(kept == "", F.lit(0).cast(T.DecimalType(20, 0)))
+               .when((sign != "-") & (exponent >= 0) & (size <= 19), value))
     return (F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("bigint"))
-            .when(text == "", None).otherwise(F.when(whole, exact.cast("long"))))
+            .when(text == "", None).when(written <= F.lit(fv.MAX_WHOLE_NUMBER), written.cast("long")))
 
 
 def bad_whole_number(c: Column) -> Column:
@@ -180,6 +188,5 @@ def display_name(c: Column) -> Column:
     """Company name without one trailing ratio note and one trailing share-class suffix."""
     original = F.coalesce(c, F.lit(""))
     kept = F.coalesce(F.nullif(collapse_spaces(original), F.lit("")), original)
-    suffix = fv.SHARE_CLASS_PATTERN.format(suffixes="|".join(fv.SHARE_CLASS_SUFFIXES))
-    cleaned = collapse_spaces(F.regexp_replace(F.regexp_replace(original, fv.RATIO_NOTE_PATTERN, ""), suffix, ""))
+    cleaned = collapse_spaces(F.regexp_replace(F.regexp_replace(original, fv.RATIO_NOTE_PATTERN, ""), fv.SHARE_CLASS_PATTERN, ""))
     return F.when(F.contains(F.lower(original), F.lit("preferred")) | (cleaned == ""), kept).otherwise(cleaned)

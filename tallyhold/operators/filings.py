@@ -186,7 +186,7 @@ def manager_dimension(quarters: DataFrame, watchlist: DataFrame | None = None) -
     named = latest.select("cik", name.alias("name"), F.col("latest.state_country").alias("state_country"))
     if watchlist is None:
         return named.withColumn("starred", F.lit(False))
-    marks = F.broadcast(watchlist.select("cik", F.lit(True).alias("starred")))
+    marks = watchlist.select("cik", F.lit(True).alias("starred"))
     return named.join(marks, "cik", "left").withColumn("starred", F.coalesce("starred", F.lit(False)))
 
 

@@ -1,90 +1,52 @@
-"""Exact median per group, safe for groups of any size.
-
-Spark's exact percentile keeps every distinct value of a group in one task, which is fine for ordinary
-groups and not for one that holds a third of all rows.  Groups above ``LARGE_GROUP`` rows are resolved by
-narrowing: count values per cell of a grid between the group's smallest and largest candidate, keep only
-the cells that hold the middle ranks, and repeat until few candidates are left.  Every step is a mergeable
-aggregate, and the number of large groups is at most (all rows / LARGE_GROUP).
+"""Exact median per group by one path, whatever the group's size.
+
+Spark's exact percentile keeps every distinct value of a group in one task.  Here the values are narrowed twice
+instead.  First, mergeable approximate percentiles bracket the middle: with ACCURACY counts per summary the two
+bounds hold both middle elements and a few values in ACCURACY.  Then BUCKETS approximate percentiles of the distinct
+values left cut them into buckets, whose counts tell which ones hold the middle.  The few values of these are put in
+order.  Every step is a mergeable aggregate or a splittable join, the number of steps is fixed, and only the order of
+values matters, so ties, zeros, and infinities need no rule of their own.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhold.session import stage
 
-LARGE_GROUP = 1_000_000
-CELLS = 4096
-
-
-def _middle_of_small_groups(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Row count plus lower and upper middle elements; equal for odd counts."""
-    low = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})")
-    high = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
-    return values.groupBy(*keys).agg(F.count("*").alias("rows"), low.alias("low"), high.alias("high"))
-
-
-def _narrow(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep the candidates in the grid cells that hold the two middle ranks.
-
-    ``counted`` has one row per distinct candidate: keys, ``x``, ``n`` (copies), and the group's ``rows``
-    and ``skipped`` (elements already known to be smaller).  The grid is logarithmic when all candidates
-    are positive and span more than a factor of two, else linear; any increasing map is exact.  The two
-    per-group tables are staged so that a hot group can be split in the joins with its candidates.
-    """
-    span = stage(counted.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1")), "median-span")
-    logs = (F.col("x0") > 0) & (F.col("x1") > 2 * F.col("x0"))
-    position = F.when(F.col("x0") == F.col("x1"), 0.0).when(
-        logs, (F.log("x") - F.log("x0")) / (F.log("x1") - F.log("x0"))
-    ).otherwise((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")))
-    gridded = counted.join(span, keys).withColumn(
-        "cell", F.least(F.floor(position * CELLS), F.lit(CELLS - 1)).cast("int"))
-    per_cell = gridded.groupBy(*keys, "rows", "skipped", "cell").agg(F.sum("n").alias("n"))
-    running = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per_cell.withColumn("upto", F.col("skipped") + F.sum("n").over(running)).withColumn(
-        "under", F.col("upto") - F.col("n"))
+ACCURACY = 10_000
+#: Distance of the bounds from the middle, as a share of the rows: four times the error that the accuracy allows.
+MARGIN = 4 / ACCURACY
+BUCKETS = 256
+
+
+def middle_values(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, rows, low, high``: the median is their mean.  ``values`` should be a written table: it is read twice."""
+    present = values.select(*keys, F.col(value).alias("x")).filter("x is not null")
+    bounds = stage(present.groupBy(*keys).agg(
+        F.count("*").alias("rows"), F.percentile_approx("x", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("b")), "median-bounds")
+    counted = present.groupBy(*keys, "x").agg(F.count("*").alias("n"))
+    near = stage(counted, "median-counts").join(bounds, keys).withColumn("side", F.when(F.col("x") < F.col("b")[0], 0).when(F.col("x") <= F.col("b")[1], 1))
+    skipped = stage(near.groupBy(*keys).agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("skipped")), "median-skipped")
+    candidates = stage(near.filter("side = 1").select(*keys, "x", "n", "rows"), "median-candidates")
+
+    cuts = stage(candidates.groupBy(*keys).agg(
+        F.percentile_approx("x", [i / BUCKETS for i in range(1, BUCKETS)], ACCURACY).alias("cuts")), "median-cuts")
+    bucketed = stage(candidates.join(cuts, keys).select(
+        *keys, "x", "n", "rows", F.size(F.filter("cuts", lambda cut: cut < F.col("x"))).alias("bucket")), "median-buckets")
+    sizes = bucketed.groupBy(*keys, "rows", "bucket").agg(F.sum("n").alias("of_bucket")).join(skipped, keys)
+    upto = F.col("skipped") + F.sum("of_bucket").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     first, last = F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
-    middle = (F.col("under") <= last) & (F.col("upto") > first)
-    chosen = stage(ranked.filter(middle).groupBy(*keys).agg(
-        F.min("cell").alias("cell0"), F.max("cell").alias("cell1"), F.min("under").alias("now_skipped")), "median-cells")
-    kept = gridded.join(chosen, keys).filter(F.col("cell").between(F.col("cell0"), F.col("cell1")))
-    return kept.select(*keys, "x", "n", "rows", F.col("now_skipped").alias("skipped"))
-
+    ranked = sizes.withColumn("upto", upto).withColumn("under", F.col("upto") - F.col("of_bucket"))
+    chosen = stage(ranked.filter((F.col("under") <= last) & (F.col("upto") > first)).select(*keys, "bucket", "under"), "median-chosen")
 
-def _middle_of_large_groups(values: DataFrame, keys: list[str], value: str, sizes: DataFrame, few: int) -> DataFrame:
-    counted = (values.groupBy(*keys, F.col(value).alias("x")).agg(F.count("*").alias("n"))
-               .join(sizes, keys).withColumn("skipped", F.lit(0).cast("long")))
-    counted = stage(counted, "median-candidates")
-    while not counted.groupBy(*keys).agg(
-            F.count("*").alias("candidates"), (F.min("x") < F.max("x")).alias("spread")).filter(
-            (F.col("candidates") > few) & F.col("spread")).isEmpty():
-        counted = stage(_narrow(counted, keys), "median-candidates")
-    running = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.col("skipped") + F.sum("n").over(running))
-    first, last = F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
-    return ranked.groupBy(*keys).agg(
+    inside = Window.partitionBy(*keys, "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = bucketed.join(chosen, [*keys, "bucket"]).withColumn("upto", F.col("under") + F.sum("n").over(inside))
+    return placed.groupBy(*keys).agg(
         F.max("rows").alias("rows"), F.min(F.when(F.col("upto") > first, F.col("x"))).alias("low"),
         F.min(F.when(F.col("upto") > last, F.col("x"))).alias("high"))
 
 
-def middle_values(values: DataFrame, keys: list[str], value: str, *, large: int = LARGE_GROUP) -> DataFrame:
-    """``keys, rows, low, high``: the median is their mean.  ``values`` should be a written table: it is
-    read once to find large groups and once more to resolve the groups."""
-    present = values.select(*keys, value).filter(F.col(value).isNotNull())
-    sizes = present.groupBy(*keys).agg(F.count("*").alias("rows")).filter(F.col("rows") > large)
-    if sizes.isEmpty():
-        return _middle_of_small_groups(present, keys, value)
-    # At most (all rows / large) groups, a list of keys and counts only.
-    sizes = stage(sizes, "median-large-groups")
-    ordinary = present.join(sizes, keys, "left_anti")
-    huge = present.join(sizes.select(*keys), keys, "left_semi")
-    return reduce(DataFrame.unionByName, [
-        _middle_of_small_groups(ordinary, keys, value),
-        _middle_of_large_groups(huge, keys, value, sizes, min(large, 100_000))])
-
-
 def median(low, high):
     return (low + high) / 2.0

@@ -21,21 +21,23 @@ _PRICE_COLUMNS = ("price", "price_date", "day_change", "ytd_change")
 def parse_history(payloads: DataFrame, first_day: str, last_day: str) -> DataFrame:
     """Bars from landed price-history payloads (``symbol, asset_class, payload``).
 
-    The stock route is preferred; the fund route counts only where the stock route did not succeed.  Rows
-    with a bad date or close, or outside the window, are dropped; the last row of a date wins.
+    The stock route is preferred; the fund route counts only where the stock route did not succeed.  All payloads
+    of a symbol's route count.  Rows with a bad date or close, or outside the window, are dropped.  The last row of
+    a date wins: that of the greatest ``landed`` (if the payloads have such a column), then the last of its payload,
+    then the higher close.
     """
-    parsed = payloads.select("symbol", "asset_class", F.from_json("payload", _HISTORY).alias("p"))
+    landed = F.col("landed") if "landed" in payloads.columns else F.lit(0)
     route = F.when(F.col("asset_class") == "stocks", 0).otherwise(1)
-    best = (parsed.filter(F.col("p.status.rCode") == 200)
-            .groupBy("symbol").agg(F.min(F.struct(route.alias("route"), F.col("p.data.tradesTable.rows").alias("rows")))
-                                   .alias("best")))
-    rows = best.select("symbol", F.posexplode("best.rows").alias("at", "row"))
+    good = payloads.select("symbol", route.alias("route"), landed.alias("landed"), F.from_json("payload", _HISTORY).alias("p")).filter(
+        F.col("p.status.rCode") == 200)
+    best = good.groupBy("symbol").agg(F.min("route").alias("route"))
+    rows = good.join(best, ["symbol", "route"]).select("symbol", "landed", F.posexplode("p.data.tradesTable.rows").alias("at", "row"))
     typed = rows.select(
-        "symbol", "at", F.try_to_date(F.col("row.date"), "M/d/yyyy").alias("price_date"),
+        "symbol", "landed", "at", F.try_to_date(F.col("row.date"), "M/d/yyyy").alias("price_date"),
         C.closing_price(F.col("row.close")).alias("close"))
     kept = typed.filter(F.col("close").isNotNull() & F.col("price_date").between(
         F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
-    return conform(kept.groupBy("symbol", "price_date").agg(F.max_by("close", "at").alias("close")), BARS)
+    return conform(kept.groupBy("symbol", "price_date").agg(F.max_by("close", F.struct("landed", "at", "close")).alias("close")), BARS)
 
 
 def merge_bars(current: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -78,7 +80,9 @@ def load_price_cache(spark: SparkSession, path: str) -> PriceCache:
     if usable:
         try:
             stated = {row.key: row.value for row in spark.read.parquet(f"{path.rstrip('/')}/metadata").filter(
-                F.col("key").isin("mark_date", "source")).collect()}
+                F.col("key").isin("mark_date", "source", "available")).collect()}
+            if stated.get("available") == "0":
+                return PriceCache(spark.createDataFrame([], BARS), False)
             return PriceCache(bars, True, stated.get("mark_date", ""), stated.get("source", ""))
         except Exception:  # bars without metadata are not a finished price table
             pass
@@ -86,9 +90,15 @@ def load_price_cache(spark: SparkSession, path: str) -> PriceCache:
 
 
 def mark_date(bars: DataFrame, stated: str = "") -> dt.date | None:
-    """The stated mark date when it is an ISO date, else the latest bar date.  Runs one small aggregate."""
+    """The stated mark date when it has the form of an ISO date, else the latest bar date (one small aggregate).
+
+    A stated day that no calendar has prices nothing.
+    """
     if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", stated or ""):
-        return dt.date.fromisoformat(stated)
+        try:
+            return dt.date.fromisoformat(stated)
+        except ValueError:
+            return None
     return bars.agg(F.max("price_date")).first()[0]
 
 

@@ -116,8 +116,8 @@ def resolve_results(securities: DataFrame, results: DataFrame, *, exchange: str,
     failed = (error != "") & F.col("data").isNull()
     status = (F.when(~valid, "invalid_cusip")
               .when(failed & missing, "not_found").when(failed, "rejected")
-              .when(F.size("rows") == 0, "not_found")
-              .when(F.size("considered") == 0, "figi_mismatch")
+              .when(F.coalesce(F.size("data"), F.lit(0)) <= 0, "not_found")
+              .when((figi != "") & (F.size("considered") == 0), "figi_mismatch")
               .when(F.col("first_ticker").isNull(), "no_ticker")
               .when(F.col("first_ticker") == F.col("last_ticker"), "resolved").otherwise("ambiguous"))
     joined = base.join(tickers, "cusip", "left").withColumn("status", status)

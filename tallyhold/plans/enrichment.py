@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhold.operators import quality, resolve, rollups
-from tallyhold.session import stage
+from tallyhold.session import configure, scanned_bytes, stage
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,8 @@ def enrich(tables: dict[str, DataFrame], records: DataFrame, overrides: DataFram
            limit: int, results: DataFrame | None = None, identities: DataFrame | None = None,
            refresh: bool = False) -> Enrichment:
     """Run one enrichment round.  Record tables are staged between rounds of joins."""
+    spark = tables["periods"].sparkSession
+    configure(spark, scanned_bytes(tables["securities"], tables["security_period_stats"], records))
     latest = tables["periods"].agg(F.max("period")).first()[0]
     securities = stage(resolve.normalised_securities(rollups.security_relevance(
         tables["securities"], tables["security_period_stats"], latest)), "relevant_securities")

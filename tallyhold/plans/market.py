@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyhold import fixed_values as fv
 from tallyhold.operators import filings, positions, prices, quality, signals
 from tallyhold.schemas import BARS, TABLES, conform
-from tallyhold.session import configure, stage
+from tallyhold.session import configure, scanned_bytes, stage
 
 
 def refresh_bars(spark: SparkSession, tables: dict[str, DataFrame], trusted: DataFrame, payloads: DataFrame,
@@ -20,7 +20,7 @@ def refresh_bars(spark: SparkSession, tables: dict[str, DataFrame], trusted: Dat
     ``payloads``: ``symbol, asset_class, payload``.  The metadata is written last, and only when enough
     symbols close on the mark date, so an unfinished version is never used.
     """
-    configure(spark)
+    configure(spark, scanned_bytes(tables["positions"], payloads))
     targets = stage(signals.price_targets(tables["positions"], tables["securities"], trusted), "price_targets")
     first_day = tables["periods"].agg(F.min("period")).first()[0]
     wanted = payloads.join(targets, "symbol", "left_semi")
@@ -50,10 +50,11 @@ def refresh_bars(spark: SparkSession, tables: dict[str, DataFrame], trusted: Dat
 def build_signals(spark: SparkSession, tables: dict[str, DataFrame], trusted: DataFrame, bars: DataFrame,
                   mark: dt.date, output: str) -> dict[str, DataFrame]:
     """Write fund scores and scope values with their policy metadata; returns readers of what was written."""
-    configure(spark)
+    configure(spark, scanned_bytes(tables["positions"], bars))
     context = stage(filings.manager_context(
         tables["manager_periods"], tables["periods"], tables["manager_period_stats"]), "context")
-    wide = positions.with_context(tables["positions"], context)
+    # The only join of the facts; everything after it reads the share positions it leaves.
+    wide = stage(signals.share_positions(positions.with_context(tables["positions"], context)), "wide_positions")
     made = signals.signal_tables(wide, context, tables["manager_period_stats"], trusted, bars, mark)
     for name in ("fund_scores", "scope_values"):
         conform(made[name], TABLES[name]).write.parquet(f"{output.rstrip('/')}/{name}")

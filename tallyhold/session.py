@@ -26,9 +26,9 @@ SETTINGS = {
 }
 
 
-# Shuffles start with one partition per this much stored input (a hundred terabytes give about 200,000);
-# adaptive execution merges the ones that turn out small.
-PARTITION_BYTES = 512 * 1024 * 1024
+# One rule for every job: shuffles start with one partition per this much stored input (compressed columns grow when
+# they are decoded); adaptive execution merges the ones that turn out small.
+PARTITION_BYTES = 256 * 1024 * 1024
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -48,6 +48,16 @@ def configure(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
     return spark
 
 
+def scanned_bytes(*frames: DataFrame) -> int:
+    """Stored size of the tables that the frames scan, as far as Spark knows it."""
+    total = 0
+    for frame in frames:
+        leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+        total += sum(size for size in sizes if size < 1 << 60)  # what Spark doesn't know counts as huge there
+    return total
+
+
 def staging_root(spark: SparkSession) -> str:
     """Folder for staged tables: the cluster's checkpoint folder, or a fresh temporary one in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

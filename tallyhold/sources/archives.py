@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import fnmatch
 import io
+import re
 import zipfile
 
 import pyarrow as pa
@@ -29,14 +30,14 @@ def list_archives(location: str) -> list[str]:
     info = system.get_file_info(path)
     if info.type == pafs.FileType.File:
         return [location]
-    scheme = location.split("://", 1)[0] + "://" if "://" in location else ""
     found = system.get_file_info(pafs.FileSelector(path))
-    names = [item.path for item in found if fnmatch.fnmatch(item.base_name, ARCHIVE_GLOB)]
-    return [scheme + name for name in sorted(names)]
+    # Arrow's paths have no scheme, host, or account; the archive keeps the spelling of its folder, which Spark needs too.
+    return sorted(f"{location.rstrip('/')}/{item.base_name}" for item in found if fnmatch.fnmatch(item.base_name, ARCHIVE_GLOB))
 
 
 def _located(path: str):
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    """File system and inner path; Spark's ``s3a`` and ``s3n`` are Arrow's ``s3``."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path)) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 def _open(path: str):

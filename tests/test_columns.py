@@ -22,11 +22,12 @@ def test_dates(spark):
 
 def test_whole_numbers(spark):
     texts = ["10", "10.0", "1e3", " 7 ", "", None, "1.5", "-1", "NaN", "abc", "9000000000000000000", "9000000000000000001",
-             "10.0000001"]
+             "10.0000001", "1.0000000000000000001", "1." + "0" * 40, "1.5e1", "150e-1", "15e-1", "-0.0", "0e99", "1e30", ".5", "5.", ".", "+12"]
     assert apply(spark, C.whole_number, texts) == [
-        10, 10, 1000, 7, None, None, None, None, None, None, 9_000_000_000_000_000_000, None, None]
+        10, 10, 1000, 7, None, None, None, None, None, None, 9_000_000_000_000_000_000, None, None, None, 1, 15, 15, None, 0, 0, None, None, 5, None, 12]
     assert apply(spark, C.bad_whole_number, texts) == [
-        False, False, False, False, False, False, True, True, True, True, False, True, True]
+        False, False, False, False, False, False, True, True, True, True, False, True, True, True, False, False, False, True, False, False, True, True,
+        False, True, False]
 
 
 def test_finite_numbers(spark):

@@ -128,17 +128,20 @@ K = [f"{i:09d}" for i in range(20)]
 def test_every_lookup_status(spark):
     listed = resolve.normalised_securities(securities(spark, [
         (K[0], "A", "", "", 1), (K[1], "A", "f1", "", 1), (K[2], "A", "f1", "", 1), (K[3], "A", "", "", 1), (K[4], "A", "", "", 1),
-        (K[5], "A", "", "", 1), (K[6], "A", "", "", 1), ("short", "A", "", "", 1), (K[7], "A", "f1", "", 1), (K[8], "A", "", "", 1)]))
+        (K[5], "A", "", "", 1), (K[6], "A", "", "", 1), ("short", "A", "", "", 1), (K[7], "A", "f1", "", 1), (K[8], "A", "", "", 1),
+        (K[9], "A", "f1", "", 1), (K[10], "A", "", "", 1)]))
     answer = "cusip string, error string, data array<struct<ticker:string,figi:string>>"
     results = spark.createDataFrame([
         (K[0], None, [(" aapl ", "f1"), ("AAPL", "f2")]), (K[1], None, [("aapl", "f1"), ("other", "f2")]),
         (K[2], None, [("aapl", "f9"), ("b", "f3"), (None, None)]), (K[3], None, [("a", "f1"), ("b", "f2")]), (K[4], None, [("", "f1")]),
         (K[5], "No identifier found.", None), (K[6], "Bad request", None), ("SHORT", None, [("x", "f")]), (K[7], None, []),
-        (K[8], "warned", [("ok", "f1")])], answer)
+        (K[8], "warned", [("ok", "f1")]), (K[9], None, [None]), (K[10], None, [None])], answer)
     got = {r.cusip: r for r in resolve.resolve_results(listed, results, exchange="US", checked_at="now").collect()}
     assert {k: r.openfigi_status for k, r in got.items()} == {
         K[0]: "resolved", K[1]: "resolved", K[2]: "figi_mismatch", K[3]: "ambiguous", K[4]: "no_ticker", K[5]: "not_found",
-        K[6]: "rejected", "SHORT": "invalid_cusip", K[7]: "not_found", K[8]: "resolved"}
+        K[6]: "rejected", "SHORT": "invalid_cusip", K[7]: "not_found", K[8]: "resolved",
+        # Answers without a usable row are answers all the same.
+        K[9]: "figi_mismatch", K[10]: "no_ticker"}
     assert (got[K[0]].ticker, got[K[0]].source, got[K[0]].matched_figis) == ("AAPL", "openfigi", ["F1", "F2"])
     assert (got[K[1]].ticker, got[K[1]].result_count, got[K[1]].considered_count) == ("AAPL", 2, 1)
     assert (got[K[2]].ticker, got[K[2]].returned_figis) == (None, ["F3", "F9"])

@@ -114,15 +114,15 @@ def test_fresh_initiations(golden):
 
 def test_initiations_direction_compares_with_the_prior_quarter(spark, golden):
     extra = [(G.D[q], f"1000{n}X104", 1, 0.01, 1.0, count)
-             for n, (old, new) in enumerate([(3, 1), (2, 2), (1, 4)]) for q, count in ((1, old), (2, new))]
+             for n, (old, new) in enumerate([(6, 5), (3, 3), (0, 7)]) for q, count in ((1, old), (2, new))]
     t = dict(golden)
     t["security_weight_stats"] = golden["security_weight_stats"].unionByName(
         spark.createDataFrame(extra, TABLES["security_weight_stats"]))
     t["securities"] = golden["securities"].unionByName(spark.createDataFrame(
-        [(f"1000{n}X104", name + " CORP", "COM", "", name) for n, name in enumerate(("FEWER", "SAME", "MORE"))],
+        [(f"1000{n}X104", name + " CORP", "COM", "", name) for n, name in enumerate(("COOLING", "STEADY", "FIRST"))],
         TABLES["securities"]))
     assert shown(ask(t, view="initiations"), "ticker", "metric", "direction") == [
-        ("MORE", 4, "up"), ("SAME", 2, "flat"), ("MSFT", 1, "up"), ("FEWER", 1, "down")]
+        ("FIRST", 7, "up"), ("COOLING", 5, "down"), ("STEADY", 3, "flat"), ("MSFT", 1, "up")]
 
 
 @pytest.mark.parametrize("horizon,side,expected", [
@@ -136,19 +136,18 @@ def test_top_movers(golden, horizon, side, expected):
     assert view.count() == len(expected)
 
 
-def test_exited_flat_and_unmapped_securities(spark, golden):
-    extra = [(G.D[0], "12345X104", 1, 0.05, 5.0, 0), (G.D[1], "12345X104", 1, 0.125, 12.5, 0),
-             (G.D[1], "22345X104", 1, 0.09, 9.0, 0), (G.D[2], "22345X104", 1, 0.09, 9.0, 0)]
+def test_sold_out_unchanged_and_unmapped_securities(spark, golden):
+    extra = [(G.D[1], "70001A109", 2, 0.42, 21.0, 0), (G.D[1], "70002A109", 1, 0.04, 4.0, 0), (G.D[2], "70002A109", 1, 0.04, 4.0, 0)]
     t = dict(golden)
     t["security_weight_stats"] = golden["security_weight_stats"].unionByName(
         spark.createDataFrame(extra, TABLES["security_weight_stats"]))
     t["securities"] = golden["securities"].unionByName(spark.createDataFrame(
-        [("12345X104", "EXIT CORP", "COM", "", ""), ("22345X104", "FLAT CORP", "COM", "", "FLAT")], TABLES["securities"]))
+        [("70001A109", "SOLD OUT LTD", "ORD", "", ""), ("70002A109", "CALM WATERS", "ORD", "", "CALM")], TABLES["securities"]))
     losers = ask(t, view="movers", side="losers", unmapped="include")
-    assert shown(losers, "ticker", "metric", "holders") == [("AAPL", -30.7075, 1), ("", -12.5, 0), ("TSLA", -11.0256, 1)]
+    assert shown(losers, "ticker", "metric", "holders") == [("AAPL", -30.7075, 1), ("", -21.0, 0), ("TSLA", -11.0256, 1)]
     assert shown(ask(t, view="movers", side="losers"), "ticker") == [("AAPL",), ("TSLA",)]
-    assert ("FLAT",) not in shown(ask(t, view="movers"), "ticker")
-    assert ("FLAT", "flat") in shown(ask(t), "ticker", "direction")
+    assert ("CALM",) not in shown(ask(t, view="movers"), "ticker")
+    assert ("CALM", "flat") in shown(ask(t), "ticker", "direction")
 
 
 def test_single_period(spark):
@@ -204,6 +203,7 @@ def test_mark_date_rules(spark, tmp_path):
     some = bars(spark, BARS_ROWS)
     assert prices.mark_date(some, "2026-01-14") == dt.date(2026, 1, 14)
     assert prices.mark_date(some, "not-a-date") == dt.date(2026, 1, 15)
+    assert prices.mark_date(some, "2025-13-45") is None
     empty, usable = prices.load_bars(spark, str(tmp_path / "missing"))
     assert (usable, empty.count(), prices.mark_date(empty)) == (False, 0, None)
     some.drop("close").write.parquet(str(tmp_path / "no_close"))
@@ -213,12 +213,13 @@ def test_mark_date_rules(spark, tmp_path):
 
 
 def test_year_to_date_base_must_fall_in_december(spark):
-    rows = spark.createDataFrame([("a", "XYZ"), ("b", "NEW"), ("c", "")], "cusip string, ticker string")
-    found = bars(spark, [("XYZ", "2025-06-30", 100.0), ("XYZ", "2026-01-15", 120.0), ("NEW", "2026-01-15", 50.0),
-                         ("", "2026-01-15", 1.0)])
+    """QA has no December close, QB opens on the mark date, QC has one; a blank ticker is never priced."""
+    rows = spark.createDataFrame([("1", "QA"), ("2", "QB"), ("3", "QC"), ("4", "")], "cusip string, ticker string")
+    found = bars(spark, [("QA", "2024-11-29", 80.0), ("QA", "2025-03-03", 100.0), ("QB", "2025-03-03", 7.0), ("QC", "2024-12-30", 40.0),
+                         ("QC", "2025-02-28", 48.0), ("QC", "2025-03-03", 60.0), ("", "2025-03-03", 3.0)])
     got = {r.cusip: (r.price, r.day_change, r.ytd_change)
-           for r in prices.with_prices(rows, found, dt.date(2026, 1, 15)).collect()}
-    assert got == {"a": (120.0, 20.0, None), "b": (50.0, None, None), "c": (None, None, None)}
+           for r in prices.with_prices(rows, found, dt.date(2025, 3, 3)).collect()}
+    assert got == {"1": (100.0, 25.0, None), "2": (7.0, None, None), "3": (60.0, 25.0, 50.0), "4": (None, None, None)}
 
 
 def test_options_are_checked():

@@ -48,9 +48,9 @@ def test_shuffles_grow_with_the_input(spark):
     configure(spark, 10_000)
     assert spark.conf.get(key, None) is None
     configure(spark, 100 * 10**12)
-    assert int(spark.conf.get(key)) == 186_265
+    assert int(spark.conf.get(key)) == 372_530
     configure(spark, 10_000)
-    assert int(spark.conf.get(key)) == 186_265
+    assert int(spark.conf.get(key)) == 372_530
     spark.conf.unset(key)
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import random
 import statistics
 
@@ -27,16 +28,17 @@ def test_asof_lookups(spark):
     assert got == {"2025-01-01": (None, 1.0), "2025-01-02": (1.0, 2.0), "2025-01-04": (1.0, 2.0), "2025-01-05": (2.0, None)}
 
 
-@pytest.mark.parametrize("large", [10, 10_000])
-def test_median_of_any_group_size(spark, large):
-    """One group holds a third of the rows, with heavy ties; both paths agree with a direct median."""
+def test_median_of_any_group_size(spark):
+    """One group holds a third of the rows; ties, zeros, and infinities; the same path gives every median."""
     rng = random.Random(3)
     rows = [("hot", rng.choice([1.0, 1.0, 1.0, rng.lognormvariate(0, 3)])) for _ in range(3001)]
     rows += [("even", rng.uniform(-5, 5)) for _ in range(1000)] + [("same", 4.0)] * 500
     rows += [("zeros", 0.0)] * 30 + [("zeros", 1e-300)] * 30 + [("wide", 10.0 ** e) for e in range(-150, 150)]
+    rows += [("endless", float(v)) for v in range(1, 1001)] + [("endless", float("inf")), ("all", float("inf")), ("both", float("-inf")), ("both", 1.0), ("both", float("inf"))]
+    rows += [("long", float(v % 50_021)) for v in range(120_000)]
     rows += [(f"g{i}", rng.random()) for i in range(1500) for _ in range(1 + i % 3)] + [("none", None)]
     values = spark.createDataFrame(rows, "k string, v double").repartition(7)
-    got = {r.k: (r.rows, r.m) for r in median.middle_values(values, ["k"], "v", large=large).select(
+    got = {r.k: (r.rows, r.m) for r in median.middle_values(values, ["k"], "v").select(
         "k", "rows", median.median(F.col("low"), F.col("high")).alias("m")).collect()}
     groups = {}
     for key, value in rows:
@@ -61,128 +63,61 @@ def test_trusted_tickers_and_targets(spark):
 
 
 def test_history_payloads(spark):
-    ok = ('{"status":{"rCode":200},"data":{"tradesTable":{"rows":[{"date":"08/26/2026","close":"$766.08"},'
-          '{"date":"08/25/2026","close":"$1.00"},{"date":"08/25/2026","close":"$770.10"},{"date":"08/10/2026","close":"$1.00"},'
-          '{"date":"bad","close":"$1.00"},{"date":"08/24/2026","close":"N/A"}]}}}')
-    bad = '{"status":{"rCode":400},"data":null}'
-    payloads = spark.createDataFrame([("SPY", "stocks", bad), ("SPY", "etf", ok), ("GONE", "stocks", bad)],
-                                     "symbol string, asset_class string, payload string")
-    got = sorted((r.symbol, r.price_date.isoformat(), r.close)
-                 for r in prices.parse_history(payloads, "2026-08-17", "2026-08-26").collect())
-    assert got == [("SPY", "2026-08-25", 770.1), ("SPY", "2026-08-26", 766.08)]
-
-
-def close_on_or_before(rows, symbol, when):
-    found = [(d, c) for s, d, c in rows if s == symbol and d <= when]
-    return max(found)[1] if found else None
-
-
-def factor_of(ratio):
-    import math
-    best = min(fv.SPLIT_FACTORS, key=lambda f: abs(math.log(ratio / f)))
-    return best if abs(ratio / best - 1) <= fv.SPLIT_TOLERANCE else None
-
-
-def direct_scores(held, quarters, trusted, rows, mark):
-    """Scores worked out position by position in plain Python."""
-    factors = {}
-    for period in {p for _, p, _ in held}:
-        for cusip, ticker in trusted.items():
-            close = close_on_or_before(rows, ticker, period)
-            ratios = [v / s / close for (m, p, c), (v, s) in held.items()
-                      if p == period and c == cusip and s and v and close]
-            if ratios and (factor := factor_of(statistics.median(ratios))) is not None:
-                factors[period, cusip] = factor
-    scores, periods = {}, sorted({p for _, p in quarters})
-    for old, new in zip(periods, periods[1:]):
-        for m in {m for m, p in quarters if p == new}:
-            status, filed = quarters[m, new]
-            comparable = status == "COMPLETE" and quarters.get((m, old), ("", None))[0] == "COMPLETE"
-            n = {"candidate": 0, "eligible": 0, "priced": 0, "hits": 0, "pnl": 0.0, "gross": 0.0}
-            for c in {c for mm, p, c in held if mm == m and p in (old, new)} if comparable else ():
-                now, then = held.get((m, new, c)), held.get((m, old, c))
-                f_now = factors.get((new, c)) if now else 1.0
-                f_then = factors.get((old, c)) if then else 1.0
-                a, b = (now[1] if now else 0.0), (then[1] if then else 0.0)
-                if f_now is None or f_then is None:
-                    n["candidate"] += abs(a - b) > 1e-8
-                    continue
-                delta = a * f_now - b * f_then
-                if abs(delta) <= max(1e-8, max(abs(a * f_now), abs(b * f_then)) * 1e-9):
-                    continue
-                n["candidate"] += 1
-                if c not in trusted:
-                    continue
-                n["eligible"] += 1
-                later = sorted((d, x) for s, d, x in rows if s == trusted[c] and d > filed)
-                final = [x for s, d, x in rows if s == trusted[c] and d == mark]
-                if not later or not final or later[0][0] > mark:
-                    continue
-                pnl = delta * (final[0] - later[0][1])
-                n["priced"] += 1
-                n["hits"] += pnl > 0
-                n["pnl"] += pnl
-                n["gross"] += abs(delta) * later[0][1]
-            scores[m, new] = n
-    return scores, factors
-
-
-def test_scores_match_a_direct_computation(spark):
-    rng = random.Random(11)
-    periods = [dt.date(2024, 12, 31), dt.date(2025, 3, 31), dt.date(2025, 6, 30)]
-    mark = dt.date(2025, 12, 1)
-    cusips = [f"C{i:08d}" for i in range(40)]
-    trusted = {c: f"T{i}" for i, c in enumerate(cusips) if i % 5}
-    rows = [(f"T{i}", day, round(rng.uniform(5, 50), 2)) for i in range(40)
-            for day in [dt.date(2024, 12, 1) + dt.timedelta(days=9 * k) for k in range(35)] + [mark] if rng.random() < 0.9]
-    rows = list({(s, d): (s, d, c) for s, d, c in rows}.values())
-    split = {i: rng.choice([1.0, 1.0, 2.0, 0.5]) for i in range(40)}
-    quarters, held = {}, {}
-    for m in range(30):
-        for p in periods:
-            if rng.random() < 0.95:
-                quarters[G.cik(m), p] = (rng.choice(["COMPLETE"] * 6 + ["PARTIAL"]), p + dt.timedelta(days=45))
-                for i, c in enumerate(cusips):
-                    if rng.random() < 0.6:
-                        shares = float(rng.choice([100, 200, 200, 350]))
-                        close = close_on_or_before(rows, f"T{i}", p) or 10.0
-                        scale = 0.001 if m == 3 else 1.0
-                        held[G.cik(m), p, c] = (int(shares * close * split[i] * 1000 * scale * rng.uniform(0.99, 1.01)), shares * 1000)
-    t = {"periods": spark.createDataFrame([(p, "", "") for p in periods], "period date, label string, source_archive string"),
-         "quarters": spark.createDataFrame([(m, p, s, f) for (m, p), (s, f) in quarters.items()],
-                                           "cik string, period date, coverage_status string, filing_date date")}
+    def payload(code, *quotes):
+        return json.dumps({"status": {"rCode": code}, "data": {"tradesTable": {"rows": [{"date": d, "close": c} for d, c in quotes]}}})
+
+    first = payload(200, ("01/09/2025", "$10.50"), ("01/09/2025", "$11.25"), ("01/06/2024", "$1.00"), ("soon", "$2.00"), ("01/10/2025", "-"))
+    second = payload(200, ("04/02/2025", "$1,012.00"), ("01/09/2025", "$99.00"))
+    rows = [("FUND", "stocks", payload(404), 1), ("FUND", "etf", second, 1), ("FUND", "etf", first, 2),
+            ("FIRM", "stocks", first, 1), ("FIRM", "stocks", second, 2), ("FIRM", "etf", payload(200, ("02/03/2025", "$5.00")), 9), ("NONE", "etf", payload(500), 1)]
+    payloads = spark.createDataFrame(rows, "symbol string, asset_class string, payload string, landed int")
+    got = sorted((r.symbol, r.price_date.isoformat(), r.close) for r in prices.parse_history(payloads, "2025-01-01", "2025-12-31").collect())
+    # Both payloads of a route count; where they overlap, the one that landed last.
+    assert got == [("FIRM", "2025-01-09", 99.0), ("FIRM", "2025-04-02", 1012.0), ("FUND", "2025-01-09", 11.25), ("FUND", "2025-04-02", 1012.0)]
+
+
+def test_scores_and_scales_worked_by_hand(spark):
+    """Managers A, C, D hold the same; B reports the same kinds of holdings in thousands.
+
+    At both quarter ends T1 closes at 10, T2 at 20, T4 at 5, T5 at 10.  After the filing T1 is at 12 and ends at 15,
+    T2 goes from 20 to 25, T4 from 5 to 4.  S3 has no ticker.  S5 is reported at 20 a share before its split.
+    """
     from tallyhold.operators import filings, positions, rollups
-    plain = spark.createDataFrame([(m, p, c, 0, 0, v, s) for (m, p, c), (v, s) in held.items()],
+    old, new, mark = dt.date(2025, 3, 31), dt.date(2025, 6, 30), dt.date(2025, 12, 1)
+    filed = {old: dt.date(2025, 5, 15), new: dt.date(2025, 8, 14)}
+    held = []
+    for m in "ACD":
+        held += [(m, old, "S1", 1000, 100.0), (m, new, "S1", 1500, 150.0), (m, old, "S2", 4000, 200.0), (m, new, "S2", 2400, 120.0),
+                 (m, old, "S3", 70, 10.0), (m, new, "S3", 210, 30.0), (m, old, "S4", 200, 40.0), (m, old, "S5", 200, 10.0), (m, new, "S5", 200, 20.0)]
+    for period in (old, new):
+        held += [("B", period, "S1", 1000, 100_000.0), ("B", period, "S2", 4000, 200_000.0), ("B", period, "S4", 2000, 400_000.0)]
+    quarters = [(m, p, "COMPLETE", filed[p]) for m in "ABCD" for p in (old, new)]
+    plain = spark.createDataFrame([(m, p, c, 0, 0, v, s) for m, p, c, v, s in held],
                                   "cik string, period date, cusip string, position_type int, shares_type int, value bigint, shares double")
-    stats = rollups.manager_period_stats(t["quarters"], plain)
-    context = filings.manager_context(t["quarters"], t["periods"], stats)
-    wide = positions.with_context(plain, context)
-    trust = spark.createDataFrame(list(trusted.items()), "cusip string, ticker string")
-    made = signals.signal_tables(wide, context, stats, trust, spark.createDataFrame(rows, BARS), mark)
-    expected, factors = direct_scores(held, quarters, trusted, rows, mark)
-    got_factors = {(r.period, r.cusip): r.factor for r in made["split_factors"].filter("factor is not null").collect()}
-    assert got_factors == pytest.approx(factors)
-    assert len(factors) > 60
-    rankable = 0
-    for r in made["fund_scores"].collect():
-        if r.period == periods[0]:
-            assert (r.reason, r.candidate_events, r.previous_period) == (fv.REASON_OLDEST, 0, None)
-            continue
-        want = expected[r.cik, r.period]
-        assert (r.candidate_events, r.eligible_events, r.priced_events, r.hit_events) == (
-            want["candidate"], want["eligible"], want["priced"], want["hits"])
-        if want["gross"]:
-            assert r.gross_notional == pytest.approx(want["gross"])
-            assert r.raw_signal_pnl == pytest.approx(want["pnl"])
-        rankable += r.rankable
-        assert r.rankable == (r.reason == "")
-        assert (r.signal_return is None) == (not r.rankable)
-    assert rankable > 0
+    quarters = spark.createDataFrame(quarters, "cik string, period date, coverage_status string, filing_date date")
+    periods = spark.createDataFrame([(p, "", "") for p in (old, new)], "period date, label string, source_archive string")
+    rows = [(t, d, c) for t, c in (("T1", 10.0), ("T2", 20.0), ("T4", 5.0), ("T5", 10.0)) for d in (dt.date(2025, 3, 28), new)]
+    rows += [("T1", dt.date(2025, 8, 15), 12.0), ("T1", mark, 15.0), ("T2", dt.date(2025, 8, 18), 20.0), ("T2", mark, 25.0),
+             ("T4", dt.date(2025, 8, 15), 5.0), ("T4", mark, 4.0), ("T5", mark, 11.0)]
+    trusted = spark.createDataFrame([("S1", "T1"), ("S2", "T2"), ("S4", "T4"), ("S5", "T5")], "cusip string, ticker string")
+    stats = rollups.manager_period_stats(quarters, plain)
+    context = filings.manager_context(quarters, periods, stats)
+    made = signals.signal_tables(positions.with_context(plain, context), context, stats, trusted, spark.createDataFrame(rows, BARS), mark)
+
+    factors = {(r.period, r.cusip): r.factor for r in made["split_factors"].collect()}
+    assert factors == {(old, "S1"): 1.0, (new, "S1"): 1.0, (old, "S2"): 1.0, (new, "S2"): 1.0, (old, "S4"): 1.0,
+                       (new, "S4"): None, (old, "S5"): 2.0, (new, "S5"): 1.0}
+    scores = {(r.cik, r.period): r for r in made["fund_scores"].collect()}
+    assert len(scores) == 8 and all(scores[m, old].reason == fv.REASON_OLDEST for m in "ABCD")
+    for m in "ACD":
+        # S1 buys 50: 50 * 3; S2 sells 80: -80 * 5; S4 sells 40: -40 * -1; S3 counts but is not eligible; S5 did not change.
+        r = scores[m, new]
+        assert (r.candidate_events, r.eligible_events, r.priced_events, r.buy_events, r.sell_events, r.hit_events) == (4, 3, 3, 1, 2, 2)
+        assert r.raw_signal_pnl == pytest.approx(-210.0) and r.gross_notional == pytest.approx(600.0 + 1600.0 + 200.0)
+        assert not r.rankable and r.signal_return is None and fv.REASON_FEW_EVENTS in r.reason
     scopes = {(r.cik, r.period): r for r in made["scope_values"].collect()}
-    assert set(scopes) == set(quarters)
-    thousands = [r for r in scopes.values() if r.scale_inferred]
-    assert thousands and {r.cik for r in thousands} == {G.cik(3)}
-    assert all(r.scope_value == 1000 * r.raw_reported_value for r in thousands)
+    assert {k: r.value_scale for k, r in scopes.items()} == {(m, p): 1000 if (m, p) == ("B", old) else 1 for m in "ABCD" for p in (old, new)}
+    assert scopes["B", old].scope_value == 7_000_000 and scopes["B", old].scale_inferred
 
 
 def test_scope_value_is_capped(spark):

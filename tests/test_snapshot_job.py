@@ -6,8 +6,8 @@ import pytest
 
 from tallyhold.operators import prices, views
 from tallyhold.plans import enrichment, market, snapshot
-from tallyhold.schemas import OVERRIDES, RECORDS
-from tallyhold.sources import exports
+from tallyhold.schemas import BARS, OVERRIDES, RECORDS
+from tallyhold.sources import archives, exports, landed
 from tallyhold.sources.archives import list_archives, read_member
 
 QUARTERS = [("2025q3_form13f.zip", "30-JUN-2025", "14-AUG-2025"), ("2025q4_form13f.zip", "30-SEP-2025", "14-NOV-2025")]
@@ -191,3 +191,32 @@ def test_sorted_json_export(spark, tmp_path):
     parts = sorted((tmp_path / "caps").glob("part-*.json"))
     lines = [json.loads(line)["ticker"] for part in parts for line in part.read_text().splitlines()]
     assert lines == [f"K{i:03d}" for i in range(50)]
+
+
+def test_unavailable_prices_and_missing_documents(spark, tmp_path):
+    bars = spark.createDataFrame([("A", dt.date(2025, 1, 2), 1.0)], BARS)
+    for available in ("1", "0"):
+        root = f"{tmp_path}/prices{available}"
+        bars.write.parquet(f"{root}/bars")
+        spark.createDataFrame([("available", available), ("mark_date", "2025-01-02")], "key string, value string").write.parquet(f"{root}/metadata")
+        assert prices.load_price_cache(spark, root).usable == (available == "1")
+    assert landed.read_documents(spark, f"{tmp_path}/none.json").count() == 0
+    assert landed.ticker_map(landed.read_documents(spark, f"{tmp_path}/none.json")).count() == 0
+
+
+def test_archives_keep_the_spelling_of_their_folder(tmp_path, monkeypatch):
+    (tmp_path / "2025q1_form13f.zip").write_bytes(b"")
+    assert list_archives(f"file://{tmp_path}") == [f"file://{tmp_path}/2025q1_form13f.zip"]
+    asked = []
+    found = archives.pafs.FileSystem.from_uri(f"file://{tmp_path}")
+
+    class Stores:
+        @staticmethod
+        def from_uri(uri):
+            asked.append(uri)
+            return found
+
+    monkeypatch.setattr(archives.pafs, "FileSystem", Stores)
+    for folder in ("s3a://bucket/x", "abfss://box@account.dfs.core.windows.net/x", "hdfs://host:8020/x"):
+        assert list_archives(folder) == [f"{folder}/2025q1_form13f.zip"]
+    assert asked[0] == "s3://bucket/x"
