@@ -71,17 +71,28 @@ def pieces(text: Column, form: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
 
 
+def matches_with_gaps(text: Column, form: str) -> Column:
+    """Array of (match, gap before it, gap after it).  Zipped once: a look-up by index would cut the text again each time."""
+    found, gaps = pieces(text, form)
+    return F.slice(F.arrays_zip(found.alias("match"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after")),
+                   F.lit(1), F.size(found))
+
+
+def rewritten(text: Column, form: str, change) -> Column:
+    """The text with ``change`` applied to each match of a form."""
+    found, gaps = pieces(text, form)
+    return F.array_join(F.zip_with(gaps, F.transform(found, change), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+
+
 def matches_of(kind: str, text: Column) -> Column:
     """Array of a text's matches of a kind: turn, code points before it since the last match, length, validity, entity, context."""
-    found, gaps = pieces(text, FORMS[kind])
-
-    def one(match: Column, i: Column) -> Column:
-        gap, after = F.get(gaps, i), F.get(gaps, i + 1)
+    def one(m: Column, i: Column) -> Column:
+        match, gap, after = m["match"], m["gap"], m["after"]
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("turn"), F.length(gap).alias("gap"), F.length(match).alias("size"),
                         valid(kind, match).alias("valid"), entity(kind, match).alias("entity"),
                         F.concat_ws(" ", F.substring(gap, -REACH, REACH), F.substring(after, 1, REACH)).alias("context"))
 
-    return F.when(text.rlike(NEEDED[kind]), F.transform(found, one))
+    return F.when(text.rlike(NEEDED[kind]), F.transform(matches_with_gaps(text, FORMS[kind]), one))
 
 
 def located(found: DataFrame, group: list[str]) -> DataFrame:
@@ -135,9 +146,8 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, row_key, kind, start, end) of every occurrence of a disclosing term; equal rows share them."""
     # Only texts that may hold one of the terms are cut into words.
     holding = with_hits(texts, terms).filter(F.size("hits") > 0).dropDuplicates(["id", "row_key"])
-    found, gaps = pieces(F.col("text"), TERM)
-    words = holding.select("id", "row_key", F.posexplode(F.transform(found, lambda w, i: F.struct(
-        F.xxhash64(F.lower(w)).alias("term"), F.length(F.get(gaps, i)).alias("gap"), F.length(w).alias("size")))).alias("turn", "word"))
+    words = holding.select("id", "row_key", F.posexplode(F.transform(matches_with_gaps(F.col("text"), TERM), lambda w: F.struct(
+        F.xxhash64(F.lower(w["match"])).alias("term"), F.length(w["gap"]).alias("gap"), F.length(w["match"]).alias("size")))).alias("turn", "word"))
     placed = located(words.select("id", "row_key", "turn", "word.*"), ["id", "row_key"])
     return placed.join(terms, "term", "left_semi").select("id", "row_key", F.lit(KINDS.index("term")).alias("kind"), "start", "end")
 
@@ -189,10 +199,8 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def without_forms(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with each valid match in a text replaced by its kind, one kind after another."""
     for kind in FORMS:
-        found, gaps = pieces(F.col(text), FORMS[kind])
-        kept = F.transform(found, _generalised(kind))
-        joined = F.array_join(F.zip_with(gaps, kept, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-        rows = rows.withColumn(text, F.when(F.col(text).rlike(NEEDED[kind]), joined).otherwise(F.col(text)))
+        changed = rewritten(F.col(text), FORMS[kind], _generalised(kind))
+        rows = rows.withColumn(text, F.when(F.col(text).rlike(NEEDED[kind]), changed).otherwise(F.col(text)))
     return rows
 
 
@@ -213,9 +221,7 @@ def sanitised(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     # Which of the hits are terms indeed is settled by a join of the few texts that have some.
     some = common.written(marked.filter(F.size("hits") > 0), "private-some")
     exact = some.select("uid", F.explode("hits").alias("term")).join(terms, "term", "left_semi").groupBy("uid").agg(F.collect_set("term").alias("exact"))
-    found, gaps = pieces(F.col("clean"), TERM)
-    hidden = F.transform(found, lambda w: F.when(F.array_contains("exact", F.xxhash64(F.lower(w))), F.lit("[TERM]")).otherwise(w))
-    joined = F.array_join(F.zip_with(gaps, hidden, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
+    joined = rewritten(F.col("clean"), TERM, lambda w: F.when(F.array_contains("exact", F.xxhash64(F.lower(w))), F.lit("[TERM]")).otherwise(w))
     rest = some.join(exact, "uid", "left").select("row", F.when(F.col("exact").isNotNull(), joined).otherwise(F.col("clean")).alias("clean"))
     made = plain.union(rest)
     return made.select(*[F.when(F.col("row")[c].isNotNull(), F.col("clean")).alias(c) if c == text else F.col("row")[c].alias(c) for c in documents.columns])
