@@ -6,7 +6,7 @@ answers of an earlier round.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +27,12 @@ class Enrichment:
 
 def enrich(tables: dict[str, DataFrame], records: DataFrame, overrides: DataFrame, *, exchange: str, at: str,
            limit: int, results: DataFrame | None = None, identities: DataFrame | None = None,
-           refresh: bool = False) -> Enrichment:
-    """Run one enrichment round.  Record tables are staged between rounds of joins."""
+           refresh: bool = False, output: str | None = None) -> Enrichment:
+    """Run one enrichment round.  Record tables are staged between rounds of joins.
+
+    With ``output``, every table of the round is written there as Parquet; the next round takes its ``records``, and a
+    snapshot its ``mapping`` as the ticker map.
+    """
     spark = tables["periods"].sparkSession
     configure(spark, scanned_bytes(tables["securities"], tables["security_period_stats"], records))
     latest = tables["periods"].agg(F.max("period")).first()[0]
@@ -48,6 +52,14 @@ def enrich(tables: dict[str, DataFrame], records: DataFrame, overrides: DataFram
         matches = resolve.name_matches(securities, resolve.safe_name_index(identities))
         current = stage(resolve.supplement_by_name(current, matches, matched_at=at), "records")
     mapping = stage(resolve.final_mapping(current, overrides), "mapping")
-    return Enrichment(
+    made = Enrichment(
         candidates, current, mapping, resolve.cache_statistics(current, overrides),
         resolve.fill_actions(securities, mapping), resolve.fill_tickers(tables["securities"], mapping))
+    if output is None:
+        return made
+    written = {}
+    for field in fields(made):
+        path = f"{output.rstrip('/')}/{field.name}"
+        getattr(made, field.name).write.parquet(path)
+        written[field.name] = spark.read.parquet(path)
+    return Enrichment(**written)

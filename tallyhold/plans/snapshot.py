@@ -93,18 +93,27 @@ def _metadata(tables: dict[str, DataFrame], book: Book, manifest: DataFrame, doc
 
 def build_snapshot(spark: SparkSession, archives: str, output: str, *, ticker_map: str | None = None,
                    market_caps: str | None = None, sectors: str | None = None, watchlist: str | None = None) -> str:
-    """Build, validate, and publish a snapshot; returns its id.  Nothing is published when a rule fires."""
+    """Build, validate, and publish a snapshot; returns its id.  Nothing is published when a rule fires.
+
+    Ticker map, market caps, and sectors are JSON documents, or Parquet folders that the enrichment and
+    reference-data jobs have written.
+    """
     configure(spark, stored_bytes(archives))
     paths = dict(zip(_DOCUMENTS, (ticker_map, market_caps, sectors, watchlist)))
-    documents = {name: landed.read_documents(spark, path) if path else None for name, path in paths.items()}
+    folders = {name: spark.read.parquet(path) for name, path in paths.items() if landed.is_table(spark, path)}
+    documents = {name: landed.read_documents(spark, path) if path and name not in folders else None for name, path in paths.items()}
     manifest = stage(fingerprints(spark, archives, paths), "inputs")
 
     def rows(name: str, reader, table: str) -> DataFrame:
+        if name in folders:
+            return folders[name]
         if documents[name] is None:
             return spark.createDataFrame([], TABLES[table])
         return reader(documents[name])
 
-    tickers = landed.ticker_map(documents["ticker_map"]) if ticker_map else None
+    tickers = folders.get("ticker_map")
+    if tickers is None and ticker_map:
+        tickers = landed.ticker_map(documents["ticker_map"])
     watched = landed.watchlist(documents["watchlist"]) if watchlist else None
     members = land_archives(spark, archives)
     book = book_of(members, tickers, watched)

@@ -53,7 +53,7 @@ def scanned_bytes(*frames: DataFrame) -> int:
     total = 0
     for frame in frames:
         leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+        sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
         total += sum(size for size in sizes if size < 1 << 60)  # what Spark doesn't know counts as huge there
     return total
 

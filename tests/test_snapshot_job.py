@@ -5,7 +5,7 @@ import zipfile
 import pytest
 
 from tallyhold.operators import prices, views
-from tallyhold.plans import enrichment, market, snapshot
+from tallyhold.plans import enrichment, market, reference_data, snapshot
 from tallyhold.schemas import BARS, OVERRIDES, RECORDS
 from tallyhold.sources import archives, exports, landed
 from tallyhold.sources.archives import list_archives, read_member
@@ -220,3 +220,47 @@ def test_archives_keep_the_spelling_of_their_folder(tmp_path, monkeypatch):
     for folder in ("s3a://bucket/x", "abfss://box@account.dfs.core.windows.net/x", "hdfs://host:8020/x"):
         assert list_archives(folder) == [f"{folder}/2025q1_form13f.zip"]
     assert asked[0] == "s3://bucket/x"
+
+
+def screener(path, n, *, fund=False):
+    rows = [{"symbol": f"S{i}", "name": f"Name {i} Common Stock", "marketCap": f"{1000 + i}.00", "sector": ["Energy", "", "Finance"][i % 3]} for i in range(n)]
+    if fund:
+        rows = [{"symbol": f"F{i}", "companyName": f"Fund {i} Common Stock"} for i in range(n)] + [{"symbol": "S1", "companyName": "not this"}]
+    path.write_text(json.dumps({"data": {"rows": rows}}))
+    return str(path)
+
+
+def test_jobs_take_each_others_tables(spark, inputs, published, tmp_path):
+    stocks = screener(tmp_path / "stocks.json", 1200)
+    funds = screener(tmp_path / "funds.json", 5, fund=True)
+    made = reference_data.refresh_reference(spark, stocks, funds, str(tmp_path / "reference"))
+    assert made["market_caps"].count() == 1200
+    sectors = {r.ticker: (r.sector, r.name) for r in made["sectors"].collect()}
+    assert sectors["S0"] == ("Energy", "Name 0") and sectors["S1"] == ("", "Name 1") and sectors["F3"][0] == "ETF"
+    assert sorted(r.sector for r in made["sector_values"].collect()) == ["ETF", "Energy", "Finance"]
+
+    t = snapshot.read_snapshot(spark, published)
+    first = enrichment.enrich(t, spark.createDataFrame([], RECORDS), spark.createDataFrame([], OVERRIDES), exchange="US", at="now", limit=5,
+                              output=str(tmp_path / "round1"))
+    second = enrichment.enrich(t, first.records, spark.createDataFrame([], OVERRIDES), exchange="US", at="later", limit=5)
+    assert second.mapping.count() == first.mapping.count() > 0
+    output = str(tmp_path / "snapshots")
+    paths = dict(ticker_map=str(tmp_path / "round1" / "mapping"), market_caps=str(tmp_path / "reference" / "market_caps"),
+                 sectors=str(tmp_path / "reference" / "sectors"))
+    snapshot.build_snapshot(spark, inputs["archives"], output, **paths)
+    again = snapshot.read_snapshot(spark, output)
+    assert again["market_caps"].count() == 1200 and again["sectors"].count() == 1205
+    filled = {r.cusip: r.ticker for r in first.mapping.select("cusip", "ticker").collect()}
+    assert {r.cusip: r.ticker for r in again["securities"].filter("ticker != ''").collect()} == {
+        k: v for k, v in filled.items() if k in {r.cusip for r in again["securities"].collect()}}
+    assert snapshot.snapshot_is_current(spark, output, inputs["archives"], **paths)
+
+
+def test_too_few_stocks_stop_the_refresh_and_missing_funds_do_not(spark, tmp_path):
+    with pytest.raises(ValueError):
+        reference_data.refresh_reference(spark, screener(tmp_path / "few.json", 3), None, str(tmp_path / "few"))
+    assert not (tmp_path / "few").exists()
+    broken = tmp_path / "broken.json"
+    broken.write_bytes(b"\xff\xfe not a document")
+    made = reference_data.refresh_reference(spark, screener(tmp_path / "s.json", 1001), str(broken), str(tmp_path / "out"))
+    assert made["sectors"].count() == 1001
