@@ -262,8 +262,10 @@ def latest_period_rules(t: Tables, actual: Recomputed) -> DataFrame:
              | (F.abs(100.0 * F.col("weight") / F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) - F.col("avg_weight")) >= 1e-9))
     pairs = _comparable_quarters(t).join(latest, "period")
     plain = actual.holdings.filter("plain_count > 0").select("cik", "period", "cusip")
-    now = plain.join(pairs, ["cik", "period"])
-    before = plain.withColumnRenamed("period", "previous_period")
+    # Only the two periods that are compared are shuffled.
+    now = plain.join(latest, "period").join(pairs, ["cik", "period"])
+    compared_with = F.broadcast(pairs.select("previous_period").distinct())  # one row
+    before = plain.withColumnRenamed("period", "previous_period").join(compared_with, "previous_period", "left_semi")
     fresh = now.join(before, ["cik", "previous_period", "cusip"], "left_anti").groupBy("cusip").agg(
         F.count("*").alias("fresh"))
     drift = stored.join(fresh, "cusip", "left").filter(

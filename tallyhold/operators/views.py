@@ -1,7 +1,7 @@
 """Ranked views over the weight statistics: top holdings, fresh initiations, top movers, and the summary.
 
-Each view builds one lazy DataFrame.  The only eager step is reading the two period dates it compares,
-which lets partition pruning cut the statistics to those periods.
+Each view builds one lazy DataFrame.  Eager steps are reading the two period dates it compares,
+which lets partition pruning cut the statistics to those periods, and writing a page that is to be priced.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyhold import fixed_values as fv
 from tallyhold.functions import columns as C
 from tallyhold.operators import prices
+from tallyhold.session import stage
 
 
 @dataclass(frozen=True)
@@ -195,7 +196,8 @@ def ranked_view(periods: DataFrame, weights: DataFrame, securities: DataFrame, s
     if by_price:
         rows = prices.price_columns(page, mark)
     elif mark is not None:
-        # At most 200 rows ask for prices, so their symbols are a bounded broadcast into the bars.
+        # The page is found once.  At most 200 rows ask for prices, so their symbols are a bounded broadcast into the bars.
+        page = stage(page, "page")
         symbols = F.broadcast(page.select(C.fold_ascii(F.col("ticker")).alias("fold")).distinct())
         asked = bars.withColumn("fold", C.fold_ascii(F.col("symbol"))).join(symbols, "fold", "left_semi")
         rows = prices.with_prices(page, asked.select("symbol", "price_date", "close"), mark)
