@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -16,8 +17,9 @@ from tallyhold.functions import report
 from tallyhold.operators import (asof, filings, median, positions, prices, quality, reference, resolve, rollups,
                                  signals, views)
 from tallyhold.plans.book import Book, warehouse_book
+from tallyhold.plans import market
 from tallyhold.plans.snapshot import book_tables as tables_of_book
-from tallyhold.session import configure, stage
+from tallyhold.session import configure, stage, staging_root
 from tallyhold.sources import landed
 from tallyhold.sources.archives import stored_bytes
 from tallyhold.sources.warehouse import MARK_DATE, Warehouse, security_number
@@ -697,6 +699,67 @@ def book_tables(spark, folder) -> dict[str, DataFrame]:
     return made
 
 
+@shared
+def signal_job(spark, folder) -> dict[str, DataFrame]:
+    """What the signal job writes from the written snapshot tables."""
+    return market.build_signals(spark, book_tables(spark, folder), Warehouse(spark, folder).trusted, bars(spark, folder), MARK,
+                                f"{staging_root(spark)}/signals-{uuid.uuid4().hex[:8]}")
+
+
+@query
+def fund_scores_job(spark, folder):
+    return plain(signal_job(spark, folder)["fund_scores"], digits=8)
+
+
+@query
+def signal_metadata_counts(spark, folder):
+    """The counts among the job's metadata."""
+    return signal_job(spark, folder)["signal_metadata"].filter(F.col("key").endswith("_count"))
+
+
+# ---- landed documents -------------------------------------------------------------------------
+
+def document_of(spark, entries: DataFrame, part: str | None) -> DataFrame:
+    """``entries`` (key, value) written as one JSON document and read back as landed text."""
+    whole = F.map_from_entries(F.collect_list(F.struct("key", "value")))
+    text = entries.agg(F.to_json(F.struct(whole.alias(part)) if part else whole).alias("value"))
+    path = f"{staging_root(spark)}/document-{uuid.uuid4().hex[:8]}"
+    text.write.text(path)
+    return landed.read_documents(spark, f"{path}/part-*")
+
+
+@query
+def ticker_map_document(spark, folder):
+    key = F.col("c_custkey")
+    rows = Warehouse(spark, folder).table("customer").select(
+        F.concat(F.lit(" x"), F.lpad(key.cast("string"), 8, "0")).alias("key"),
+        F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("t"), key.cast("string"), F.lit(" "))).alias("value"))
+    return landed.ticker_map(document_of(spark, rows, "tickers"))
+
+
+@query
+def market_cap_document(spark, folder):
+    key = F.col("p_partkey")
+    rows = Warehouse(spark, folder).table("part").select(
+        F.concat(F.lit("p"), key.cast("string")).alias("key"),
+        F.when(key % 5 == 0, 0).otherwise(F.floor(F.col("p_retailprice") * 100)).cast("long").alias("value"))
+    return landed.market_caps(document_of(spark, rows, "market_caps"))
+
+
+@query
+def sector_document(spark, folder):
+    rows = Warehouse(spark, folder).table("customer").select(
+        F.concat(F.lit(" c"), F.col("c_custkey").cast("string")).alias("key"),
+        F.struct(F.concat(F.lit("  "), "c_mktsegment").alias("sector"), F.concat("c_name", F.lit("  Co ")).alias("name")).alias("value"))
+    return landed.sectors(document_of(spark, rows, "sectors"))
+
+
+@query
+def trusted_tickers(spark, folder):
+    """Exact and manual tickers among the cached records and overrides."""
+    return signals.trusted_tickers(_records(spark, folder), _overrides(spark, folder))
+
+
 @query
 def quality_kpis(spark, folder):
     b = book(spark, folder)

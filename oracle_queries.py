@@ -567,3 +567,25 @@ SELECT count(DISTINCT symbol) AS mark_symbols, least(250, greatest(1, (SELECT co
   WHERE position_type = 0 AND shares_type = 0 AND shares IS NOT NULL
   UNION SELECT DISTINCT ticker FROM securities WHERE ticker <> '')) // 2)) AS required
 FROM bars WHERE price_date = DATE '2001-09-03'""")
+
+# ---- jobs and landed documents ----------------------------------------------------------------
+
+SQL["fund_scores_job"] = SQL["fund_scores"]
+_TRUSTED_COUNT = book_sql(SIGNALS + "SELECT count(DISTINCT ticker) AS n FROM trusted")
+SQL["signal_metadata_counts"] = f"""
+WITH scores AS ({SQL["fund_scores"]}), scopes AS ({SQL["scope_values"]}), tickers AS ({_TRUSTED_COUNT})
+SELECT 'score_count' AS key, CAST(count(*) AS VARCHAR) AS value FROM scores
+UNION ALL SELECT 'rankable_score_count', CAST(count(*) FILTER (rankable) AS VARCHAR) FROM scores
+UNION ALL SELECT 'scope_value_count', CAST(count(*) AS VARCHAR) FROM scopes
+UNION ALL SELECT 'scaled_scope_value_count', CAST(count(*) FILTER (scale_inferred) AS VARCHAR) FROM scopes
+UNION ALL SELECT 'trusted_ticker_count', CAST(n AS VARCHAR) FROM tickers"""
+SQL["ticker_map_document"] = """
+SELECT 'X' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS cusip, 'T' || c_custkey AS ticker FROM customer WHERE c_custkey % 4 <> 0"""
+SQL["market_cap_document"] = """
+SELECT 'P' || p_partkey AS ticker, CAST(floor(p_retailprice * 100) AS BIGINT) AS market_cap FROM part WHERE p_partkey % 5 <> 0 AND floor(p_retailprice * 100) > 0"""
+SQL["sector_document"] = """
+SELECT 'C' || c_custkey AS ticker, c_mktsegment AS sector, c_name || ' Co' AS name FROM customer"""
+SQL["trusted_tickers"] = """
+SELECT CASE WHEN c_custkey % 23 = 0 THEN 'BAD' || c_custkey ELSE 'X' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS cusip,
+  CASE WHEN c_custkey % 50 = 7 THEN 'M' ELSE 'C' END || c_custkey AS ticker
+FROM customer WHERE (c_custkey % 2 = 0 AND c_custkey % 5 = 1) OR (c_custkey % 50 = 7 AND c_custkey % 23 <> 0)"""

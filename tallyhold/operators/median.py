@@ -23,29 +23,29 @@ BUCKETS = 256
 
 def middle_values(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys, rows, low, high``: the median is their mean.  ``values`` should be a written table: it is read twice."""
-    present = values.select(*keys, F.col(value).alias("x")).filter("x is not null")
+    present = values.select(*keys, F.col(value).alias("m_x")).filter("m_x is not null")
     bounds = stage(present.groupBy(*keys).agg(
-        F.count("*").alias("rows"), F.percentile_approx("x", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("b")), "median-bounds")
-    counted = present.groupBy(*keys, "x").agg(F.count("*").alias("n"))
-    near = stage(counted, "median-counts").join(bounds, keys).withColumn("side", F.when(F.col("x") < F.col("b")[0], 0).when(F.col("x") <= F.col("b")[1], 1))
-    skipped = stage(near.groupBy(*keys).agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("skipped")), "median-skipped")
-    candidates = stage(near.filter("side = 1").select(*keys, "x", "n", "rows"), "median-candidates")
+        F.count("*").alias("rows"), F.percentile_approx("m_x", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("m_b")), "median-bounds")
+    counted = present.groupBy(*keys, "m_x").agg(F.count("*").alias("m_n"))
+    near = stage(counted, "median-counts").join(bounds, keys).withColumn("m_side", F.when(F.col("m_x") < F.col("m_b")[0], 0).when(F.col("m_x") <= F.col("m_b")[1], 1))
+    skipped = stage(near.groupBy(*keys).agg(F.sum(F.when(F.col("m_side") == 0, F.col("m_n")).otherwise(0)).alias("m_skipped")), "median-skipped")
+    candidates = stage(near.filter("m_side = 1").select(*keys, "m_x", "m_n", "rows"), "median-candidates")
 
     cuts = stage(candidates.groupBy(*keys).agg(
-        F.percentile_approx("x", [i / BUCKETS for i in range(1, BUCKETS)], ACCURACY).alias("cuts")), "median-cuts")
+        F.percentile_approx("m_x", [i / BUCKETS for i in range(1, BUCKETS)], ACCURACY).alias("m_cuts")), "median-cuts")
     bucketed = stage(candidates.join(cuts, keys).select(
-        *keys, "x", "n", "rows", F.size(F.filter("cuts", lambda cut: cut < F.col("x"))).alias("bucket")), "median-buckets")
-    sizes = bucketed.groupBy(*keys, "rows", "bucket").agg(F.sum("n").alias("of_bucket")).join(skipped, keys)
-    upto = F.col("skipped") + F.sum("of_bucket").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+        *keys, "m_x", "m_n", "rows", F.size(F.filter("m_cuts", lambda cut: cut < F.col("m_x"))).alias("m_bucket")), "median-buckets")
+    sizes = bucketed.groupBy(*keys, "rows", "m_bucket").agg(F.sum("m_n").alias("m_of_bucket")).join(skipped, keys)
+    upto = F.col("m_skipped") + F.sum("m_of_bucket").over(Window.partitionBy(*keys).orderBy("m_bucket").rowsBetween(Window.unboundedPreceding, 0))
     first, last = F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
-    ranked = sizes.withColumn("upto", upto).withColumn("under", F.col("upto") - F.col("of_bucket"))
-    chosen = stage(ranked.filter((F.col("under") <= last) & (F.col("upto") > first)).select(*keys, "bucket", "under"), "median-chosen")
+    ranked = sizes.withColumn("m_upto", upto).withColumn("m_under", F.col("m_upto") - F.col("m_of_bucket"))
+    chosen = stage(ranked.filter((F.col("m_under") <= last) & (F.col("m_upto") > first)).select(*keys, "m_bucket", "m_under"), "median-chosen")
 
-    inside = Window.partitionBy(*keys, "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = bucketed.join(chosen, [*keys, "bucket"]).withColumn("upto", F.col("under") + F.sum("n").over(inside))
+    inside = Window.partitionBy(*keys, "m_bucket").orderBy("m_x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = bucketed.join(chosen, [*keys, "m_bucket"]).withColumn("m_upto", F.col("m_under") + F.sum("m_n").over(inside))
     return placed.groupBy(*keys).agg(
-        F.max("rows").alias("rows"), F.min(F.when(F.col("upto") > first, F.col("x"))).alias("low"),
-        F.min(F.when(F.col("upto") > last, F.col("x"))).alias("high"))
+        F.max("rows").alias("rows"), F.min(F.when(F.col("m_upto") > first, F.col("m_x"))).alias("low"),
+        F.min(F.when(F.col("m_upto") > last, F.col("m_x"))).alias("high"))
 
 
 def median(low, high):
