@@ -36,6 +36,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 SURROUNDING = 600
 LEAST_NOVELTY = 0.8
 DICTIONARY_WORDS, DICTIONARY_WORD_BYTES = 4096, 32
+LEAST_DIGITS = 3
 
 _assign = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _access = re.compile(ACCESS)
@@ -64,7 +65,7 @@ def novelty(candidate: str, history: bytes) -> float:
 def mixed_kinds(s: str) -> bool:
     """Digits among letters, as in generated strings; plain words and plain numbers are neither."""
     digits = sum(c.isdigit() for c in s)
-    return 3 <= digits <= len(s) - 3
+    return LEAST_DIGITS <= digits <= len(s) - LEAST_DIGITS
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], dictionary: bytes) -> list[tuple[int, int, str]]:
@@ -92,7 +93,10 @@ def identifier_dictionary(documents: DataFrame, text: str = "text") -> bytes:
         letter = ((data | 32) >= 97) & ((data | 32) <= 122)
         words = common.Words(data, offsets, ~(letter | ((data >= 48) & (data <= 57)) | (data == 95)))
         sizes = np.diff(words.offsets)
-        kept = (sizes >= 6) & (sizes <= DICTIONARY_WORD_BYTES)
+        # Generated strings have digits among letters; a secret must not be its own dictionary.
+        digit = np.concatenate((((words.data >= 48) & (words.data <= 57)).astype(np.int64), [0]))
+        digits = np.add.reduceat(digit, words.offsets[:-1]) if len(words) else sizes
+        kept = (sizes >= 6) & (sizes <= DICTIONARY_WORD_BYTES) & (digits < LEAST_DIGITS)
         counted = words.arrow().filter(pa.array(kept)).value_counts()
         return pa.RecordBatch.from_arrays([counted.field(0).cast(pa.string()), counted.field(1)], ["word", "n"])
 
