@@ -93,7 +93,7 @@ class Words:
         inner = inner[(inner > 0) & (inner < len(data))]
         first[inner] = inside[inner]  # a word ends with its row
         starts = np.flatnonzero(first)
-        kept = np.concatenate(([0], np.cumsum(inside, dtype=np.int64)))
+        kept = np.concatenate(([0], np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)))
         self.starts = starts
         self.data = data[inside]
         self.offsets = np.concatenate((kept[starts], [len(self.data)])).astype(np.int64)
