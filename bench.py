@@ -18,10 +18,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 import catalog  # noqa: E402
+from tallyhold.operators import rollups  # noqa: E402
 from tallyhold.sources.warehouse import Warehouse  # noqa: E402
 
 VIEWS = ("top_holdings", "fresh_initiations", "movers_gainers_h1", "movers_losers_h2", "price_sort_ytd", "snapshot_summary")
-QUERIES = ("stock_changes", "security_weights", "period_stats", "period_change_totals", "asof_on_or_before",
+QUERIES = ("stock_changes", "period_change_totals", "asof_on_or_before",
            "asof_first_after", "typed_holdings_rows", "nearest_split_factor", "issuer_keys", "sector_merge")
 
 
@@ -62,6 +63,13 @@ def main() -> None:
              "signal_build": timed(signal_build),
              "enrichment": timed(lambda: run(catalog.QUERIES["ticker_mapping"](spark, folder))),
              "quality_kpis": timed(lambda: run(catalog.QUERIES["quality_kpis"](spark, folder)))}
+    # Operators over the written tables, and the jobs over them.
+    book = catalog.book(spark, folder)
+    times["weights_operator"] = timed(lambda: run(rollups.security_weight_stats(book.wide_positions, book.dashboard_period_stats)))
+    times["period_stats_operator"] = timed(lambda: run(rollups.period_stats(
+        book.periods, book.quarters, book.manager_period_stats, book.security_period_stats)))
+    times["signal_job"] = timed(lambda: run(catalog.QUERIES["fund_scores_job"](spark, folder)))
+    times["quality_rules"] = timed(lambda: run(catalog.QUERIES["quality_rules"](spark, folder)))
     for name in QUERIES:
         times[name] = timed(lambda: run(catalog.QUERIES[name](spark, folder)))
     for name in VIEWS:

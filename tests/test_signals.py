@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyhold import fixed_values as fv
 from tallyhold.operators import asof, median, prices, signals
-from tallyhold.schemas import BARS, OVERRIDES, RECORDS
+from tallyhold.schemas import BARS, OVERRIDES
 from tests import golden as G
 
 
