@@ -1,8 +1,8 @@
 """Personal data: fixed forms, and information-theoretic sanitisation of the terms that reveal them.
 
 The values of the fixed forms are the protected entities.  Corpus counts tell how strongly a term reveals an entity:
-of an entity's distinct contexts (REACH characters on both sides), n(e, t) hold the term t, and df(t) of all N documents
-do.  The pointwise mutual information log(n(e, t) N / (n(e) df(t))) is compared with the entity's information content
+of an entity's contexts (REACH characters on both sides), n(e, t) hold the term t, and df(t) of all N documents do.
+Contexts count as often as they differ on both sides, so copies of a text, edited on one side or not, count once.  The pointwise mutual information log(n(e, t) N / (n(e) df(t))) is compared with the entity's information content
 log(N / n(e)): a term with at least LEAST_CONTEXTS such contexts and at least 1 / ALPHA of that content discloses the
 entity.  Disclosing terms are reported wherever they occur (``term``) and are generalised in sanitised texts.
 
@@ -90,7 +90,7 @@ def matches_of(kind: str, text: Column) -> Column:
         match, gap, after = m["match"], m["gap"], m["after"]
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("turn"), F.length(gap).alias("gap"), F.length(match).alias("size"),
                         valid(kind, match).alias("valid"), entity(kind, match).alias("entity"),
-                        F.concat_ws(" ", F.substring(gap, -REACH, REACH), F.substring(after, 1, REACH)).alias("context"))
+                        F.substring(gap, -REACH, REACH).alias("before"), F.substring(after, 1, REACH).alias("after"))
 
     return F.when(text.rlike(NEEDED[kind]), F.transform(matches_with_gaps(text, FORMS[kind]), one))
 
@@ -104,8 +104,8 @@ def located(found: DataFrame, group: list[str]) -> DataFrame:
 # ---- disclosing terms ---------------------------------------------------------------------------
 
 def sketch(terms: DataFrame) -> DataFrame:
-    """One row: ``bits`` with the classes of the hashes in ``terms`` (term)."""
-    words = (terms.select(F.shiftrightunsigned("term", 64 - SKETCH_BITS).alias("class"))
+    """One row: ``bits`` with two places set for each of the hashes in ``terms`` (term)."""
+    words = (terms.select(F.explode(F.array(*places(F.col("term")))).alias("class"))
              .groupBy(F.shiftright("class", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(class & 63 AS int)))").alias("bits")))
     every = terms.sparkSession.range(1 << (SKETCH_BITS - 6)).select(F.col("id").cast("int").alias("word"))
     one = (every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
@@ -113,6 +113,10 @@ def sketch(terms: DataFrame) -> DataFrame:
     return common.written(one.select(F.transform("all", lambda x: x["bits"]).alias("bits")), "private-sketch")
 
 
+def places(term: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(term, 64 - SKETCH_BITS), F.shiftrightunsigned(term, 20).bitwiseAND(F.lit((1 << SKETCH_BITS) - 1))
+
+
 def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
 
@@ -120,21 +124,22 @@ def term_hashes(text: Column) -> Column:
 def with_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``texts`` with ``hits``: the hashes of their terms that may be among ``terms``."""
     def there(h: Column) -> Column:
-        place = F.shiftrightunsigned(h, 64 - SKETCH_BITS)
-        return F.getbit(F.get(F.col("bits"), F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+        one, two = (F.getbit(F.get(F.col("bits"), F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in places(h))
+        return one & two
 
     return texts.crossJoin(F.broadcast(sketch(terms))).withColumn("hits", F.filter(term_hashes(F.col("text")), there)).drop("bits")  # one row
 
 
 def disclosing(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(term): hashes of the terms that disclose an entity.  ``occurrences``: (entity, context)."""
-    contexts = occurrences.select("entity", "context").distinct()
-    of_entity = contexts.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= LEAST_CONTEXTS)
-    together = (contexts.select("entity", F.explode(term_hashes(F.col("context"))).alias("term"))
-                .groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= LEAST_CONTEXTS))
+    """(term): hashes of the terms that disclose an entity.  ``occurrences``: (entity, before, after)."""
+    contexts = occurrences.select("entity", F.xxhash64("before").alias("left"), F.xxhash64("after").alias("right"),
+                                  term_hashes(F.concat_ws(" ", "before", "after")).alias("terms"))
+    differing = F.least(F.count_distinct("left"), F.count_distinct("right"))
+    of_entity = contexts.groupBy("entity").agg(differing.alias("n_entity")).filter(F.col("n_entity") >= LEAST_CONTEXTS)
+    together = (contexts.select("entity", "left", "right", F.explode("terms").alias("term"))
+                .groupBy("entity", "term").agg(differing.alias("n_both")).filter(F.col("n_both") >= LEAST_CONTEXTS))
     candidates = common.written(together.join(of_entity, "entity"), "private-candidates")
-    wanted = common.written(candidates.select("term").distinct(), "private-wanted")
-    frequency = (with_hits(texts, wanted).select(F.explode("hits").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    frequency = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(float(texts.count()))
     information = F.log(n / F.col("n_entity"))
     mutual = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("df")))
@@ -144,8 +149,10 @@ def disclosing(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, row_key, kind, start, end) of every occurrence of a disclosing term; equal rows share them."""
-    # Only texts that may hold one of the terms are cut into words.
-    holding = with_hits(texts, terms).filter(F.size("hits") > 0).dropDuplicates(["id", "row_key"])
+    # Only texts that hold one of the terms are cut into words.
+    hit = with_hits(texts, terms).filter(F.size("hits") > 0)
+    sure = hit.select("row_key", F.explode("hits").alias("term")).join(terms, "term", "left_semi").select("row_key").distinct()
+    holding = hit.join(common.written(sure, "private-holding"), "row_key", "left_semi").dropDuplicates(["id", "row_key"])
     words = holding.select("id", "row_key", F.posexplode(F.transform(matches_with_gaps(F.col("text"), TERM), lambda w: F.struct(
         F.xxhash64(F.lower(w["match"])).alias("term"), F.length(w["gap"]).alias("gap"), F.length(w["match"]).alias("size")))).alias("turn", "word"))
     placed = located(words.select("id", "row_key", "turn", "word.*"), ["id", "row_key"])
@@ -162,7 +169,7 @@ def keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
 def found_forms(texts: DataFrame) -> DataFrame:
     """(uid, id, row_key, found): all matches of the fixed forms, without the text."""
     kinds = [F.coalesce(matches_of(kind, F.col("text")), F.expr(
-        "cast(array() AS array<struct<kind:int,turn:int,gap:int,size:int,valid:boolean,entity:string,context:string>>)")) for kind in FORMS]
+        "cast(array() AS array<struct<kind:int,turn:int,gap:int,size:int,valid:boolean,entity:string,before:string,after:string>>)")) for kind in FORMS]
     return common.written(texts.select(F.monotonically_increasing_id().alias("uid"), "id", "row_key", F.concat(*kinds).alias("found")), "private-forms")
 
 
@@ -175,7 +182,7 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """Per row: counts of the fixed forms and terms, digest of the forms' spans, and all spans."""
     texts = keyed(documents, key, text)
     forms = found_forms(texts)
-    matches = common.written(valid_matches(forms).select("uid", "kind", "start", "end", "entity", "context"), "private-matches")
+    matches = common.written(valid_matches(forms).select("uid", "kind", "start", "end", "entity", "before", "after"), "private-matches")
     terms = disclosing(texts, matches)
     extra = term_spans(texts, terms).groupBy("id", "row_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("extra"))
     extra = common.written(extra.withColumnsRenamed({"id": "of_id", "row_key": "of_key"}), "private-extra")
@@ -211,7 +218,7 @@ def _generalised(kind: str):
 def sanitised(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with the fixed forms generalised to their kind and disclosing terms to [TERM]; null texts stay null."""
     texts = keyed(documents, key, text)
-    matches = common.written(valid_matches(found_forms(texts)).select("entity", "context"), "private-matches")
+    matches = common.written(valid_matches(found_forms(texts)).select("entity", "before", "after"), "private-matches")
     terms = disclosing(texts, matches)
     columns = [F.col(f"`{c}`") for c in documents.columns]
     marked = with_hits(documents.select(F.struct(*columns).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))

@@ -51,7 +51,7 @@ def test_fixed_forms(spark, folder):
 
 def revealing():
     """'Quixotel' stands near one address in different contexts and nowhere else; 'common' stands everywhere."""
-    rows = [f"common note {k} from Quixotel office number n{k}x is jo@firm.example today" for k in range(6)]
+    rows = [f"common note {k} from Quixotel office number n{k}x is jo@firm.example on day d{k}y" for k in range(6)]
     rows += [f"common text about nothing much {k}" for k in range(60)]
     return rows + ["a letter of quixotel without the address"]
 
@@ -70,7 +70,9 @@ def test_disclosing_terms(spark):
 
 
 def test_copies_of_one_text_disclose_nothing(spark):
-    docs = spark.createDataFrame([(i, "the Quixotel office of jo@firm.example says so") for i in range(9)], "doc_id long, text string")
+    """Nor do copies that are edited on one side of the address."""
+    texts = ["the Quixotel office of jo@firm.example says so"] * 9 + [f"the Quixotel office of jo@firm.example says so {i}" for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.n_term for r in personal.scan(docs).collect()} == {0}
 
 
