@@ -142,7 +142,10 @@ def link(vectors: DataFrame, limit: float = LIMIT, key: str = "vec_id", vector:
                           "vector-reps")
     shape = reps.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
     if shape.n:
-        sample = reps.orderBy(F.xxhash64(F.lit(1), "class")).limit(SAMPLE).select("vector").toArrow()
+        # The rows of least hash; those that cannot be among them are dropped first, so no task returns a whole sample.
+        place = F.pmod(F.xxhash64(F.lit(1), "class"), F.lit(1 << 40))
+        drawn = reps.filter(place < int(min(1.0, 2 * SAMPLE / shape.n) * (1 << 40)))
+        sample = drawn.orderBy(place, "class").limit(SAMPLE).select("vector").toArrow()
         n_lists = int(min(MOST_LISTS, max(1, round(math.sqrt(shape.n)))))
         index = Index(unit(sample.column("vector").combine_chunks(), shape.width), n_lists, limit)
         counts, edges = compared(reps, index, limit)
