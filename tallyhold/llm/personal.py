@@ -1,8 +1,8 @@
 """Personal data: fixed forms, and information-theoretic sanitisation of the terms that reveal them.
 
 The values of the fixed forms are the protected entities.  Corpus counts tell how strongly a term reveals an entity:
-of an entity's contexts (REACH characters on both sides), n(e, t) hold the term t, and df(t) of all N documents do.
-Contexts count as often as they differ on both sides, so copies of a text, edited on one side or not, count once.  The pointwise mutual information log(n(e, t) N / (n(e) df(t))) is compared with the entity's information content
+of an entity's distinct contexts (REACH characters on both sides), n(e, t) hold the term t, and df(t) of all N documents
+do.  The pointwise mutual information log(n(e, t) N / (n(e) df(t))) is compared with the entity's information content
 log(N / n(e)): a term with at least LEAST_CONTEXTS such contexts and at least 1 / ALPHA of that content discloses the
 entity.  Disclosing terms are reported wherever they occur (``term``) and are generalised in sanitised texts.
 
@@ -132,12 +132,10 @@ def with_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 def disclosing(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(term): hashes of the terms that disclose an entity.  ``occurrences``: (entity, before, after)."""
-    contexts = occurrences.select("entity", F.xxhash64("before").alias("left"), F.xxhash64("after").alias("right"),
-                                  term_hashes(F.concat_ws(" ", "before", "after")).alias("terms"))
-    differing = F.least(F.count_distinct("left"), F.count_distinct("right"))
-    of_entity = contexts.groupBy("entity").agg(differing.alias("n_entity")).filter(F.col("n_entity") >= LEAST_CONTEXTS)
-    together = (contexts.select("entity", "left", "right", F.explode("terms").alias("term"))
-                .groupBy("entity", "term").agg(differing.alias("n_both")).filter(F.col("n_both") >= LEAST_CONTEXTS))
+    contexts = occurrences.select("entity", "before", "after").distinct()
+    of_entity = contexts.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= LEAST_CONTEXTS)
+    together = (contexts.select("entity", F.explode(term_hashes(F.concat_ws(" ", "before", "after"))).alias("term"))
+                .groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= LEAST_CONTEXTS))
     candidates = common.written(together.join(of_entity, "entity"), "private-candidates")
     frequency = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(float(texts.count()))

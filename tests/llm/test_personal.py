@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tallyhold.llm import personal
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -69,6 +71,24 @@ def test_disclosing_terms(spark):
     assert clean[-1].startswith("a letter of [TERM] ")
 
 
+def constant_side(side):
+    """'Quixotel' stands near one address in different documents; the text on one side of the address never changes."""
+    lines = {"right": "common note {k} from Quixotel office number n{k}x is jo@firm.example today", "left": "common note: jo@firm.example is at the Quixotel office n{k}x",
+             "end": "common note {k} from Quixotel office number n{k}x is jo@firm.example"}
+    return [lines[side].format(k=k) for k in range(6)] + [f"common text about nothing much {k}" for k in range(60)] + ["a letter of quixotel without the address"]
+
+
+@pytest.mark.parametrize("side", ["right", "left", "end"])
+def test_disclosing_terms_beside_a_constant_side(spark, side):
+    docs = spark.createDataFrame(list(enumerate(constant_side(side))), "doc_id long, text string")
+    for row in personal.scan(docs).collect():
+        text = constant_side(side)[row.id]
+        terms = {text[int(a):int(b)].lower() for a, b in (s.split(":")[1:] for s in row.spans.split(",") if s.startswith("term"))}
+        assert ("quixotel" in terms) == ("quixotel" in text.lower()) and "common" not in terms
+    clean = {r.doc_id: r.text for r in personal.sanitised(docs).collect()}
+    assert "[EMAIL]" in clean[0] and "Quixotel" not in clean[0] and clean[66].startswith("a letter of [TERM] ")
+
+
 def test_copies_of_one_text_disclose_nothing(spark):
     """Nor do copies that are edited on one side of the address."""
     texts = ["the Quixotel office of jo@firm.example says so"] * 9 + [f"the Quixotel office of jo@firm.example says so {i}" for i in range(5)]
