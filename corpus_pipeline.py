@@ -26,9 +26,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return toxicity.score(docs, model, name="toxic_score").filter(F.col("toxic_score") < toxicity.THRESHOLD).drop("toxic_score")
 
 
+#: Likeness of word shingles from which two documents are copies here; op10_near_text has its own limit.
+COPY_PERCENT = 80
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     common.ready(spark)
-    return near_text.without_near_copies(docs)
+    return near_text.without_near_copies(docs, COPY_PERCENT)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

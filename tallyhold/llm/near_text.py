@@ -31,6 +31,8 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 20, 6
 HASHES = BANDS * ROWS
+#: Bands of the same signature for limits below PERCENT: at 80 percent no band of a pair matches with 7e-5 (20 x 6: 2.3e-3).
+LOW_BANDS, LOW_ROWS = 24, 5
 #: Signature values compared at a time, and the probability with which a pair at the limit may be lost by that.
 STEP, MISS = 24, 1e-4
 CHUNK = 200
@@ -89,11 +91,15 @@ def set_digests(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def bucket_keys(signature: np.ndarray) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    return (BANDS, ROWS) if percent >= PERCENT else (LOW_BANDS, LOW_ROWS)
+
+
+def bucket_keys(signature: np.ndarray, n: int = BANDS, width: int = ROWS) -> np.ndarray:
     """One 64-bit key per row and band."""
-    bands = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2]).copy()
-    for k in range(ROWS):
+    bands = signature.reshape(len(signature), n, width).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64), bands.shape[:2]).copy()
+    for k in range(width):
         key = common.mixed(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
     return key.astype(np.int64)
 
@@ -204,10 +210,12 @@ def link(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text
     reps = common.written(filled.select(F.col("row_key").alias("class"), "signature")
                           .join(classes.select("class"), "class", "left_semi").dropDuplicates(["class"]), "near-signatures")
 
+    n, width = banding(percent)
+
     def banded(batches):
         for batch in batches:
-            keys = bucket_keys(common.stacked(batch.column("signature"), np.uint32)) if batch.num_rows else np.zeros((0, BANDS), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("class").to_numpy(), BANDS))], ["bucket", "class"])
+            keys = bucket_keys(common.stacked(batch.column("signature"), np.uint32), n, width) if batch.num_rows else np.zeros((0, n), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("class").to_numpy(), n))], ["bucket", "class"])
 
     bands = reps.mapInArrow(banded, "bucket long, class long")
     buckets = common.written(bands.groupBy("bucket").agg(F.count("*").alias("m"), F.min("class").alias("pivot")).filter("m > 1"), "near-buckets")

@@ -7,8 +7,8 @@ import tiktoken
 
 import __spark_entry__ as driver
 from conftest import plain_words
-from tallyhold.llm import byte_bpe, common, mixing, toxicity
-from test_near_text import brute as near_groups
+from tallyhold.llm import byte_bpe, common, mixing, near_text, toxicity
+from test_near_text import brute as near_groups, shingle_set
 from test_personal import cleaned
 
 FOLDER = "/root/testdata/sf0.001"
@@ -59,6 +59,26 @@ def test_stages_against_brute_force(spark):
         assert r.ids == library.encode_ordinary(b.text) and r.decoded_sha256 == hashlib.sha256(b.text.encode()).hexdigest()
 
 
+def test_near_copies_from_four_fifths(spark):
+    """Pairs around 0.80: the copies end in more and more new words."""
+    rows = []
+    for family in range(12):
+        words = [f"f{family}w{i}" for i in range(64)]
+        rows += [(2 * family, " ".join(words)), (2 * family + 1, " ".join(words[:-1] + [f"n{family}_{i}" for i in range(family + 5)]))]
+    sets = [shingle_set(t) for _, t in rows]
+    likeness = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert any(0.80 <= x < 0.85 for x in likeness) and any(x < 0.80 for x in likeness) and any(x >= 0.85 for x in likeness)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, FOLDER).collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or likeness[i // 2] < 0.80}
+
+
+def test_bands_miss_few_pairs_at_the_limit():
+    for percent in (80, 85):
+        n, width = near_text.banding(percent)
+        assert n * width == near_text.HASHES and (1 - (percent / 100) ** width) ** n < 1e-4
+
+
 def test_edges_pass_every_stage(spark, edges, folder):
     documents = edges.select("doc_id", "text", "lang", "source", "n_chars")
     labels = spark.createDataFrame([(4, 0), (5, 0), (None, 1)], "doc_id long, toxic int")
