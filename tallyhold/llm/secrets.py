@@ -2,7 +2,9 @@
 
 A string in a sensitive context (shortly after a word such as ``auth`` or ``credential``) is compressed with the code
 around it and a dictionary of the corpus's most frequent identifiers as history.  The bytes it adds, per character,
-are its novelty; strings that hardly compress are reported as ``novel`` unless a fixed form covers them.
+are its novelty; strings that hardly compress are reported as ``novel`` unless a fixed form covers them.  How far a
+string of random characters compresses depends on its alphabet and length, so the novelty is compared with that of a
+fixed random string of the same alphabet and length.
 
 Null and empty texts have no spans.  Rows are handled one by one, so ties, repeated rows, null ids, and an empty table
 need no rule; other columns, whatever their names, are passed by.
@@ -11,6 +13,7 @@ need no rule; other columns, whatever their names, are passed by.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -34,7 +37,13 @@ CONTEXT = r"(?:passw|passphrase|secret|credential|bearer|authorization|auth_|pri
 REACH = 40
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 SURROUNDING = 600
+#: Share of a character, and of what a random string of the same alphabet and length takes, whichever is less.
 LEAST_NOVELTY = 0.8
+#: Alphabets of generated strings, small ones first.
+ALPHABETS = tuple(map(frozenset, (
+    "0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")))
 DICTIONARY_WORDS, DICTIONARY_WORD_BYTES = 4096, 32
 LEAST_DIGITS = 3
 
@@ -62,10 +71,15 @@ def novelty(candidate: str, history: bytes) -> float:
     return (len(primed.compress(candidate.encode())) - len(primed.compress(b""))) / len(candidate)
 
 
-def mixed_kinds(s: str) -> bool:
-    """Digits among letters, as in generated strings; plain words and plain numbers are neither."""
-    digits = sum(c.isdigit() for c in s)
-    return LEAST_DIGITS <= digits <= len(s) - LEAST_DIGITS
+def random_like(candidate: str) -> str:
+    """A fixed random string of the candidate's length and alphabet."""
+    letters = sorted(next(a for a in ALPHABETS if a.issuperset(candidate)))
+    return "".join(random.Random(len(candidate)).choices(letters, k=len(candidate)))
+
+
+def is_novel(candidate: str, history: bytes) -> bool:
+    found = novelty(candidate, history)
+    return found >= LEAST_NOVELTY or found >= LEAST_NOVELTY * novelty(random_like(candidate), history)
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], dictionary: bytes) -> list[tuple[int, int, str]]:
@@ -75,10 +89,10 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], dictionary: bytes)
         at = max(context.end(), after)
         while (m := _candidate.search(text, at, )) and m.start() <= context.end() + REACH:
             at = after = m.end()
-            if any(a < m.end() and m.start() < b for a, b in taken) or not mixed_kinds(m[0]):
+            if any(a < m.end() and m.start() < b for a, b in taken):
                 continue
             around = text[max(0, m.start() - SURROUNDING):m.start()] + text[m.end():m.end() + SURROUNDING]
-            if novelty(m[0], dictionary + around.encode()) >= LEAST_NOVELTY:
+            if is_novel(m[0], dictionary + around.encode()):
                 found.append((m.start(), m.end(), "novel"))
     return found
 

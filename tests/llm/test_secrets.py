@@ -53,3 +53,21 @@ def test_novelty_counts_marginal_bytes():
 def test_edges(spark, edges, no_documents, folder):
     assert secrets.op1_secrets(spark, folder(documents=edges)).count() == edges.count()
     assert secrets.scan(no_documents).count() == 0
+
+
+def test_long_keys_of_small_alphabets_are_novel(spark):
+    rng = random.Random(11)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    keys = ["".join(rng.choices(a, k=n)) for a in alphabets for n in (64, 96, 256, 800)]
+    rows = rows_of(spark, [f"authorization: Bearer {k} sent" for k in keys])
+    assert [r.spans for r in rows] == [f"novel:22:{22 + len(k)}" for k in keys]
+
+
+def test_keys_with_few_digits_are_novel_and_frequent_words_are_not(spark):
+    """The corpus has more frequent identifiers than the dictionary holds, so the keys are not among them."""
+    rng = random.Random(12)
+    common = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=18)) for _ in range(secrets.DICTIONARY_WORDS)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choices(letters, k=n)) + end for n, end in ((20, ""), (22, "7"), (24, "42"), (40, ""))] + ["".join(rng.choices("0123456789", k=20)) + "xy"]
+    rows = rows_of(spark, [" ".join(common)] * 2 + [f"the credential {k} is set" for k in keys] + [f"the credential {w} is set" for w in common[::1000]])
+    assert [r.spans for r in rows[2:]] == [f"novel:15:{15 + len(k)}" for k in keys] + [""] * len(common[::1000])
