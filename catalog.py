@@ -719,13 +719,19 @@ def signal_metadata_counts(spark, folder):
 
 # ---- landed documents -------------------------------------------------------------------------
 
+#: Entries of one landed document; their number follows the table.
+DOCUMENT_ENTRIES = 50_000
+
+
 def document_of(spark, entries: DataFrame, part: str | None) -> DataFrame:
-    """``entries`` (key, value) written as one JSON document and read back as landed text."""
+    """``entries`` (key, value) written as JSON documents, one per bucket of keys, and read back as landed text."""
+    buckets = max(1, -(-entries.count() // DOCUMENT_ENTRIES))
     whole = F.map_from_entries(F.collect_list(F.struct("key", "value")))
-    text = entries.agg(F.to_json(F.struct(whole.alias(part)) if part else whole).alias("value"))
+    text = (entries.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+            .agg(F.to_json(F.struct(whole.alias(part)) if part else whole).alias("value")))
     path = f"{staging_root(spark)}/document-{uuid.uuid4().hex[:8]}"
-    text.write.text(path)
-    return landed.read_documents(spark, f"{path}/part-*")
+    text.write.partitionBy("bucket").text(path)  # a bucket is one row of one task, so one file
+    return landed.read_documents(spark, f"{path}/bucket=*/part-*")
 
 
 @query
