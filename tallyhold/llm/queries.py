@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyhold.llm import byte_bpe, imatch, mixing, near_text, near_vectors, personal, secrets, substrings, token_files, toxicity
+from tallyhold.llm import byte_bpe, imatch, manifest, mixing, near_text, near_vectors, personal, secrets, substrings, token_files, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secrets,
@@ -16,6 +16,7 @@ QUERIES = {f.__name__: f for f in (
     mixing.op8_mixing,
     near_vectors.op9_near_vectors,
     near_text.op10_near_text,
+    manifest.op11_merkle_manifest,
 )} | {"pipeline": corpus_pipeline.run}
 
 
@@ -60,4 +61,5 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JO
         "doc_id", "SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)") + """
 SELECT c.node AS doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.component_id, c.node = c.component_id AS kept
 FROM component c LEFT JOIN sizes s ON s.doc_id = c.node""",
+    "op11_merkle_manifest": manifest.sql(),
 }
