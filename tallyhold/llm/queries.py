@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyhold.llm import byte_bpe, imatch, manifest, mixing, near_text, near_vectors, personal, secrets, substrings, token_files, toxicity
+from tallyhold.llm import bit_planes, byte_bpe, imatch, learned_partitions, manifest, mixing, near_text, near_vectors, personal, secrets, substrings, token_files, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secrets,
@@ -17,6 +17,8 @@ QUERIES = {f.__name__: f for f in (
     near_vectors.op9_near_vectors,
     near_text.op10_near_text,
     manifest.op11_merkle_manifest,
+    bit_planes.op12_bit_planes,
+    learned_partitions.op13_learned_partitions,
 )} | {"pipeline": corpus_pipeline.run}
 
 
@@ -62,4 +64,6 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JO
 SELECT c.node AS doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.component_id, c.node = c.component_id AS kept
 FROM component c LEFT JOIN sizes s ON s.doc_id = c.node""",
     "op11_merkle_manifest": manifest.sql(),
+    "op12_bit_planes": bit_planes.sql(),
+    "op13_learned_partitions": learned_partitions.SQL,
 }
