@@ -289,7 +289,8 @@ def routed(rows: DataFrame, models: DataFrame, width: int, seed: int, queries: b
 
 def leaves_of(classes: DataFrame, asked: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(node, digest, vec) of the indexed classes in their leaf, and of the queries in every leaf that they probe."""
-    rows, queries = classes.select(F.lit("").alias("node"), "digest", "vec"), asked.select(F.lit("").alias("node"), "digest", "vec")
+    root = F.substring("digest", 1, 0).alias("node")  # empty, but no constant: joins by node stay joins by a key
+    rows, queries = classes.select(root, "digest", "vec"), asked.select(root, "digest", "vec")
     done, probes = [], []
     levels = max(1, ceil(log(max(1, classes.count() / LEAF_ROWS)) / log(FANOUT)))
     for depth in range(DEPTH):

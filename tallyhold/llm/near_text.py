@@ -5,10 +5,11 @@ that share a band share a bucket.  A candidate pair is compared by batches of it
 posterior (uniform prior) that its similarity reaches the limit must stay above MISS, or the pair is dropped.  Pairs
 that pass all batches are decided by their full sets.
 
-A bucket never emits all of its pairs.  First each member is compared with the bucket's smallest member, and the links
-are made into components.  Buckets that still hold several components are cut into chunks; a task compares the members
-of two chunks across components and emits a spanning forest of the links that it has found.  So every candidate pair
-whose ends are not yet linked is compared, and the output grows with the members.
+A bucket never emits all of its pairs.  First each member is compared with the bucket's pivot, the one that shares the most, and the links
+are made into components.  Large buckets that still hold several get further stars around members outside their largest one, while
+that helps.  What is left is cut into chunks; a task compares the members of two chunks across components, those of the
+largest component only with others, and emits a spanning forest of the links that it has found.  So every candidate pair
+whose ends are not yet linked is compared, and rows are |largest| + |others| * chunks, not a square.
 
 Null texts count as empty; a document without words has an empty set and links with nothing.  With fewer than SHINGLE
 words the whole sequence is the one shingle.  Repeated rows and equal texts are one class.  A component's id is its
@@ -22,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhold.llm import common
@@ -35,7 +36,12 @@ HASHES = BANDS * ROWS
 LOW_BANDS, LOW_ROWS = 24, 5
 #: Signature values compared at a time, and the probability with which a pair at the limit may be lost by that.
 STEP, MISS = 24, 1e-4
-CHUNK = 200
+#: Members of a bucket whose signatures a task compares with those of as many others; larger buckets get further stars first.
+CHUNK = 1000
+#: Members whose full sets a task holds at most, some of them from either chunk.
+SETS = 400
+#: Further stars stop once a round leaves more than this share of the members outside.
+STALLED = 0.8
 #: Rows of an Arrow batch: the sets of two very long texts may stand in one row.
 BATCH_ROWS = 100
 #: Bits of the sketch of the classes in shared buckets; others' sets and signatures are not looked at again.
@@ -152,20 +158,24 @@ def cross_pairs(chunk: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nd
 
 # ---- jobs ---------------------------------------------------------------------------------------
 
+def row_keys(key: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(key, text).alias("row_key"), F.xxhash64(F.lit(29), text, key).alias("row_key2")]
+
+
 def signed(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, row_key, n_shingles, c1, c2, signature); a row key names the id and text."""
-    rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("row_key", F.xxhash64("id", "text"))
+    """(id, row_key, row_key2, n_shingles, c1, c2, signature); both row keys together name the id and text."""
+    rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), *row_keys(F.col(key), F.col(text)))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, at = shingles(batch.column("text"))
         c1, c2 = set_digests(values, at)
         signature = signatures(values, at)
         return pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("row_key"), pa.array(np.diff(at), pa.int64()), pa.array(c1), pa.array(c2),
-             pa.array([s.tobytes() for s in signature], pa.binary())], ["id", "row_key", "n_shingles", "c1", "c2", "signature"])
+            [batch.column("id"), batch.column("row_key"), batch.column("row_key2"), pa.array(np.diff(at), pa.int64()), pa.array(c1), pa.array(c2),
+             pa.array([s.tobytes() for s in signature], pa.binary())], ["id", "row_key", "row_key2", "n_shingles", "c1", "c2", "signature"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return rows.mapInArrow(common.in_slices(make), f"id {kind}, row_key long, n_shingles long, c1 long, c2 long, signature binary")
+    return rows.mapInArrow(common.in_slices(make), f"id {kind}, row_key long, row_key2 long, n_shingles long, c1 long, c2 long, signature binary")
 
 
 def full_sets(documents: DataFrame, sketch, key: str, text: str) -> DataFrame:
@@ -201,8 +211,21 @@ def _kept_pairs(decide):
     return run
 
 
+def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked: signatures batch by batch, then full sets."""
+    def hopeful(part):
+        return passing(common.stacked(part.column("of_a"), np.uint32), common.stacked(part.column("of_b"), np.uint32), percent) if part.num_rows else []
+
+    def exact(part):
+        return [i for i, (x, y) in enumerate(zip(part.column("of_a"), part.column("of_b")))
+                if linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)]
+
+    left = common.written(with_both(common.written(pairs, "near-pairs"), reps, "signature").mapInArrow(_kept_pairs(hopeful), "a long, b long"), "near-hopeful")
+    return common.written(with_both(left, sets, "values").mapInArrow(_kept_pairs(exact), "a long, b long"), "near-edges")
+
+
 def link(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``documents``: id, row_key, n_shingles, group (null without words), component_id, kept."""
+    """Per row of ``documents``: id, row_key, row_key2, n_shingles, group (null without words), component_id, kept."""
     common.ready(documents.sparkSession, BATCH_ROWS)
     rows = common.written(signed(documents, key, text), "near-rows")
     filled = rows.filter("n_shingles > 0")
@@ -218,25 +241,18 @@ def link(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("class").to_numpy(), n))], ["bucket", "class"])
 
     bands = reps.mapInArrow(banded, "bucket long, class long")
-    buckets = common.written(bands.groupBy("bucket").agg(F.count("*").alias("m"), F.min("class").alias("pivot")).filter("m > 1"), "near-buckets")
-    members = common.written(bands.join(buckets, "bucket"), "near-members")
-
-    shared = documents.sparkSession.sparkContext.broadcast(common.bit_sketch(members.select("class"), "class", SKETCH_BITS))
-    reps = in_buckets(reps, shared)
-    star = members.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    hopeful = common.written(
-        with_both(common.written(star, "near-star"), reps, "signature")
-        .mapInArrow(_kept_pairs(lambda p: passing(common.stacked(p.column("of_a"), np.uint32), common.stacked(p.column("of_b"), np.uint32), percent)
-                                if p.num_rows else []), "a long, b long"), "near-hopeful")
-    sets = common.written(full_sets(documents, shared, key, text)
+    buckets = common.written(bands.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "near-buckets")
+    shared = common.written(bands.join(buckets, "bucket"), "near-shared")
+    # The class that shares the most is the likeliest to be near the others of its buckets: an unedited copy, say.
+    members = common.written(shared.join(shared.groupBy("class").agg(F.sum("m").alias("weight")), "class"), "near-members")
+
+    sketch = documents.sparkSession.sparkContext.broadcast(common.bit_sketch(members.select("class"), "class", SKETCH_BITS))
+    reps = in_buckets(reps, sketch)
+    sets = common.written(full_sets(documents, sketch, key, text)
                           .join(members.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "near-sets")
-
-    def exact(part):
-        return [i for i, (x, y) in enumerate(zip(part.column("of_a"), part.column("of_b")))
-                if linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)]
-
-    edges = common.written(with_both(hopeful, sets, "values").mapInArrow(_kept_pairs(exact), "a long, b long"), "near-edges")
-    labels = common.components(edges, "near-first").withColumnsRenamed({"id": "class", "component": "label"})
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "class"))["class"].alias("pivot"))
+    edges = verified(star(members, pivots), reps, sets, percent)
+    edges, labels = more_stars(members, edges, reps, sets, percent)
     more = unsettled_links(members, labels, reps, sets, percent)
     final = common.components(edges.union(more), "near-last").withColumnsRenamed({"id": "class", "component": "label"})
 
@@ -244,38 +260,86 @@ def link(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text
     smallest = common.written(named.groupBy("label").agg(F.min("least").alias("component_id")), "near-smallest")
     of_class = common.written(named.join(smallest, "label").select("c1", "c2", "component_id", F.col("label").alias("group")), "near-components")
     single = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return (rows.select("id", "row_key", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"], "left")
-            .select("id", "row_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("group")).alias("group"), single.alias("component_id"))
+    return (rows.select("id", "row_key", "row_key2", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"], "left")
+            .select("id", "row_key", "row_key2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("group")).alias("group"), single.alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))))
 
 
 def without_near_copies(documents: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with one row of each group: that of the smallest id, a null id last.  Rows without words all stay."""
-    rows = common.written(link(documents, percent, key, text).select("id", "row_key", "group"), "near-linked")
-    first = (rows.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_key")).alias("first"))
-             .select(F.col("first.row_key").alias("row_key"), F.lit(True).alias("grouped")))
-    alone = rows.filter("group is null").select("row_key", F.lit(False).alias("grouped")).distinct()
+    rows = common.written(link(documents, percent, key, text).select("id", "row_key", "row_key2", "group"), "near-linked")
+    first = (rows.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_key", "row_key2")).alias("first"))
+             .select("first.row_key", "first.row_key2", F.lit(True).alias("grouped")))
+    alone = rows.filter("group is null").select("row_key", "row_key2", F.lit(False).alias("grouped")).distinct()
     chosen = common.written(first.union(alone), "near-chosen")
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    found = (documents.select(F.struct(*columns).alias("row"), F.xxhash64(key, text).alias("row_key")).join(chosen, "row_key"))
-    # Equal rows share a key; one of them stays if they have words.
-    once = found.filter("grouped").dropDuplicates(["row_key"]).select("row.*")
+    found = documents.select(F.struct(*columns).alias("row"), *row_keys(F.col(key), F.col(text))).join(chosen, ["row_key", "row_key2"])
+    # Equal rows share their keys; one of them stays if they have words.
+    once = found.filter("grouped").dropDuplicates(["row_key", "row_key2"]).select("row.*")
     return once.union(found.filter("not grouped").select("row.*"))
 
 
-def unsettled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning links between components that share a bucket and aren't linked by its smallest member."""
-    labelled = common.written(members.filter("m > 2").join(labels, "class", "left")
-                              .select("bucket", "class", "m", F.coalesce("label", "class").alias("label")), "near-labelled")
+def star(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's pivot with its other members, each pair once."""
+    pairs = members.join(pivots, "bucket").filter("class <> pivot")
+    return pairs.select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct()
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return common.written(members.filter("m > 2").join(labels, "class", "left")
+                          .select("bucket", "class", "m", "weight", F.coalesce("label", "class").alias("label")), "near-labelled")
+
+
+def open_buckets(labelled: DataFrame) -> DataFrame:
+    """(bucket, main, outside) of the buckets that hold several components: the largest, and the number of members outside it."""
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("there"), F.first("m").alias("m"),
+                                                    F.sum(F.xxhash64("class") % (1 << 40)).alias("s1"), F.sum(F.xxhash64(F.lit(7), "class") % (1 << 40)).alias("s2"))
+    mains = sizes.groupBy("bucket").agg(F.max(F.struct("there", "label")).alias("top"), F.first("m").alias("m"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     # Buckets with the same members are looked at once.
-    mixed = (labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("m").alias("size"),
-                                            F.sum(F.xxhash64("class") % (1 << 40)).alias("s1"), F.sum(F.xxhash64(F.lit(7), "class") % (1 << 40)).alias("s2"))
-             .filter("low < high").groupBy("size", "s1", "s2").agg(F.min("bucket").alias("bucket")))
-    open_buckets = common.written(mixed.select("bucket"), "near-open")
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    placed = (labelled.join(open_buckets, "bucket").withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "class"), chunks).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-              .select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "class", "label"))
+    once = mains.filter("top.there < m").groupBy("m", "s1", "s2").agg(F.min(F.struct("bucket", "top")).alias("one"))
+    return common.written(once.select("one.bucket", F.col("one.top.label").alias("main"), (F.col("m") - F.col("one.top.there")).alias("outside")), "near-open")
+
+
+def more_stars(members: DataFrame, edges: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, labels) after further stars in large buckets, while these leave less and less outside the largest components.
+
+    A star's pivot is the heaviest member outside the largest component; it is compared with all members of other components,
+    so a round costs at most one row per member.
+    """
+    last = None
+    while True:
+        labels = common.written(common.components(edges, "near-first").withColumnsRenamed({"id": "class", "component": "label"}), "near-labels")
+        labelled = _labelled(members.filter(F.col("m") > CHUNK), labels)
+        left = open_buckets(labelled)
+        outside = left.agg(F.sum("outside")).first()[0] or 0
+        if not outside or (last is not None and outside > STALLED * last):
+            return edges, labels
+        last = outside
+        there = labelled.join(left, "bucket")
+        pivots = (there.filter("label <> main").groupBy("bucket").agg(F.max(F.struct("weight", "class", "label")).alias("p"))
+                  .select("bucket", F.col("p.class").alias("pivot"), F.col("p.label").alias("of_pivot")))
+        edges = common.written(edges.union(verified(star(there.join(pivots.select("bucket", "of_pivot"), "bucket").filter("label <> of_pivot"),
+                                                         pivots.select("bucket", "pivot")), reps, sets, percent)), "near-edges")
+
+
+def dealt(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, low, high, chunk, class, label): the members of open buckets in each task that they take part in.
+
+    The members of a bucket's largest component need only meet those outside it, so they are repeated for chunks of the latter alone.
+    """
+    labelled = _labelled(members, labels)
+    inside, outside = F.col("label") == F.col("main"), F.ceil(F.col("outside") / CHUNK).cast("int")
+    first_outside = F.ceil((F.col("m") - F.col("outside")) / CHUNK).cast("int")
+    part = lambda n: F.pmod(F.xxhash64(F.lit(11), "class"), n).cast("int")
+    return (labelled.join(open_buckets(labelled), "bucket")
+            .withColumn("chunk", F.when(inside, part(first_outside)).otherwise(first_outside + part(outside)))
+            .withColumn("other", F.explode(F.sequence(F.when(inside, first_outside).otherwise(F.lit(0)), first_outside + outside - 1)))
+            .select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "class", "label"))
+
+
+def unsettled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning links between components that share a bucket and aren't linked by stars."""
+    placed = dealt(members, labels)
     task = ["bucket", "low", "high"]
 
     def with_survivors(batches):
@@ -322,7 +386,14 @@ def unsettled_links(members: DataFrame, labels: DataFrame, reps: DataFrame, sets
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    loaded = alive.join(reps, "class").join(sets, "class").select(*task, "chunk", "class", "label", "signature", "values")
+    # What is left of a task is cut again if its full sets would be many.
+    parts = F.ceil(2 * F.col("there") / SETS).cast("int")
+    cut = (alive.join(alive.groupBy(*task).agg(F.count("*").alias("there")), task)
+           .withColumn("chunk", F.pmod(F.xxhash64(F.lit(13), "class"), parts).cast("int"))
+           .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+           .select(*task, F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "chunk", "class", "label"))
+    task = [*task, "first", "second"]
+    loaded = cut.join(reps, "class").join(sets, "class").select(*task, "chunk", "class", "label", "signature", "values")
     return common.written(loaded.repartition(*task).sortWithinPartitions(*task).mapInArrow(forest, "a long, b long"), "near-more-edges")
 
 

@@ -15,7 +15,7 @@ def shingle_set(text):
     return frozenset([tuple(words[i:i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else []))
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """(id, set size, component) of each (id, text), comparing every pair."""
     sets = [shingle_set(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -27,7 +27,7 @@ def brute(rows):
 
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[top(i)] = top(j)
     members = {}
     for i, (name, _) in enumerate(rows):
@@ -51,9 +51,10 @@ def families(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [200, 4])
+@pytest.mark.parametrize("chunk", [1000, 4])
 def test_families_and_chains(spark, folder, monkeypatch, chunk):
     monkeypatch.setattr(near_text, "CHUNK", chunk)
+    monkeypatch.setattr(near_text, "SETS", 2 * chunk)
     rows = families(chunk, 25)
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, id string, kept int").repartition(3)
     got = near_text.op10_near_text(spark, folder(documents=docs)).orderBy("doc_id").collect()
@@ -64,6 +65,38 @@ def test_families_and_chains(spark, folder, monkeypatch, chunk):
     assert {r.id for r in left} == {"clash"}
 
 
+def test_rows_grow_with_a_family_not_its_square(spark, monkeypatch):
+    """Near copies of one text, each with its own edits: pairs of copies lie around the limit, many copies below it to all others."""
+    percent = near_text.PERCENT
+    rng, made = random.Random(percent), []
+    words = [f"w{i}" for i in range(400)]
+
+    def counted(name, make):
+        def run(*args):
+            made.append((name, make(*args).count()))
+            return make(*args)
+        return run
+
+    for name in ("star", "dealt"):
+        monkeypatch.setattr(near_text, name, counted(name, getattr(near_text, name)))
+    rows = [(0, " ".join(words))]
+    for i in range(1, 4000):
+        copy = words[:]
+        for _ in range(rng.randint(2, 9)):
+            copy[rng.randrange(400)] = f"n{i}x{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    got = near_text.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), percent).collect()
+    members = 24 * len(rows)  # a class is in at most so many buckets
+    assert all(n <= members for _, n in made) and sum(n for _, n in made) <= 1.5 * members, made
+    sets = [shingle_set(t) for _, t in rows]
+    near = [i for i in range(len(rows)) if 100 * len(sets[0] & sets[i]) >= percent * len(sets[0] | sets[i])]
+    of = {r.id: r.component_id for r in got}
+    assert len(near) > 2000 and {of[i] for i in near} == {0}
+    for i in range(1, len(rows), 37):  # others are in the group as soon as they are near any member
+        if i not in near:
+            assert (of[i] == 0) == any(100 * len(sets[j] & sets[i]) >= percent * len(sets[j] | sets[i]) for j in range(len(rows)) if of[j] == 0 and j != i)
+
+
 def test_edges(spark, edges, no_documents, edge_rows):
     rows = [(i, t) for i, t, _, _ in edge_rows]
     got = near_text.link(edges).collect()

@@ -16,8 +16,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = set(driver.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
-    assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in driver.oracle_sql() and {"op2_substrings", "op8_mixing", "op9_near_vectors", "op10_near_text"} <= set(driver.oracle_sql())
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+    assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in driver.oracle_sql() and {"op2_substrings", "op8_mixing", "op9_near_vectors", "op10_near_text", "op11_merkle_manifest", "op12_bit_planes", "op13_learned_partitions"} <= set(driver.oracle_sql())
 
 
 def test_stages_against_brute_force(spark):
@@ -36,7 +36,7 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in after} == {r.doc_id for r in before if scores[r.doc_id] < 0.3}
 
     before, after = made["near copies"]
-    want = {c for _, _, c in near_groups([(r.doc_id, r.text) for r in before])}
+    want = {c for _, _, c in near_groups([(r.doc_id, r.text) for r in before], corpus_pipeline.COPY_PERCENT)}
     assert sorted(r.doc_id for r in after) == sorted(want)
 
     before, after = made["personal data"]
