@@ -7,15 +7,15 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhold import fixed_values as fv
 from tallyhold.functions import columns as C
 from tallyhold.functions import report
-from tallyhold.operators import (asof, filings, median, positions, prices, quality, reference, resolve, rollups,
-                                 signals, views)
+from tallyhold.operators import (asof, exact_sum, filings, median, paging, positions, prices, quality, reference, resolve,
+                                 rollups, signals, views)
 from tallyhold.plans.book import Book, warehouse_book
 from tallyhold.plans import market
 from tallyhold.plans.snapshot import book_tables as tables_of_book
@@ -194,6 +194,13 @@ def security_weights(spark, folder):
     return plain(book(spark, folder).weights.select("period", "cusip", "holder_count", "weight_sum", "avg_weight"))
 
 
+@query
+def exact_value_sums(spark, folder):
+    """Market value per security, added up exactly and rounded once."""
+    rows = Warehouse(spark, folder).table("lineitem").select(security_number(F.col("l_partkey")).alias("n"), "l_extendedprice")
+    return exact_sum.exact_sums(rows, ["n"], {"total": F.col("l_extendedprice")}, {"rows": F.count("*")})
+
+
 @query
 def new_holders(spark, folder):
     return plain(book(spark, folder).weights.select("period", "cusip", "new_holder_count").filter("new_holder_count > 0"))
@@ -250,6 +257,17 @@ def view_match_counts(spark, folder):
     return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
 
 
+@query
+def positions_deep_page(spark, folder):
+    """The 200 positions behind the three quarters of all that are worth most, with their rank."""
+    held = book(spark, folder).positions.withColumn("shares", F.coalesce("shares", F.lit(0.0)))
+    start = held.count() * 3 // 4
+    order = [F.desc("value"), *[F.asc(c) for c in positions.POSITION_KEY]]
+    found = paging.page_of(held, order, start, 200, shallow=2000).rows
+    place = F.row_number().over(Window.orderBy(*order))  # of the page alone
+    return plain(found.select((place + start).cast("long").alias("place"), *positions.POSITION_KEY, "value", "shares"))
+
+
 @query
 def report_rows(spark, folder):
     b, warehouse = book(spark, folder), Warehouse(spark, folder)

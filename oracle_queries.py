@@ -101,6 +101,10 @@ SELECT CAST(period AS VARCHAR) AS period, CAST(previous_period AS VARCHAR) AS pr
 SQL["security_weights"] = book_sql("""
 SELECT CAST(period AS VARCHAR) AS period, cusip, holder_count, round(weight_sum, 6) AS weight_sum,
   round(avg_weight, 6) AS avg_weight FROM weights""")
+# A price is a whole number of 2 ** -43, so whole numbers add up exactly.
+SQL["exact_value_sums"] = """
+SELECT l_partkey // 33 AS n, CAST(sum(CAST(l_extendedprice * 8796093022208 AS HUGEINT)) AS DOUBLE) / 8796093022208 AS total, count(*) AS rows
+FROM lineitem GROUP BY l_partkey // 33"""
 SQL["new_holders"] = book_sql("""
 SELECT CAST(period AS VARCHAR) AS period, cusip, new_holder_count FROM weights WHERE new_holder_count > 0""")
 SQL["snapshot_summary"] = book_sql(f""", stats AS ({_PERIOD_STATS})
@@ -114,6 +118,10 @@ SELECT CAST(period AS VARCHAR) AS period, CAST(previous_period AS VARCHAR) AS pr
 # ---- ranked views -----------------------------------------------------------------------------
 
 _TOP = "metric DESC, holders DESC, cusip"
+SQL["positions_deep_page"] = book_sql(""", placed AS (
+  SELECT row_number() OVER (ORDER BY value DESC, cik, period, cusip, position_type, shares_type) AS place, * FROM positions)
+SELECT place, cik, CAST(period AS VARCHAR) AS period, cusip, position_type, shares_type, value, coalesce(shares, 0.0) AS shares FROM placed
+WHERE place > (SELECT count(*) * 3 // 4 FROM positions) AND place <= (SELECT count(*) * 3 // 4 FROM positions) + 200""")
 SQL["top_holdings"] = view_sql("holdings", _TOP)
 SQL["top_holdings_unmapped"] = view_sql("holdings", _TOP, size=200, mapped=False)
 SQL["top_holdings_by_ticker_page2"] = view_sql(

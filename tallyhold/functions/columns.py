@@ -58,21 +58,31 @@ def date_label(c: Column) -> Column:
 def whole_number(c: Column) -> Column:
     """Non-negative integer written any decimal way (``10``, ``10.0``, ``1e3``); NULL when blank or invalid.
 
-    Plain digits take the cheap cast.  Of other spellings the significant digits and their power of ten are taken
-    apart, so a fraction counts however far behind the point it stands.
+    Plain digits, also with zeros behind the point, take a cheap cast.  Other spellings are cut into sign, digits, and
+    power once; the significant digits and their power of ten decide, so a fraction counts however far behind the point it stands.
     """
     text = strip(c)
     form = r"^([+-]?)(?=\.?[0-9])([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,9}))?$"
-    sign, whole, part, power = (F.regexp_extract(text, form, k) for k in range(1, 5))
-    digits = F.ltrim(F.concat(whole, part), F.lit("0"))
-    kept = F.rtrim(digits, F.lit("0"))
-    exponent = F.coalesce(power.try_cast("bigint"), F.lit(0)) - F.length(part) + F.length(digits) - F.length(kept)
-    size = F.length(kept) + exponent
-    value = F.rpad(kept, F.least(size, F.lit(20)).cast("int"), F.lit("0")).try_cast(T.DecimalType(20, 0))
-    written = (F.when(~text.rlike(form), None).when(kept == "", F.lit(0).cast(T.DecimalType(20, 0)))
-               .when((sign != "-") & (exponent >= 0) & (size <= 19), value))
-    return (F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("bigint"))
-            .when(text == "", None).when(written <= F.lit(fv.MAX_WHOLE_NUMBER), written.cast("long")))
+    cut = F.split(F.regexp_replace(text, form, "$1|$2|$3|$4"), "[|]", 4)
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)  # noqa: E731  a lambda's argument is computed once
+
+    def scaled(d: Column) -> Column:
+        size = F.length(d["kept"]) + d["exponent"]
+        value = F.rpad(d["kept"], F.least(size, F.lit(20)).cast("int"), F.lit("0")).try_cast(T.DecimalType(20, 0))
+        written = (F.when(d["kept"] == "", F.lit(0).cast(T.DecimalType(20, 0)))
+                   .when((d["sign"] != "-") & (d["exponent"] >= 0) & (size <= 19), value))
+        return F.when(written <= F.lit(fv.MAX_WHOLE_NUMBER), written.cast("long"))
+
+    def trimmed(d: Column) -> Column:
+        kept = F.rtrim(d["digits"], F.lit("0"))
+        exponent = F.coalesce(d["power"].try_cast("bigint"), F.lit(0)) - d["behind"] + F.length(d["digits"]) - F.length(kept)
+        return F.struct(d["sign"].alias("sign"), kept.alias("kept"), exponent.alias("exponent"))
+
+    def parts(p: Column) -> Column:
+        return F.struct(p[0].alias("sign"), F.ltrim(F.concat(p[1], p[2]), F.lit("0")).alias("digits"), F.length(p[2]).alias("behind"), p[3].alias("power"))
+
+    return (F.when(text.rlike(r"^[0-9]{1,18}(\.0*)?$"), F.substring_index(text, ".", 1).try_cast("bigint"))
+            .when(text.rlike(form), once(once(once(cut, parts), trimmed), scaled)))
 
 
 def bad_whole_number(c: Column) -> Column:

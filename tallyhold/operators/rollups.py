@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhold import fixed_values as fv
+from tallyhold.operators.exact_sum import exact_sums
 from tallyhold.operators.filings import link_periods
 
 
@@ -89,12 +90,15 @@ def stock_changes(positions: DataFrame) -> DataFrame:
     rows = rows.select("cusip", "position_type", "c.*")
     adding = F.count_if(F.col("shares") > F.col("old_shares"))
     cutting = F.count_if(F.col("shares") < F.col("old_shares"))
-    return rows.groupBy("current_period", "previous_period", "cusip", "position_type").agg(
-        F.count("*").alias("comparable_funds"), adding.alias("adding_funds"), cutting.alias("cutting_funds"),
-        (adding - cutting).alias("net_add"),
-        F.count_if("has_now").alias("current_funds"), F.count_if("has_before").alias("previous_funds"),
-        (F.sum("shares") - F.sum("old_shares")).alias("net_units"),
-        F.sum("value").alias("current_value"), (F.sum("value") - F.sum("old_value")).alias("value_change"))
+    key = ["current_period", "previous_period", "cusip", "position_type"]
+    sums = exact_sums(rows, key, {"units": F.col("shares"), "old_units": F.col("old_shares")}, {
+        "comparable_funds": F.count("*"), "adding_funds": adding, "cutting_funds": cutting,
+        "current_funds": F.count_if("has_now"), "previous_funds": F.count_if("has_before"),
+        "current_value": F.sum("value"), "old_value": F.sum("old_value")})
+    return sums.select(
+        *key, "comparable_funds", "adding_funds", "cutting_funds", (F.col("adding_funds") - F.col("cutting_funds")).alias("net_add"),
+        "current_funds", "previous_funds", (F.col("units") - F.col("old_units")).alias("net_units"),
+        "current_value", (F.col("current_value") - F.col("old_value")).alias("value_change"))
 
 
 def period_change_totals(periods: DataFrame, context: DataFrame) -> DataFrame:
@@ -138,9 +142,8 @@ def security_weight_stats(positions: DataFrame, universe: DataFrame) -> DataFram
     rows = per_manager.withColumn("is_new", F.col("from_previous") & ~held_before)
     in_universe = (F.col("coverage_status") == "COMPLETE") & (F.col("total_value") > 0)
     weight = F.when(in_universe, F.col("value").cast("double") / F.col("total_value"))
-    stats = rows.groupBy("period", "cusip").agg(
-        F.count(weight).alias("holder_count"), F.sum(weight).alias("weight_sum"),
-        F.count_if("is_new").alias("new_holder_count")).filter(F.col("holder_count") > 0)
+    stats = exact_sums(rows.withColumn("weight", weight), ["period", "cusip"], {"weight_sum": F.col("weight")}, {
+        "holder_count": F.count("weight"), "new_holder_count": F.count_if("is_new")}).filter(F.col("holder_count") > 0)
     sizes = F.broadcast(universe.select("period", "weight_manager_count"))
     return stats.join(sizes, "period").select(
         "period", "cusip", "holder_count", "weight_sum",

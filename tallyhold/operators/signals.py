@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyhold import fixed_values as fv
 from tallyhold.functions import columns as C
 from tallyhold.operators import asof, median
+from tallyhold.operators.exact_sum import exact_sums
 from tallyhold.session import stage
 
 
@@ -158,14 +159,13 @@ def priced_events(events: DataFrame, bars: DataFrame, mark: dt.date) -> DataFram
 
 def manager_scores(context: DataFrame, events: DataFrame, mark: dt.date) -> DataFrame:
     """One score row per manager-quarter, events or not; ``events`` come from ``priced_events``."""
-    is_priced = F.col("gross").isNotNull()
-    sums = events.groupBy("cik", "period").agg(
-        F.count("*").alias("candidate_events"), F.count_if("is_eligible").alias("eligible_events"),
-        F.count_if(is_priced).alias("priced_events"), F.count_if(is_priced & (F.col("delta") > 0)).alias("buy_events"),
-        F.count_if(is_priced & (F.col("delta") < 0)).alias("sell_events"),
-        F.count_if(F.col("pnl") > 0).alias("hit_events"),
-        F.sum("pnl").alias("pnl"), F.sum("gross").alias("gross"),
-        F.sum(F.col("gross") * F.col("gross")).alias("squares"), F.min("reference_date").alias("reference_date"))
+    own = events.select("cik", "period", "is_eligible", "delta", "reference_date", F.col("pnl").alias("profit"), F.col("gross").alias("size"))
+    is_priced = F.col("size").isNotNull()
+    sums = exact_sums(own, ["cik", "period"], {"pnl": F.col("profit"), "gross": F.col("size"), "squares": F.col("size") * F.col("size")}, {
+        "candidate_events": F.count("*"), "eligible_events": F.count_if("is_eligible"),
+        "priced_events": F.count_if(is_priced), "buy_events": F.count_if(is_priced & (F.col("delta") > 0)),
+        "sell_events": F.count_if(is_priced & (F.col("delta") < 0)), "hit_events": F.count_if(F.col("profit") > 0)},
+        {"reference_date": F.col("reference_date")})
     counts = ["candidate_events", "eligible_events", "priced_events", "buy_events", "sell_events", "hit_events"]
     rows = context.join(sums, ["cik", "period"], "left").na.fill(0, [*counts, "pnl", "gross", "squares"])
     coverage = F.when(F.col("eligible_events") > 0, 100.0 * F.col("priced_events") / F.col("eligible_events")).otherwise(0.0)

@@ -1,7 +1,7 @@
 """Ranked views over the weight statistics: top holdings, fresh initiations, top movers, and the summary.
 
 Each view builds one lazy DataFrame.  Eager steps are reading the two period dates it compares,
-which lets partition pruning cut the statistics to those periods, and writing a page that is to be priced.
+which lets partition pruning cut the statistics to those periods, writing a page that is to be priced, and finding a deep page (see ``paging``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyhold import fixed_values as fv
 from tallyhold.functions import columns as C
 from tallyhold.operators import prices
+from tallyhold.operators.paging import page_of
 from tallyhold.session import stage
 
 
@@ -192,7 +193,7 @@ def ranked_view(periods: DataFrame, weights: DataFrame, securities: DataFrame, s
     by_price = options.sort in fv.PRICE_SORTS and mark is not None
     sortable = prices.with_price_points(matching, bars, mark) if by_price else matching
     order = sort_order(options, priced=by_price)
-    page = sortable.orderBy(*order).offset((options.page - 1) * options.size).limit(options.size)
+    page = page_of(sortable, order, (options.page - 1) * options.size, options.size).rows
     if by_price:
         rows = prices.price_columns(page, mark)
     elif mark is not None:

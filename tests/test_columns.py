@@ -121,3 +121,8 @@ def test_report_text(spark):
         "Apple Inc", "Apple Inc.", "Berkshire Hathaway Inc Del", "At&T Inc", "O'reilly Auto & Co", "3M Co.", "éCole SA", "—"]
     assert apply(spark, report.quote_url, ["BRK/B", "A B", ""]) == [
         "https://finance.yahoo.com/quote/BRK-B", "https://finance.yahoo.com/quote/A%20B", ""]
+
+
+def test_whole_numbers_are_cut_once(spark):
+    plan = spark.createDataFrame([("1",)], "t string").select(C.whole_number(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 0 and plan.count("regexp_replace") <= 1 and plan.count("RLIKE") <= 2
