@@ -323,16 +323,32 @@ def asof_first_after(spark, folder):
     return plain(found.select("symbol", "date", "after_date", "after_close").filter("after_close is not null"))
 
 
-@query
-def bars_upsert(spark, folder):
-    """Lower-case corrections of some bars and new later bars, laid over the stored ones."""
-    old = bars(spark, folder)
+def _corrections(old: DataFrame) -> DataFrame:
+    """Lower-case corrections of some bars and new later bars."""
     number = F.substring("symbol", 2, 9).cast("int")
-    fresh = old.filter(number % 3 == 0).select(
+    return old.filter(number % 3 == 0).select(
         F.lower("symbol").alias("symbol"),
         F.when(number % 2 == 0, F.col("price_date")).otherwise(F.date_add("price_date", 3000)).alias("price_date"),
         (F.col("close") + 1.0).alias("close"))
-    return plain(prices.merge_bars(old, fresh))
+
+
+@query
+def bars_upsert(spark, folder):
+    """Corrections laid over the stored bars, all of which are written again."""
+    old = bars(spark, folder)
+    return plain(prices.merge_bars(old, _corrections(old)))
+
+
+@query
+def bars_file_upsert(spark, folder):
+    """The same, and two more upserts of a few months each, as versions of a price table that share their files."""
+    old, root = bars(spark, folder), f"{staging_root(spark)}/price-table-{uuid.uuid4().hex[:8]}"
+    fresh, of_year = _corrections(old), F.year("price_date") == 1997
+    prices.write_bars(None, old.filter(~of_year), f"{root}/1")
+    prices.write_bars(f"{root}/1", old.filter(of_year), f"{root}/2")
+    prices.write_bars(f"{root}/2", fresh.filter(of_year), f"{root}/3")
+    prices.write_bars(f"{root}/3", fresh.filter(~of_year), f"{root}/4")
+    return plain(prices.load_bars(spark, f"{root}/4")[0])
 
 
 @query

@@ -210,6 +210,7 @@ SQL["bars_upsert"] = book_sql(""", fresh AS (
 both_batches AS (SELECT symbol, price_date, close, 0 AS batch FROM bars UNION ALL SELECT *, 1 FROM fresh)
 SELECT symbol, CAST(price_date AS VARCHAR) AS price_date, round(close, 6) AS close FROM both_batches
 QUALIFY row_number() OVER (PARTITION BY lower(symbol), price_date ORDER BY batch DESC) = 1""")
+SQL["bars_file_upsert"] = SQL["bars_upsert"]
 SQL["price_history_rows"] = book_sql("""
 SELECT symbol, CAST(price_date AS VARCHAR) AS price_date, CAST(printf('%.2f', close) AS DOUBLE) AS close FROM bars""")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyhold import fixed_values as fv
 from tallyhold.functions import columns as C
 from tallyhold.schemas import BARS, conform
+from tallyhold.sources import keyed
 
 _HISTORY = ("struct<status:struct<rCode:int>,"
             "data:struct<tradesTable:struct<rows:array<struct<date:string,close:string>>>>>")
@@ -53,10 +54,31 @@ def merge_bars(current: DataFrame, fresh: DataFrame) -> DataFrame:
         newest.select("bar.symbol", "price_date", "bar.close"))
 
 
+def _keyed(bars: DataFrame) -> DataFrame:
+    """Bars with the columns that place them in a keyed table: folded symbol and month."""
+    return conform(bars, BARS).withColumn("fold", C.fold_ascii(F.col("symbol"))).withColumn("month", F.date_format("price_date", "yyyy-MM"))
+
+
+def write_bars(current: str | None, fresh: DataFrame, path: str) -> None:
+    """A version of the price table: the bars at ``current`` with the fresh ones over them, of which the last of a day counts.
+
+    Files are clustered by month, so a new day leaves all files of earlier months as they are (see ``sources.keyed``).  The
+    spelling of a symbol is that of the row that stays.
+    """
+    spark, keys = fresh.sparkSession, ["fold", "price_date"]
+    newest = fresh.groupBy(C.fold_ascii(F.col("symbol")).alias("fold"), "price_date").agg(F.max(F.struct("symbol", "close")).alias("bar"))
+    rows = _keyed(newest.select("bar.symbol", "price_date", "bar.close"))
+    if current and keyed.is_keyed(spark, current):
+        keyed.upsert(current, rows, path, "month", keys)
+    else:
+        old, _ = load_bars(spark, current) if current else (spark.createDataFrame([], BARS), False)
+        keyed.create(_keyed(merge_bars(old, fresh)), path, "month", keys)
+
+
 def load_bars(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """Bars and True when the table is readable and has the needed columns, else no bars and False."""
     try:
-        bars = spark.read.parquet(path)
+        bars = keyed.read(spark, path) if keyed.is_keyed(spark, path) else spark.read.parquet(path)
         if set(BARS.fieldNames()) <= set(bars.columns):
             return conform(bars, BARS), True
     except Exception:  # a missing or unreadable price table only means that nothing is priced

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhold import fixed_values as fv
 from tallyhold.operators import filings, positions, prices, quality, signals
-from tallyhold.schemas import BARS, TABLES, conform
+from tallyhold.schemas import TABLES, conform
 from tallyhold.session import configure, scanned_bytes, stage
 
 
@@ -17,6 +17,8 @@ def refresh_bars(spark: SparkSession, tables: dict[str, DataFrame], trusted: Dat
                  old_path: str | None, new_path: str, mark: dt.date, *, source: str = "") -> prices.PriceCache:
     """Write a new version of the price table: old bars with the landed quotes of wanted symbols over them.
 
+    The new version lists the old one's files where no quote changes them, so the old version's folder must stay.
+
     ``payloads``: ``symbol, asset_class, payload``.  The metadata is written last, and only when enough
     symbols close on the mark date, so an unfinished version is never used.
     """
@@ -25,11 +27,10 @@ def refresh_bars(spark: SparkSession, tables: dict[str, DataFrame], trusted: Dat
     first_day = tables["periods"].agg(F.min("period")).first()[0]
     wanted = payloads.join(targets, "symbol", "left_semi")
     fresh = stage(prices.parse_history(wanted, first_day.isoformat(), mark.isoformat()), "fresh_bars")
-    current = prices.load_price_cache(spark, old_path).bars if old_path else spark.createDataFrame([], BARS)
+    usable = bool(old_path) and prices.load_price_cache(spark, old_path).usable
     root = new_path.rstrip("/")
-    prices.merge_bars(current, fresh).repartition("symbol").sortWithinPartitions(
-        "symbol", "price_date").write.parquet(f"{root}/bars")
-    bars = spark.read.schema(BARS).parquet(f"{root}/bars")
+    prices.write_bars(f"{old_path.rstrip('/')}/bars" if usable else None, fresh, f"{root}/bars")
+    bars, _ = prices.load_bars(spark, f"{root}/bars")
     requested = targets.count()
     found = prices.check_mark_coverage(bars, mark, requested).select(
         F.lit("symbols with the common close").alias("rule"), F.col("mark_symbols").alias("found"), "required")
