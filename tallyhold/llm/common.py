@@ -18,7 +18,7 @@ from tallyhold.session import configure, stage
 
 #: White space that separates words: space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 BATCH_ROWS = 1000
 
 
