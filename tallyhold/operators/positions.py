@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhold import fixed_values as fv
@@ -50,12 +50,13 @@ def merge_positions(lines: DataFrame, carried: list[str] | None = None) -> DataF
     """Sum duplicate rows of one position; ``carried`` columns depend on (cik, period) and ride along.
 
     Value always sums.  Shares stay NULL for a single row without shares, but a merge of several rows
-    treats missing shares as zero.
+    treats missing shares as zero.  Of lines with a ``name_row`` (see ``with_name_row``) the greatest is kept.
     """
+    named = [F.max("name_row").alias("name_row")] if "name_row" in lines.columns else []
     merged = lines.groupBy(*POSITION_KEY, *(carried or [])).agg(
-        F.count("*").alias("rows"), F.sum("value").alias("value"), F.sum("shares").alias("known_shares"))
+        F.count("*").alias("rows"), F.sum("value").alias("value"), F.sum("shares").alias("known_shares"), *named)
     shares = F.when(F.col("rows") == 1, F.col("known_shares")).otherwise(F.coalesce("known_shares", F.lit(0.0)))
-    return merged.select(*POSITION_KEY, *(carried or []), "value", shares.alias("shares"))
+    return merged.select(*POSITION_KEY, *(carried or []), "value", shares.alias("shares"), *(["name_row"] if named else []))
 
 
 def with_context(positions: DataFrame, context: DataFrame) -> DataFrame:
@@ -63,6 +64,38 @@ def with_context(positions: DataFrame, context: DataFrame) -> DataFrame:
     return positions.join(context, ["cik", "period"])
 
 
+#: Rows of an archive number less than 2 ** NAME_BITS.
+NAME_BITS = 42
+
+
+def ranked_archives(archives: DataFrame) -> DataFrame:
+    """``archive, archive_rank`` by first filing date; archives number one per reporting quarter, so one task ranks them."""
+    return archives.select("archive", F.row_number().over(Window.orderBy("first_filed", "archive")).cast("long").alias("archive_rank"))
+
+
+def with_name_row(lines: DataFrame) -> DataFrame:
+    """Lines (``archive_rank, row_no``) with one long that is greatest for the first row of the last archive.
+
+    A maximum of longs is a hash aggregate, so the row that names a security is found while its positions are added up.
+    """
+    return lines.withColumn("name_row", F.shiftleft("archive_rank", NAME_BITS) - F.col("row_no")).drop("archive_rank")
+
+
+def first_names(best: DataFrame, lines: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The rows that ``best`` (keys with ``cusip``, and ``name_row``) points at: keys, archive, row_no, issuer, class, figi.
+
+    One row per security is looked up, so the lines are the side that need not move.
+    """
+    rank = F.shiftright(F.col("name_row") + ((1 << NAME_BITS) - 1), NAME_BITS)
+    wanted = (best.withColumn("archive_rank", rank).withColumn("row_no", F.shiftleft("archive_rank", NAME_BITS) - F.col("name_row"))
+              .join(F.broadcast(ranks), "archive_rank").drop("archive_rank", "name_row"))
+    place = ["cusip", "row_no", *(["archive"] if "archive" in lines.columns else [])]
+    names = F.max(F.struct("issuer", "class", "figi")).alias("names")
+    keys = [c for c in wanted.columns]
+    return wanted.join(lines.select(*place, "issuer", "class", "figi"), place).groupBy(*keys).agg(names).select(
+        *keys, "names.issuer", "names.class", "names.figi")
+
+
 def security_dimension(lines: DataFrame, archives: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
     """Issuer, class, and FIGI from the first effective row of the last archive that holds the security.
 

@@ -3,11 +3,16 @@
 The holdings rows are read twice and joined once.  The first pass adds up each filing (two columns,
 combined map-side).  Everything about filings and managers, including reconciled coverage, portfolio
 totals, and comparability, follows from those sums at filing scale.  The second pass tags each holdings
-row with that context while it is joined to its filing, so no rollup has to join the facts again.
+row with that context while it is joined to its filing, so no rollup has to join the facts again; it also finds
+the row that names each security, and only these rows are looked up.
+
+A book may be given the sums of all filings (``observed``) and the quarters whose holdings it is to build (``only``); everything at
+filing scale covers all quarters nevertheless.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -31,6 +36,9 @@ class Book:
     tickers: DataFrame | None = None
     watchlist: DataFrame | None = None
     staged: bool = True
+    observed: DataFrame | None = None
+    only: tuple[dt.date, ...] | None = None
+
     def _shared(self, df: DataFrame, name: str, **options) -> DataFrame:
         if not self.staged:
             return df
@@ -55,7 +63,7 @@ class Book:
     @cached_property
     def part_stats(self) -> DataFrame:
         parts = filings.effective_parts(self.events, self.groups)
-        observed = filings.observed_totals(self.lines)
+        observed = filings.observed_totals(self.lines) if self.observed is None else self.observed
         return self._shared(filings.reconcile_parts(parts, observed), "part_stats")
 
     @cached_property
@@ -74,9 +82,24 @@ class Book:
     # ---- fact scale ---------------------------------------------------------------------------
     @property
     def tagged_lines(self) -> DataFrame:
-        """Holdings rows in force, with manager, period, and manager-quarter context."""
-        parts = self.part_stats.select("accession", "cik", "period").join(self.context, ["cik", "period"])
-        return positions.effective_lines(self.lines, parts)
+        """Holdings rows in force, with manager, period, manager-quarter context, and their place among the rows that name a security.
+
+        A holdings row belongs to the archive it was read from, or else to that of its filing; both lists have one row per archive.
+        """
+        parts = self.part_stats.select("accession", "cik", "period", "source_archive")
+        if self.only is not None:
+            parts = parts.filter(F.col("period").isin(list(self.only)))
+        ranks, lines = F.broadcast(self.archive_ranks), self.lines
+        if "archive" in lines.columns:
+            lines = lines.join(ranks, "archive").drop("archive")
+        else:
+            parts = parts.join(ranks.withColumnRenamed("archive", "source_archive"), "source_archive")
+        context = parts.drop("source_archive").join(self.context, ["cik", "period"])
+        return positions.with_name_row(positions.effective_lines(lines, context))
+
+    @cached_property
+    def archive_ranks(self) -> DataFrame:
+        return self._shared(positions.ranked_archives(self.archives), "archive_ranks")
 
     @cached_property
     def wide_positions(self) -> DataFrame:
@@ -87,15 +110,15 @@ class Book:
     def positions(self) -> DataFrame:
         return self.wide_positions.select(*positions.POSITION_KEY, "value", "shares")
 
+    def first_names(self, *keys: str) -> DataFrame:
+        """The row that names each security within each of ``keys``."""
+        best = self.wide_positions.groupBy(*keys, "cusip").agg(F.max("name_row").alias("name_row"))
+        return positions.first_names(best, self.lines, self.archive_ranks)
+
     @cached_property
     def securities(self) -> DataFrame:
-        """A holdings row belongs to the archive it was read from, or else to that of its filing."""
-        keys = [F.col("accession")]
-        if "archive" not in self.lines.columns:
-            keys.append(F.col("source_archive").alias("archive"))
-        kept = positions.effective_lines(self.lines, self.part_stats.select(*keys))
         return self._shared(
-            positions.security_dimension(kept, self.archives, self.tickers), "securities")
+            positions.security_dimension(self.first_names(), self.archives, self.tickers), "securities")
 
     # ---- rollups ------------------------------------------------------------------------------
     @cached_property
