@@ -142,6 +142,12 @@ def observed_totals(lines: DataFrame) -> DataFrame:
         F.count("*").alias("observed_entry_count"), F.sum("value").alias("observed_value"))
 
 
+def summed_totals(observed: DataFrame) -> DataFrame:
+    """Observed totals per accession from those per archive and accession."""
+    return observed.groupBy("accession").agg(
+        F.sum("observed_entry_count").alias("observed_entry_count"), F.sum("observed_value").alias("observed_value"))
+
+
 def reconcile_parts(parts: DataFrame, observed: DataFrame) -> DataFrame:
     """Reported against observed totals; a flag is NULL when the filing reports no such total."""
     joined = parts.join(observed, "accession", "left")

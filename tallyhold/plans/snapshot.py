@@ -1,40 +1,34 @@
 """Snapshot job: land archives, build every table, validate, publish.
 
 A snapshot is a set of Parquet tables under ``snapshot_id=<id>``.  It becomes current when one manifest
-row is appended after validation, so readers see either the old snapshot or the whole new one.
+row is appended after validation, so readers see either the old snapshot or the whole new one.  An incremental
+build reads the holdings of changed quarters only and shares the others with earlier snapshots (see ``quarters``).
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhold import fixed_values as fv
-from tallyhold.operators import filings, quality
+from tallyhold.operators import filings, positions, quality, rollups
 from tallyhold.operators.positions import typed_lines
+from tallyhold.plans import quarters
 from tallyhold.plans.book import Book
-from tallyhold.schemas import TABLES, conform
+from tallyhold.plans.quarters import QUARTERLY
+from tallyhold.schemas import KEPT, TABLES, conform
 from tallyhold.session import configure, stage
 from tallyhold.sources import landed
-from tallyhold.sources.archives import read_archives, stored_bytes
+from tallyhold.sources.archives import stored_bytes
 from tallyhold.sources.fingerprints import changed_inputs, fingerprints
 
 _DOCUMENTS = ("ticker_map", "market_caps", "sectors", "watchlist")
 _MANIFEST = "snapshot_id string, published_at timestamp, schema_version string"
 
 
-def land_archives(spark: SparkSession, location: str) -> dict[str, DataFrame]:
-    """Raw members as staged Parquet; compressed text is read exactly once."""
-    return {member: stage(df, f"raw-{member.lower()}") for member, df in read_archives(spark, location).items()}
-
-
-def book_of(members: dict[str, DataFrame], tickers: DataFrame | None, watchlist: DataFrame | None) -> Book:
-    return Book(members["SUBMISSION"], members["COVERPAGE"], members["SUMMARYPAGE"],
-                typed_lines(members["INFOTABLE"]), filings.archive_order(members["SUBMISSION"]), tickers, watchlist)
-
-
 def book_tables(book: Book, caps: DataFrame, sectors: DataFrame) -> dict[str, DataFrame]:
     frames = {
         "periods": book.periods, "managers": book.managers, "securities": book.securities,
@@ -49,10 +43,13 @@ def book_tables(book: Book, caps: DataFrame, sectors: DataFrame) -> dict[str, Da
 
 
 def _write(df: DataFrame, path: str, name: str) -> None:
+    column = QUARTERLY[name][0] if name in QUARTERLY else None
     if name == "positions":
         # Rebalancing gives each period files of an ordinary size, and cuts a period that is too large.
         (df.hint("rebalance", "period").sortWithinPartitions("period", "cusip", "cik")
          .write.partitionBy("period").parquet(path))
+    elif column:
+        df.hint("rebalance", column).write.partitionBy(column).parquet(path)
     else:
         df.write.parquet(path)
 
@@ -92,11 +89,13 @@ def _metadata(tables: dict[str, DataFrame], book: Book, manifest: DataFrame, doc
 
 
 def build_snapshot(spark: SparkSession, archives: str, output: str, *, ticker_map: str | None = None,
-                   market_caps: str | None = None, sectors: str | None = None, watchlist: str | None = None) -> str:
+                   market_caps: str | None = None, sectors: str | None = None, watchlist: str | None = None,
+                   incremental: bool = False) -> str:
     """Build, validate, and publish a snapshot; returns its id.  Nothing is published when a rule fires.
 
     Ticker map, market caps, and sectors are JSON documents, or Parquet folders that the enrichment and
-    reference-data jobs have written.
+    reference-data jobs have written.  An incremental build gives the same tables as a full one; it lands only archives that the
+    current snapshot doesn't know and makes only the quarters that differ from it.
     """
     configure(spark, stored_bytes(archives))
     paths = dict(zip(_DOCUMENTS, (ticker_map, market_caps, sectors, watchlist)))
@@ -115,19 +114,54 @@ def build_snapshot(spark: SparkSession, archives: str, output: str, *, ticker_ma
     if tickers is None and ticker_map:
         tickers = landed.ticker_map(documents["ticker_map"])
     watched = landed.watchlist(documents["watchlist"]) if watchlist else None
-    members = land_archives(spark, archives)
-    book = book_of(members, tickers, watched)
-    quality.require(quality.ingest_rules(members, book.part_stats), "Source validation")
-    if watched is not None:
-        quality.require(quality.watchlist_rule(watched, book.managers), "Watchlist validation")
     snapshot_id = uuid.uuid4().hex
     root = f"{output.rstrip('/')}/snapshot_id={snapshot_id}"
-    for name, df in book_tables(book, rows("market_caps", landed.market_caps, "market_caps"),
-                                rows("sectors", landed.sectors, "sectors")).items():
-        _write(df, f"{root}/{name}", name)
-    tables = _tables(spark, root, [name for name in TABLES if name not in ("metadata", "fund_scores", "scope_values")])
+    base = _base(spark, output) if incremental else {}
+    found = quarters.land(spark, archives, output, manifest, base.get("inputs"), snapshot_id)
+    members = found.members
+
+    book = Book(members["SUBMISSION"], members["COVERPAGE"], members["SUMMARYPAGE"], typed_lines(members["INFOTABLE"]),
+                filings.archive_order(members["SUBMISSION"]), tickers, watched, observed=filings.summed_totals(found.observed))
+    signed = stage(quarters.signatures(book.part_stats, book.context, found), "signatures")
+    changed = quarters.changes(book.periods, base.get("signatures"), signed)
+    needed = sorted({*found.fresh, *quarters.archives_of(book.part_stats, found.observed, changed.holdings)})
+    holdings = quarters.only_archives(members["INFOTABLE"], needed)
+    quality.require(quality.ingest_rules({**members, "INFOTABLE": holdings}, book.part_stats), "Source validation")
+    if watched is not None:
+        quality.require(quality.watchlist_rule(watched, book.managers), "Watchlist validation")
+
+    # From here on the book has the holdings of the changed quarters only.
+    book.lines, book.only = typed_lines(holdings), tuple(changed.holdings)
+    layout = stage(quarters.new_layout(spark, book.periods, base.get("layout"), changed, snapshot_id), "layout")
+    wide = book.wide_positions
+    if changed.stored:
+        stored = quarters.read_quarters(spark, output, base["layout"], "positions")
+        others = quarters.positions_with_context(stored, book.context, changed.stored)
+        wide = wide.select(others.columns).unionByName(others)
+    of = lambda df, column, which: df.filter(F.col(column).isin(which)) if which else df.filter(F.lit(False))
+    made = {
+        "positions": book.positions, "spellings": book.first_names("period"),
+        "manager_period_stats": of(rollups.manager_period_stats(book.quarters, book.wide_positions), "period", changed.holdings),
+        "security_period_stats": rollups.security_period_stats(book.wide_positions),
+        "stock_changes": of(rollups.stock_changes(wide), "current_period", changed.compared),
+        "security_weight_stats": of(rollups.security_weight_stats(wide, book.dashboard_period_stats), "period", changed.compared)}
+    for name, df in made.items():
+        _write(conform(df, (TABLES | KEPT)[name]), f"{root}/{name}", name)
+    layout.write.parquet(f"{root}/layout")
+    signed.write.parquet(f"{root}/signatures")
+    kept = {name: quarters.read_quarters(spark, output, layout, name) for name in QUARTERLY}
+    securities = stage(positions.security_dimension(kept["spellings"], book.archives, tickers), "securities")
+    whole = {
+        "periods": book.periods, "managers": book.managers, "securities": securities,
+        "market_caps": rows("market_caps", landed.market_caps, "market_caps"), "sectors": rows("sectors", landed.sectors, "sectors"),
+        "manager_periods": book.quarters, "effective_filing_parts": book.part_stats, "filing_part_stats": book.part_stats,
+        "period_stats": rollups.period_stats(book.periods, book.quarters, kept["manager_period_stats"], kept["security_period_stats"]),
+        "period_change_totals": book.period_change_totals, "dashboard_period_stats": book.dashboard_period_stats}
+    for name, df in whole.items():
+        _write(conform(df, TABLES[name]), f"{root}/{name}", name)
+    tables = _tables(spark, output, root, [name for name in TABLES if name not in ("metadata", "fund_scores", "scope_values")])
     _metadata(tables, book, manifest, documents, spark).write.parquet(f"{root}/metadata")
-    manifest.write.parquet(f"{root}/inputs")
+    found.inputs.write.parquet(f"{root}/inputs")
     tables["metadata"] = spark.read.schema(TABLES["metadata"]).parquet(f"{root}/metadata")
     expected = members["SUBMISSION"].select("archive").distinct().count()
     quality.require(quality.snapshot_rules(tables, expected), "Snapshot validation")
@@ -140,8 +174,22 @@ def build_snapshot(spark: SparkSession, archives: str, output: str, *, ticker_ma
     return snapshot_id
 
 
-def _tables(spark: SparkSession, root: str, names) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(TABLES[name]).parquet(f"{root}/{name}") for name in names}
+def _base(spark: SparkSession, output: str) -> dict[str, DataFrame]:
+    """What an incremental build needs of the current snapshot; nothing when there is none of this schema version."""
+    try:
+        published = spark.read.schema(_MANIFEST).parquet(f"{output.rstrip('/')}/manifest")
+    except AnalysisException:  # nothing was published yet
+        return {}
+    if published.agg(F.max_by("schema_version", "published_at")).first()[0] != fv.SCHEMA_VERSION:
+        return {}
+    root = current_snapshot(spark, output)
+    return {name: spark.read.parquet(f"{root}/{name}") for name in ("inputs", "signatures", "layout")}
+
+
+def _tables(spark: SparkSession, output: str, root: str, names) -> dict[str, DataFrame]:
+    layout = spark.read.schema(KEPT["layout"]).parquet(f"{root}/layout")
+    return {name: quarters.read_quarters(spark, output, layout, name) if name in QUARTERLY
+            else spark.read.schema(TABLES[name]).parquet(f"{root}/{name}") for name in names}
 
 
 def current_snapshot(spark: SparkSession, output: str) -> str:
@@ -154,7 +202,7 @@ def current_snapshot(spark: SparkSession, output: str) -> str:
 def read_snapshot(spark: SparkSession, output: str) -> dict[str, DataFrame]:
     """Tables of the current snapshot."""
     root = current_snapshot(spark, output)
-    return _tables(spark, root, [name for name in TABLES if name not in ("fund_scores", "scope_values")])
+    return _tables(spark, output, root, [name for name in TABLES if name not in ("fund_scores", "scope_values")])
 
 
 def snapshot_is_current(spark: SparkSession, output: str, archives: str, *, trust: bool = False,

@@ -82,6 +82,12 @@ TABLES = {
         "evidence_count bigint, median_value_ratio double, scale_inferred boolean"),
 }
 
+# Kept beside a snapshot's tables for the next build.
+KEPT = {
+    "spellings": _schema("period date, cusip string, archive string, row_no bigint, issuer string, class string, figi string"),
+    "layout": _schema("table string, period date, snapshot_id string"),
+}
+
 # Ticker-cache records, one row per security.
 RECORDS = _schema(
     "cusip string, ticker string, source string, openfigi_status string, issuer string, class string, figi string, "
