@@ -1,20 +1,24 @@
 """Secret scan: fixed forms, and novelty measured by dictionary-primed zstandard compression.
 
-A string in a sensitive context (shortly after a word such as ``auth`` or ``credential``) is compressed with the code
-around it and a dictionary of the corpus's most frequent identifiers as history.  The bytes it adds, per character,
-are its novelty; strings that hardly compress are reported as ``novel`` unless a fixed form covers them.  How far a
-string of random characters compresses depends on its alphabet and length, so the novelty is compared with that of a
-fixed random string of the same alphabet and length.
+A string in a sensitive context (shortly after a word such as ``auth`` or ``credential``) is compressed behind a fixed ordinary
+text, with the code around it and the corpus's identifiers as history.  The history starts with a zstandard dictionary trained on
+identifiers, whose entropy tables give ordinary letters few bits from the first byte on.  The bytes that the string adds, per character,
+are its novelty.  It is reported as ``novel``, unless a fixed form covers it, if nearly all ordinary identifiers of its length
+add less: compounds of frequent words that the dictionary of the comparison has not seen, in the usual spellings.  A name in capitals
+is measured in lower case.
 
 Null and empty texts have no spans.  Rows are handled one by one, so ties, repeated rows, null ids, and an empty table
-need no rule; other columns, whatever their names, are passed by.
+need no rule; other columns, whatever their names, are passed by.  The scan is linear in a text but for the compression of its candidates.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +39,39 @@ KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = r"(?:passw|passphrase|secret|credential|bearer|authorization|auth_|private_?key|access_?key|api_?key|client_?key|signature|token|pwd)"
 #: A candidate begins at most this many characters after its context word.
 REACH = 40
+SHORTEST = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 SURROUNDING = 600
-#: Share of a character, and of what a random string of the same alphabet and length takes, whichever is less.
-LEAST_NOVELTY = 0.8
-#: Alphabets of generated strings, small ones first.
-ALPHABETS = tuple(map(frozenset, (
-    "0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
-    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")))
+#: A novel string adds more than this share of the ordinary identifiers of its length, and a little more than that.
+QUANTILE, MARGIN = 0.99, 0.03
+#: Lengths for which ordinary identifiers are measured, and how many; longer strings are held against the next smaller length.
+LENGTHS, COMPOUNDS = (16, 18, 20, 22, 24, 28, 32, 40, 48, 64, 96, 128, 256, 512), 256
+TRAINED_BYTES, SAMPLES = 8192, 1500
+#: Ordinary words of code, so that a small corpus has enough of them.
+ORDINARY = """access account action address analysis archive argument attribute authentication available background balance
+boundary branch browser builder calculate callback capacity category certificate channel character collection column command comment
+component compressed condition configuration connection container content context controller convert counter customer database default
+definition deployment description destination developer directory document domain duration element enabled encoding environment equals error
+example exception execution expected export expression external factory feature filename filter folder format function gateway generate graphic
+handbook handler header history identifier image import income index information initial input instance integer interface internal
+internationalization invoice iterator keyboard language layout library license listener location logger manager maximum measure member memory
+message method minimum module monitor network notification number object operation option output package parameter parser password payment
+performance permission pipeline platform pointer position printer priority private process product profile progress property protocol provider
+public quality query record reference register release remote report request resource response result return schedule schema screen script
+search section security segment selection server service session setting signature simple socket source standard statement status storage
+stream string structure support system table target template terminal thread timeout total transaction transfer transport update upload
+validator value variable verify version warning window worker workspace""".split()
 DICTIONARY_WORDS, DICTIONARY_WORD_BYTES = 4096, 32
 LEAST_DIGITS = 3
+#: What stands only once in the corpus is no identifier of it.
+LEAST_USES = 2
 
 _assign = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _access = re.compile(ACCESS)
 _hex = re.compile(r"[0-9a-f]{24,}")  # whole runs; shorter ones fail anyway
 _context = re.compile(CONTEXT, re.ASCII | re.IGNORECASE)
 _candidate = re.compile(CANDIDATE)
+_capitals = re.compile(r"[A-Z/_-]+[0-9]{0,4}")
 #: RE2 forms that every document with a span matches.
 _ANY_BASE = (r"(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6})"
              r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
@@ -64,41 +84,103 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in _hex.finditer(text)]
 
 
-def novelty(candidate: str, history: bytes) -> float:
-    """Bytes that the candidate adds to its history when compressed, per character."""
-    primed = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
-        history, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-    return (len(primed.compress(candidate.encode())) - len(primed.compress(b""))) / len(candidate)
+@dataclass(frozen=True)
+class Ordinary:
+    """The history that every candidate gets, the text before it, and what ordinary identifiers of each length add at most."""
 
+    history: bytes
+    prefix: bytes
+    limits: tuple[float, ...]
 
-def random_like(candidate: str) -> str:
-    """A fixed random string of the candidate's length and alphabet."""
-    letters = sorted(next(a for a in ALPHABETS if a.issuperset(candidate)))
-    return "".join(random.Random(len(candidate)).choices(letters, k=len(candidate)))
+    def limit(self, length: int) -> float:
+        return self.limits[bisect.bisect_right(LENGTHS, max(length, LENGTHS[0])) - 1]
 
 
-def is_novel(candidate: str, history: bytes) -> bool:
-    found = novelty(candidate, history)
-    return found >= LEAST_NOVELTY or found >= LEAST_NOVELTY * novelty(random_like(candidate), history)
+def novelty(candidate: str, history: bytes, prefix: bytes) -> float:
+    """Bytes that the candidate adds to the prefix when both are compressed with the history, per character."""
+    primed = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(history))
+    text = candidate.lower() if _capitals.fullmatch(candidate) else candidate
+    return (len(primed.compress(prefix + text.encode())) - len(primed.compress(prefix))) / len(candidate)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], dictionary: bytes) -> list[tuple[int, int, str]]:
-    found, taken = [], sorted((a, b) for a, b, _ in base)
-    after = 0
+def compound(words: list[str], length: int, rng: random.Random) -> str:
+    """An ordinary identifier of some length: words in one of the usual spellings, sometimes with a number behind."""
+    parts: list[str] = []
+    while sum(map(len, parts)) < length:
+        parts.append(rng.choice(words))
+    style = rng.randrange(4)
+    capital = [p[:1].upper() + p[1:] for p in parts]
+    whole = ("_".join(parts), "".join(capital), "".join([parts[0], *capital[1:]]), "/".join(parts))[style][:length]
+    number = str(rng.randrange(10 ** rng.randint(1, 4)))
+    return whole[:length - len(number)] + number if rng.randrange(8) == 0 else whole
+
+
+def trained_on(words: list[str], rng: random.Random) -> bytes:
+    """A zstandard dictionary with entropy tables of identifiers, and the words themselves behind it, the first ones last."""
+    samples = [" ".join(compound(words, rng.choice((16, 20, 28, 40)), rng) for _ in range(8)).encode() for _ in range(SAMPLES)]
+    return zstandard.train_dictionary(TRAINED_BYTES, samples, k=64, d=8).as_bytes() + b" " + " ".join(reversed(words)).encode()
+
+
+def ordinary(words: list[str]) -> Ordinary:
+    """From the corpus's frequent identifiers, the most frequent first: every other one stands for those that a dictionary has not seen."""
+    words = [*words, *(w for w in ORDINARY if w not in set(words))]
+    seen, unseen = words[::2], words[1::2]
+    rng = random.Random(17)
+    prefix = (" ".join(compound(unseen, 24, rng) for _ in range(8)) + " ").encode()
+    partial = trained_on(seen, rng)
+    limits = []
+    for length in LENGTHS:
+        added = sorted(novelty(compound(unseen, length, rng), partial, prefix) for _ in range(COMPOUNDS))
+        limits.append(added[int(QUANTILE * COMPOUNDS)] + MARGIN)
+    return Ordinary(trained_on(words, rng), prefix, tuple(limits))
+
+
+def is_novel(candidate: str, around: str, known: Ordinary) -> bool:
+    return novelty(candidate, known.history + around.encode(), known.prefix) > known.limit(len(candidate))
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Long runs that begin within REACH of a context word, or what follows the word within its run.
+
+    Context words and runs are each walked once, side by side.
+    """
+    runs = _candidate.finditer(text)
+    run, after = next(runs, None), 0
     for context in _context.finditer(text):
         at = max(context.end(), after)
-        while (m := _candidate.search(text, at, )) and m.start() <= context.end() + REACH:
-            at = after = m.end()
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            around = text[max(0, m.start() - SURROUNDING):m.start()] + text[m.end():m.end() + SURROUNDING]
-            if is_novel(m[0], dictionary + around.encode()):
-                found.append((m.start(), m.end(), "novel"))
+        while run:
+            start = max(run.start(), at)
+            if run.end() - start < SHORTEST:
+                run = next(runs, None)
+            elif start > context.end() + REACH:
+                break
+            else:
+                yield start, run.end()
+                at = after = run.end()
+                run = next(runs, None)
+
+
+def novel_spans(text: str, base: list[tuple[int, int, str]], known: Ordinary) -> list[tuple[int, int, str]]:
+    taken: list[list[int]] = []
+    for a, b, _ in sorted(base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    found, place = [], 0
+    for start, end in candidates(text):
+        while place < len(taken) and taken[place][1] <= start:
+            place += 1
+        if place < len(taken) and taken[place][0] < end:
+            continue
+        around = text[max(0, start - SURROUNDING):start] + text[end:end + SURROUNDING]
+        if is_novel(text[start:end], around, known):
+            found.append((start, end, "novel"))
     return found
 
 
-def identifier_dictionary(documents: DataFrame, text: str = "text") -> bytes:
-    """The corpus's most frequent identifiers, the most frequent last, where compression reaches them cheapest.
+def identifiers(documents: DataFrame, text: str = "text") -> list[str]:
+    """The corpus's most frequent identifiers, the most frequent first.
 
     At most DICTIONARY_WORDS of DICTIONARY_WORD_BYTES reach the driver; counts cover all documents.
     """
@@ -115,13 +197,13 @@ def identifier_dictionary(documents: DataFrame, text: str = "text") -> bytes:
         return pa.RecordBatch.from_arrays([counted.field(0).cast(pa.string()), counted.field(1)], ["word", "n"])
 
     counts = documents.select(f"`{text}`").mapInArrow(common.in_slices(count, text), "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()
-    return " ".join(r.word for r in reversed(top)).encode()
+    top = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_USES).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()
+    return [r.word for r in top]
 
 
 def scan(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: counts of the fixed forms and novel strings, digest of the fixed forms' spans, and all spans."""
-    shared = documents.sparkSession.sparkContext.broadcast(identifier_dictionary(documents, text))
+    shared = documents.sparkSession.sparkContext.broadcast(ordinary(identifiers(documents, text)))
     key_type = documents.schema[key].dataType.simpleString()
 
     def shown(spans: list[tuple[int, int, str]]) -> str:

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tallyhold.llm import secrets
 
 
@@ -45,9 +47,61 @@ def test_novel_strings(spark):
     assert rows[0].spans == f"novel:{start}:{start + len(odd)}"
 
 
+KNOWN = secrets.ordinary([])
+ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "digits": "0123456789",
+             "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
+
+
 def test_novelty_counts_marginal_bytes():
-    assert secrets.novelty("Zx81Qm4vTb7LpK2nRw9cYd3H", b"other words here") > 0.9
-    assert secrets.novelty("Zx81Qm4vTb7LpK2nRw9cYd3H", b"Zx81Qm4vTb7LpK2nRw9cYd3H before") < 0.5
+    odd = "Zx81Qm4vTb7LpK2nRw9cYd3H"
+    assert secrets.novelty(odd, KNOWN.history, KNOWN.prefix) > 0.9
+    assert secrets.novelty(odd, KNOWN.history + f" {odd} before".encode(), KNOWN.prefix) < 0.5
+
+
+def given():
+    import pyarrow.parquet as pq
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    counts = {}
+    for text in texts:
+        for word in re.findall(r"[A-Za-z0-9_]{6,32}", text or ""):
+            counts[word] = counts.get(word, 0) + (sum(c.isdigit() for c in word) < secrets.LEAST_DIGITS)
+    return secrets.ordinary([w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:secrets.DICTIONARY_WORDS]])
+
+
+@pytest.mark.parametrize("known", [KNOWN, given()], ids=["no corpus", "given corpus"])
+def test_both_sides_of_the_limit(known):
+    """Identifiers that neither the corpus nor the list of ordinary words has stay out; generated strings come in."""
+    plain = ["AuthenticationManagerFactory", "internationalization_helper", "see/docs/operations/handbook", "MY_ENVIRONMENT_VARIABLE_NAME", "getUserCredentialsFromRequest",
+             "handler_factory_2021", "CustomerInvoiceRepositoryImpl", "weather_forecast_service", "kubernetes/cluster/manifests", "OAuthAuthorizationEndpoint", "reset_passphrase_reminder"]
+    assert [w for w in plain if secrets.is_novel(w, "some code around = it", known)] == []
+    rng = random.Random(9)
+    for name, letters in ALPHABETS.items():
+        for length in (16, 20, 24, 40, 63, 64, 200, 800):
+            keys = ["".join(rng.choices(letters, k=length)) for _ in range(40)]
+            caught = sum(secrets.is_novel(k, "some code around = it", known) for k in keys)
+            assert caught >= (36 if length < 24 else 39), (name, length, caught)
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+    started = time.monotonic()
+    for text in ("token x " * 250_000, "token" * 400_000, "secret=abcdef " * 150_000, "credential " + "deadbeef" * 250_000, "auth_ " * 300_000 + "x" * 15):
+        secrets.novel_spans(text, secrets.base_spans(text), KNOWN)
+    assert time.monotonic() - started < 20
+
+
+def test_candidates_like_a_search_from_each_context():
+    """Against a plain search, context by context, from the end of the word or of the last candidate."""
+    rng = random.Random(4)
+    bits = ["token", "auth_", "secret", " ", "=", "x" * 16, "abcdefghij", "0123456789", "-", "\n", "é"]
+    for _ in range(500):
+        text, want, after = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40))), [], 0
+        for context in secrets._context.finditer(text):
+            at = max(context.end(), after)
+            while (m := secrets._candidate.search(text, at)) and m.start() <= context.end() + secrets.REACH:
+                at = after = m.end()
+                want.append((m.start(), m.end()))
+        assert list(secrets.candidates(text)) == want
 
 
 def test_edges(spark, edges, no_documents, folder):
