@@ -1,19 +1,20 @@
 """Document fingerprints by I-Match over randomised lexicon subsets, with DataFrame functions only.
 
-Terms are lower-cased words, hashed into 2 ** CLASS_BITS term classes.  The lexicon holds the classes whose document
-frequency lies in a band: at least LEAST_DOCUMENTS and at most the share MOST_SHARE of all documents.  A document's
-distinct lexicon terms are sorted, and each of several randomised lexicon subsets gives one hash of the sorted terms
-that it holds.  Subsets come in LEVELS of SUBSETS each; every level keeps a quarter of the lexicon that the level before
-keeps, so short and long documents both have subsets that hold a few of their terms.  The likeness of two different
-fingerprints is the greatest share, over the levels, of equal hashes among the subsets in which either has a term (of
-LEAST_SUBSETS, where there are fewer).
-
-The lexicon is a bit array of fixed size in one row, the only thing that is joined to every document.
-
-A document without a term in the band is fingerprinted by all its terms.  Null texts count as empty; texts without
-words have the fingerprint of no terms, and two such are alike (1).  Null ids come last in descending order.  Rows with
-equal ids are put in order by a hash of their text; of equal rows either may come first.  A single row is its own next
-document.  An empty table gives an empty result; other columns are passed by.
+Terms are lower-cased words, named by 64-bit hashes.  The lexicon holds the terms whose document frequency lies in a band: at least
+LEAST_DOCUMENTS and at most the share MOST_SHARE of all documents.  A document's distinct lexicon terms are sorted, and each of several
+randomised lexicon subsets gives one hash of the sorted terms that it holds.  Subsets come in LEVELS of SUBSETS each; every level keeps a
+quarter of the lexicon that the level before keeps, so short and long documents both have subsets that hold a few of their terms.
+The likeness of two different fingerprints is the greatest share, over the levels, of equal hashes among the subsets in which either
+has a term (of LEAST_SUBSETS, where there are fewer).
+
+Frequencies are counted exactly.  The terms above the band are few (at most the mean number of distinct terms of a document divided by
+MOST_SHARE), so they are left out before anything moves; the other (document, term) pairs meet the lexicon in a join by
+term, whose side of pairs can be split, and come back by document.  An edited text shares most terms with its own, so both are one list of pairs.
+
+A document without a term in the band has hashes of the whole of its terms: it is like those with the same terms only.  Null texts
+count as empty; texts without words have the fingerprint of no terms, and two such are alike (1).  Null ids come last in descending
+order.  Rows with equal ids are put in order by a hash of their text; of equal rows either may come first.  A single row is its own
+next document.  An empty table gives an empty result; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 
 from tallyhold.llm import common
 
-CLASS_BITS = 20
 LEAST_DOCUMENTS, MOST_SHARE = 2, 0.1
 LEVELS, SUBSETS, LEAST_SUBSETS = 5, 16, 6
 #: Documents of one range of ids, as long as there are fewer than MOST_RANGES.
@@ -34,30 +34,20 @@ RANGE_ROWS, MOST_RANGES = 500, 16_384
 
 # ---- terms and fingerprints ---------------------------------------------------------------------
 
-def term_classes(text: Column) -> Column:
-    """Distinct term classes of a text."""
+def terms_of(text: Column) -> Column:
+    """Distinct terms of a text."""
     words = F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
-    found = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).cast("int"))
-    return F.when(F.length(F.btrim(text, F.lit(" \t\n\x0b\f\r"))) > 0, F.array_distinct(found)).otherwise(F.array().cast("array<int>"))
+    found = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.when(F.length(F.btrim(text, F.lit(" \t\n\x0b\f\r"))) > 0, found).otherwise(F.array().cast("array<bigint>"))
 
 
-def lexicon(texts: DataFrame, text: str = "text") -> DataFrame:
-    """One row: ``bits``, one bit per term class that is in the band."""
-    n = texts.count()
-    frequency = texts.select(F.explode(term_classes(F.col(text))).alias("class")).groupBy("class").agg(F.count("*").alias("df"))
-    chosen = frequency.filter((F.col("df") >= LEAST_DOCUMENTS) & (F.col("df") <= max(LEAST_DOCUMENTS, math.floor(MOST_SHARE * n))))
-    words = chosen.groupBy(F.shiftright("class", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, class & 63))").alias("bits"))
-    every = texts.sparkSession.range(1 << (CLASS_BITS - 6)).select(F.col("id").cast("int").alias("word"))
-    whole = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    # At most 2 ** (CLASS_BITS - 6) rows meet here.
-    one = whole.groupBy().agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
-    return common.written(one.select(F.transform("all", lambda x: x["bits"]).alias("bits")), "match-lexicon")
+def most_documents(n: int) -> int:
+    return max(LEAST_DOCUMENTS, math.floor(MOST_SHARE * n))
 
 
-def lexicon_terms(classes: Column, bits: Column) -> Column:
-    """Sorted hashes of the classes that are in the lexicon, of all classes if none is."""
-    inside = F.filter(classes, lambda c: F.getbit(F.get(bits, F.shiftright(c, 6)), c.bitwiseAND(F.lit(63))) == 1)
-    return F.array_sort(F.transform(F.when(F.size(inside) > 0, inside).otherwise(classes), lambda c: F.xxhash64(c)))
+def frequencies(rows: DataFrame, terms: str = "terms") -> DataFrame:
+    """(term, df) of all terms; counts combine before they are sent."""
+    return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def with_subset_hashes(rows: DataFrame, terms: str, name: str) -> DataFrame:
@@ -112,11 +102,14 @@ def with_next(documents: DataFrame, text: str, carried: list[str]) -> DataFrame:
     n = documents.count()
     k = max(1, min(MOST_RANGES, n // RANGE_ROWS))
     steps = max(1, math.ceil(math.log2(k + 1)))
-    ids = documents.select(place.alias("place"), F.xxhash64(text).alias("tie"))
-    bounds = common.written(ids.agg(F.coalesce(F.percentile_approx("place", [i / k for i in range(1, k)] or [1.0], max(10_000, 4 * k)),
-                                               F.array().cast("array<bigint>")).alias("bounds")), "match-bounds")
+    ids = common.written(documents.select(place.alias("place"), F.xxhash64(text).alias("tie")), "match-ids")
+    # Ranges are cut by id and text, so many null or equal ids are many ranges, too.
+    cut = ids.repartitionByRange(k, "place", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct("place", "tie")).alias("upper"))
+    bounds = common.written(cut.agg(F.sort_array(F.collect_list("upper")).alias("bounds")), "match-bounds")  # at most MOST_RANGES places
+
     def ranged(rows):
-        return rows.crossJoin(F.broadcast(bounds)).withColumn("range", range_of(F.col("place"), F.col("bounds"), steps)).drop("bounds")  # one row
+        return rows.crossJoin(F.broadcast(bounds)).withColumn("range", range_of(F.struct("place", "tie"), F.col("bounds"), steps)).drop("bounds")  # one row
+
     # One row per range: its first document, and the range above, for which that document is the next of the last.
     tops = ranged(ids).groupBy("range").agg(F.max(F.struct("place", "tie")).alias("top"))
     upward = Window.orderBy("range")
@@ -134,22 +127,67 @@ def with_next(documents: DataFrame, text: str, carried: list[str]) -> DataFrame:
             .filter("guest = 0").drop("guest"))
 
 
-def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_chars, fingerprint, and the same for its edited text, with both likenesses."""
+def _names(key: Column, text: Column) -> Column:
+    """Two hashes that name a row; equal rows share them."""
+    return F.struct(F.xxhash64(key, text).alias("r1"), F.xxhash64(F.lit(5), text, key).alias("r2"))
+
+
+def texts_with_edits(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row: a number, id, n_chars, names of the row and the next one, digest of the edited text, and the distinct terms of both texts."""
     texts = documents.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bits = F.broadcast(lexicon(texts))  # one row of fixed size
-    own = texts.crossJoin(bits).select("id", "text", lexicon_terms(term_classes(F.col("text")), F.col("bits")).alias("terms"))
-    own = with_subset_hashes(own, "terms", "hashes").drop("terms")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    both = with_next(own, "text", ["text", "hashes"]).select(
-        "id", "hashes", "next_hashes", n.cast("long").alias("n_chars"),
+    both = with_next(texts.withColumn("row", _names(F.col("id"), F.col("text"))), "text", ["text", "row"]).select(
+        "id", "text", "row", "next_row", n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    edited = both.crossJoin(bits).select("id", "hashes", "next_hashes", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                                         lexicon_terms(term_classes(F.col("edited")), F.col("bits")).alias("terms"))
-    edited = with_subset_hashes(edited, "terms", "edited_hashes")
-    return edited.select("id", "n_chars", "edited_sha256", shown("hashes").alias("fingerprint"), shown("edited_hashes").alias("edited_fingerprint"),
-                         likeness("hashes", "edited_hashes").alias("near_edited"), likeness("hashes", "next_hashes").alias("near_next"))
+    return common.written(both.select(
+        F.monotonically_increasing_id().alias("number"), "id", "n_chars", "row", "next_row", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        terms_of(F.col("text")).alias("terms"), terms_of(F.col("edited")).alias("edited_terms")), "match-rows")
+
+
+OWN, EDITED = 1, 2
+
+
+def pairs_of(rows: DataFrame, above: DataFrame) -> DataFrame:
+    """(number, term, side) of the terms that are not above the band; a term of both texts is one pair."""
+    left = rows.crossJoin(F.broadcast(above.agg(F.collect_list("term").alias("above")))).select(  # one row
+        "number", F.array_except("terms", "above").alias("terms"), F.array_except("edited_terms", "above").alias("edited"))
+    side = lambda terms, n: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(n).cast("byte").alias("side")))
+    listed = F.concat(side(F.array_intersect("terms", "edited"), OWN + EDITED), side(F.array_except("terms", "edited"), OWN), side(F.array_except("edited", "terms"), EDITED))
+    return left.select("number", F.explode(listed).alias("pair")).select("number", "pair.*")
+
+
+def lexicon_terms(rows: DataFrame) -> DataFrame:
+    """(number, own, edited): sorted hashes of the lexicon terms of the rows that have any."""
+    counted = common.written(frequencies(rows).filter(F.col("df") >= LEAST_DOCUMENTS), "match-frequencies")
+    most = most_documents(rows.count())
+    pairs = pairs_of(rows, counted.filter(F.col("df") > most).select("term"))
+    inside = pairs.join(counted.filter(F.col("df") <= most).select("term"), "term")
+    of = lambda n: F.array_sort(F.transform(F.filter("pairs", lambda p: p["side"].bitwiseAND(F.lit(n).cast("byte")) > 0), lambda p: F.xxhash64(p["term"])))
+    found = inside.groupBy("number").agg(F.collect_list(F.struct("term", "side")).alias("pairs"))  # at most a document's terms
+    return found.select("number", of(OWN).alias("own"), of(EDITED).alias("edited"))
+
+
+def hashes_of(rows: DataFrame) -> DataFrame:
+    """The rows with ``hashes`` and ``edited_hashes`` in place of their terms."""
+    found = common.written(lexicon_terms(rows), "match-terms")
+    whole = lambda terms: F.when(F.size(terms) > 0, F.hash(F.array_sort(terms)))
+    joined = rows.select("number", "id", "n_chars", "row", "next_row", "edited_sha256", whole("terms").alias("whole"), whole("edited_terms").alias("edited_whole")).join(found, "number", "left")
+    for terms, all_of, name in (("own", "whole", "hashes"), ("edited", "edited_whole", "edited_hashes")):
+        joined = joined.withColumn(terms, F.coalesce(terms, F.array().cast("array<bigint>")))
+        joined = with_subset_hashes(joined, terms, name)
+        without = F.array(*[F.hash(F.col(all_of), F.lit(k)) for k in range(LEVELS * SUBSETS)])
+        joined = joined.withColumn(name, F.when((F.size(terms) > 0) | F.col(all_of).isNull(), F.col(name)).otherwise(without))
+    return joined.drop("number", "own", "edited", "whole", "edited_whole")
+
+
+def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: id, n_chars, fingerprint, and the same for its edited text, with both likenesses."""
+    made = common.written(hashes_of(texts_with_edits(documents, key, text)), "match-hashes")
+    of_next = made.select("row.*", F.col("hashes").alias("next_hashes")).dropDuplicates(["r1", "r2"])
+    both = made.withColumns({"r1": F.col("next_row.r1"), "r2": F.col("next_row.r2")}).join(of_next, ["r1", "r2"])
+    return both.select("id", "n_chars", "edited_sha256", shown("hashes").alias("fingerprint"), shown("edited_hashes").alias("edited_fingerprint"),
+                       likeness("hashes", "edited_hashes").alias("near_edited"), likeness("hashes", "next_hashes").alias("near_next"))
 
 
 def op3_imatch(spark: SparkSession, folder: str) -> DataFrame:
