@@ -5,8 +5,8 @@
 2. A fixed-size bit sketch of the anchors that recur tells which spans can matter; it only saves work.  Spans that occur
    more than once are repeated as a whole.  Where an anchor also has single spans, their windows are counted one by one.
    So the repeated windows are exactly known, and a hot passage is combined before it is shuffled.
-3. Runs of repeated windows are the confirmed passages.  Each slice of documents compiles its passages into one
-   Aho-Corasick automaton over word numbers (a shard), streams all of its documents through it, and removes every
+3. Runs of repeated windows are the confirmed passages.  Each slice of documents compiles its passages, cut into pieces of
+   WINDOW words, into one Aho-Corasick automaton over word numbers (a shard), streams all of its documents through it, and removes every
    occurrence.  A passage that a document holds is among the document's own, so no other shard can match in it.
 
 Null texts have no words; texts with fewer than WINDOW words have no window.  Repeated rows are separate documents, so
@@ -185,8 +185,10 @@ def covered(numbers: np.ndarray, rows: np.ndarray, found: list) -> np.ndarray:
     for row, items in enumerate(found):
         if items:
             words = numbers[rows[row]:rows[row + 1]]
+            # Pieces of one length: every word of a passage is in one, each is a repeated window, and at most one ends at a place.
             for a, b in passages(items, len(words)):
-                automaton.add_word(tuple(words[a:b].tolist()), b - a)
+                for start in {*range(a, b - WINDOW, WINDOW), b - WINDOW}:
+                    automaton.add_word(tuple(words[start:start + WINDOW].tolist()), WINDOW)
     edge = np.zeros(len(numbers) + 1, np.int64)
     if len(automaton):
         automaton.make_automaton()

@@ -46,6 +46,21 @@ def test_repeats_inside_one_text(spark, folder):
     check(spark, folder, ["same line again and again " * 40, "a b " * 17 + "a", "a b " * 18, "x " * 35, "x " * 36, "p q r " * 200 + "tail", "p q r " * 30])
 
 
+def test_many_lengths_of_one_word_take_time_in_proportion():
+    import time
+    texts = [["same"] * (100 + k) for k in range(1000)]
+    numbers, rows = np.zeros(sum(map(len, texts)), np.int64), np.cumsum([0, *map(len, texts)])
+    found = [[{"starts": [0], "size": len(t) - 34}] for t in texts]
+    started = time.monotonic()
+    assert substrings.covered(numbers, rows, found).all()
+    assert time.monotonic() - started < 10
+    # Pieces leave no gap, and nothing beside a passage is covered.
+    for n in (35, 36, 69, 70, 71, 140, 200):
+        numbers = np.concatenate((np.arange(5) + 10_000, np.arange(n), np.arange(5) + 20_000))
+        gone = substrings.covered(numbers, np.array([0, len(numbers)]), [[{"starts": [5], "size": n - 34}]])
+        assert gone[5:5 + n].all() and gone.sum() == n
+
+
 def test_edges(spark, edges, no_documents, edge_rows, folder):
     rows = substrings.op2_substrings(spark, folder(documents=edges)).collect()
     want = brute([t for _, t, _, _ in edge_rows])
