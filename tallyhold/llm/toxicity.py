@@ -6,8 +6,8 @@ embedding and have log-odds 0.  A network reads windows of WINDOW words
 that overlap by half; the score of a text is that of its most toxic window, so only such windows of toxic rows teach
 the network.  All windows of all texts are scored.
 
-The training sample is bounded (TRAIN_ROWS of each class, drawn by a digest of the id; longer texts than
-TRAIN_CHARACTERS aren't drawn); the statistics and weights are those of that sample.  Training runs on the driver with
+The training sample is bounded (TRAIN_ROWS of each class, drawn by a digest of the id; of a text longer than
+TRAIN_CHARACTERS, PIECES pieces drawn by digests teach); the statistics and weights are those of that sample.  Training runs on the driver with
 fixed seeds, so reruns agree.
 
 Null texts count as empty and are scored as a window without words.  Null ids are never held out and never labelled.
@@ -28,7 +28,7 @@ from tallyhold.llm import common
 WINDOW, STRIDE = 48, 24
 HIDDEN, EMBEDDING, ATTENTION = 8, 8, 8
 TRIGRAM_BITS = 12
-TRAIN_ROWS, TRAIN_CHARACTERS = 2000, 30_000
+TRAIN_ROWS, TRAIN_CHARACTERS, PIECES = 2000, 30_000, 12
 FREQUENT = 3
 #: Training ends after STEPS batches and EPOCHS rounds over the rows, whichever takes longer.
 STEPS, EPOCHS, BATCH, RATE = 200, 5, 128, 0.01
@@ -302,20 +302,26 @@ def remainder(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4, F.lit(0))
 
 
+def taught(key: Column, text: Column) -> Column:
+    """The text, or of a long one pieces at places drawn by digests of its id, so that a row's share of the sample is bounded."""
+    size = TRAIN_CHARACTERS // PIECES
+    pieces = [F.substring(text, F.pmod(F.xxhash64(key, F.lit(k)), F.length(text) - size).cast("int") + 1, F.lit(size)) for k in range(PIECES)]
+    return F.when(F.length(text) <= TRAIN_CHARACTERS, text).otherwise(F.concat_ws("\n", *pieces))
+
+
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> dict:
     """A model from a bounded sample of the labelled rows that aren't held out."""
     known = (labels.filter("toxic is not null").groupBy(F.col(key).alias("id")).agg(F.max("toxic").alias("toxic"))
              .filter(remainder(F.col("id")) != 2))
     place = F.md5(F.col("id").cast("string").cast("binary"))
-    there = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.length("text") <= TRAIN_CHARACTERS)
+    there = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null")
     sample = None
     for toxic in (0, 1):
         # Twice the rows, as some labelled ids may have no text; the sample is cut again below.
         ids = known.filter(F.col("toxic") == toxic).orderBy(place).limit(2 * rows)
         sample = ids if sample is None else sample.union(ids)
-    drawn = there.join(F.broadcast(sample), "id")  # at most 4 * rows ids
+    drawn = there.join(F.broadcast(sample), "id").withColumn("text", taught(F.col("id"), F.col("text")))  # at most 4 * rows ids
     found = drawn.groupBy("id", "toxic").agg(F.min("text").alias("text")).withColumn("place", place)
-    # Long texts would only make the driver's share of the work large; they are scored like all others.
     texts, marks = [], []
     for toxic in (0, 1):
         for row in found.filter(F.col("toxic") == toxic).orderBy("place").limit(rows).collect():

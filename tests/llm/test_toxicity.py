@@ -70,3 +70,15 @@ def test_one_class_only(spark, edges):
     assert {r.score for r in toxicity.score(edges, toxicity.fit(edges, none)).collect()} == {0.0}
     ones = edges.select("doc_id", F.lit(1).alias("toxic"))
     assert {r.score for r in toxicity.score(edges, toxicity.fit(edges, ones)).collect()} == {1.0}
+
+
+def test_long_rows_teach_by_pieces(spark):
+    size = toxicity.TRAIN_CHARACTERS
+    texts = ["short one", "", "ab" * size, "".join(chr(97 + i % 26) for i in range(size)), " ".join(f"w{i}" for i in range(size))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [r.t for r in df.orderBy("id").select(toxicity.taught(F.col("id"), F.col("text")).alias("t")).collect()]
+    assert got[:2] == texts[:2] and got[3] == texts[3]
+    for i in (2, 4):
+        pieces = got[i].split("\n")
+        assert len(pieces) == toxicity.PIECES and all(p in texts[i] for p in pieces) and len(got[i]) <= size + toxicity.PIECES
+        assert len({texts[i].find(p) for p in pieces}) > toxicity.PIECES // 2 or i == 2
