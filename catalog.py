@@ -17,10 +17,10 @@ from tallyhold.functions import report
 from tallyhold.operators import (asof, exact_sum, filings, median, paging, positions, prices, quality, reference, resolve,
                                  rollups, signals, views)
 from tallyhold.plans.book import Book, warehouse_book
-from tallyhold.plans import market
+from tallyhold.plans import market, snapshot
 from tallyhold.plans.snapshot import book_tables as tables_of_book
 from tallyhold.session import configure, stage, staging_root
-from tallyhold.sources import landed
+from tallyhold.sources import archives, fingerprints, landed
 from tallyhold.sources.archives import stored_bytes
 from tallyhold.sources.warehouse import MARK_DATE, Warehouse, security_number
 
@@ -751,6 +751,75 @@ def signal_metadata_counts(spark, folder):
     return signal_job(spark, folder)["signal_metadata"].filter(F.col("key").endswith("_count"))
 
 
+# ---- archives and the snapshot job ------------------------------------------------------------
+
+@shared
+def archive_folder(spark, folder) -> str:
+    """All filings, written as zipped archives."""
+    path = f"{staging_root(spark)}/archives-{uuid.uuid4().hex[:8]}"
+    archives.write_archives(Warehouse(spark, folder).members, path)
+    return path
+
+
+@query
+def archive_holdings(spark, folder):
+    """Holdings rows of all archives, read back from their zipped members."""
+    rows = positions.typed_lines(archives.read_member(spark, archive_folder(spark, folder), "INFOTABLE"))
+    return plain(rows.drop("row_no"))
+
+
+@query
+def archive_inputs(spark, folder):
+    """Archives as the job finds them: rows of each member, and whether their hashes stay."""
+    path = archive_folder(spark, folder)
+    counted = [df.groupBy("archive").agg(F.count("*").alias("rows")).withColumn("member", F.lit(member).cast("string"))
+               for member, df in archives.read_archives(spark, path).items()]
+    whole = counted[0]
+    for other in counted[1:]:
+        whole = whole.unionByName(other)
+    hashed = stage(fingerprints.fingerprints(spark, path, {}), "hashes")
+    moved = fingerprints.changed_inputs(hashed, fingerprints.fingerprints(spark, path, {})).count()
+    known = hashed.select(F.col("name").alias("archive"), (F.length("sha256") == 64).alias("hashed"))
+    return whole.join(known, "archive", "left").withColumn("moved", F.lit(moved).cast("long"))
+
+
+@shared
+def snapshots(spark, folder) -> dict[str, DataFrame]:
+    """Tables of a snapshot that was built without some of the archives, and then incrementally with all of them."""
+    root, every = f"{staging_root(spark)}/snapshots-{uuid.uuid4().hex[:8]}", archive_folder(spark, folder)
+    members = Warehouse(spark, folder).members
+    fewer = f"{root}/fewer"
+    # Before: no archive of 1996, and half of the filings in those of 1998.
+    kept = ~F.col("archive").startswith("1996") & (~F.col("archive").startswith("1998") | (F.crc32("accession_number") % 2 == 0))
+    archives.write_archives({name: df.filter(kept) for name, df in members.items()}, fewer)
+    snapshot.build_snapshot(spark, fewer, f"{root}/out")
+    snapshot.build_snapshot(spark, every, f"{root}/out", incremental=True)
+    return snapshot.read_snapshot(spark, f"{root}/out")
+
+
+@query
+def snapshot_weights(spark, folder):
+    """Weights of the incremental snapshot."""
+    return plain(snapshots(spark, folder)["security_weight_stats"].select("period", "cusip", "holder_count", "weight_sum", "avg_weight"))
+
+
+@query
+def snapshot_positions(spark, folder):
+    return plain(snapshots(spark, folder)["positions"])
+
+
+@query
+def snapshot_stock_changes(spark, folder):
+    return plain(snapshots(spark, folder)["stock_changes"])
+
+
+@query
+def snapshot_metadata_counts(spark, folder):
+    """Counts, indicators, and versions among the snapshot's metadata."""
+    meta = snapshots(spark, folder)["metadata"]
+    return meta.filter(F.col("key").endswith("_count") & (F.col("key") != "data_quality_missing_ticker_security_count") | F.col("key").isin("latest_period", "schema_version"))
+
+
 # ---- landed documents -------------------------------------------------------------------------
 
 #: Entries of one landed document; their number follows the table.

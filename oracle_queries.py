@@ -598,3 +598,27 @@ SQL["trusted_tickers"] = """
 SELECT CASE WHEN c_custkey % 23 = 0 THEN 'BAD' || c_custkey ELSE 'X' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS cusip,
   CASE WHEN c_custkey % 50 = 7 THEN 'M' ELSE 'C' END || c_custkey AS ticker
 FROM customer WHERE (c_custkey % 2 = 0 AND c_custkey % 5 = 1) OR (c_custkey % 50 = 7 AND c_custkey % 23 <> 0)"""
+
+# ---- archives and the snapshot job ------------------------------------------------------------
+
+SQL["archive_holdings"] = book_sql("""
+SELECT archive, accession, cusip, position_type, shares_type, value, shares, issuer, class, '' AS figi FROM lines JOIN keyed USING (accession)""")
+SQL["archive_inputs"] = book_sql(""", counted AS (
+  SELECT archive, 'SUBMISSION' AS member, count(*) AS rows FROM keyed GROUP BY archive
+  UNION ALL SELECT archive, 'SUMMARYPAGE', count(*) FROM keyed GROUP BY archive
+  UNION ALL SELECT archive, 'COVERPAGE', CAST(sum(CASE WHEN k % 13 = 0 THEN 2 ELSE 1 END) AS BIGINT) FROM keyed WHERE has_cover GROUP BY archive
+  UNION ALL SELECT archive, 'INFOTABLE', count(*) FROM lines JOIN keyed USING (accession) GROUP BY archive)
+SELECT archive, member, rows, true AS hashed, CAST(0 AS BIGINT) AS moved FROM counted""")
+SQL["snapshot_weights"] = SQL["security_weights"]
+SQL["snapshot_positions"] = SQL["positions_merged"]
+SQL["snapshot_stock_changes"] = SQL["stock_changes"]
+_TABLE_COUNTS = book_sql("""
+SELECT 'period_count' AS key, CAST(count(*) AS VARCHAR) AS value FROM periods
+UNION ALL SELECT 'latest_period', max_by(label, period) FROM periods
+UNION ALL SELECT 'manager_count', CAST(count(DISTINCT cik) AS VARCHAR) FROM quarters
+UNION ALL SELECT 'security_count', CAST(count(*) AS VARCHAR) FROM securities
+UNION ALL SELECT 'position_count', CAST(count(*) AS VARCHAR) FROM positions""")
+SQL["snapshot_metadata_counts"] = f"""
+SELECT key, CAST(value AS VARCHAR) AS value FROM ({SQL["quality_kpis"]}) WHERE key <> 'data_quality_missing_ticker_security_count'
+UNION ALL SELECT key, value FROM ({_TABLE_COUNTS})
+UNION ALL SELECT 'market_cap_count', '0' UNION ALL SELECT 'sector_count', '0' UNION ALL SELECT 'schema_version', '9'"""

@@ -11,11 +11,13 @@ import csv
 import fnmatch
 import io
 import re
+import uuid
 import zipfile
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyhold.schemas import RAW_MEMBERS, raw_schema
@@ -59,6 +61,63 @@ def stored_bytes(*paths: str) -> int:
     return total
 
 
+def write_archives(members: dict[str, DataFrame], location: str) -> None:
+    """Zipped archives as ``read_archives`` takes them, from one table per member (``archive``, ``row_no``, the member's columns).
+
+    An archive is one file, so one task writes it, line by line in the order of the rows; a file appears under its name once it is whole.
+    """
+    def text(column: str):
+        value = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        return F.when(value.rlike('["\t\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+    rows = None
+    for at, member in enumerate(RAW_MEMBERS):
+        lines = members[member].select("archive", F.lit(at).alias("member"), "row_no", F.concat_ws("\t", *[text(c.lower()) for c in RAW_MEMBERS[member]]).alias("line"))
+        rows = lines if rows is None else rows.unionByName(lines)
+    dealt = rows.repartition("archive").sortWithinPartitions("archive", "member", "row_no", F.desc("line"))
+
+    def write(batches):
+        name = target = stream = archive = entry = None
+        at = -1
+        system, folder = _located(location)
+        system.create_dir(folder, recursive=True)
+
+        def opened(upto: int) -> None:
+            """The entries up to a member; one without rows has its header only."""
+            nonlocal entry, at
+            while at < upto:
+                if entry:
+                    entry.close()
+                at += 1
+                member = list(RAW_MEMBERS)[at]
+                entry = archive.open(f"{member}.tsv", "w", force_zip64=True)
+                entry.write(("\t".join(RAW_MEMBERS[member]) + "\n").encode())
+
+        def finished() -> None:
+            opened(len(RAW_MEMBERS) - 1)
+            entry.close()
+            archive.close()
+            stream.close()
+            system.move(target, f"{folder.rstrip('/')}/{name}")
+
+        for batch in batches:
+            for of, member, line in zip(*(batch.column(c).to_pylist() for c in ("archive", "member", "line"))):
+                if of != name:
+                    if name is not None:
+                        finished()
+                    name, at, entry = of, -1, None
+                    target = f"{folder.rstrip('/')}/.{uuid.uuid4().hex}.part"
+                    stream = system.open_output_stream(target)
+                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+                opened(member)
+                entry.write((line + "\n").encode())
+        if name is not None:
+            finished()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["archive"])
+
+    dealt.mapInArrow(write, "archive string").count()
+
+
 class MemberSlice(InputPartition):
     def __init__(self, path: str, member: str):
         super().__init__((path, member))

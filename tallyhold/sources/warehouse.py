@@ -145,6 +145,17 @@ class Warehouse:
             F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "F", " put").otherwise("Call"))
             .otherwise("").alias("putcall"))
 
+    @property
+    def members(self) -> dict[str, DataFrame]:
+        """All filings as the members of archives: text, and the holdings rows in the archive of their filing."""
+        held = self.lines.join(self.submissions.select(F.col("accession_number").alias("accession"), "archive"), "accession")
+        info = held.select(
+            "archive", "row_no", F.col("accession").alias("accession_number"), "cusip", F.col("issuer").alias("nameofissuer"),
+            F.col("class").alias("titleofclass"), "figi", _text(F.col("value")).alias("value"), _text(F.col("shares")).alias("sshprnamt"),
+            F.when(F.col("shares_type") == 1, "PRN").otherwise("SH").alias("sshprnamttype"),
+            F.when(F.col("position_type") == 1, "Put").when(F.col("position_type") == 2, "Call").otherwise("").alias("putcall"))
+        return {"SUBMISSION": self.submissions, "COVERPAGE": self.covers, "SUMMARYPAGE": self.summaries, "INFOTABLE": info}
+
     @property
     def archives(self) -> DataFrame:
         return self._filings.groupBy("archive").agg(F.min("filed").alias("first_filed"))
