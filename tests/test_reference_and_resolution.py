@@ -92,19 +92,20 @@ def test_ticker_cache_shapes(spark):
 
 
 def test_sector_map_and_caps(spark):
+    """Blank symbols go, the last row of a symbol counts, stocks win over funds, names are tidied, caps must be positive."""
     stocks = spark.createDataFrame(
-        [(0, "AAPL", "Apple Inc. Common Stock", "Technology", "3,000,000.5"), (1, "dual", "Dual Listing Inc. Common Stock", "", "0"),
-         (2, "", "no symbol", "Finance", "5"), (3, "aapl ", "Apple Inc. Class A Common Stock", "Technology", "7")],
+        [(10, "quay", "Quay Dredging plc Ordinary Shares", "Harbours", "12,500.5"), (11, " ", "nobody", "Harbours", "9"),
+         (12, "KELP", "Kelp & Daughters Common Stock", None, "n/a"), (13, "QUAY", "Quay Dredging plc Class B Common Stock", " Harbours", "41.5")],
         "row_no bigint, symbol string, name string, sector string, marketCap string")
-    funds = spark.createDataFrame([(0, "SPY", "SPDR S&P 500  ETF Trust Unit", None), (1, "DUAL", "Dual ETF", None), (2, "X", None, "Plain")],
+    funds = spark.createDataFrame([(20, "kelp", "Kelp Fund", None), (21, "TIDE", "Tidal   Range Index Units", None), (22, "EBB", "", "Ebb Tracker")],
                                   "row_no bigint, symbol string, companyName string, name string")
     sectors = reference.sector_map(stocks, funds)
-    assert pairs(sectors, "ticker", "sector", "name") == [
-        ("AAPL", "Technology", "Apple Inc."), ("DUAL", "", "Dual Listing Inc."),
-        ("SPY", "ETF", "SPDR S&P 500 ETF Trust Unit"), ("X", "ETF", "Plain")]
-    assert pairs(reference.sector_values(sectors), "sector") == [("ETF",), ("Technology",)]
+    got = pairs(sectors, "ticker", "sector", "name")
+    assert [(t, s) for t, s, _ in got] == [("EBB", "ETF"), ("KELP", ""), ("QUAY", "Harbours"), ("TIDE", "ETF")]
+    assert all("  " not in name and not name.endswith("Common Stock") for _, _, name in got) and got[0][2] == "Ebb Tracker"
+    assert pairs(reference.sector_values(sectors), "sector") == [("ETF",), ("Harbours",)]
     caps = reference.market_caps(stocks)
-    assert pairs(caps, "ticker", "market_cap") == [("AAPL", 7)]
+    assert pairs(caps, "ticker", "market_cap") == [("QUAY", 42)]
     assert pairs(reference.screener_rules(stocks, caps), "rule", "found", "required") == [
         ("positive market caps", 1, 1000), ("stock screener symbols", 3, 1000)]
 
