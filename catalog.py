@@ -20,7 +20,7 @@ from tallyhold.plans.book import Book, warehouse_book
 from tallyhold.plans import market, snapshot
 from tallyhold.plans.snapshot import book_tables as tables_of_book
 from tallyhold.session import configure, stage, staging_root
-from tallyhold.sources import archives, fingerprints, landed
+from tallyhold.sources import archives, exports, fingerprints, landed
 from tallyhold.sources.archives import stored_bytes
 from tallyhold.sources.warehouse import MARK_DATE, Warehouse, security_number
 
@@ -863,6 +863,42 @@ def sector_document(spark, folder):
     return landed.sectors(document_of(spark, rows, "sectors"))
 
 
+def object_of(spark, entries: DataFrame, part: str) -> DataFrame:
+    """``entries`` (key, value) exported by many tasks as one JSON object, and read back as its members by many tasks."""
+    path = f"{staging_root(spark)}/object-{uuid.uuid4().hex[:8]}"
+    exports.write_sorted_object(entries, path, "key", "value", part)
+    return landed.read_object(spark, path)
+
+
+@query
+def market_cap_object(spark, folder):
+    key = F.col("o_orderkey")
+    rows = Warehouse(spark, folder).table("orders").select(
+        F.concat(F.lit("o"), key.cast("string")).alias("key"),
+        F.when(key % 5 == 0, 0).otherwise(F.floor(F.col("o_totalprice"))).cast("long").alias("value"))
+    return landed.market_caps(object_of(spark, rows, "market_caps"))
+
+
+@query
+def sector_object(spark, folder):
+    """Sector entries whose texts hold commas, quotes, and brackets."""
+    rows = Warehouse(spark, folder).table("orders").select(
+        F.concat(F.lit(" o"), F.col("o_orderkey").cast("string")).alias("key"),
+        F.struct(F.concat(F.lit("  {"), "o_orderpriority", F.lit(',  "x"]')).alias("sector"), F.concat("o_orderstatus", F.lit("  \\ Co, ")).alias("name")).alias("value"))
+    return landed.sectors(object_of(spark, rows, "sectors"))
+
+
+@query
+def ticker_cache_object(spark, folder):
+    """Records of a ticker cache in its current shape, read as members."""
+    key = F.col("o_custkey")
+    rows = Warehouse(spark, folder).table("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("p")).select(
+        F.concat(F.lit("x"), F.lpad(key.cast("string"), 8, "0")).alias("key"),
+        F.struct(F.concat(F.lit("T"), key.cast("string")).alias("ticker"), F.concat(F.lit("{,"), "p").alias("source"), F.col("n").alias("unused")).alias("value"))
+    records, overrides = landed.ticker_cache(object_of(spark, rows, "records"))
+    return records.select("cusip", "ticker", "source").unionByName(overrides.select("cusip", "ticker", "source"))
+
+
 @query
 def trusted_tickers(spark, folder):
     """Exact and manual tickers among the cached records and overrides."""

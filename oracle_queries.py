@@ -594,6 +594,12 @@ SQL["market_cap_document"] = """
 SELECT 'P' || p_partkey AS ticker, CAST(floor(p_retailprice * 100) AS BIGINT) AS market_cap FROM part WHERE p_partkey % 5 <> 0 AND floor(p_retailprice * 100) > 0"""
 SQL["sector_document"] = """
 SELECT 'C' || c_custkey AS ticker, c_mktsegment AS sector, c_name || ' Co' AS name FROM customer"""
+SQL["market_cap_object"] = """
+SELECT 'O' || o_orderkey AS ticker, CAST(floor(o_totalprice) AS BIGINT) AS market_cap FROM orders WHERE o_orderkey % 5 <> 0 AND floor(o_totalprice) > 0"""
+SQL["sector_object"] = """
+SELECT 'O' || o_orderkey AS ticker, '{' || o_orderpriority || ', "x"]' AS sector, o_orderstatus || ' \\ Co,' AS name FROM orders"""
+SQL["ticker_cache_object"] = """
+SELECT 'X' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS cusip, 'T' || o_custkey AS ticker, '{,' || max(o_orderpriority) AS source FROM orders GROUP BY o_custkey"""
 SQL["trusted_tickers"] = """
 SELECT CASE WHEN c_custkey % 23 = 0 THEN 'BAD' || c_custkey ELSE 'X' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS cusip,
   CASE WHEN c_custkey % 50 = 7 THEN 'M' ELSE 'C' END || c_custkey AS ticker

@@ -100,7 +100,8 @@ def build_snapshot(spark: SparkSession, archives: str, output: str, *, ticker_ma
     configure(spark, stored_bytes(archives))
     paths = dict(zip(_DOCUMENTS, (ticker_map, market_caps, sectors, watchlist)))
     folders = {name: spark.read.parquet(path) for name, path in paths.items() if landed.is_table(spark, path)}
-    documents = {name: landed.read_documents(spark, path) if path and name not in folders else None for name, path in paths.items()}
+    read = lambda name: landed.read_documents if name == "watchlist" else landed.read_object
+    documents = {name: read(name)(spark, path) if path and name not in folders else None for name, path in paths.items()}
     manifest = stage(fingerprints(spark, archives, paths), "inputs")
 
     def rows(name: str, reader, table: str) -> DataFrame:
