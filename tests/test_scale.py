@@ -157,3 +157,17 @@ def test_staged_tables_do_not_keep_lineage(spark):
     df = stage(spark.range(10).repartition(3), "small")
     assert "Range" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 10
+
+
+def test_tasks_stay_small_as_inputs_grow(spark):
+    """A gigabyte of input starts with partitions enough, and merged or unsplit ones are bounded, unless the session asks for less."""
+    first, merged, skewed = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
+    before = {key: spark.conf.get(key, None) for key in (first, merged, skewed)}
+    spark.conf.set(merged, "64MB")
+    spark.conf.set(skewed, "32m")
+    configure(spark, 6 * 10**9)
+    assert int(spark.conf.get(first)) >= 700
+    assert spark.conf.get(merged) == str(16 * 1024 * 1024) and spark.conf.get(skewed) == "32m"
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
