@@ -14,12 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhold.session import stage
+from tallyhold.session import bytes_of, more_partitions, stage
 
 #: Commas at this depth or above end a member.
 DEPTH = 2
 _MAP, _LIST = "map<string,string>", "array<string>"
 _RANGE = ("file", "block")
+#: Bytes of a range at most.  A range is put in order by one task, and its pieces take some ten times its text.
+RANGE_BYTES = 4 * 1024 * 1024
+_READ_BYTES = "spark.sql.files.maxPartitionBytes"
 
 
 def _depth_change(text: Column) -> Column:
@@ -50,6 +53,20 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
         {"even_here": F.sum("if_even").over(here), "odd_here": F.sum("if_odd").over(here)}).drop("inside", "outside")
 
 
+def staged_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The pieces, written; Spark's reader cuts the text into ranges of RANGE_BYTES, however long it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    length = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    more_partitions(spark, length)
+    before = spark.conf.get(_READ_BYTES)
+    if bytes_of(before) > RANGE_BYTES:
+        spark.conf.set(_READ_BYTES, str(RANGE_BYTES))
+    try:
+        return stage(pieces(spark, path), "object-pieces")
+    finally:
+        spark.conf.set(_READ_BYTES, before)
+
+
 def ranges(found: DataFrame) -> DataFrame:
     """One row per byte range, in the order of the text: its number, parity and depth at its start, and whether the whole text is closed."""
     sums = found.groupBy(*_RANGE).agg(F.sum("odd").alias("quotes"), F.sum("if_even").alias("even"), F.sum("if_odd").alias("odd"), F.max("id").alias("last_id"))
@@ -65,8 +82,8 @@ def ranges(found: DataFrame) -> DataFrame:
 
 def _groups(spark: SparkSession, path: str) -> DataFrame:
     """Text between two cuts, numbered through, with the depth before and after it."""
-    found = stage(pieces(spark, path), "object-pieces")
-    placed = found.join(stage(ranges(found), "object-ranges"), list(_RANGE))
+    found = staged_pieces(spark, path)
+    placed = found.join(F.broadcast(stage(ranges(found), "object-ranges")), list(_RANGE))  # one row per byte range
     own, here = (F.when(F.col("parity") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("if_even", "if_odd"), ("even_here", "odd_here")))
     after = F.col("depth") + here
     quiet = (F.col("parity") + F.col("turned") + F.col("odd")) % 2 == 0
@@ -77,7 +94,7 @@ def _groups(spark: SparkSession, path: str) -> DataFrame:
     order = Window.partitionBy(F.lit(0)).orderBy("number")  # one row per byte range
     base = cuts.groupBy("number").agg(F.sum("cut").alias("cuts")).select("number", _before(F.col("cuts"), order).alias("base"))
     text = F.concat("value", F.when((F.col("cut") == 0) & F.col("comma"), ",").otherwise(""))
-    grouped = cuts.join(base, "number").select(
+    grouped = cuts.join(F.broadcast(base), "number").select(
         (F.col("base") + F.col("n")).alias("at"), "closed", F.struct("number", "id", "before", "after", text.alias("text")).alias("piece"))
     listed = grouped.groupBy("at").agg(F.sort_array(F.collect_list("piece")).alias("p"), F.first("closed").alias("closed"))  # one member
     return listed.select("at", "closed", F.col("p")[0]["number"].alias("number"), F.col("p")[0]["before"].alias("before"),
@@ -115,7 +132,7 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
     carried = named.groupBy("number").agg(F.max_by("opener", F.when(F.col("opener").isNotNull(), F.col("at"))).alias("last")).select(
         "number", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     within = Window.partitionBy("number").orderBy("at")
-    of = named.join(carried, "number").withColumn("of", F.coalesce(F.last("opener", ignorenulls=True).over(within), "carried"))
+    of = named.join(F.broadcast(carried), "number").withColumn("of", F.coalesce(F.last("opener", ignorenulls=True).over(within), "carried"))
     in_list = F.col("of.kind") == "["
     closing = F.when(in_list, "]").otherwise("}")
     inner = F.concat(F.col("of.kind"), F.when(after == 0, F.regexp_replace(body, r"\}\s*\z", "")).otherwise(body), F.when(after == DEPTH, closing).otherwise(""))

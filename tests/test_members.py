@@ -142,3 +142,16 @@ def test_sorted_object_from_many_tasks(spark, tmp_path, small_ranges):
             assert {(r.part, r.key) for r in read} == {(k, name) for k in whole for name in ("n", "t")}
     exports.write_sorted_object(rows.limit(0), str(tmp_path / "none"), "key", "value", "caps")
     assert flat(members.read_members(spark, str(tmp_path / "none")).collect()) == [("caps", None, "{}")]
+
+
+def test_a_range_is_bounded_whatever_the_reader_takes(spark, tmp_path, monkeypatch):
+    """One task puts a range in order, so the range must not grow with the text or with the reader's setting."""
+    path, text = tmp_path / "o.json", json.dumps({"sectors": {f"k{i}": {"name": f'a,"{i}'} for i in range(4_000)}})
+    path.write_text(text)
+    monkeypatch.setattr(members, "RANGE_BYTES", 10_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = members.staged_pieces(spark, str(path))
+    sizes = found.groupBy("file", "block").agg(F.sum(F.octet_length("value") + 1).alias("n")).agg(F.count("*"), F.max("n")).first()
+    assert sizes[0] >= len(text) // 10_000 and sizes[1] <= 11_000
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert members.read_members(spark, str(path)).filter("part = 'sectors' and inner").count() == 4_000
