@@ -1,6 +1,9 @@
-"""Exact median per group by one path, whatever the group's size.
+"""Exact median per group, whatever the group's size.
 
-Spark's exact percentile keeps every distinct value of a group in one task.  Here the values are narrowed twice
+The rows of each group are counted first.  Groups of at most FEW rows are put in order by one shuffle of their values, so
+what a task holds of a group is bounded.
+
+Spark's exact percentile keeps every distinct value of a group in one task.  The values of larger groups are narrowed twice
 instead.  First, mergeable approximate percentiles bracket the middle: with ACCURACY counts per summary the two
 bounds hold both middle elements and a few values in ACCURACY.  Then BUCKETS approximate percentiles of the distinct
 values left cut them into buckets, whose counts tell which ones hold the middle.  The few values of these are put in
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tallyhold.session import stage
 
+#: Rows of a group that are put in order as they are.
+FEW = 10_000
 ACCURACY = 10_000
 #: Distance of the bounds from the middle, as a share of the rows: four times the error that the accuracy allows.
 MARGIN = 4 / ACCURACY
@@ -22,8 +27,26 @@ BUCKETS = 256
 
 
 def middle_values(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, rows, low, high``: the median is their mean.  ``values`` should be a written table: it is read twice."""
-    present = values.select(*keys, F.col(value).alias("m_x")).filter("m_x is not null")
+    """``keys, rows, low, high``: the median is their mean.  ``values`` should be a written table: it is read more than once."""
+    kind = values.schema[value].dataType
+    present = values.select(*keys, (F.col(value) + F.lit(0)).cast(kind).alias("m_x"))  # -0.0 counts as 0.0
+    for name in [*keys, "m_x"]:
+        present = present.filter(F.col(name).isNotNull())
+    large = stage(present.groupBy(*keys).agg(F.count("*").alias("m_n")).filter(F.col("m_n") > FEW).select(*keys), "median-large")
+    if large.isEmpty():
+        return _middle_of_few(present, keys)
+    return _middle_of_few(present.join(large, keys, "left_anti"), keys).unionByName(_middle_of_many(present.join(large, keys, "left_semi"), keys))
+
+
+def _middle_of_few(present: DataFrame, keys: list[str]) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    placed = present.withColumn("m_at", F.row_number().over(group.orderBy("m_x"))).withColumn("rows", F.count("*").over(group))
+    first, last = F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
+    return placed.filter((F.col("m_at") - 1).between(first, last)).groupBy(*keys).agg(
+        F.max("rows").alias("rows"), F.min("m_x").alias("low"), F.max("m_x").alias("high"))
+
+
+def _middle_of_many(present: DataFrame, keys: list[str]) -> DataFrame:
     bounds = stage(present.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.percentile_approx("m_x", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("m_b")), "median-bounds")
     counted = present.groupBy(*keys, "m_x").agg(F.count("*").alias("m_n"))

@@ -47,6 +47,30 @@ def test_median_of_any_group_size(spark):
     assert got == {key: (len(vs), statistics.median(vs)) for key, vs in groups.items()}
 
 
+def test_median_of_small_groups_is_one_shuffle_of_their_values(spark, monkeypatch):
+    """Groups of few rows need no bounds or buckets; groups of either size have the same medians, and null keys none."""
+    staged = []
+    stage = median.stage
+    monkeypatch.setattr(median, "stage", lambda df, name, **options: (staged.append(name), stage(df, name, **options))[1])
+    rng = random.Random(4)
+    rows = [(f"k{i % 40}", i % 3, rng.choice([-0.0, 0.0, 1.0, rng.uniform(-9, 9)])) for i in range(8000)]
+    rows += [("big", 0, float(i % 701)) for i in range(2000)] + [("odd", 1, float("nan")), ("odd", 1, 2.0), ("odd", 1, None)]
+    rows += [("k0", None, 5.0), (None, 0, 6.0), (None, None, 7.0)] + [(None, 1, float(i)) for i in range(3000)]
+    values = spark.createDataFrame(rows, "k string, p int, v double").repartition(5)
+    found = lambda: {(r.k, r.p): (r.rows, str(r.low), str(r.high)) for r in median.middle_values(values, ["k", "p"], "v").collect()}
+    few = found()
+    assert staged == ["median-large"]
+    groups = {}
+    for k, p, v in rows:
+        if None not in (k, p, v):
+            groups.setdefault((k, p), []).append(v + 0.0)
+    order = lambda v: (v != v, v)
+    want = {key: (len(vs), *(str(sorted(vs, key=order)[at]) for at in ((len(vs) - 1) // 2, len(vs) // 2))) for key, vs in groups.items()}
+    assert few == want
+    monkeypatch.setattr(median, "FEW", 1000)
+    assert found() == want and "median-buckets" in staged
+
+
 def test_trusted_tickers_and_targets(spark):
     records = spark.createDataFrame(
         [("aaa", " exact ", "openfigi"), ("bbb", "GUESS", "sec_name"), ("ddd", "OLD", "openfigi")],
