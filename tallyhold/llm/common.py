@@ -38,6 +38,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stage(df, name)
 
 
+#: A join by more columns than its sides are dealt by deals none of them anew; shuffle files go when their table is written.
+_LEAN = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def written_lean(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for what moves nearly as much as the disk may hold."""
+    conf = df.sparkSession.conf
+    before = {key: conf.get(key) for key in _LEAN}
+    try:
+        for key, value in _LEAN.items():
+            conf.set(key, value)
+        return written(df, name)
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
+
+
 def in_slices(make: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], text: str = "text"):
     """A mapInArrow function that calls ``make`` on row slices of about SLICE_BYTES of text each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,10 @@ The likeness of two different fingerprints is the greatest share, over the level
 has a term (of LEAST_SUBSETS, where there are fewer).
 
 Frequencies are counted exactly.  The terms above the band are few (at most the mean number of distinct terms of a document divided by
-MOST_SHARE), so they are left out before anything moves; the other (document, term) pairs meet the lexicon in a join by
-term, whose side of pairs can be split, and come back by document.  An edited text shares most terms with its own, so both are one list of pairs.
+MOST_SHARE), so they are left out before anything moves.  The (document, term) pairs stay where their range of documents is: the distinct
+terms of a range meet the lexicon in a join by term, those found come back to the range, and are joined there with the range's pairs.  For that
+the texts are dealt to their ranges twice, which moves less than their terms would; the files of a shuffle go as soon as its table is written.
+An edited text shares most terms with its own, so both are one list of pairs.
 
 A document without a term in the band has hashes of the whole of its terms: it is like those with the same terms only.  Null texts
 count as empty; texts without words have the fingerprint of no terms, and two such are alike (1).  Null ids come last in descending
@@ -28,8 +30,8 @@ from tallyhold.llm import common
 
 LEAST_DOCUMENTS, MOST_SHARE = 2, 0.1
 LEVELS, SUBSETS, LEAST_SUBSETS = 5, 16, 6
-#: Documents of one range of ids, as long as there are fewer than MOST_RANGES.
-RANGE_ROWS, MOST_RANGES = 500, 16_384
+#: Documents of one range of ids, as long as there are fewer than MANY_RANGES, and twice as many, as long as there are fewer than MOST_RANGES.
+RANGE_ROWS, MANY_RANGES, MOST_RANGES = 500, 50, 16_384
 
 
 # ---- terms and fingerprints ---------------------------------------------------------------------
@@ -52,18 +54,18 @@ def frequencies(rows: DataFrame, terms: str = "terms") -> DataFrame:
 
 def with_subset_hashes(rows: DataFrame, terms: str, name: str) -> DataFrame:
     """``rows`` with ``name``: one hash per level and subset, 0 where it holds no term of the row."""
-    hashes, held = [], terms
-    for level in range(LEVELS):
-        if level:
-            wanted = (1 << (2 * level)) - 1
-            part = f"{name}_{level}"
-            rows = rows.withColumn(part, F.filter(held, lambda t: t.bitwiseAND(F.lit(wanted)) == 0))
-            held = part
-        for subset in range(SUBSETS):
-            chosen = F.filter(held, lambda t: F.shiftrightunsigned(t, 32).bitwiseAND(F.lit(SUBSETS - 1)) == subset)
-            hashes.append(F.when(F.size(chosen) > 0, F.hash(chosen)).otherwise(F.lit(0)))
-    rows = rows.withColumn(name, F.array(*hashes))
-    return rows.drop(*(f"{name}_{level}" for level in range(1, LEVELS)))
+    def split(held: Column, shift: int, ways: int) -> Column:
+        return F.array(*[F.filter(held, lambda t: F.shiftrightunsigned(t, shift).bitwiseAND(F.lit(ways - 1)) == way) for way in range(ways)])
+
+    def thinned(wanted: int):
+        return lambda held: F.filter(held, lambda t: t.bitwiseAND(F.lit(wanted)) == 0)
+
+    # Subsets are found in two steps of four, and a level's are the subsets of the level before without the terms it lacks.
+    parts = [f"{name}_{level}" for level in range(LEVELS)]
+    rows = rows.withColumn(parts[0], F.flatten(F.transform(split(F.col(terms), 34, SUBSETS // 4), lambda held: split(held, 32, 4))))
+    for level in range(1, LEVELS):
+        rows = rows.withColumn(parts[level], F.transform(parts[level - 1], thinned((1 << (2 * level)) - 1)))
+    return rows.withColumn(name, F.transform(F.concat(*parts), lambda held: F.when(F.size(held) > 0, F.hash(held)).otherwise(F.lit(0)))).drop(*parts)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -92,7 +94,7 @@ def range_of(place: Column, bounds: Column, steps: int) -> Column:
 
 
 def with_next(documents: DataFrame, text: str, carried: list[str]) -> DataFrame:
-    """``documents`` (id, text) with ``next_``-columns of the document with the next lower id, after the last the first.
+    """``documents`` (id, text) with their ``range`` and ``next_``-columns of the document with the next lower id, after the last the first.
 
     The ids are cut into ranges of about equal size; a range is one group of a window.  The first document of each
     range also visits the range above it, and the first of all the last range, so no range looks beyond itself.
@@ -100,7 +102,7 @@ def with_next(documents: DataFrame, text: str, carried: list[str]) -> DataFrame:
     place = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
     placed = documents.withColumn("place", place).withColumn("tie", F.xxhash64(text))
     n = documents.count()
-    k = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    k = max(1, min(MANY_RANGES, n // RANGE_ROWS), min(MOST_RANGES, n // (2 * RANGE_ROWS)))
     steps = max(1, math.ceil(math.log2(k + 1)))
     ids = common.written(documents.select(place.alias("place"), F.xxhash64(text).alias("tie")), "match-ids")
     # Ranges are cut by id and text, so many null or equal ids are many ranges, too.
@@ -123,7 +125,7 @@ def with_next(documents: DataFrame, text: str, carried: list[str]) -> DataFrame:
                                             .otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))))))
              .select("id", *carried, "place", "tie", "dealt.range", "dealt.guest"))
     down = Window.partitionBy("range").orderBy("guest", F.desc("place"), F.desc("tie"))
-    return (dealt.select("id", *carried, "guest", *[F.lead(c).over(down).alias(f"next_{c}") for c in carried])
+    return (dealt.select("range", "id", *carried, "guest", *[F.lead(c).over(down).alias(f"next_{c}") for c in carried])
             .filter("guest = 0").drop("guest"))
 
 
@@ -133,57 +135,77 @@ def _names(key: Column, text: Column) -> Column:
 
 
 def texts_with_edits(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: a number, id, n_chars, names of the row and the next one, digest of the edited text, and the distinct terms of both texts."""
+    """Per row: its range, a number, id, n_chars, names of the row and the next one, digest of the edited text, and the distinct terms
+    of both texts with a hash of all of them."""
     texts = documents.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     both = with_next(texts.withColumn("row", _names(F.col("id"), F.col("text"))), "text", ["text", "row"]).select(
-        "id", "text", "row", "next_row", n.cast("long").alias("n_chars"),
+        "range", "id", "text", "row", "next_row", n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    return common.written(both.select(
-        F.monotonically_increasing_id().alias("number"), "id", "n_chars", "row", "next_row", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        terms_of(F.col("text")).alias("terms"), terms_of(F.col("edited")).alias("edited_terms")), "match-rows")
+    rows = both.select(
+        "range", F.monotonically_increasing_id().alias("number"), "id", "n_chars", "row", "next_row", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        terms_of(F.col("text")).alias("terms"), terms_of(F.col("edited")).alias("edited_terms"))
+    whole = lambda terms: F.when(F.size(terms) > 0, F.hash(F.sort_array(terms)))
+    return rows.withColumns({"whole": whole("terms"), "edited_whole": whole("edited_terms")})
 
 
 OWN, EDITED = 1, 2
 
 
-def pairs_of(rows: DataFrame, above: DataFrame) -> DataFrame:
-    """(number, term, side) of the terms that are not above the band; a term of both texts is one pair."""
-    left = rows.crossJoin(F.broadcast(above.agg(F.collect_list("term").alias("above")))).select(  # one row
-        "number", F.array_except("terms", "above").alias("terms"), F.array_except("edited_terms", "above").alias("edited"))
-    side = lambda terms, n: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(n).cast("byte").alias("side")))
-    listed = F.concat(side(F.array_intersect("terms", "edited"), OWN + EDITED), side(F.array_except("terms", "edited"), OWN), side(F.array_except("edited", "terms"), EDITED))
-    return left.select("number", F.explode(listed).alias("pair")).select("number", "pair.*")
+def without_above(rows: DataFrame, above: DataFrame) -> DataFrame:
+    """``rows`` without the terms that are above the band."""
+    return rows.crossJoin(F.broadcast(above.agg(F.collect_list("term").alias("above")))).withColumns({  # one row
+        "terms": F.array_except("terms", "above"), "edited_terms": F.array_except("edited_terms", "above")}).drop("above")
+
 
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """(range, number, term, side, doc): a term of both texts is one pair; a pair without a term carries the other columns as ``doc``."""
+    doc = F.struct(*[c for c in rows.columns if c not in ("range", "number", "terms", "edited_terms")])
+    kind = rows.select(doc.alias("doc")).schema["doc"].dataType
 
-def lexicon_terms(rows: DataFrame) -> DataFrame:
-    """(number, own, edited): sorted hashes of the lexicon terms of the rows that have any."""
-    counted = common.written(frequencies(rows).filter(F.col("df") >= LEAST_DOCUMENTS), "match-frequencies")
-    most = most_documents(rows.count())
-    pairs = pairs_of(rows, counted.filter(F.col("df") > most).select("term"))
-    inside = pairs.join(counted.filter(F.col("df") <= most).select("term"), "term")
-    of = lambda n: F.array_sort(F.transform(F.filter("pairs", lambda p: p["side"].bitwiseAND(F.lit(n).cast("byte")) > 0), lambda p: F.xxhash64(p["term"])))
-    found = inside.groupBy("number").agg(F.collect_list(F.struct("term", "side")).alias("pairs"))  # at most a document's terms
-    return found.select("number", of(OWN).alias("own"), of(EDITED).alias("edited"))
+    def side(terms, n):
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(n).cast("byte").alias("side"), F.lit(None).cast(kind).alias("doc")))
 
+    listed = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(0).cast("byte").alias("side"), doc.alias("doc"))),
+                      side(F.array_intersect("terms", "edited_terms"), OWN + EDITED), side(F.array_except("terms", "edited_terms"), OWN),
+                      side(F.array_except("edited_terms", "terms"), EDITED))
+    return rows.select("range", "number", F.explode(listed).alias("pair")).select("range", "number", "pair.*")
 
-def hashes_of(rows: DataFrame) -> DataFrame:
+
+def lexicon_terms(rows: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """The rows with (own, edited), sorted hashes of their lexicon terms, in place of their terms.
+
+    ``every`` has the same ``terms`` where the texts were not dealt to ranges.
+    """
+    every = rows if every is None else every
+    counted = common.written_lean(frequencies(every).filter(F.col("df") >= LEAST_DOCUMENTS), "match-frequencies")
+    most = most_documents(every.count())
+    below = without_above(rows, counted.filter(F.col("df") > most).select("term"))
+    # A range is in one partition already, so its distinct terms are found, and joined with its pairs, without a shuffle of pairs.
+    asked = below.select("range", F.explode(F.array_union("terms", "edited_terms")).alias("term")).distinct()
+    known = common.written_lean(asked.join(counted.filter(F.col("df") <= most).select("term"), "term", "left_semi"), "match-known")
+    joined = pairs_of(below).join(known.withColumn("known", F.lit(True)).hint("shuffle_hash"), ["range", "term"], "left")
+    of = lambda n: F.sort_array(F.transform(F.filter("pairs", lambda p: p["side"].bitwiseAND(F.lit(n).cast("byte")) > 0), lambda p: F.xxhash64(p["term"])))
+    found = joined.filter("known OR doc IS NOT NULL").groupBy("range", "number").agg(
+        F.first("doc", ignorenulls=True).alias("doc"), F.collect_list(F.when(F.col("known"), F.struct("term", "side"))).alias("pairs"))  # at most a document's terms
+    return found.select("doc.*", of(OWN).alias("own"), of(EDITED).alias("edited"))
+
+
+def hashes_of(rows: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """The rows with ``hashes`` and ``edited_hashes`` in place of their terms."""
-    found = common.written(lexicon_terms(rows), "match-terms")
-    whole = lambda terms: F.when(F.size(terms) > 0, F.hash(F.array_sort(terms)))
-    joined = rows.select("number", "id", "n_chars", "row", "next_row", "edited_sha256", whole("terms").alias("whole"), whole("edited_terms").alias("edited_whole")).join(found, "number", "left")
+    found = lexicon_terms(rows, every)
     for terms, all_of, name in (("own", "whole", "hashes"), ("edited", "edited_whole", "edited_hashes")):
-        joined = joined.withColumn(terms, F.coalesce(terms, F.array().cast("array<bigint>")))
-        joined = with_subset_hashes(joined, terms, name)
+        found = with_subset_hashes(found, terms, name)
         without = F.array(*[F.hash(F.col(all_of), F.lit(k)) for k in range(LEVELS * SUBSETS)])
-        joined = joined.withColumn(name, F.when((F.size(terms) > 0) | F.col(all_of).isNull(), F.col(name)).otherwise(without))
-    return joined.drop("number", "own", "edited", "whole", "edited_whole")
+        found = found.withColumn(name, F.when((F.size(terms) > 0) | F.col(all_of).isNull(), F.col(name)).otherwise(without))
+    return found.drop("own", "edited", "whole", "edited_whole")
 
 
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_chars, fingerprint, and the same for its edited text, with both likenesses."""
-    made = common.written(hashes_of(texts_with_edits(documents, key, text)), "match-hashes")
+    every = documents.select(terms_of(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    made = common.written_lean(hashes_of(texts_with_edits(documents, key, text), every), "match-hashes")
     of_next = made.select("row.*", F.col("hashes").alias("next_hashes")).dropDuplicates(["r1", "r2"])
     both = made.withColumns({"r1": F.col("next_row.r1"), "r2": F.col("next_row.r2")}).join(of_next, ["r1", "r2"])
     return both.select("id", "n_chars", "edited_sha256", shown("hashes").alias("fingerprint"), shown("edited_hashes").alias("edited_fingerprint"),

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 
 from conftest import plain_words
+from pyspark.sql import functions as F
 from tallyhold.llm import imatch
 
 
@@ -140,3 +142,15 @@ def test_null_ids_are_many_ranges(spark, monkeypatch):
     assert imatch.fingerprints(docs).count() == 400
     bounds = next(df for name, df in seen if name == "match-bounds").first().bounds
     assert len(bounds) > 20
+
+
+def test_pairs_stay_in_their_range(spark, monkeypatch):
+    """(document, term) pairs are neither dealt anew by term nor by document; only distinct terms of a range move."""
+    plans = {}
+    written = imatch.common.written
+    monkeypatch.setattr(imatch.common, "written", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), written(df, name))[1])
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("both one"), F.floor(F.col("id") / 2), F.lit(" only"), "id").alias("text"))
+    imatch.fingerprints(docs)
+    assert not any("hashpartitioning(number" in plan for plan in plans.values())
+    dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", plans["match-hashes"])
+    assert len(dealt) >= 2 and all(re.fullmatch(r"range#\d+", keys) for keys in dealt)
