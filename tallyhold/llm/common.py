@@ -44,10 +44,15 @@ _LEAN = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.cl
 
 def written_lean(df: DataFrame, name: str) -> DataFrame:
     """``written`` for what moves nearly as much as the disk may hold."""
+    return written_with(df, name, _LEAN)
+
+
+def written_with(df: DataFrame, name: str, settings: dict[str, str]) -> DataFrame:
+    """``written`` under some settings of the session, which has its own again afterwards."""
     conf = df.sparkSession.conf
-    before = {key: conf.get(key) for key in _LEAN}
+    before = {key: conf.get(key) for key in settings}
     try:
-        for key, value in _LEAN.items():
+        for key, value in settings.items():
             conf.set(key, value)
         return written(df, name)
     finally:

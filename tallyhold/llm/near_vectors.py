@@ -2,12 +2,14 @@
 
 Equal vectors are one class; only classes are compared.  A bounded sample fits coarse centroids and sub-space
 codebooks of the residuals; every class is indexed.  A class visits each coarse list whose boundary is within reach of
-a neighbour at the limit (see ``probes``); there, table look-ups give the distance to each member's code, and a member
+a neighbour at the limit (see ``visits``); there, table look-ups give the distance to each member's code, and a member
 stays if that distance allows the limit given the exact error of its code.  Members that stay are decided by their exact
 cosine in double precision.
 
-Lists are cut into chunks of members and of visitors, so a task holds at most about CHUNK of each.  A task emits link
-counts and a spanning forest, never all pairs.
+Classes are dealt to blocks of whole lists or of parts of one, about CHUNK classes each; one row of the index is a block, with its vectors as given.
+Every two blocks meet once, in a product of the index with itself that reads the stored blocks again and moves none through a
+shuffle, so the index and its files grow with the vectors and not with the lists they visit.  Who visits whom is decided where two blocks
+meet.  A meeting emits link counts and a spanning forest, never all pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing.  Vectors of different lengths
 are compared as if zeros followed the shorter.  Repeated rows are one class and link with each other.  A component's id
@@ -33,7 +35,15 @@ MOST_LISTS = 4096
 SUBSPACES, WORDS = 16, 16
 #: How many standard deviations of a neighbour's offset across a list boundary the probes allow for.
 SIGMAS = 4.0
-CHUNK = 1024
+CHUNK = 4096
+#: Bytes of a block's vectors in double precision, at most (unless that is less than 16 vectors).
+BLOCK_BYTES = 8 << 20
+#: The index has up to so many files however small it is, and then one per FILE_BYTES of vectors.
+MOST_FILES, FILE_BYTES = 24, 16 << 20
+#: Rows of the index are blocks, so few of them make a batch.
+_FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2", "spark.sql.parquet.columnarReaderBatchSize": "16"}
+#: Visitors whose distances to a list's codes are held at a time.
+VISITORS = 512
 
 
 # ---- index --------------------------------------------------------------------------------------
@@ -65,12 +75,11 @@ class Index:
 
     def __init__(self, sample: np.ndarray, n_lists: int, limit: float):
         rng = np.random.Generator(np.random.PCG64(5))
-        self.width = sample.shape[1]
+        self.width, self.limit = sample.shape[1], limit
         self.reach = math.sqrt(max(0.0, 2 - 2 * limit))
         self.centers = means(sample, n_lists, 6, rng)
         residual = self.padded(sample - self.centers[nearest(sample, self.centers)])
         self.books = [means(part, WORDS, 8, rng) for part in np.split(residual, SUBSPACES, axis=1)]
-        self.apart = np.sqrt(squared(self.centers, self.centers))
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         extra = -x.shape[1] % SUBSPACES
@@ -87,38 +96,49 @@ class Index:
             error += ((part - self.books[m][code[:, m]]) ** 2).sum(axis=1)
         return code, np.sqrt(error)
 
-    def probes(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Home list of each vector and the other lists to visit.
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        return nearest(x, self.centers)
+
+    def visits(self, x: np.ndarray, home: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """(vector, list): whether a vector visits each of some lists; its home list counts as visited.
 
         A neighbour at distance ``reach`` lies in list c, not in the home list h, only if its offset along c - h crosses
         the boundary.  That offset is at most ``reach`` and has standard deviation reach / sqrt(width) for neighbours
         in no special direction; lists within SIGMAS of these (or ``reach``, if that is less) are visited.
         """
-        distance = squared(x, self.centers)
-        home = distance.argmin(axis=1)
-        margin = distance - distance[np.arange(len(x)), home][:, None]
-        allowed = 2 * self.apart[home] * self.reach * min(1.0, SIGMAS / math.sqrt(self.width))
-        visit = margin <= allowed + 1e-9
-        visit[np.arange(len(x)), home] = False
-        return home, [np.flatnonzero(v) for v in visit]
-
-    def hopeful(self, visitors: np.ndarray, center: int, codes: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(visitor, member) whose asymmetric distance allows the limit."""
+        margin = squared(x, self.centers[lists]) - ((x - self.centers[home]) ** 2).sum(axis=1)[:, None]
+        apart = np.sqrt(squared(self.centers, self.centers[lists]))
+        return (margin <= 2 * apart[home] * self.reach * min(1.0, SIGMAS / math.sqrt(self.width)) + 1e-9) | (home[:, None] == lists)
+
+    def hopeful(self, visitors: np.ndarray, center: int, marks: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(visitor, member) whose asymmetric distance allows the limit; ``marks`` are the members' codes (see ``marked``)."""
         residual = self.padded(visitors - self.centers[center])
-        distance = np.zeros((len(visitors), len(codes)), np.float32)
-        for m, part in enumerate(np.split(residual, SUBSPACES, axis=1)):
-            distance += squared(part, self.books[m]).astype(np.float32)[:, codes[:, m]]
-        return np.nonzero(distance <= (self.reach + errors) ** 2 + 1e-3)
+        tables = np.concatenate([squared(part, self.books[m]) for m, part in enumerate(np.split(residual, SUBSPACES, axis=1))], axis=1)
+        distance = tables.astype(np.float32) @ marks.T
+        return np.nonzero(distance <= ((self.reach + errors) ** 2 + 1e-3).astype(np.float32))
+
 
+def marked(codes: np.ndarray) -> np.ndarray:
+    """Codes as rows with a one at each word, so that the sums of table look-ups are a matrix product."""
+    out = np.zeros((len(codes), SUBSPACES * WORDS), np.float32)
+    out[np.arange(len(codes))[:, None], np.arange(SUBSPACES) * WORDS + codes] = 1
+    return out
 
-def unit(column: pa.Array, width: int) -> np.ndarray:
-    """Unit vectors in double precision, zeros after shorter ones."""
+
+def dense(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors as a matrix of their own type, zeros after shorter ones."""
     lists = pa.concat_arrays([column])
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = np.zeros((len(sizes), width))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), width), flat.dtype)
     row = np.repeat(np.arange(len(sizes)), sizes)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
+def unit(given: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision."""
+    out = given.astype(np.float64)
     out /= np.abs(out).max(axis=1, keepdims=True)  # neither huge nor tiny components overflow
     return out / np.sqrt((out ** 2).sum(axis=1, keepdims=True))
 
@@ -133,22 +153,23 @@ def usable(vector: str) -> Column:
 def link(vectors: DataFrame, limit: float = LIMIT, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Per row of ``vectors``: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector")).withColumns(
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("vector")).withColumns(
         {"usable": F.coalesce(usable("vector"), F.lit(False)), "c1": F.xxhash64("vector"), "c2": F.xxhash64(F.lit(3), "vector"),
          "row_key": F.xxhash64("id", "vector")})
     good = rows.filter("usable")
-    classes = common.written(good.groupBy("c1", "c2").agg(F.min("row_key").alias("class"), F.min("id").alias("least"), F.count("*").alias("n")), "vector-classes")
-    reps = common.written(good.select(F.col("row_key").alias("class"), "vector").join(classes.select("class", "n"), "class").dropDuplicates(["class"]),
-                          "vector-reps")
+    classes = common.written_lean(good.groupBy("c1", "c2").agg(F.min("row_key").alias("class"), F.min("id").alias("least"), F.count("*").alias("n"),
+                                                               F.first("vector").alias("vector")), "vector-classes")
+    reps = classes.select("class", "n", "vector")
     shape = reps.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
     if shape.n:
         # The rows of least hash; those that cannot be among them are dropped first, so no task returns a whole sample.
         place = F.pmod(F.xxhash64(F.lit(1), "class"), F.lit(1 << 40))
         drawn = reps.filter(place < int(min(1.0, 2 * SAMPLE / shape.n) * (1 << 40)))
-        sample = drawn.orderBy(place, "class").limit(SAMPLE).select("vector").toArrow()
+        sample = unit(dense(drawn.orderBy(place, "class").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks(), shape.width))
         n_lists = int(min(MOST_LISTS, max(1, round(math.sqrt(shape.n)))))
-        index = Index(unit(sample.column("vector").combine_chunks(), shape.width), n_lists, limit)
-        counts, edges = compared(reps, index, limit)
+        index = Index(sample, n_lists, limit)
+        counts, edges = compared(reps, index, Blocks(index.homes(sample), n_lists, shape.n, shape.width))
     else:
         counts = spark.createDataFrame([], "class long, links long")
         edges = spark.createDataFrame([], "a long, b long")
@@ -163,100 +184,163 @@ def link(vectors: DataFrame, limit: float = LIMIT, key: str = "vec_id", vector:
             .union(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))))
 
 
-def compared(reps: DataFrame, index: Index, limit: float) -> tuple[DataFrame, DataFrame]:
+class Blocks:
+    """Which block a class goes to: lists share blocks of about ``size`` classes, and large lists have several, by what the sample says of their sizes."""
+
+    def __init__(self, homes: np.ndarray, n_lists: int, n: int, width: int):
+        self.size = max(16, min(CHUNK, BLOCK_BYTES // (8 * max(width, 1))))
+        members = np.bincount(homes, minlength=n_lists) / len(homes) * n
+        self.spread = np.maximum(1, np.ceil(members / self.size)).astype(np.int64)
+        small = self.spread == 1
+        self.first = np.zeros(n_lists, np.int64)
+        self.first[small] = (np.cumsum(members[small]) - members[small]) // self.size
+        self.first[~small] = 1 + self.first.max() + np.cumsum(self.spread[~small]) - self.spread[~small]
+        self.n = int((self.first + self.spread).max())
+        #: Files of the index: the product has a task for every two of them.
+        self.files = min(self.n, max(MOST_FILES, n * width * 4 // FILE_BYTES))
+
+    def of(self, classes: np.ndarray, homes: np.ndarray) -> np.ndarray:
+        return self.first[homes] + (classes.view(np.uint64) % self.spread[homes].astype(np.uint64)).astype(np.int64)
+
+
+class Block:
+    """Classes of an index row, in the order of their lists."""
+
+    FIELDS = {"class": np.dtype(np.int64), "n": np.dtype(np.int64), "home": np.dtype(np.int32), "error": np.dtype(np.float64), "code": np.dtype((np.uint8, SUBSPACES))}
+
+    def __init__(self, data: bytes, rows: int):
+        at, fields = 0, {}
+        for name, kind in self.FIELDS.items():
+            fields[name] = np.frombuffer(data, kind.base, rows * kind.itemsize // kind.base.itemsize, at).reshape(rows, *kind.shape)
+            at += rows * kind.itemsize
+        self.names, self.n, self.home, self.errors = (fields[name] for name in ("class", "n", "home", "error"))
+        exact = np.float64 if data[-1] else np.float32
+        self.units = unit(np.frombuffer(data, exact, (len(data) - 1 - at) // np.dtype(exact).itemsize, at).reshape(rows, -1))
+        self.marks = marked(fields["code"])
+        self.lists, first = np.unique(self.home, return_index=True)
+        self.bounds = np.append(first, rows)
+        self.at = np.searchsorted(self.lists, self.home)
+
+    @staticmethod
+    def packed(table: pa.Table) -> bytes:
+        code = b"".join(table.column("code").to_pylist())
+        fields = [table.column(name).to_numpy().astype(kind).tobytes() for name, kind in Block.FIELDS.items() if name != "code"]
+        given = table.column("given").to_pylist()
+        return b"".join([*fields, code, *given, b"\1" if table.column("exact")[0].as_py() else b"\0"])
+
+
+def compared(reps: DataFrame, index: Index, blocks: Blocks) -> tuple[DataFrame, DataFrame]:
     """Link counts per class (rows of linked classes), and a spanning forest of the links."""
-    shared = reps.sparkSession.sparkContext.broadcast(index)
+    shared = reps.sparkSession.sparkContext.broadcast((index, blocks))
 
     def place(batches):
-        made = shared.value
+        made, dealt = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(batch.column("vector"), made.width)
-            home, visits = made.probes(x)
+            given = dense(batch.column("vector"), made.width)
+            x = unit(given)
+            home = made.homes(x)
             codes, errors = made.codes(x, home)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("class"), batch.column("n"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(home, pa.int32()),
-                 pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors), pa.array([v.tolist() for v in visits], pa.list_(pa.int32()))],
-                ["class", "n", "unit", "home", "code", "error", "visits"])
-
-    placed = common.written(reps.mapInArrow(place, "class long, n long, unit binary, home int, code binary, error double, visits array<int>"), "vector-index")
-    # A list's members and visitors, each cut into chunks by a hash; both tables have at most MOST_LISTS rows.
-    heads = placed.groupBy(F.col("home").alias("list")).agg(F.count("*").alias("members"))
-    guests = placed.select(F.explode("visits").alias("list")).groupBy("list").agg(F.count("*").alias("guests"))
-    lists = common.written(heads.join(guests, "list", "left").select(
-        "list", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"),
-        F.ceil((F.coalesce("guests", F.lit(0)) + 1) / CHUNK).cast("int").alias("guest_chunks")), "vector-lists")
-    own = F.pmod(F.xxhash64(F.lit(5), "class"), F.col("chunks")).cast("int")
-    guest = F.pmod(F.xxhash64(F.lit(6), "class"), F.col("guest_chunks")).cast("int")
-    columns = ["list", "chunk", "turn", "guest", "class", "n", "unit", "home", "code", "error", "visits"]
-    at_home = placed.withColumn("list", F.col("home")).join(F.broadcast(lists), "list").withColumn("chunk", own)
-    # Turns below 0 compare a chunk with itself (-1) or with an earlier chunk of its list; turns from 0 on, with guests.
-    hosts = at_home.withColumn("guest", F.lit(False)).withColumn("turn", F.explode(F.sequence(-F.col("chunk") - 1, F.col("guest_chunks") - 1)))
-    fellows = (at_home.withColumn("own", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.col("own"), F.col("chunks") - 1)))
-               .filter("chunk > own").withColumn("guest", F.lit(True)).withColumn("turn", -F.col("own") - 2))
-    visiting = (placed.withColumn("list", F.explode("visits")).join(F.broadcast(lists), "list").withColumn("turn", guest)
-                .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("guest", F.lit(True)))
-    task = ["list", "chunk", "turn"]
-    dealt = hosts.select(columns).union(fellows.select(columns)).union(visiting.select(columns)).repartition(*task).sortWithinPartitions(*task)
+                [pa.array(dealt.of(batch.column("class").to_numpy(), home)), batch.column("class"), batch.column("n"), pa.array(home, pa.int32()), pa.array(errors),
+                 pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in given], pa.binary()), pa.array([given.dtype == np.float64] * len(given))],
+                ["part", "class", "n", "home", "error", "code", "given", "exact"])
+
+    def pack(batches):
+        size = shared.value[1].size
+        for run in common.runs(batches, ["part"]):
+            part = run.column("part")[0].as_py()
+            for at in range(0, run.num_rows, 2 * size):  # longer than that only if the sample said too little of a list
+                piece = run.slice(at, 2 * size)
+                yield pa.RecordBatch.from_arrays([pa.array([part * 2**31 + at]), pa.array([piece.num_rows]), pa.array([Block.packed(piece)], pa.binary())], ["block", "rows", "data"])
+
+    placed = reps.mapInArrow(place, "part long, class long, n long, home int, error double, code binary, given binary, exact boolean")
+    dealt = placed.repartition(blocks.files, "part").sortWithinPartitions("part", "home")
+    table = common.written_lean(dealt.mapInArrow(pack, "block long, rows long, data binary"), "vector-index")
+    one, other = (table.select([F.col(c).alias(f"{side}_{c}") for c in table.columns]) for side in ("a", "b"))
 
     def meet(batches):
-        made = shared.value
-        for group in common.runs(batches, task):
-            group = group.combine_chunks()
-            names, n, homes = (group.column(c).to_numpy() for c in ("class", "n", "home"))
-            units = common.stacked(group.column("unit"), np.float64)
-            is_guest = group.column("guest").to_numpy(zero_copy_only=False)
-            here, turn = group.column("list")[0].as_py(), group.column("turn")[0].as_py()
-            hosts = np.flatnonzero(~is_guest)
-            others = hosts if turn == -1 else np.flatnonzero(is_guest)
-            if not len(hosts) or not len(others):
-                continue
-            codes, errors = common.stacked(group.column("code"), np.uint8)[hosts], group.column("error").to_numpy()[hosts]
-            visits = group.column("visits")
-            links = np.zeros(len(names), np.int64)
-            root = np.arange(len(names))
-            a, b = [], []
-
-            def top(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for at in range(0, len(others), 256):
-                i, j = made.hopeful(units[others[at:at + 256]], here, codes, errors)
-                i, j = others[at:at + 256][i], hosts[j]
-                if turn == -1:
-                    i, j = i[i < j], j[i < j]
-                near = (units[i] * units[j]).sum(axis=1) >= limit
-                i, j = i[near], j[near]
-                if turn >= 0 and len(i):
-                    # Where both visit each other's list, the pair counts in one of the two.
-                    both = np.array([homes[x] in lists_of for x, lists_of in zip(i, map(set, visits.take(pa.array(j)).to_pylist()))])
-                    once = ~both | (names[i] < names[j])
-                    i, j = i[once], j[once]
-                np.add.at(links, i, n[j])
-                np.add.at(links, j, n[i])
-                for x, y in zip(i.tolist(), j.tolist()):
-                    p, q = top(x), top(y)
-                    if p != q:
-                        root[p] = q
-                        a.append(names[x])
-                        b.append(names[y])
+        made = shared.value[0]
+        held = {}
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["a_block"] not in held:
+                    held = {row["a_block"]: Block(row["a_data"], row["a_rows"])}
+                a = held[row["a_block"]]
+                b = a if row["a_block"] == row["b_block"] else Block(row["b_data"], row["b_rows"])
+                links, forest = meeting(made, a, b)
+                for number, block, own in ((row["a_block"], a, links[:len(a.names)]), (row["b_block"], b, links[-len(b.names):] if b is not a else None)):
+                    if own is not None and own.any():
+                        sums[number] = (block.names, sums[number][1] + own if number in sums else own)
+                if len(forest):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(forest), pa.int64())] * 2 + [pa.array(forest[:, 0]), pa.array(forest[:, 1])], ["class", "links", "a", "b"])
+        for names, links in sums.values():
             there = np.flatnonzero(links)
-            if len(there):
-                yield pa.RecordBatch.from_arrays([pa.array(names[there]), pa.array(links[there]), pa.nulls(len(there), pa.int64()), pa.nulls(len(there), pa.int64())],
-                                                 ["class", "links", "a", "b"])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                                 ["class", "links", "a", "b"])
-
-    met = common.written(dealt.mapInArrow(meet, "class long, links long, a long, b long"), "vector-links")
+            yield pa.RecordBatch.from_arrays([pa.array(names[there]), pa.array(links[there])] + [pa.nulls(len(there), pa.int64())] * 2, ["class", "links", "a", "b"])
+
+    met = common.written_with(one.join(other, F.col("a_block") <= F.col("b_block")).mapInArrow(meet, "class long, links long, a long, b long"), "vector-links", _FEW_ROWS)
     counts = met.filter("class is not null").groupBy("class").agg(F.sum("links").alias("links"))
     return counts, met.filter("a is not null").select("a", "b")
 
 
+def meeting(index: Index, a: Block, b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the classes of two blocks (first a's, then b's) with each other, and a spanning forest as pairs of classes; a block may meet itself."""
+    same = a is b
+    names, n = (a.names, a.n) if same else (np.concatenate((a.names, b.names)), np.concatenate((a.n, b.n)))
+    links, root = np.zeros(len(names), np.int64), np.arange(len(names))
+    forest: list[tuple[int, int]] = []
+    shift = 0 if same else len(a.names)
+    to_a, to_b = index.visits(b.units, b.home, a.lists), index.visits(a.units, a.home, b.lists)
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def linked(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal root
+        np.add.at(links, i, n[j])
+        np.add.at(links, j, n[i])
+        apart = root[i] != root[j]
+        for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+            p, q = top(x), top(y)
+            if p != q:
+                root[p] = q
+                forest.append((names[x], names[y]))
+        while (further := root[root]).tolist() != root.tolist():
+            root = further
+
+    def visit(hosts: Block, guests: Block, visits: np.ndarray, back: np.ndarray, of_host: int, of_guest: int, again: bool) -> None:
+        """Pairs of guests and the hosts of the lists they visit; where both visit each other, the pair counts once."""
+        for k, center in enumerate(hosts.lists):
+            first, end = hosts.bounds[k:k + 2]
+            coming = np.flatnonzero(visits[:, k])
+            for at in range(0, len(coming), VISITORS):
+                there = coming[at:at + VISITORS]
+                i, j = index.hopeful(guests.units[there], center, hosts.marks[first:end], hosts.errors[first:end])
+                i, j = there[i], j + first
+                if same:
+                    once = (i < j) | ((i > j) & ~back[j, guests.at[i]])
+                    i, j = i[once], j[once]
+                elif again:
+                    once = ~back[j, guests.at[i]]
+                    i, j = i[once], j[once]
+                step = max(1, (2 << 20) // index.width)
+                for cut in range(0, len(i), step):
+                    p, q = i[cut:cut + step], j[cut:cut + step]
+                    near = (guests.units[p] * hosts.units[q]).sum(axis=1) >= index.limit
+                    if near.any():
+                        linked(p[near] + of_guest, q[near] + of_host)
+
+    visit(a, b, to_a, to_b, 0, shift, False)
+    if not same:
+        visit(b, a, to_b, to_a, shift, 0, True)
+    return links, np.array(forest, np.int64).reshape(-1, 2)
+
+
 def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     common.ready(spark)
     return link(common.table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")

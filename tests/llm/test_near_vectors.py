@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tallyhold.llm import near_vectors
+from tallyhold.llm import common, near_vectors
 
 
 def brute(rows):
@@ -75,3 +75,39 @@ def test_recall_on_given_vectors(spark):
     links = np.concatenate([(x[a:a + 1000] @ x.T >= 0.95).sum(axis=1) - 1 for a in range(0, len(x), 1000)])
     found = got.loc[table.vec_id].to_numpy()
     assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
+
+
+def staged(monkeypatch):
+    """What is staged from now on: name -> (rows' frame, physical plan)."""
+    seen, stage = {}, common.stage
+
+    def watched(df, name, **options):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        made = stage(df, name, **options)
+        seen[name] = (made, plan)
+        return made
+
+    monkeypatch.setattr(common, "stage", watched)
+    return seen
+
+
+def test_vectors_are_not_sent_to_the_lists_they_visit(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "CHUNK", 64)
+    seen = staged(monkeypatch)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(16)]) for i in range(900)]
+    compare(spark, rows)
+    index, links = seen["vector-index"][0], seen["vector-links"][1]
+    assert index.agg({"rows": "sum"}).first()[0] == 900 and index.count() > 5  # each vector is in one block only
+    assert "Exchange hashpartitioning" not in links
+
+
+def test_a_list_that_the_sample_missed_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "CHUNK", 16)
+    monkeypatch.setattr(near_vectors, "SAMPLE", 20)
+    seen = staged(monkeypatch)
+    rng = np.random.default_rng(4)
+    center = rng.standard_normal(32)
+    rows = [(i, [float(x) for x in (center + 0.1 * rng.standard_normal(32) if i % 2 else rng.standard_normal(32))]) for i in range(400)]
+    compare(spark, rows, "vec_id long, embedding array<double>")
+    assert seen["vector-index"][0].agg({"rows": "max"}).first()[0] <= 32
